@@ -1,0 +1,34 @@
+"""Connected components of an edge table by least labels and pointer jumping."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import written
+
+
+def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+    """(v, c) for every vertex of edges(a, b): c is the least vertex of its component.
+
+    Each round takes the least label among neighbours (a partial aggregate, so a vertex
+    with many edges is no hot spot) and then follows labels once, which halves the
+    remaining distance. Rounds are written out; the loop ends when no label changes.
+    An empty edge table gives an empty result.
+    """
+    both = written(edges.select(F.col("a").alias("s"), F.col("b").alias("t")).unionByName(edges.select(F.col("b").alias("s"), F.col("a").alias("t"))), "edges")
+    labels = written(both.groupBy("s").agg(F.min("t").alias("m")).select(F.col("s").alias("v"), F.least("s", "m").alias("c")), "labels")
+    for _ in range(max_rounds):
+        near = (
+            both.join(labels.select(F.col("v").alias("t"), "c"), "t")
+            .groupBy(F.col("s").alias("v")).agg(F.min("c").alias("m"))
+        )
+        low = labels.join(near, "v", "left").select("v", F.col("c").alias("old"), F.least("c", F.coalesce("m", "c")).alias("c"))
+        low = written(low, "labels")
+        up = low.select(F.col("v").alias("c"), F.col("c").alias("up"))
+        new = written(low.join(up, "c", "left").select("v", "old", F.least("c", F.coalesce("up", "c")).alias("c")), "labels")
+        changed = new.filter("c < old").limit(1).count()
+        labels = new.select("v", "c")
+        if not changed:
+            return labels
+    raise RuntimeError(f"no fixed point in {max_rounds} rounds")

@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import decontam, nbsvm, quality_rules, sharding, substring, tokens, warc
+from . import decontam, nbsvm, near, quality_rules, sharding, substring, tokens, warc
 from .common import table
 
 N_SHARDS = 16
@@ -41,6 +42,11 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = near.classes(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "class_id", (F.col("uid") == F.col("class_uid")).alias("kept"))
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_table(table(spark, sf_dir, "documents"), N_SHARDS)
 
