@@ -320,3 +320,18 @@ def contamination(docs: DataFrame, benchmark: DataFrame, size: int = 13, max_ter
         ((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"),
         "items",
     )
+
+
+def uncontaminated(docs: DataFrame, benchmark: DataFrame, size: int = 13) -> DataFrame:
+    """The rows that are not contaminated, with all their columns.
+
+    Contamination depends on the text alone, so rows with the doc_id of a contaminated
+    one go only if that holds for their text: they are told apart by a hash of it.
+    """
+    inner = [f"c{i}" for i in range(len(docs.columns))]
+    at, key = inner[docs.columns.index("text")], inner[docs.columns.index("doc_id")]
+    flat = docs.toDF(*inner)
+    mark = F.xxhash64(F.col(key), F.coalesce(at, F.lit("")))
+    marked = flat.select(mark.alias("doc_id"), F.col(at).alias("text"))
+    bad = contamination(marked, benchmark, size).filter("contaminated").select(F.col("doc_id").alias("mark")).distinct()
+    return flat.withColumn("mark", mark).join(bad, "mark", "left_anti").select(*inner).toDF(*docs.columns)

@@ -178,28 +178,47 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, max_train: int
     return flat, got.column("y").to_numpy().astype(np.int64)
 
 
+def margins_of(texts: pa.Array, model: Model, shapes: Shapes, seen: np.ndarray) -> np.ndarray:
+    """Margins of a column of texts. seen: zeros of SIZE, left as zeros."""
+    data, offs = utf8(texts)
+    out = np.zeros(len(offs) - 1)
+    for i, t in enumerate(texts.to_pylist()):
+        part = data[offs[i] : offs[i + 1]]
+        for a in range(0, max(len(part) - GRAM + 1, 0), 1 << 16):
+            seen[char_features(part[a : a + (1 << 16) + GRAM - 1])] = 1.0
+        seen[shape_features(t or "", shapes)] = 1.0
+        out[i] = model.margins(seen)
+        seen[:] = 0.0
+    return out
+
+
 def scored(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id and score of every text, in the input's partitions: no shuffle."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # 3 x SIZE floats at most, whatever the data
 
     def score(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, shapes = shared.value, Shapes()
-        seen = np.zeros(SIZE, np.float32)
+        own, shapes, seen = shared.value, Shapes(), np.zeros(SIZE, np.float32)
         for batch in batches:
-            data, offs = utf8(column(batch, "text"))
-            margins = np.zeros(len(offs) - 1)
-            for i, t in enumerate(column(batch, "text").to_pylist()):
-                part = data[offs[i] : offs[i + 1]]
-                for a in range(0, max(len(part) - GRAM + 1, 0), 1 << 16):
-                    seen[char_features(part[a : a + (1 << 16) + GRAM - 1])] = 1.0
-                seen[shape_features(t or "", shapes)] = 1.0
-                margins[i] = own.margins(seen)
-                seen[:] = 0.0
-            yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), pa.array(own.score(margins))], names=["doc_id", "score"])
+            found = own.score(margins_of(column(batch, "text"), own, shapes, seen))
+            yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), pa.array(found)], names=["doc_id", "score"])
 
     return pick(docs, "doc_id", "text").mapInArrow(score, "doc_id long, score double")
 
 
+def accepted(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
+    """The rows whose text scores at least threshold, with all their columns and in the same partitions."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index("text")
+
+    def keep(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, shapes, seen = shared.value, Shapes(), np.zeros(SIZE, np.float32)
+        for batch in batches:
+            yield batch.filter(pa.array(own.score(margins_of(batch.column(at), own, shapes, seen)) >= threshold))
+
+    flat = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))
+    return flat.mapInArrow(keep, flat.schema).toDF(*docs.columns)
+
+
 def quality_table(docs: DataFrame, labels: DataFrame, label: str = "quality", max_train: int = 2000) -> DataFrame:
     """doc_id, held_out, score and predicted for every document."""
     rows, y = training_rows(docs, labels, label, max_train)
