@@ -27,6 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import pick, written
+from .quality_rules import let
 
 LETTERS = "abcdefghijklmnopqrstuvwxyzäöüßéèêàçñóíá"
 MAX_DOMAINS = 64
@@ -96,11 +97,23 @@ def with_posterior(df: DataFrame, model: Classifier) -> DataFrame:
     return out.withColumns({f"p{i}": F.col(f"e{i}") / whole for i in range(k)}).drop(*(f"{c}{i}" for c in "le" for i in range(k)))
 
 
-def rate_of(steps: list[list[float]], start: float, low: float) -> Column:
-    """The rate after the given projected steps, as an expression over p0, p1, ..."""
+def posterior_of(features: Column, model: Classifier, body) -> Column:
+    """body applied to the posterior as an array; every intermediate array is computed once."""
+    k = len(model.domains)
+    logs = F.array(*model.log_weights([F.get(features, F.lit(i)) for i in range(len(LETTERS))]))
+
+    def scaled(e: Column) -> Column:
+        return let(F.aggregate(e, F.lit(0.0), lambda a, x: a + x), lambda whole: F.transform(e, lambda x: x / whole))
+
+    exps = let(logs, lambda ls: let(F.array_max(ls), lambda top: F.transform(ls, lambda x: F.exp(x - top))))
+    return let(let(exps, scaled), lambda p: body([F.get(p, F.lit(i)) for i in range(k)]))
+
+
+def rate_of(steps: list[list[float]], start: float, low: float, p: list[Column]) -> Column:
+    """The rate after the given projected steps, as an expression over the posterior."""
     r = F.lit(start)
     for v in steps:
-        r = F.greatest(F.lit(low), r + sum((F.lit(float(x)) * F.col(f"p{i}") for i, x in enumerate(v) if i), F.lit(float(v[0])) * F.col("p0")))
+        r = F.greatest(F.lit(low), r + sum((F.lit(float(x)) * q for x, q in zip(v[1:], p[1:], strict=True)), F.lit(float(v[0])) * p[0]))
     return r
 
 
@@ -113,8 +126,14 @@ class Mix:
     targets: list[float]
     totals: list[float]
 
+    def rate_at(self, p: list[Column]) -> Column:
+        return rate_of(self.steps, self.start, self.low, p)
+
     def rate(self) -> Column:
-        return rate_of(self.steps, self.start, self.low) if self.model.domains else F.lit(max(1.0, self.low))
+        """The rate over columns p0, p1, ..."""
+        if not self.model.domains:
+            return F.lit(max(1.0, self.low))
+        return self.rate_at([F.col(f"p{i}") for i in range(len(self.model.domains))])
 
 
 def shares(model: Classifier, weights: dict[str, float]) -> np.ndarray:
@@ -155,7 +174,7 @@ def fit(members: DataFrame, model: Classifier, weights: dict[str, float], budget
             break
         step = np.linalg.solve(second, target - totals)
         steps.append(step.tolist())
-        r = rate_of(steps, start, low)
+        r = rate_of(steps, start, low, [F.col(f"p{i}") for i in range(k)])
         row = members.agg(*(F.coalesce(F.sum(F.col("t") * r * F.col(f"p{i}")), F.lit(0.0)).alias(f"m{i}") for i in range(k))).first()
         new = np.array([row[f"m{i}"] for i in range(k)])
         if np.abs(new - totals).max() <= 1e-3 * tolerance * max(budget, 1.0):
@@ -201,8 +220,8 @@ def mixed(docs: DataFrame, labels: DataFrame, weights: dict[str, float], domain:
     mix = fit(members, model, weights, budget, low)
     inner = [f"c{i}" for i in range(len(docs.columns))]
     flat = docs.toDF(*inner)
-    rows = feature_columns(flat, inner[docs.columns.index("text")])
-    rows = with_posterior(rows, model) if model.domains else rows
-    n = copies(mix.rate(), F.col(inner[docs.columns.index("doc_id")]))
-    repeated = rows.select(*inner, n.alias("n")).filter("n > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("n"))))
+    text = F.col(inner[docs.columns.index("text")])
+    rate = let(F.array(*letter_counts(text)), lambda f: posterior_of(f, model, mix.rate_at)) if model.domains else mix.rate()
+    n = copies(F.col("rate"), F.col(inner[docs.columns.index("doc_id")]))
+    repeated = flat.withColumn("rate", rate).withColumn("copy", F.explode(F.array_repeat(F.lit(1), n)))
     return repeated.select(*inner).toDF(*docs.columns)
