@@ -100,7 +100,7 @@ def build_index(docs: DataFrame, path: str, vocabulary: list[str] | None, block_
                 order = at[np.argsort(codes[at], kind="stable")]
                 sorted_codes = codes[order]
                 cut = np.flatnonzero(np.diff(sorted_codes, prepend=-1))
-                for a, b in zip(cut.tolist(), [*cut[1:].tolist(), len(order)], strict=True):
+                for a, b in zip(cut.tolist(), [*cut[1:].tolist(), len(order)], strict=False):
                     rows.append((serial, terms[sorted_codes[a]], b - a, encode_places(order[a:b])))
                 keys = np.array([NO_KEY if k is None else k for k in ids.slice(lo, hi - lo).to_pylist()], "<i8")
                 rows.append((serial, DOC_MARK, hi - lo, np.stack([keys, counts.astype("<i8")]).tobytes()))

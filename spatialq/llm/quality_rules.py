@@ -105,7 +105,7 @@ def default_rules() -> list[Rule]:
     """The production rules. Every limit sits far from ordinary prose of any length."""
     n = F.col("n_words")
     return [
-        Rule("symbols", 2 * F.col("n_symbols") > n),
+        Rule("symbols", 5 * F.col("n_symbols") > n),
         Rule("word_length", (F.col("word_chars") < 2 * n) | (F.col("word_chars") > 25 * n)),
         Rule("dup_lines", (F.col("n_dup_lines") >= 3) & (2 * F.col("n_dup_lines") > F.col("n_lines"))),
         Rule("capitals", 2 * count_of(r"[A-Z]") > F.col("word_chars")),

@@ -113,7 +113,7 @@ m AS (
   FROM d LEFT JOIN rep USING (doc_id)),
 b AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-  NOT (base_failed OR 2 * n_symbols > n_words OR word_chars < 2 * n_words OR word_chars > 25 * n_words
+  NOT (base_failed OR 5 * n_symbols > n_words OR word_chars < 2 * n_words OR word_chars > 25 * n_words
     OR (n_dup_lines >= 3 AND 2 * n_dup_lines > n_lines)
     OR 2 * (length(text) - length(regexp_replace(text, '[A-Z]', '', 'g'))) > word_chars
     OR 2 * (length(text) - length(replace(text, '!', ''))) > n_words

@@ -130,7 +130,7 @@ def read_ids(data: bytes) -> np.ndarray:
     n_blocks, n = struct.unpack_from("<IQ", data, 4)
     heads = [struct.unpack_from("<QI", data, 16 + 12 * i) for i in range(n_blocks)]
     words = np.frombuffer(data, "<u8", offset=16 + 12 * n_blocks)
-    ends = [h[0] for h in heads[1:]] + [len(words)]
+    ends = [*(h[0] for h in heads[1:]), len(words)][: len(heads)]
     parts = [unpack(words[a:b], held) for (a, held), b in zip(heads, ends, strict=True)]
     return np.concatenate(parts) if parts else np.empty(0, np.uint64)
 
