@@ -228,7 +228,8 @@ def repeated_spans(rows: DataFrame, k: int = 200, batch_rows: int = BATCH_ROWS)
     if k < 64 or k > 256 or k % BLOCK:
         raise ValueError("k must be a multiple of 8 from 64 to 256")
     found = written(anchored(rows, k), "anchors")
-    common = found.groupBy("ah").agg(F.count("*").alias("n")).filter("n > 1").select("ah")
+    # written, so that the join below has plain shuffles on both sides and a hot anchor can be split
+    common = written(found.groupBy("ah").agg(F.count("*").alias("n")).filter("n > 1").select("ah"), "common")
     likely = written(found.join(common, "ah").select(*found.columns), "candidates")
     distinct = written(
         likely.groupBy("ah", "rh").agg(F.count("*").alias("m"), F.min(F.struct("uid", "lo", "span", "rel")).alias("rep")), "distinct"
@@ -236,9 +237,10 @@ def repeated_spans(rows: DataFrame, k: int = 200, batch_rows: int = BATCH_ROWS)
     whole = likely.join(distinct.filter("m > 1").select("ah", "rh"), ["ah", "rh"]).select(
         "uid", "lo", (F.col("lo") + F.col("span") + k).alias("hi")
     )
-    several = (
+    several = written(
         distinct.groupBy("ah").agg(F.count("*").alias("rows"), F.min("m").alias("least"))
-        .filter("rows > 1 AND least = 1").select("ah", "rows")
+        .filter("rows > 1 AND least = 1").select("ah", "rows"),
+        "several",
     )
     edges = written(distinct.join(several, "ah").select("ah", "rh", "m", "rep.*", "rows"), "edges")
     batches = max(1, -(-edges.count() // batch_rows))
