@@ -13,15 +13,17 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
 
     Each round takes the least label among neighbours, by partial aggregates, then lets
     every label follow its own label. Rounds are written out, so lineage stays short.
+    An empty edge table gives an empty result.
     """
+    n = edges.count()
     both = edges.select(F.col("a").alias("s"), F.col("b").alias("t"))
-    both = written(both.unionByName(both.select(F.col("t").alias("s"), F.col("s").alias("t"))), "edges")
-    labels = written(both.groupBy("s").agg(F.min("t").alias("m")).select(F.col("s").alias("v"), F.least("s", "m").alias("c")), "labels")
+    both = written(both.unionByName(both.select(F.col("t").alias("s"), F.col("s").alias("t"))), "edges", 2 * n)
+    labels = written(both.groupBy("s").agg(F.min("t").alias("m")).select(F.col("s").alias("v"), F.least("s", "m").alias("c")), "labels", n)
     for _ in range(max_rounds):
         near = both.join(labels.select(F.col("v").alias("t"), "c"), "t").groupBy(F.col("s").alias("v")).agg(F.min("c").alias("m"))
-        low = written(labels.join(near, "v", "left").select("v", F.col("c").alias("old"), F.least("c", F.coalesce("m", "c")).alias("c")), "labels")
-        up = low.select(F.col("v").alias("c"), F.col("c").alias("up"))
-        labels = written(low.join(up, "c", "left").select("v", "old", F.least("c", F.coalesce("up", "c")).alias("c")), "labels")
+        up = labels.select(F.col("v").alias("c"), F.col("c").alias("up"))
+        low = labels.join(near, "v", "left").join(up, "c", "left")
+        labels = written(low.select("v", F.col("c").alias("old"), F.least("c", F.coalesce("m", "c"), F.coalesce("up", "c")).alias("c")), "labels", n)
         changed = not labels.filter("c < old").isEmpty()
         labels = labels.select("v", "c")
         if not changed:

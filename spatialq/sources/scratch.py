@@ -19,8 +19,17 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/spatialq"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df written as Parquet and read back: lineage ends there and survives lost executors."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+def scratch(spark: SparkSession, name: str) -> str:
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, name: str, rows: int | None = None, rows_per_file: int = 50_000) -> DataFrame:
+    """df written as Parquet and read back: lineage ends there and survives lost executors.
+
+    rows: about how many rows a narrow df has; small ones then go to few files.
+    """
+    path = scratch(df.sparkSession, name)
+    if rows is not None:
+        df = df.coalesce(max(1, -(-rows // rows_per_file)))
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
