@@ -10,8 +10,9 @@ import zlib
 import pytest
 from pyspark.sql import functions as F
 
-from spatialq.llm import common, components, decontam, lm_score, mixing, nbsvm, near, quality_rules, sharding, substring, tokens, warc
+from spatialq.llm import common, decontam, lm_score, mixing, nbsvm, near, quality_rules, sharding, substring, tokens, warc
 from spatialq.llm.words import FOLD
+from spatialq.operators import graph
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -355,9 +356,9 @@ def test_large_buckets_stay_exact(spark, monkeypatch):
 
 def test_components(spark):
     edges = [(i, i + 1) for i in range(30)] + [(100, 102), (101, 102), (7, 7)]
-    got = dict(map(tuple, components.components(spark.createDataFrame(edges, "a long, b long")).collect()))
+    got = dict(map(tuple, graph.components(spark.createDataFrame(edges, "a long, b long")).collect()))
     assert all(got[i] == 0 for i in range(31)) and got[100] == got[101] == got[102] == 100
-    assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
+    assert graph.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
 # quality classifier
