@@ -34,11 +34,10 @@ BLOCK_IDS = 1 << 16
 
 
 def widths(ids: np.ndarray) -> np.ndarray:
-    """Bits of each id, at least 1."""
-    bits = np.ones(len(ids), np.uint8)
-    for b in (1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60):
-        bits[ids >> np.uint64(b) > 0] = b + 1
-    return bits
+    """Bits of each id, at least 1. Below 2**53 they are the exponent of the id as a double."""
+    if int(ids.max()) < 1 << 53:
+        return np.maximum(np.frexp(ids.astype(np.float64))[1], 1).astype(np.uint8)
+    return np.array([max(1, x.bit_length()) for x in ids.tolist()], np.uint8)
 
 
 def pack(ids: np.ndarray) -> np.ndarray:
@@ -63,7 +62,9 @@ def pack(ids: np.ndarray) -> np.ndarray:
             m = n - span - step + 1
             top = np.maximum(top[:m], top[step : step + m])
             span += step
-        best[: len(top)][top <= width] = sel
+        fits = top <= width
+        if fits.any():
+            np.copyto(best[: len(top)], sel, where=fits)
     fit = np.array([0] + [PACKING[s][0] for s in range(1, 15)] + [1], np.int64)
     nxt = (np.arange(n) + fit[best]).tolist()
     starts, i = [], 0
@@ -135,30 +136,80 @@ def read_ids(data: bytes) -> np.ndarray:
     return np.concatenate(parts) if parts else np.empty(0, np.uint64)
 
 
+#: Signs that may end a piece and are then a token run of their own; no letter, digit, blank, quote or bracket of a special token.
+TAIL = ".,!*$#%&;:?"
+
+
 class Encoder:
-    """A tokenizer with a bounded memo of pieces between blanks.
+    """A tokenizer with bounded memos of pieces between blanks and of words.
 
     Blanks and newlines are dropped by the tokenizer and no token crosses one, so a
-    text's ids are those of its pieces joined. Pieces are kept as packed uint32.
+    text's ids are those of its pieces joined; likewise a letter and the signs after it
+    never share a token. A piece is thus its word in lower case and its tail, where
+    that changes nothing (see ``word_of``), and only new words reach the tokenizer.
+    Memos have two generations: when the young one is full it becomes the old one, and
+    what is used again moves back. Ids are kept as packed uint32.
     """
 
-    def __init__(self, path: str, memo_pieces: int = 400_000) -> None:
+    def __init__(self, path: str, pieces: int = 250_000, words: int = 400_000) -> None:
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.memo, self.limit = Tokenizer.from_file(path), {"": b""}, memo_pieces
+        self.tokenizer = Tokenizer.from_file(path)
+        self.limits = (pieces, words)
+        self.pieces: list[dict[str, bytes]] = [{"": b""}, {}]
+        self.words: list[dict[str, bytes]] = [{"": b""}, {}]
+
+    @staticmethod
+    def word_of(piece: str) -> tuple[str, str]:
+        """The piece's word, in lower case if that is safe, and its tail of signs."""
+        if "<|" in piece:
+            return piece, ""
+        word = piece.rstrip(TAIL)
+        tail = piece[len(word) :]
+        if not tail or not word or not word[-1].isalpha():
+            word, tail = piece, ""
+        if word.isascii() or (max(word) < "\u0250" and "\u0130" not in word):
+            word = word.lower()  # Latin letters: one for one, nothing to compose
+        return word, tail
+
+    def encode_words(self, fresh: list[str]) -> None:
+        """Encode new words, many in one string; offsets tell which ids are whose."""
+        young = self.words[0]
+        for i in range(0, len(fresh), 2048):
+            part = fresh[i : i + 2048]
+            e = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
+            ids = np.array(e.ids, "<u4")
+            starts = np.array([o[0] for o in e.offsets], np.int64)
+            ends = np.searchsorted(starts, np.cumsum([len(p) + 1 for p in part])).tolist()
+            at = 0
+            for p, end in zip(part, ends, strict=True):
+                young[p] = ids[at:end].tobytes()
+                at = end
+
+    def known(self, memo: list[dict[str, bytes]], wanted: set[str], limit: int) -> list[str]:
+        """Bring what is known of wanted into the young generation; the rest is returned."""
+        if len(memo[0]) + len(wanted) > limit:
+            memo[:] = [{"": b""}, memo[0]]
+        young, old = memo
+        rest = []
+        for p in wanted:
+            if p not in young:
+                found = old.get(p)
+                if found is None:
+                    rest.append(p)
+                else:
+                    young[p] = found
+        return rest
 
     def encode(self, texts: list[str]) -> list[bytes]:
         split = [t.replace("\n", " ").split(" ") for t in texts]
-        memo = self.memo
-        fresh = list({p for pieces in split for p in pieces if p not in memo})
-        if len(memo) + len(fresh) > self.limit:
-            memo = self.memo = {"": b""}
-            fresh = list({p for pieces in split for p in pieces if p})
-        for i in range(0, len(fresh), 4096):
-            part = fresh[i : i + 4096]
-            for piece, e in zip(part, self.tokenizer.encode_batch(part, add_special_tokens=False), strict=True):
-                memo[piece] = np.array(e.ids, "<u4").tobytes()
-        return [b"".join(map(memo.__getitem__, pieces)) for pieces in split]
+        fresh = self.known(self.pieces, {p for pieces in split for p in pieces}, self.limits[0])
+        parts = [self.word_of(p) for p in fresh]
+        self.encode_words(self.known(self.words, {x for pair in parts for x in pair}, self.limits[1]))
+        words, young = self.words[0], self.pieces[0]
+        for p, (word, tail) in zip(fresh, parts, strict=True):
+            young[p] = words[word] + words[tail]
+        return [b"".join(map(young.__getitem__, pieces)) for pieces in split]
 
 
 ENCODERS: dict[str, Encoder] = {}
@@ -206,8 +257,8 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, folder: str, end_id: int
         for batch in batches:
             texts = column(batch, "text")
             keys = column(batch, "doc_id").to_pylist()
-            for lo in range(0, len(keys), 256):
-                hi = min(lo + 256, len(keys))
+            for lo in range(0, len(keys), 1024):
+                hi = min(lo + 1024, len(keys))
                 coded = enc.encode([t or "" for t in texts.slice(lo, hi - lo).to_pylist()])
                 for k, c in zip(keys[lo:hi], coded, strict=True):
                     if size >= file_ids:
