@@ -45,7 +45,17 @@ def from_planes(data: bytes, kind: str) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(size, -1).T).reshape(-1).view(kind)
 
 
-def corpus_blocks(docs: DataFrame, block_bytes: int = 6 << 20) -> DataFrame:
+def packed(a: np.ndarray) -> bytes:
+    """planes(a), compressed: word numbers are skewed, so their planes shrink well."""
+    data = planes(a)
+    return len(data).to_bytes(8, "little") + pa.compress(data, codec="zstd", asbytes=True)
+
+
+def unpacked(data: bytes, kind: str) -> np.ndarray:
+    return from_planes(pa.decompress(data[8:], int.from_bytes(data[:8], "little"), codec="zstd", asbytes=True), kind)
+
+
+def corpus_blocks(docs: DataFrame, block_bytes: int = 8 << 20) -> DataFrame:
     """(block, docs, words, hashes): doc_ids and word counts, word numbers and the words' hashes."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -74,7 +84,7 @@ def corpus_blocks(docs: DataFrame, block_bytes: int = 6 << 20) -> DataFrame:
                     [
                         pa.array([serial], pa.int64()),
                         pa.array([np.concatenate([keys, np.array(counts, np.int64)]).tobytes()], pa.binary()),
-                        pa.array([planes(numbers)], pa.binary()),
+                        pa.array([packed(numbers)], pa.binary()),
                         pa.array([heads.tobytes()], pa.binary()),
                         pa.array([len(numbers)], pa.int64()),
                     ],
@@ -88,7 +98,7 @@ def corpus_blocks(docs: DataFrame, block_bytes: int = 6 << 20) -> DataFrame:
 def block_grams(words: bytes, hashes: bytes, docs: bytes, order: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
     """For n = 1..order, the hashes of the n-grams that end at each word and whether there is one."""
     counts = np.frombuffer(docs, np.int64).reshape(2, -1)[1]
-    h = np.frombuffer(hashes, "<u8")[from_planes(words, "<u4")]
+    h = np.frombuffer(hashes, "<u8")[unpacked(words, "<u4")]
     place = np.arange(len(h)) - np.repeat(np.cumsum(counts) - counts, counts)
     grams, there = [mix(h + MULT[20])], [np.ones(len(h), bool)]
     for n in range(2, order + 1):
