@@ -166,7 +166,8 @@ class Encoder:
             return piece, ""
         word = piece.rstrip(TAIL)
         tail = piece[len(word) :]
-        if not tail or not word or not word[-1].isalpha():
+        end = word[-1:]
+        if not end.isalpha() or end >= "\u0250" or end == "\u0130":  # lower case may end in a mark
             word, tail = piece, ""
         if word.isascii() or (max(word) < "\u0250" and "\u0130" not in word):
             word = word.lower()  # Latin letters: one for one, nothing to compose
