@@ -10,12 +10,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.special import f_tail
+from .ranks import lower_median
 
 
 def depth_axis(slots: DataFrame) -> DataFrame:
     """(slot, cell_id, z): distance from the lower-median vertical midline of each slot."""
-    mid = slots.groupBy("slot").agg(F.sort_array(F.collect_list("x")).alias("_x"))
-    mid = mid.select("slot", F.element_at("_x", F.floor((F.size("_x") - 1) / 2).cast("int") + 1).alias("_m"))
+    mid = lower_median(slots, "slot", "x").withColumnRenamed("median", "_m")
     return slots.join(F.broadcast(mid), "slot").select("slot", "cell_id", F.abs(F.col("x") - F.col("_m")).alias("z"))
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.portable import order_key, uniform
+from .ranks import hash_rank, id_rank
 from .spatial import with_bin
 
 
@@ -18,11 +19,12 @@ def slots(df: DataFrame, n: int, first: int = 1) -> DataFrame:
 def permute(df: DataFrame, n: int, seed: int, columns: list[str], keys: tuple[str, ...] = ()) -> DataFrame:
     """(slot, cell_id, columns): each null deals the rows' columns anew among the cells, within keys.
 
-    One window a slot ranks cells by id, another by hash; rank meets rank.
+    Cells are ranked by id once and by hash in every slot; rank meets rank. Ranks come
+    from bounded buckets, so no task holds all cells of a slot.
     """
-    own = slots(df.select("cell_id", *keys), n).withColumn("_r", F.row_number().over(Window.partitionBy("slot", *keys).orderBy("cell_id")))
-    dealt = slots(df.select("cell_id", *keys, *columns), n)
-    dealt = dealt.withColumn("_r", F.row_number().over(Window.partitionBy("slot", *keys).orderBy(order_key(seed, "slot", "cell_id"), "cell_id")))
+    rows = df.count()
+    own = slots(id_rank(df.select("cell_id", *keys), list(keys), "cell_id", rows), n)
+    dealt = hash_rank(slots(df.select("cell_id", *keys, *columns), n), ["slot", *keys], order_key(seed, "slot", "cell_id"), "cell_id", rows=rows)
     nulls = own.join(dealt.drop("cell_id"), ["slot", *keys, "_r"]).select("slot", "cell_id", *columns)
     return df.select(F.lit(0).alias("slot"), "cell_id", *columns).unionByName(nulls)
 
@@ -72,12 +74,17 @@ def subset_masks(cells: DataFrame, fractions: list[float], draws: int, seed: int
     grid = [(f, d, max(1, min(n - 1, round(f * n)))) for f in fractions for d in range(draws)]
     spec = F.array(*(F.struct(F.lit(f).alias("fraction"), F.lit(d).alias("draw"), F.lit(s).alias("size")) for f, d, s in grid))
     rows = cells.select("cell_id", F.explode(spec).alias("g")).select("g.*", "cell_id")
-    rank = F.row_number().over(Window.partitionBy("fraction", "draw").orderBy(order_key(seed, "fraction", "draw", "cell_id"), "cell_id"))
-    return rows.withColumn("_r", rank).filter("_r <= size").select("fraction", "draw", "cell_id")
+    ranked = hash_rank(rows, ["fraction", "draw"], order_key(seed, "fraction", "draw", "cell_id"), "cell_id", rows=n)
+    return ranked.filter("_r <= size").select("fraction", "draw", "cell_id")
 
 
 def kfold(cells: DataFrame, k: int, seed: int) -> DataFrame:
     """(cell_id, fold): the first n % k folds have one cell more."""
     if k < 2:
         raise ValueError("k must be at least 2")
-    return cells.select("cell_id", (F.ntile(k).over(Window.orderBy(order_key(seed, "cell_id"), "cell_id")) - 1).alias("fold"))
+    n = cells.count()
+    ranked = hash_rank(cells.select("cell_id"), [], order_key(seed, "cell_id"), "cell_id", rows=n)
+    size, extra = divmod(n, k)
+    r, first = F.col("_r") - 1, extra * (size + 1)
+    fold = F.when(r < first, F.floor(r / (size + 1))).otherwise(extra + F.floor((r - first) / max(size, 1)))
+    return ranked.select("cell_id", fold.cast("int").alias("fold"))

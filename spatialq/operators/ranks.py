@@ -12,6 +12,68 @@ def average_rank(value: str, keys: list[str]) -> Column:
     return F.rank().over(w.orderBy(value)) + (F.count("*").over(w.partitionBy(*keys, value)) - 1) / F.lit(2.0)
 
 
+def hash_rank(df: DataFrame, keys: list[str], hash_key: Column, *ties: str, rows: int, per_task: int = 200_000) -> DataFrame:
+    """df with _r, its 1-based rank within keys by a uniform hex key, without a task that holds a whole group.
+
+    The key's leading bits cut each group into even buckets; buckets are numbered alone
+    and shifted by the rows of lower buckets. rows: about how many a group has.
+    """
+    buckets = max(1, -(-rows // per_task))
+    bucket = F.floor(F.conv(F.substring("_h", 1, 8), 16, 10).cast("double") * buckets / F.lit(4294967296.0)).cast("int")
+    return bucket_rank(df.withColumn("_h", hash_key), keys, bucket if buckets > 1 else None, ["_h", *ties]).drop("_h")
+
+
+def id_rank(df: DataFrame, keys: list[str], column: str, rows: int, per_task: int = 200_000) -> DataFrame:
+    """df with _r, its 1-based rank within keys by a column, in buckets between approximate quantiles."""
+    buckets = max(1, -(-rows // per_task))
+    if buckets == 1:
+        return bucket_rank(df, keys, None, [column])
+    steps = [i / buckets for i in range(1, buckets)]
+    bounds = sorted(set(df.select(F.percentile_approx(column, steps, 10 * buckets)).first()[0]))
+    return bucket_rank(df, keys, F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b <= F.col(column))), [column])
+
+
+def bucket_rank(df: DataFrame, keys: list[str], bucket: Column | None, order: list[str]) -> DataFrame:
+    if bucket is None:
+        return df.withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+    columns = df.columns
+    df = df.withColumn("_b", bucket)
+    n = df.groupBy(*keys, "_b").agg(F.count("*").alias("_n"))
+    n = n.withColumn("_base", F.sum("_n").over(Window.partitionBy(*keys).orderBy("_b")) - F.col("_n")).drop("_n")
+    own = df.withColumn("_k", F.row_number().over(Window.partitionBy(*keys, "_b").orderBy(*order)))
+    return own.join(n, [*keys, "_b"]).select(*columns, (F.col("_base") + F.col("_k")).alias("_r"))
+
+
+def lower_median(df: DataFrame, key: str, value: str, exact_rows: int = 200_000, bins: int = 1024) -> DataFrame:
+    """(key, median): the lower of the middle values of each key (a few keys).
+
+    Large groups narrow the range that holds the median by histograms, round by round,
+    until few enough values are left to be sorted.
+    """
+    v = F.col(value)
+    state = [(r[0], r["lo"], r["hi"], 0, (r["n"] - 1) // 2 + 1, r["n"]) for r in df.groupBy(key).agg(F.min(v).alias("lo"), F.max(v).alias("hi"), F.count(v).alias("n")).collect() if r["n"]]
+    kind = f"{key} {dict(df.dtypes)[key]}, _lo double, _hi double, _below long, _rank long, _left long"
+
+    def inside() -> DataFrame:
+        bounds = df.sparkSession.createDataFrame(state, kind)
+        return df.join(F.broadcast(bounds), key).filter((v >= F.col("_lo")) & (v <= F.col("_hi")))
+
+    while any(s[5] > exact_rows and s[1] < s[2] for s in state):
+        slot = F.least(F.floor((v - F.col("_lo")) / F.when(F.col("_hi") > F.col("_lo"), F.col("_hi") - F.col("_lo")).otherwise(1.0) * bins), F.lit(bins - 1))
+        rows = inside().groupBy(key, slot.alias("_b")).agg(F.min(v).alias("lo"), F.max(v).alias("hi"), F.count("*").alias("n")).orderBy(key, "_b").collect()
+        new = []
+        for k, _, _, below, rank, _ in state:
+            for r in (r for r in rows if r[0] == k):
+                if below + r["n"] >= rank:
+                    new.append((k, r["lo"], r["hi"], below, rank, r["n"]))
+                    break
+                below += r["n"]
+        state = new
+    left = inside().groupBy(key, "_below", "_rank").agg(F.sort_array(F.collect_list(F.when(F.col("_lo") < F.col("_hi"), v))).alias("_v"), F.first("_lo").alias("_lo"))
+    at = F.get("_v", (F.col("_rank") - F.col("_below") - 1).cast("int"))
+    return left.select(key, F.coalesce(at, "_lo").alias("median"))
+
+
 def bh_qvalues(df: DataFrame, p: str = "p_value", keys: tuple[str, ...] = ()) -> DataFrame:
     """df with q_value: p n / rank, made monotone from the right and clipped to [0, 1].
 

@@ -105,6 +105,26 @@ def test_ranks_and_permutation_p(spark):
     assert metrics.permutation_p(t, [], higher_is_better=True).first().p_value == 0.25
 
 
+def test_ranks_in_buckets_equal_plain_ranks(spark):
+    from spatialq.functions.portable import order_key
+
+    d = spark.range(300).select(F.col("id").alias("cell_id"), (F.col("id") % 2).alias("k"))
+    a = ranks.hash_rank(d, ["k"], order_key(1, "cell_id"), "cell_id", rows=150, per_task=10)
+    b = ranks.hash_rank(d, ["k"], order_key(1, "cell_id"), "cell_id", rows=150)
+    assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
+    a, b = ranks.id_rank(d, ["k"], "cell_id", 150, 10), ranks.id_rank(d, ["k"], "cell_id", 150)
+    assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
+
+
+def test_lower_median_in_rounds(spark):
+    d = spark.range(1001).select((F.col("id") % 2).alias("k"), (F.col("id") * 7919 % 997 / 3.0).alias("v"))
+    d = d.unionByName(spark.createDataFrame([(5, 2.0), (5, 2.0), (5, 2.0)], "k long, v double"))
+    want = {k: sorted(x.v for x in d.collect() if x.k == k) for k in (0, 1, 5)}
+    for rows_ in (10, 200_000):
+        got = {r.k: r.median for r in ranks.lower_median(d, "k", "v", exact_rows=rows_, bins=8).collect()}
+        assert got == {k: v[(len(v) - 1) // 2] for k, v in want.items()}
+
+
 def test_block_offsets(spark):
     xy = [(0, 0), (1, 0), (0, 1), (100, 100), (101, 100), (100, 101)]
     s = nulls.block_permutation(cells(spark, xy), 3, 2, 25.0, jitter=False).toPandas()
