@@ -26,12 +26,13 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import pick, scratch, written
 
 CRLF = b"\r\n"
+ROWS_PER_TASK = 2000
 INDEX_SCHEMA = "file string, member long, offset long, length long"
 RECORD_SCHEMA = (
     "page_id long, record_type string, refers_to long, target_uri string, "
@@ -53,19 +54,13 @@ def put(uri: str, data: bytes) -> None:
     fs.move(part, path)
 
 
-def digest_base32(sha1_hex: Column) -> Column:
-    """Bare upper-case base32 of a 40-digit hex SHA-1, JVM-side: five hex digits give four letters."""
-    letters = F.lit("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567")
-
-    def four(g: Column) -> Column:
-        v = F.conv(F.substring(sha1_hex, g * 5 + 1, F.lit(5)), 16, 10).cast("int")
-        return F.concat(*(F.substring(letters, F.shiftright(v, s).bitwiseAND(F.lit(31)) + 1, F.lit(1)) for s in (15, 10, 5, 0)))
-
-    return F.array_join(F.transform(F.sequence(F.lit(0), F.lit(7)), four), "")
+def digest_base32(data: bytes) -> str:
+    """Bare upper-case base32 of the SHA-1."""
+    return base64.b32encode(hashlib.sha1(data).digest()).decode()
 
 
 def plan_records(pages: DataFrame, dedup_min_bytes: int = 0) -> DataFrame:
-    """Each page with its digest, its record type and the page it refers to.
+    """Each page with its payload, its record type and the page it refers to.
 
     The smallest page of each digest comes from a partial aggregate over narrow rows;
     payloads are never shuffled.
@@ -75,16 +70,16 @@ def plan_records(pages: DataFrame, dedup_min_bytes: int = 0) -> DataFrame:
         F.coalesce("url", F.lit("")).alias("url"),
         F.coalesce("html", F.lit("")).cast("binary").alias("payload"),
     )
-    p = p.withColumn("payload_bytes", F.octet_length("payload").cast("bigint")).withColumn("payload_digest", digest_base32(F.sha1("payload")))
+    p = p.withColumn("payload_bytes", F.octet_length("payload").cast("bigint")).withColumn("sha1", F.sha1("payload"))
     rank = F.struct(F.col("page_id").isNull().alias("z"), F.col("page_id"), F.col("url"))
     first = (
         p.filter(F.col("payload_bytes") >= dedup_min_bytes)
-        .groupBy("payload_digest").agg(F.min(rank).alias("first"), F.count("*").alias("copies"))
-        .filter("copies > 1").select("payload_digest", "first")
+        .groupBy("sha1").agg(F.min(rank).alias("first"), F.count("*").alias("copies"))
+        .filter("copies > 1").select("sha1", "first")
     )
     same = F.col("first").isNotNull() & ~(rank == F.col("first"))
-    return p.join(first, "payload_digest", "left").select(
-        "page_id", "url", "payload", "payload_bytes", "payload_digest",
+    return p.join(first, "sha1", "left").select(
+        "page_id", "url", "payload", "payload_bytes",
         F.when(same, "revisit").otherwise("response").alias("record_type"),
         F.when(same, F.col("first.page_id")).alias("refers_to"),
         F.when(same, F.col("first.url")).alias("refers_to_url"),
@@ -148,8 +143,13 @@ def gzip_bytes(data: bytes, level: int) -> bytes:
     return c.compress(data) + c.flush()
 
 
-def write_archives(planned: DataFrame, folder: str, roll_bytes: int = 32 << 20, level: int = 1) -> DataFrame:
-    """Write the records as whole-file gzip streams; returns one row a file (file, records)."""
+def write_archives(planned: DataFrame, folder: str, roll_bytes: int = 32 << 20, level: int = 1, rows: int | None = None) -> DataFrame:
+    """Write the records as whole-file gzip streams; returns one row a file (file, records).
+
+    rows: about how many records there are; few records then make few archives.
+    """
+    if rows is not None:
+        planned = planned.coalesce(max(1, -(-rows // ROWS_PER_TASK)))
 
     def write(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -168,7 +168,7 @@ def write_archives(planned: DataFrame, folder: str, roll_bytes: int = 32 << 20,
 
         for batch in batches:
             for row in batch.to_pylist():
-                held.append(record_bytes(row))
+                held.append(record_bytes(row | {"payload_digest": digest_base32(row["payload"])}))
                 size += len(held[-1])
                 if size >= roll_bytes:
                     flush()
@@ -230,7 +230,8 @@ def normalise(files: DataFrame, source: str, folder: str, level: int = 6) -> Dat
                     names=["file", "member", "offset", "length"],
                 )
 
-    names = files.select("file").repartition("file")
+    names = files.select("file")
+    names = names.repartition(max(1, min(names.count(), 100_000)))
     return written(names.mapInArrow(rewrite, INDEX_SCHEMA), "warc-index")
 
 
@@ -248,7 +249,11 @@ def page_of(urn: str | None) -> int | None:
 
 
 def read_records(index: DataFrame, folder: str) -> DataFrame:
-    """Records read back by index rows: each member is fetched and inflated alone."""
+    """Records read back by index rows: each member is fetched and inflated alone.
+
+    Lengths and digests of responses are computed anew from the payloads that were read;
+    a revisit takes them from its headers, its payload being that of the response.
+    """
 
     def fetch(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -263,14 +268,15 @@ def read_records(index: DataFrame, folder: str) -> DataFrame:
                 raw = zlib.decompress(held[1].read_at(length, offset), 31)
                 heads, block, _ = parse_record(io.BytesIO(raw))
                 revisit = heads["warc-type"] == "revisit"
+                payload = None if revisit else block.partition(CRLF + CRLF)[2]
                 rows.append({
                     "page_id": page_of(heads["warc-record-id"]),
                     "record_type": heads["warc-type"],
                     "refers_to": page_of(heads.get("warc-refers-to")),
                     "target_uri": heads["warc-target-uri"],
-                    "payload_bytes": int(heads["x-payload-length"]),
-                    "payload_digest": heads["warc-payload-digest"].partition(":")[2],
-                    "payload": None if revisit else block.partition(CRLF + CRLF)[2],
+                    "payload_bytes": int(heads["x-payload-length"]) if revisit else len(payload),
+                    "payload_digest": heads["warc-payload-digest"].partition(":")[2] if revisit else digest_base32(payload),
+                    "payload": payload,
                 })
                 size += len(raw)
                 if size > 8 << 20:
@@ -290,17 +296,10 @@ def as_batch(rows: list[dict]) -> pa.RecordBatch:
 
 
 def round_trip(pages: DataFrame, roll_bytes: int = 32 << 20) -> DataFrame:
-    """Write pages as monolithic archives, normalise them and read every record back by index.
-
-    Lengths and digests of responses are computed anew from the payloads that were read;
-    a revisit takes them from its headers, its payload being that of the response.
-    """
+    """Write pages as monolithic archives, normalise them and read every record back by index."""
     base = scratch(pages.sparkSession, "warc")
-    files = write_archives(plan_records(pages), f"{base}/whole", roll_bytes)
+    n = pages.count()
+    files = write_archives(plan_records(pages), f"{base}/whole", roll_bytes, rows=n)
     index = normalise(files, f"{base}/whole", f"{base}/members")
-    spread = index.withColumn("group", F.floor(F.col("member") / 512)).repartition("file", "group").sortWithinPartitions("file", "offset")
-    read = read_records(spread.select("file", "member", "offset", "length"), f"{base}/members")
-    real = F.col("record_type") == "response"
-    return read.withColumn("payload_bytes", F.when(real, F.octet_length("payload").cast("bigint")).otherwise(F.col("payload_bytes"))).withColumn(
-        "payload_digest", F.when(real, digest_base32(F.sha1("payload"))).otherwise(F.col("payload_digest"))
-    )
+    spread = index.repartitionByRange(max(1, -(-n // ROWS_PER_TASK)), "file", "offset").sortWithinPartitions("file", "offset")
+    return read_records(spread.select("file", "member", "offset", "length"), f"{base}/members")
