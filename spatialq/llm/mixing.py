@@ -222,6 +222,6 @@ def mixed(docs: DataFrame, labels: DataFrame, weights: dict[str, float], domain:
     flat = docs.toDF(*inner)
     text = F.col(inner[docs.columns.index("text")])
     rate = let(F.array(*letter_counts(text)), lambda f: posterior_of(f, model, mix.rate_at)) if model.domains else mix.rate()
-    n = copies(F.col("rate"), F.col(inner[docs.columns.index("doc_id")]))
-    repeated = flat.withColumn("rate", rate).withColumn("copy", F.explode(F.array_repeat(F.lit(1), n)))
+    n = let(rate, lambda r: copies(r, F.col(inner[docs.columns.index("doc_id")])))
+    repeated = flat.withColumn("copy", F.explode(F.array_repeat(F.lit(1), n)))
     return repeated.select(*inner).toDF(*docs.columns)
