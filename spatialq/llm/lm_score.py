@@ -5,15 +5,17 @@ S(w | context) is c(context w) / c(context) where the n-gram was seen at least
 c(w) / N. Shorter contexts stand at a document's first words; n-grams do not cross
 documents. A document's score is the sum of log10 S over its words.
 
-Relations: documents become blocks (word dictionary and word numbers, written once);
-each block's distinct n-grams with their counts are dealt by hash into buckets, which
+Relations: documents become blocks (word dictionary and word numbers, written once to
+files that tasks read at a place); each block's distinct n-grams with their counts are dealt by hash into buckets, which
 sum them into the count table; the table's counts are joined back to the blocks that
 asked, where the exploded n-grams read them and are summed by document. Blocks and
 buckets pass arrays instead of rows. A frequent n-gram costs one entry a block, and
 buckets and blocks are bounded in entries, so nothing grows with one key.
 
-N-grams compare by 64-bit hash. Defined results: a null or empty text has no words, score 0 and null mean;
-repeated rows are scored alike and counted each; an empty table gives an empty result.
+N-grams compare by HASH_BITS bits of hash: of n distinct ones, a share of about
+n / 2**HASH_BITS meets another's count (2e-7 of 1e10, the n-grams of 30 GB).
+
+Defined results: a null or empty text has no words, score 0 and null mean; repeated rows are scored alike and counted each; an empty table gives an empty result.
 Other columns are not read.
 """
 
@@ -27,12 +29,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, column, pick, utf8, written
+from .common import blocks, column, pick, scratch, utf8, written
+from .warc import open_fs
 from .words import FOLD, MULT, mix
 
 U = np.uint64
 NO_KEY = -(1 << 62)
-BLOCK_SCHEMA = "block long, docs binary, words binary, hashes binary, n_words long"
+HASH_BITS = 56
+BLOCK_SCHEMA = "block long, file string, offset long, lengths array<long>, n_words long"
 
 
 def planes(a: np.ndarray) -> bytes:
@@ -56,46 +60,73 @@ def unpacked(data: bytes, kind: str) -> np.ndarray:
 
 
 def corpus_blocks(docs: DataFrame, block_bytes: int = 8 << 20) -> DataFrame:
-    """(block, docs, words, hashes): doc_ids and word counts, word numbers and the words' hashes."""
+    """(block, file, offset, lengths, n_words): where each block's parts stand, see ``block_parts``.
+
+    A task writes one file, under a name of its own attempt; rows name the file of the
+    attempt that succeeded.
+    """
+    folder = scratch(docs.sparkSession, "block-files")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        serial = TaskContext.get().partitionId() << 32
-        for batch in batches:
-            ids = column(batch, "doc_id")
-            data, offs = utf8(column(batch, "text"))
-            for lo, hi in blocks(offs, block_bytes):
-                text = data[offs[lo] : offs[hi]].tobytes().translate(FOLD)
-                cuts = (offs[lo : hi + 1] - offs[lo]).tolist()
-                local: dict[bytes, int] = {}
-                parts, counts = [], []
-                for a, b in zip(cuts, cuts[1:], strict=False):
-                    w = text[a:b].split()
-                    for x in w:
-                        if x not in local:
-                            local[x] = len(local)
-                    parts.append(np.fromiter(map(local.__getitem__, w), np.uint32, len(w)))
-                    counts.append(len(w))
-                keys = np.array([NO_KEY if k is None else k for k in ids.slice(lo, hi - lo).to_pylist()], np.int64)
-                heads = np.frombuffer(b"".join(hashlib.blake2b(x, digest_size=8).digest() for x in local), "<u8")
-                numbers = np.concatenate(parts) if parts else np.empty(0, np.uint32)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([serial], pa.int64()),
-                        pa.array([np.concatenate([keys, np.array(counts, np.int64)]).tobytes()], pa.binary()),
-                        pa.array([packed(numbers)], pa.binary()),
-                        pa.array([heads.tobytes()], pa.binary()),
-                        pa.array([len(numbers)], pa.int64()),
-                    ],
-                    names=["block", "docs", "words", "hashes", "n_words"],
-                )
-                serial += 1
+        task = TaskContext.get()
+        serial, at, out = task.partitionId() << 32, 0, None
+        name = f"{folder}/blocks-{task.partitionId():06d}-{task.taskAttemptId()}"
+        try:
+            for batch in batches:
+                ids = column(batch, "doc_id")
+                data, offs = utf8(column(batch, "text"))
+                for lo, hi in blocks(offs, block_bytes):
+                    text = data[offs[lo] : offs[hi]].tobytes().translate(FOLD)
+                    cuts = (offs[lo : hi + 1] - offs[lo]).tolist()
+                    local: dict[bytes, int] = {}
+                    words, counts = [], []
+                    for a, b in zip(cuts, cuts[1:], strict=False):
+                        w = text[a:b].split()
+                        for x in w:
+                            if x not in local:
+                                local[x] = len(local)
+                        words.append(np.fromiter(map(local.__getitem__, w), np.uint32, len(w)))
+                        counts.append(len(w))
+                    keys = np.array([NO_KEY if k is None else k for k in ids.slice(lo, hi - lo).to_pylist()], np.int64)
+                    heads = b"".join(hashlib.blake2b(x, digest_size=8).digest() for x in local)
+                    parts = [np.concatenate([keys, np.array(counts, np.int64)]).tobytes(), packed(np.concatenate(words)), heads]
+                    if out is None:
+                        fs, path = open_fs(name)
+                        fs.create_dir(path.rpartition("/")[0], recursive=True)
+                        out = fs.open_output_stream(path, compression=None)
+                    for part in parts:
+                        out.write(part)
+                    lengths = [len(part) for part in parts]
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            pa.array([serial], pa.int64()),
+                            pa.array([name]),
+                            pa.array([at], pa.int64()),
+                            pa.array([lengths], pa.list_(pa.int64())),
+                            pa.array([sum(counts)], pa.int64()),
+                        ],
+                        names=["block", "file", "offset", "lengths", "n_words"],
+                    )
+                    serial, at = serial + 1, at + sum(lengths)
+        finally:
+            if out is not None:
+                out.close()
 
     return written(pick(docs, "doc_id", "text").mapInArrow(run, BLOCK_SCHEMA), "blocks")
 
 
-def block_grams(words: bytes, hashes: bytes, docs: bytes, order: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
+def block_parts(file: str, offset: int, lengths: list[int]) -> list[bytes]:
+    """A block's doc_ids and word counts, its packed word numbers, and its words' hashes."""
+    fs, path = open_fs(file)
+    with fs.open_input_file(path) as src:
+        data = src.read_at(sum(lengths), offset)
+    ends = np.cumsum([0, *lengths]).tolist()
+    return [data[a:b] for a, b in zip(ends, ends[1:], strict=False)]
+
+
+def block_grams(docs: bytes, words: bytes, hashes: bytes, order: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
     """For n = 1..order, the hashes of the n-grams that end at each word and whether there is one."""
     counts = np.frombuffer(docs, np.int64).reshape(2, -1)[1]
     h = np.frombuffer(hashes, "<u8")[unpacked(words, "<u4")]
@@ -110,12 +141,13 @@ def block_grams(words: bytes, hashes: bytes, docs: bytes, order: int) -> tuple[l
 
 
 def distinct_grams(grams: list[np.ndarray], there: list[np.ndarray], inverse: bool):
-    return np.unique(np.concatenate([g[t] for g, t in zip(grams, there, strict=True)]), return_counts=not inverse, return_inverse=inverse)
+    flat = np.concatenate([g[t] for g, t in zip(grams, there, strict=True)]) >> U(64 - HASH_BITS)
+    return np.unique(flat, return_counts=not inverse, return_inverse=inverse)
 
 
 def cuts_of(grams: np.ndarray, buckets: int) -> np.ndarray:
     """Where the ascending hashes pass from bucket to bucket: equal ranges of the hash."""
-    edges = np.array([(b << 64) // buckets for b in range(1, buckets)], np.uint64)
+    edges = np.array([(b << HASH_BITS) // buckets for b in range(1, buckets)], np.uint64)
     return np.concatenate([[0], np.searchsorted(grams, edges), [len(grams)]])
 
 
@@ -134,12 +166,13 @@ def wide(data: bytes) -> np.ndarray:
 
 def block_counts(table: DataFrame, order: int, buckets: int) -> DataFrame:
     """Each block's distinct n-grams and their counts, one row for each bucket."""
+    tasks = min(max(1, table.count()), 100_000)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in range(batch.num_rows):
-                block, docs, words, hashes = (batch.column(i)[r].as_py() for i in range(4))
-                grams, counts = distinct_grams(*block_grams(words, hashes, docs, order), inverse=False)
+                block, file, offset, lengths = (batch.column(i)[r].as_py() for i in range(4))
+                grams, counts = distinct_grams(*block_grams(*block_parts(file, offset, lengths), order), inverse=False)
                 cut = cuts_of(grams, buckets)
                 for b in range(buckets):
                     g, c = grams[cut[b] : cut[b + 1]], counts[cut[b] : cut[b + 1]]
@@ -150,7 +183,7 @@ def block_counts(table: DataFrame, order: int, buckets: int) -> DataFrame:
                             names=["bucket", "block", "grams", "counts"],
                         )
 
-    return table.select("block", "docs", "words", "hashes").mapInArrow(run, ENTRY_SCHEMA)
+    return table.select("block", "file", "offset", "lengths").repartition(tasks).mapInArrow(run, ENTRY_SCHEMA)
 
 
 def summed(key: tuple, rows: pa.Table) -> pa.Table:
@@ -198,9 +231,9 @@ def scores(docs: DataFrame, order: int = 3, alpha: float = 0.4, min_count: int =
     counts = block_counts(table, order, buckets).groupBy("bucket").applyInArrow(summed, "bucket int, block long, counts binary")
 
     def run(key: tuple, blocks_: pa.Table, found: pa.Table) -> pa.Table:
-        docs_, words, hashes = (blocks_.column(c)[0].as_py() for c in ("docs", "words", "hashes"))
-        ids, n = np.frombuffer(docs_, np.int64).reshape(2, -1)
-        grams, there = block_grams(words, hashes, docs_, order)
+        parts = block_parts(*(blocks_.column(c)[0].as_py() for c in ("file", "offset", "lengths")))
+        ids, n = np.frombuffer(parts[0], np.int64).reshape(2, -1)
+        grams, there = block_grams(*parts, order)
         per = [np.zeros(len(g), np.int64) for g in grams]
         if found.num_rows:
             by = np.argsort(found.column("bucket").to_numpy()).tolist()
