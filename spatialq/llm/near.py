@@ -13,9 +13,13 @@ expanded into pairs: first each member is verified against the bucket's hub, the
 whose buckets are largest overall. That runs over the FIRST bands alone and then over
 the buckets of all bands in which components still meet, so a group of near copies is
 not tried once more in each of its bands. Members that stay outside the hub's component
-are then compared with each other: in small buckets each with each, in large ones after
-splitting the bucket by a second large one, again by hub or each with each. At similarity
-0.8 a pair shares a band with probability 0.9998.
+are then compared across components: in small buckets each with each, in large ones by an
+exact prefix filter. A pair that reaches the threshold overlaps in need = 0.8 (n1 + n2) / 1.8
+labelled shingles; in any one order of all shingles, its first common shingle is at places
+i and j with n1 - i and n2 - j of at least need. The order puts common shingles last, so
+texts that share only a passage have no such place in common. No pair of a bucket is left
+out: each is in one component, or verified, or too far apart. At similarity 0.8 a pair
+shares a band with probability 0.9998.
 
 Defined results: null counts as empty; texts without words are linked only if they are
 equal; texts of one to four words are one shingle; repeated rows fall into one class;
@@ -40,6 +44,7 @@ from .words import MULT, labelled, mix, sequence_hashes, shingles, word_hashes
 BANDS, FUNCTIONS = 16, 2
 FIRST = 4
 SMALL = 12
+SLOTS = 1 << 18
 U = np.uint64
 _rng = np.random.Generator(np.random.PCG64(20190704))
 SEEDS = _rng.integers(1, 1 << 62, BANDS * FUNCTIONS, dtype=np.uint64) * U(2) + U(1)
@@ -212,6 +217,84 @@ def each_with_each(members: DataFrame) -> DataFrame:
     return a.join(b, "key").filter("rep < b AND comp <> cb").select(F.col("rep").alias("a"), "b")
 
 
+def text_shingles(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+    """Occurrence-labelled shingles of each text of a batch."""
+    data, offs = utf8(column(batch, "text"))
+    for i, j in blocks(offs, 1 << 20):
+        h, cuts = word_hashes(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i])
+        for x, y in zip(cuts, cuts[1:], strict=False):
+            yield labelled(shingles(h[x:y]))
+
+
+def crowding(texts: DataFrame) -> np.ndarray:
+    """About how common the shingles of each hash slot are, on a log scale. It only orders shingles: slots that meet cost time, not pairs."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(SLOTS, np.int64)
+        for batch in batches:
+            for lab in text_shingles(batch):
+                slots, n = np.unique(lab & U(SLOTS - 1), return_counts=True)
+                total[slots.astype(np.int64)] += n
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["slot", "n"])
+
+    found = texts.mapInArrow(run, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(SLOTS, np.uint8)
+    out[found["slot"].to_numpy()] = np.minimum(np.log2(found["n"].to_numpy()) * 6 + 1, 255).astype(np.uint8)
+    return out
+
+
+def prefixes(texts: DataFrame, order: np.ndarray, threshold: float) -> DataFrame:
+    """(key, rep, i, n): the first shingles of each text, rare ones first, as many as any similar text can miss, and one."""
+
+    def chosen(lab: np.ndarray) -> np.ndarray:
+        m = len(lab) - int(np.ceil(threshold * len(lab) - 1e-9)) + 1
+        return lab[np.lexsort((lab, order[(lab & U(SLOTS - 1)).astype(np.int64)]))[:m]]
+
+    def rows(uids: list[int], sizes: list[int], firsts: list[np.ndarray]) -> pa.RecordBatch:
+        m = np.array([len(f) for f in firsts])
+        i = np.concatenate([np.arange(k, dtype=np.int32) for k in m])
+        cols = [np.concatenate(firsts).view(np.int64), np.repeat(np.array(uids, np.int64), m), i, np.repeat(np.array(sizes, np.int32), m)]
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["key", "rep", "i", "n"])
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            uids, sizes, firsts, held = [], [], [], 0
+            for uid, lab in zip(column(batch, "uid").to_pylist(), text_shingles(batch), strict=True):
+                uids.append(uid)
+                sizes.append(len(lab))
+                firsts.append(chosen(lab))
+                held += len(firsts[-1])
+                if held > 1 << 18:
+                    yield rows(uids, sizes, firsts)
+                    uids, sizes, firsts, held = [], [], [], 0
+            if uids:
+                yield rows(uids, sizes, firsts)
+
+    return texts.mapInArrow(run, "key long, rep long, i int, n int")
+
+
+def overlapping(crowd: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+    """All pairs across components of crowd(rep, comp) that can reach the threshold, by common shingles of their prefixes.
+
+    Of a pair the shorter text needs a shorter prefix. Most pairs of a shingle are within its
+    largest component; its members meet only the others.
+    """
+    own = written(texts.join(crowd.select(F.col("rep").alias("uid")), "uid", "left_semi"), "crowd")
+    rows = written(prefixes(own, crowding(own), threshold).join(crowd, "rep"), "prefixes")
+    parts = rows.groupBy("key", "comp").agg(F.count("*").alias("m"))
+    mixed = parts.groupBy("key").agg(F.count("*").alias("parts"), F.max(F.struct("m", "comp")).alias("top")).filter("parts > 1")
+    rows = written(rows.join(mixed.select("key", F.col("top.comp").alias("top")), "key").withColumn("most", F.col("comp") == F.col("top")).drop("top"), "mixed")
+    share = threshold / (1 + threshold)
+    short = rows.filter(F.col("n") - F.col("i") >= 2 * share * F.col("n") - 1e-9)
+    long_ = rows.select("key", *(F.col(c).alias(f"{c}_") for c in ("rep", "i", "n", "comp", "most")))
+    fits = F.least(F.col("n") - F.col("i"), F.col("n_") - F.col("i_")) >= share * (F.col("n") + F.col("n_")) - 1e-9
+    ordered = (F.col("n") < F.col("n_")) | ((F.col("n") == F.col("n_")) & (F.col("rep") < F.col("rep_")))
+    both = [short.filter("NOT most").join(long_, "key"), short.filter("most").join(long_.filter("NOT most_"), "key")]
+    pairs = [p.filter((F.col("comp") != F.col("comp_")) & ordered & fits).select(F.least("rep", "rep_").alias("a"), F.greatest("rep", "rep_").alias("b")) for p in both]
+    return pairs[0].unionByName(pairs[1])
+
+
 def links(rows: DataFrame, threshold: float = 0.8) -> tuple[DataFrame, DataFrame]:
     """(uid, rep): each text's representative of equal words; and (v, c): components of representatives."""
     n = rows.count()
@@ -240,12 +323,8 @@ def links(rows: DataFrame, threshold: float = 0.8) -> tuple[DataFrame, DataFrame
 
     comp = components(good)
     open_ = meeting(comp)
-    large = open_.filter(F.col("size") > SMALL)
-    # a pair that shares a small bucket as well has been compared there: second bands are large ones, once a pair of bands
-    finer = large.join(large.select("rep", F.col("key").alias("key2")), "rep").filter("key < key2")
-    finer = finer.select(F.xxhash64("key", "key2").alias("key"), "rep", "pop", "comp")
-    finer = written(crossing(finer), "finer", 16 * n)
-    second = each_with_each(open_).unionByName(each_with_each(finer)).unionByName(star(finer.filter(F.col("size") > SMALL)))
+    crowd = written(open_.filter(F.col("size") > SMALL).select("rep", "comp").distinct(), "crowd", n)
+    second = each_with_each(open_).unionByName(overlapping(crowd, texts, threshold))
     second = written(second.distinct().join(tried, ["a", "b"], "left_anti"), "pairs", n)
     more = written(verify(second, texts, threshold), "links")
     if not more.isEmpty():

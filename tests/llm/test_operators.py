@@ -354,6 +354,37 @@ def test_large_buckets_stay_exact(spark, monkeypatch):
     assert [got[i] for i in range(len(texts))] == want
 
 
+def test_common_passage_hides_no_pair(spark):
+    """Hundreds of texts share most of a passage, each with one near copy: classes of all pairs by brute force."""
+    rng = random.Random(21)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(4))
+    passage = [word() for _ in range(170)]
+    texts = []
+    for _ in range(150):
+        own = [word() for _ in range(rng.randrange(28, 36))]
+        texts.append(" ".join(passage + own))
+        texts.append(" ".join(passage + own[: rng.randrange(8, 14)] + [word() for _ in range(18)]))
+    import numpy as np
+
+    blob = np.frombuffer(" ".join(texts).encode(), np.uint8)
+    lens = [len(t) for t in texts]
+    offs = np.concatenate([[0], np.cumsum(np.array(lens) + 1)])
+    offs[-1] -= 1
+    h, cuts = near.word_hashes(blob, offs)
+    seqs = [near.shingles(h[x:y]) for x, y in zip(cuts, cuts[1:], strict=False)]
+    want = list(range(len(texts)))
+    linked = 0
+    for i in range(len(texts)):
+        for j in range(i):
+            if near.similar(seqs[i], seqs[j], 0.8):
+                linked += 1
+                a, b = want[i], want[j]
+                want = [min(a, b) if w in (a, b) else w for w in want]
+    assert 100 < linked < 300
+    got = {r.doc_id: r.class_id for r in near.classes(docs_of(spark, texts)).collect()}
+    assert [got[i] for i in range(len(texts))] == want
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(30)] + [(100, 102), (101, 102), (7, 7)]
     got = dict(map(tuple, graph.components(spark.createDataFrame(edges, "a long, b long")).collect()))
