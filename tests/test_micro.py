@@ -295,3 +295,31 @@ def test_registry_loads_and_imports_stand_alone():
     import __spark_entry__ as entry
 
     assert len(entry.queries()) > 100 and set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_queries_take_whole_tables(spark, tmp_path):
+    """pathway_score has every cell, explode_nulls every run, best_of_k draws from every loss."""
+    from hashlib import md5
+
+    from spatialq.plans import registry
+
+    runs = [(i, i % 4 + 1, f"c{i % 2}", "F", float(i * 37 % 101)) for i in range(1, 61)]
+    tables = {
+        "orders": (runs, "o_orderkey long, o_custkey long, o_orderpriority string, o_orderstatus string, o_totalprice double"),
+        "customer": ([(i, 1.0, 1, "t") for i in range(1, 5)], "c_custkey long, c_acctbal double, c_nationkey int, c_mktsegment string"),
+        "lineitem": ([(1, 1, 3.0), (2, 2, 5.0)], "l_orderkey long, l_partkey long, l_quantity double"),
+        "part": ([(1, "b1", "p"), (2, "b2", "p")], "p_partkey long, p_brand string, p_type string"),
+    }
+    for name, (rows, schema) in tables.items():
+        spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{name}.parquet")
+    q = registry.queries()
+    scores = {r.cell_id: r.score for r in q["pathway_score"](spark, str(tmp_path)).collect()}
+    assert scores == {1: 0.0, 2: 1.5, 3: 2.5, 4: 0.0}
+    want = [(c, k, r[4]) for c in ("c0", "c1") for k, r in enumerate(r for r in runs if r[2] == c)]
+    assert sorted((r.condition, r.slot, r.stat) for r in q["explode_nulls"](spark, str(tmp_path)).collect()) == want
+    got = {r.k: r.mean for r in q["best_of_k"](spark, str(tmp_path)).collect()}
+    for k in (1, 3, 10):
+        best = [min(r[4] for r in sorted(runs, key=lambda r: md5(f"2:{draw}:{r[0]}".encode()).hexdigest())[:k]) for draw in range(1, 41)]
+        assert got[k] == pytest.approx(sum(best) / 40, abs=1e-6)
+    plan = q["best_of_k"](spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+    assert "WindowGroupLimit" in plan  # tasks keep the first rows of each draw before the shuffle
