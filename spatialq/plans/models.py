@@ -46,9 +46,9 @@ def slot_losses(spark, d):
     return depth_losses(N.coordinate_permutation(B.dense_cells(spark, d), 5, 3), B.dense_expr(spark, d))
 
 
-@query(near("slope intercept", f"WITH {S.dense(20)} SELECT gene, regr_slope(value, x) AS slope, regr_intercept(value, x) AS intercept FROM expr JOIN cells USING (cell_id) GROUP BY 1"))
+@query(near("slope intercept", f"WITH {S.dense()} SELECT gene, regr_slope(value, x) AS slope, regr_intercept(value, x) AS intercept FROM expr JOIN cells USING (cell_id) GROUP BY 1"))
 def ols_linear(spark, d):
-    rows = B.dense_expr(spark, d, 20).join(B.dense_cells(spark, d).select("cell_id", F.col("x").alias("z")), "cell_id")
+    rows = B.dense_expr(spark, d).join(B.dense_cells(spark, d).select("cell_id", F.col("x").alias("z")), "cell_id")
     return D.linear_fit(D.linear_sums(rows, ["gene"])).select("gene", "slope", "intercept")
 
 
@@ -58,9 +58,9 @@ q AS (SELECT *, (t1 * s22 - t2 * s12) / (s11 * s22 - s12 * s12) AS b1, (t2 * s11
 fit AS (SELECT gene, n, b2, b1, my - b1 * mz - b2 * m2 AS b0, n * (myy - my * my) AS sst, n * (myy - my * my) - n * (b1 * t1 + b2 * t2) AS sse FROM q)"""
 
 
-@query(near("b2 b1 b0 sst sse", f"WITH {S.dense(20)}, {QUAD} SELECT * FROM fit"))
+@query(near("b2 b1 b0 sst sse", f"WITH {S.dense()}, {QUAD} SELECT * FROM fit"))
 def ols_quadratic(spark, d):
-    rows = B.dense_expr(spark, d, 20).join(B.dense_cells(spark, d).select("cell_id", F.col("x").alias("z")), "cell_id")
+    rows = B.dense_expr(spark, d).join(B.dense_cells(spark, d).select("cell_id", F.col("x").alias("z")), "cell_id")
     return D.quadratic_fit(rows, ["gene"])
 
 
@@ -83,7 +83,7 @@ def svg_genes(spark, d):
 @query()
 def svg_ftest(spark, d):
     """F tests of linear decoders, whose tail needs the incomplete beta function."""
-    rows = B.dense_expr(spark, d, 20).join(B.dense_cells(spark, d).select("cell_id", F.col("x").alias("z")), "cell_id")
+    rows = B.dense_expr(spark, d).join(B.dense_cells(spark, d).select("cell_id", F.col("x").alias("z")), "cell_id")
     return D.with_f_p(D.linear_fit(D.linear_sums(rows, ["gene"])), 1).select("gene", "f_stat", "p_value")
 
 
@@ -97,7 +97,7 @@ def poisson_irls(spark, d):
     return D.poisson_irls(rows).withColumn("beta", F.transform("beta", lambda b: F.round(b, 6)))
 
 
-@query(near("value", f"""WITH {S.dense(20)}, z AS (SELECT cell_id, (y - avg(y) OVER ()) / stddev_pop(y) OVER () AS z FROM cells),
+@query(near("value", f"""WITH {S.dense()}, z AS (SELECT cell_id, (y - avg(y) OVER ()) / stddev_pop(y) OVER () AS z FROM cells),
 r AS (SELECT cell_id, gene, value - (regr_slope(value, z) OVER (PARTITION BY gene) * z + regr_intercept(value, z) OVER (PARTITION BY gene)) AS value FROM expr JOIN z USING (cell_id))
 SELECT cell_id, gene, (value - avg(value) OVER (PARTITION BY gene)) / (stddev_pop(value) OVER (PARTITION BY gene) + 1e-8) AS value FROM r"""))
 def freedman_lane(spark, d):
@@ -105,18 +105,18 @@ def freedman_lane(spark, d):
     from ..operators.rows import zscore_columns
 
     cov = zscore_columns(B.dense_cells(spark, d).select("cell_id", F.col("y").alias("z")), ["z"])
-    rows = B.dense_expr(spark, d, 20).join(cov, "cell_id")
+    rows = B.dense_expr(spark, d).join(cov, "cell_id")
     fit = D.linear_fit(D.linear_sums(rows, ["gene"])).select("gene", "slope", "intercept")
     res = rows.join(F.broadcast(fit), "gene").select("cell_id", "gene", (F.col("value") - F.col("slope") * F.col("z") - F.col("intercept")).alias("value"))
     return E.zscore(res).select("cell_id", "gene", "value")
 
 
-@query(near("stat_true stat_covariate p_value", f"""WITH {S.dense(20)}, {PERM}, {DEPTH}, c AS (SELECT gene, count(*) AS n, regr_syy(value, y) - regr_sxy(value, y) ** 2 / regr_sxx(value, y) AS sse FROM expr JOIN cells USING (cell_id) GROUP BY 1),
+@query(near("stat_true stat_covariate p_value", f"""WITH {S.dense()}, {PERM}, {DEPTH}, c AS (SELECT gene, count(*) AS n, regr_syy(value, y) - regr_sxy(value, y) ** 2 / regr_sxx(value, y) AS sse FROM expr JOIN cells USING (cell_id) GROUP BY 1),
 cl AS (SELECT sum(n) / 2e0 * ln(2 * pi() * (sum(sse) / sum(n)) + 1e-12) + sum(n) / 2e0 AS stat_covariate FROM c)
 SELECT (SELECT stat FROM nll WHERE slot = 0) AS stat_true, stat_covariate, (count(*) FILTER (stat <= stat_covariate) + 1) / (count(*) + 1)::DOUBLE AS p_value FROM nll, cl WHERE slot > 0 GROUP BY stat_covariate"""))
 def covariate_comparison(spark, d):
     """The loss of a fixed covariate's decoders against the same nulls as the depth axis."""
-    e, c = B.dense_expr(spark, d, 20), B.dense_cells(spark, d)
+    e, c = B.dense_expr(spark, d), B.dense_cells(spark, d)
     losses = depth_losses(N.coordinate_permutation(c, 5, 3), e)
     fit = D.linear_fit(D.linear_sums(e.join(c.select("cell_id", F.col("y").alias("z")), "cell_id"), ["gene"]))
     own = fit.agg((F.sum("sse") / F.sum("n")).alias("m"), F.sum("n").alias("n")).select(M.nll_of_mse(F.col("m"), F.col("n")).alias("stat_covariate"))

@@ -33,12 +33,16 @@ def block_permute(spark, d):
     return N.block_permutation(B.dense_cells(spark, d), 4, 9, 0.05)
 
 
-@query(near("value", f"""WITH {S.dense(1)}, s AS (SELECT slot, cell_id, value FROM expr, (SELECT unnest(generate_series(1, 3)) AS slot)),
-own AS (SELECT slot, cell_id, row_number() OVER (PARTITION BY slot ORDER BY cell_id) AS r FROM s), deal AS (SELECT slot, value, row_number() OVER (PARTITION BY slot ORDER BY {S.key(100003, 'slot', 'cell_id')}, cell_id) AS r FROM s)
-SELECT 0 AS slot, cell_id, value FROM expr UNION ALL SELECT slot, cell_id, value FROM own JOIN deal USING (slot, r)"""))
+@query(near("value", f"""WITH {S.dense()}, s AS (SELECT slot, cell_id FROM cells, (SELECT unnest(generate_series(1, 3)) AS slot)),
+own AS (SELECT slot, cell_id, row_number() OVER (PARTITION BY slot ORDER BY cell_id) AS r FROM s),
+deal AS (SELECT slot, cell_id AS donor, row_number() OVER (PARTITION BY slot ORDER BY {S.key(100003, 'slot', 'cell_id')}, cell_id) AS r FROM s)
+SELECT 0 AS slot, cell_id, gene, value FROM expr UNION ALL
+SELECT slot, own.cell_id, gene, value FROM own JOIN deal USING (slot, r) JOIN expr ON expr.cell_id = donor"""))
 def expr_permutation(spark, d):
-    """Rows of measurements dealt anew among the cells."""
-    return N.permute(B.dense_expr(spark, d, 1), 3, 100003, ["value"])
+    """Whole vectors of measurements dealt anew among the cells."""
+    e = F.sort_array(F.collect_list(F.struct("gene", "value"))).alias("row")
+    dealt = N.permute(B.dense_expr(spark, d).groupBy("cell_id").agg(e), 3, 100003, ["row"])
+    return dealt.select("slot", "cell_id", F.inline("row"))
 
 
 def normal_sql(axis: str) -> str:
@@ -67,13 +71,13 @@ def kfold(spark, d):
 SLOT_PAIRS = PAIRS.replace("FROM cells a JOIN cells b ON", "FROM slots a JOIN slots b ON a.slot = b.slot AND").replace("SELECT a.cell_id", "SELECT a.slot, a.cell_id").format(r="0.03e0")
 
 
-@query(near("moran", f"""WITH {S.dense(4)}, {PERM}, {SLOT_PAIRS}, m AS (SELECT slot, quantile_cont(d, 0.5) AS m FROM pairs GROUP BY 1),
+@query(near("moran", f"""WITH {S.dense()}, {PERM}, {SLOT_PAIRS}, m AS (SELECT slot, quantile_cont(d, 0.5) AS m FROM pairs GROUP BY 1),
 w1 AS (SELECT slot, i, j, 1 / greatest(d, greatest(m * 1e-4, 1e-9)) AS w FROM pairs JOIN m USING (slot)), w AS (SELECT * FROM w1 UNION ALL SELECT slot, j, i, w FROM w1),
 z AS (SELECT cell_id, gene, value - avg(value) OVER (PARTITION BY gene) AS z FROM expr), q AS (SELECT gene, count(*) AS n, sum(z * z) AS q FROM z GROUP BY 1), s AS (SELECT slot, sum(w) AS s0 FROM w GROUP BY 1),
 c AS (SELECT slot, a.gene, sum(w * a.z * b.z) AS c FROM w JOIN z a ON a.cell_id = w.i JOIN z b ON b.cell_id = w.j AND a.gene = b.gene GROUP BY 1, 2)
 SELECT slot, avg(n / s0 * c / q) AS moran FROM c JOIN q USING (gene) JOIN s USING (slot) GROUP BY 1""".replace("), s AS (SELECT slot, sum", "), s0 AS (SELECT slot, sum").replace("JOIN s USING (slot) GROUP", "JOIN s0 USING (slot) GROUP")))
 def moran_slots(spark, d):
-    return MO.moran_slots(N.coordinate_permutation(B.dense_cells(spark, d), 5, 3), B.dense_expr(spark, d, 4), 0.03)
+    return MO.moran_slots(N.coordinate_permutation(B.dense_cells(spark, d), 5, 3), B.dense_expr(spark, d), 0.03)
 
 
 @query(near("stat_true", f"WITH {S.CELLS}, {PERM} SELECT count(*) AS n_rows, count(DISTINCT slot) AS n_slots, avg(x) AS stat_true FROM slots"))

@@ -97,26 +97,26 @@ WEIGHTS = """m AS (SELECT quantile_cont(d, 0.5) AS m FROM pairs), w1 AS (SELECT
 w AS (SELECT * FROM w1 UNION ALL SELECT j, i, w FROM w1)"""
 
 
-@query(near("moran", f"""WITH {S.dense(10)}, {pairs(R)}, {WEIGHTS}, z AS (SELECT cell_id, gene, value - avg(value) OVER (PARTITION BY gene) AS z FROM expr),
+@query(near("moran", f"""WITH {S.dense()}, {pairs(R)}, {WEIGHTS}, z AS (SELECT cell_id, gene, value - avg(value) OVER (PARTITION BY gene) AS z FROM expr),
 c AS (SELECT a.gene, sum(w * a.z * b.z) AS c FROM w JOIN z a ON a.cell_id = w.i JOIN z b ON b.cell_id = w.j AND a.gene = b.gene GROUP BY 1)
 SELECT gene, count(*) / (SELECT sum(w) FROM w) * any_value(c) / sum(z * z) AS moran FROM z JOIN c USING (gene) GROUP BY 1"""))
 def morans_i(spark, d):
-    return MO.morans_i(B.dense_cells(spark, d), B.dense_expr(spark, d, 10), R)
+    return MO.morans_i(B.dense_cells(spark, d), B.dense_expr(spark, d), R)
 
 
-@query(near("distance covariance gamma", f"""WITH {S.dense(5)}, {pairs(0.06)}, z AS (SELECT cell_id, gene, (value - avg(value) OVER (PARTITION BY gene)) / (stddev_pop(value) OVER (PARTITION BY gene) + 1e-8) AS z FROM expr)
+@query(near("distance covariance gamma", f"""WITH {S.dense()}, {pairs(0.06)}, z AS (SELECT cell_id, gene, (value - avg(value) OVER (PARTITION BY gene)) / (stddev_pop(value) OVER (PARTITION BY gene) + 1e-8) AS z FROM expr)
 SELECT CAST(least(floor(d / (0.06e0 / 6)), 5) AS INTEGER) AS bin, count(DISTINCT (i, j)) AS n_pairs, avg(d) AS distance, avg(a.z * b.z) AS covariance, 1 - avg(a.z * b.z) AS gamma
 FROM pairs JOIN z a ON a.cell_id = i JOIN z b ON b.cell_id = j AND a.gene = b.gene GROUP BY 1"""))
 def variogram(spark, d):
-    return MO.variogram(B.dense_cells(spark, d), B.dense_expr(spark, d, 5), 0.06, 6)
+    return MO.variogram(B.dense_cells(spark, d), B.dense_expr(spark, d), 0.06, 6)
 
 
-@query(near("half_length", f"""WITH {S.dense(5)}, {pairs(0.06)}, z AS (SELECT cell_id, gene, (value - avg(value) OVER (PARTITION BY gene)) / (stddev_pop(value) OVER (PARTITION BY gene) + 1e-8) AS z FROM expr),
+@query(near("half_length", f"""WITH {S.dense()}, {pairs(0.06)}, z AS (SELECT cell_id, gene, (value - avg(value) OVER (PARTITION BY gene)) / (stddev_pop(value) OVER (PARTITION BY gene) + 1e-8) AS z FROM expr),
 v AS (SELECT least(floor(d / (0.06e0 / 6)), 5) AS bin, avg(d) AS distance, avg(a.z * b.z) AS c FROM pairs JOIN z a ON a.cell_id = i JOIN z b ON b.cell_id = j AND a.gene = b.gene GROUP BY 1)
 SELECT min(distance) AS half_length FROM v WHERE c <= 0.5 * (SELECT max(c) FROM v)"""))
 def autocorr_length(spark, d):
     """The distance of the first bin whose covariance is at most half the largest."""
-    v = MO.variogram(B.dense_cells(spark, d), B.dense_expr(spark, d, 5), 0.06, 6)
+    v = MO.variogram(B.dense_cells(spark, d), B.dense_expr(spark, d), 0.06, 6)
     top = v.agg(F.max("covariance").alias("_t"))
     return v.crossJoin(F.broadcast(top)).filter(F.col("covariance") <= 0.5 * F.col("_t")).agg(F.min("distance").alias("half_length"))
 

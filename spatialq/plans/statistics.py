@@ -69,11 +69,11 @@ def collapse_genes(spark, d):
     return RK.best_per(p, ["gene"], F.round(F.abs("score"), 6).desc(), "p_partkey")
 
 
-@query(near("value", f"""WITH {S.dense(4)}, v AS (SELECT cell_id, gene, value * value AS value FROM expr),
+@query(near("value", f"""WITH {S.dense()}, v AS (SELECT cell_id, gene, value * value AS value FROM expr),
 a AS (SELECT gene, value, row_number() OVER (PARTITION BY gene ORDER BY value, cell_id) AS r FROM v), b AS (SELECT gene, cell_id, row_number() OVER (PARTITION BY gene ORDER BY value, cell_id) AS r FROM expr)
 SELECT gene, cell_id, a.value FROM a JOIN b USING (gene, r)"""))
 def rank_match(spark, d):
-    e = B.dense_expr(spark, d, 4)
+    e = B.dense_expr(spark, d)
     return RK.rank_match(e.withColumn("value", F.col("value") * F.col("value")), e, ["gene"])
 
 
@@ -88,21 +88,21 @@ def orient_sign(spark, d):
 FIT = "f AS (SELECT gene, value, x AS z, regr_slope(value, x) OVER (PARTITION BY gene) * x + regr_intercept(value, x) OVER (PARTITION BY gene) AS predicted, cell_id FROM expr JOIN cells USING (cell_id))"
 
 
-def fitted(spark, d, genes):
+def fitted(spark, d):
     """Rows (gene, cell_id, value, predicted) of the linear decoder on x."""
-    rows = B.dense_expr(spark, d, genes).join(B.dense_cells(spark, d).select("cell_id", F.col("x").alias("z")), "cell_id")
+    rows = B.dense_expr(spark, d).join(B.dense_cells(spark, d).select("cell_id", F.col("x").alias("z")), "cell_id")
     fit = D.linear_fit(D.linear_sums(rows, ["gene"])).select("gene", "slope", "intercept")
     return rows.join(F.broadcast(fit), "gene").withColumn("predicted", F.col("slope") * F.col("z") + F.col("intercept"))
 
 
-@query(near("mse", f"WITH {S.dense(20)}, {FIT} SELECT gene, avg((predicted - value) ** 2) AS mse FROM f GROUP BY 1"))
+@query(near("mse", f"WITH {S.dense()}, {FIT} SELECT gene, avg((predicted - value) ** 2) AS mse FROM f GROUP BY 1"))
 def metric_mse(spark, d):
-    return M.losses(fitted(spark, d, 20), ["gene"]).select("gene", "mse")
+    return M.losses(fitted(spark, d), ["gene"]).select("gene", "mse")
 
 
-@query(near("nll_gaussian", f"WITH {S.dense(20)}, {FIT} SELECT gene, count(*) / 2e0 * ln(2 * pi() * avg((predicted - value) ** 2) + 1e-12) + count(*) / 2e0 AS nll_gaussian FROM f GROUP BY 1"))
+@query(near("nll_gaussian", f"WITH {S.dense()}, {FIT} SELECT gene, count(*) / 2e0 * ln(2 * pi() * avg((predicted - value) ** 2) + 1e-12) + count(*) / 2e0 AS nll_gaussian FROM f GROUP BY 1"))
 def metric_nll_gaussian(spark, d):
-    return M.losses(fitted(spark, d, 20), ["gene"]).select("gene", "nll_gaussian")
+    return M.losses(fitted(spark, d), ["gene"]).select("gene", "nll_gaussian")
 
 
 @query(near("nll_poisson", f"""WITH {S.COUNTS}, {S.GRID}, t AS (SELECT cell_id, sum(value) AS factor FROM dense GROUP BY 1), m AS (SELECT gene, ln(sum(value) / (SELECT sum(value) FROM dense)) AS eta FROM dense GROUP BY 1)
@@ -117,26 +117,26 @@ def metric_nll_poisson(spark, d):
     return M.nll_poisson(e.join(total, "cell_id").join(F.broadcast(eta), "gene"), ["gene"])
 
 
-@query(near("r", f"WITH {S.dense(20)}, c AS (SELECT gene, {CORR.format(a='x', b='value')} AS r FROM expr JOIN cells USING (cell_id) GROUP BY 1) SELECT avg(r) AS r FROM c"))
+@query(near("r", f"WITH {S.dense()}, c AS (SELECT gene, {CORR.format(a='x', b='value')} AS r FROM expr JOIN cells USING (cell_id) GROUP BY 1) SELECT avg(r) AS r FROM c"))
 def metric_pearson(spark, d):
-    rows = B.dense_expr(spark, d, 20).join(B.dense_cells(spark, d), "cell_id").withColumn("predicted", F.col("x"))
+    rows = B.dense_expr(spark, d).join(B.dense_cells(spark, d), "cell_id").withColumn("predicted", F.col("x"))
     return M.correlation(rows, [])
 
 
 RANKS = "rank() OVER (PARTITION BY gene ORDER BY {c}) + (count(*) OVER (PARTITION BY gene, {c}) - 1) / 2e0"
 
 
-@query(near("r", f"WITH {S.dense(20)}, k AS (SELECT gene, {RANKS.format(c='x')} AS a, {RANKS.format(c='value')} AS b FROM expr JOIN cells USING (cell_id)), c AS (SELECT gene, {CORR.format(a='a', b='b')} AS r FROM k GROUP BY 1) SELECT avg(r) AS r FROM c"))
+@query(near("r", f"WITH {S.dense()}, k AS (SELECT gene, {RANKS.format(c='x')} AS a, {RANKS.format(c='value')} AS b FROM expr JOIN cells USING (cell_id)), c AS (SELECT gene, {CORR.format(a='a', b='b')} AS r FROM k GROUP BY 1) SELECT avg(r) AS r FROM c"))
 def metric_spearman(spark, d):
-    rows = B.dense_expr(spark, d, 20).join(B.dense_cells(spark, d), "cell_id")
+    rows = B.dense_expr(spark, d).join(B.dense_cells(spark, d), "cell_id")
     ranked = M.rank_columns(rows, ["gene"], ["x", "value"])
     return M.correlation(ranked.withColumn("predicted", F.col("x")), [])
 
 
-@query(near("mse", f"WITH {S.dense(20)}, {FIT} SELECT gene, avg((predicted - value) ** 2) AS mse FROM f WHERE cell_id % 3 = 0 GROUP BY 1"))
+@query(near("mse", f"WITH {S.dense()}, {FIT} SELECT gene, avg((predicted - value) ** 2) AS mse FROM f WHERE cell_id % 3 = 0 GROUP BY 1"))
 def metric_masked(spark, d):
     mask = B.dense_cells(spark, d).filter("cell_id % 3 = 0").select("cell_id")
-    return M.masked_losses(fitted(spark, d, 20), mask, ["gene"]).select("gene", "mse")
+    return M.masked_losses(fitted(spark, d), mask, ["gene"]).select("gene", "mse")
 
 
 @query(near("stat_true p_value", f"""WITH {S.STUDY}, t AS (SELECT condition, run_id % 200 AS slot, min(stat) AS stat FROM study GROUP BY 1, 2), z AS (SELECT condition, stat AS stat_true FROM t WHERE slot = 0)
@@ -160,27 +160,27 @@ def depth_similarity(spark, d):
     return k.agg(F.avg((F.col("a") - F.col("b")) * (F.col("a") - F.col("b"))).alias("mse"), F.abs(M.pearson("ra", "rb")).alias("spearman"))
 
 
-@query(near("r2", f"WITH {S.dense(20)} SELECT gene, regr_r2(value, x) AS r2 FROM expr JOIN cells USING (cell_id) GROUP BY 1"))
+@query(near("r2", f"WITH {S.dense()} SELECT gene, regr_r2(value, x) AS r2 FROM expr JOIN cells USING (cell_id) GROUP BY 1"))
 def ols_r2(spark, d):
-    return B.dense_expr(spark, d, 20).join(B.dense_cells(spark, d), "cell_id").groupBy("gene").agg(F.regr_r2("value", "x").alias("r2"))
+    return B.dense_expr(spark, d).join(B.dense_cells(spark, d), "cell_id").groupBy("gene").agg(F.regr_r2("value", "x").alias("r2"))
 
 
-@query(near("r", f"WITH {S.dense(10)} SELECT a.gene AS a, b.gene AS b, corr(a.value, b.value) AS r FROM expr a JOIN expr b ON a.cell_id = b.cell_id AND a.gene < b.gene GROUP BY 1, 2"))
+@query(near("r", f"WITH {S.dense()} SELECT a.gene AS a, b.gene AS b, corr(a.value, b.value) AS r FROM expr a JOIN expr b ON a.cell_id = b.cell_id AND a.gene < b.gene GROUP BY 1, 2"))
 def gene_corr(spark, d):
     """All pairs of genes, cells being the join key: the pairs are a small square, the cells may be many."""
-    a = B.dense_expr(spark, d, 10).select("cell_id", F.col("gene").alias("a"), F.col("value").alias("va"))
+    a = B.dense_expr(spark, d).select("cell_id", F.col("gene").alias("a"), F.col("value").alias("va"))
     b = a.select("cell_id", F.col("a").alias("b"), F.col("va").alias("vb"))
     return a.join(b, "cell_id").filter("a < b").groupBy("a", "b").agg(F.corr("va", "vb").alias("r"))
 
 
-@query(near("r", f"WITH {S.dense(6)}, k AS (SELECT cell_id, gene, {RANKS.format(c='value')} AS k FROM expr) SELECT a.gene AS a, b.gene AS b, corr(a.k, b.k) AS r FROM k a JOIN k b ON a.cell_id = b.cell_id AND a.gene <= b.gene GROUP BY 1, 2"))
+@query(near("r", f"WITH {S.dense()}, k AS (SELECT cell_id, gene, {RANKS.format(c='value')} AS k FROM expr) SELECT a.gene AS a, b.gene AS b, corr(a.k, b.k) AS r FROM k a JOIN k b ON a.cell_id = b.cell_id AND a.gene <= b.gene GROUP BY 1, 2"))
 def spearman_matrix(spark, d):
-    k = B.dense_expr(spark, d, 6).select("cell_id", F.col("gene").alias("a"), RK.average_rank("value", ["gene"]).alias("ka"))
+    k = B.dense_expr(spark, d).select("cell_id", F.col("gene").alias("a"), RK.average_rank("value", ["gene"]).alias("ka"))
     b = k.select("cell_id", F.col("a").alias("b"), F.col("ka").alias("kb"))
     return k.join(b, "cell_id").filter("a <= b").groupBy("a", "b").agg(F.corr("ka", "kb").alias("r"))
 
 
-@query(near("score", f"WITH {S.COUNTS}, {S.GRID}, {S.SETS} SELECT cell_id, pathway, avg(value) AS score FROM dense JOIN sets USING (gene) WHERE cell_id % 10 = 0 GROUP BY 1, 2"))
+@query(near("score", f"WITH {S.COUNTS}, {S.GRID}, {S.SETS} SELECT cell_id, pathway, avg(value) AS score FROM dense JOIN sets USING (gene) GROUP BY 1, 2"))
 def pathway_score(spark, d):
     """Mean measurement of a pathway's genes by cell; for sparse counts the sum over set size, so nothing is made dense."""
     sets = B.gene_sets(spark, d)
@@ -247,12 +247,12 @@ def gsea(spark, d):
     return G.preranked(*gsea_inputs(spark, d), n_perms=100, seed=5)
 
 
-@query(near("ratio", f"""WITH {S.dense(20)}, s AS (SELECT gene, cell_type, regr_sxx(x, value) AS sxx, regr_syy(value, x) AS syy, regr_sxy(value, x) AS sxy, regr_sxx(value, x) AS sx FROM expr JOIN cells USING (cell_id) GROUP BY 1, 2),
+@query(near("ratio", f"""WITH {S.dense()}, s AS (SELECT gene, cell_type, regr_sxx(x, value) AS sxx, regr_syy(value, x) AS syy, regr_sxy(value, x) AS sxy, regr_sxx(value, x) AS sx FROM expr JOIN cells USING (cell_id) GROUP BY 1, 2),
 r AS (SELECT gene, sum(syy) AS a, sum(syy - sxy * sxy / sx) AS b FROM s GROUP BY 1)
 SELECT gene, a / b AS ratio, row_number() OVER (ORDER BY round(a / b, 9) DESC NULLS LAST, gene) AS place FROM r"""))
 def rss_ratio(spark, d):
     """Residual sums of squares of type means over those of lines within types, ranked."""
-    rows = B.dense_expr(spark, d, 20).join(B.dense_cells(spark, d).select("cell_id", "cell_type", F.col("x").alias("z")), "cell_id")
+    rows = B.dense_expr(spark, d).join(B.dense_cells(spark, d).select("cell_id", "cell_type", F.col("x").alias("z")), "cell_id")
     fit = D.linear_fit(D.linear_sums(rows, ["gene", "cell_type"])).groupBy("gene").agg(F.sum("sst").alias("a"), F.sum("sse").alias("b"))
     r = fit.select("gene", F.try_divide("a", "b").alias("ratio"))
     return r.withColumn("place", F.row_number().over(Window.orderBy(F.round("ratio", 9).desc_nulls_last(), "gene")))

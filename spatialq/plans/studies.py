@@ -78,14 +78,14 @@ def separate_combine(spark, d):
     return c.groupBy("condition").agg(F.avg("s").alias("stat_true"), F.avg("p").alias("p_value"), F.sum("n").alias("n_nulls"))
 
 
-@query(near("stat", f"WITH {S.STUDY} SELECT condition, row_number() OVER (PARTITION BY condition ORDER BY run_id) - 1 AS slot, stat FROM study WHERE run_id % 50 = 0"))
+@query(near("stat", f"WITH {S.STUDY} SELECT condition, row_number() OVER (PARTITION BY condition ORDER BY run_id) - 1 AS slot, stat FROM study"))
 def explode_nulls(spark, d):
     """Every statistic with its place among its condition's, in buckets of bounded size."""
     s = B.study_rows(spark, d).select("condition", "run_id", "stat")
     return RK.id_rank(s, ["condition"], "run_id", s.count()).select("condition", (F.col("_r") - 1).cast("bigint").alias("slot"), "stat")
 
 
-@query(near("mean std p5 p95", f"""WITH {S.STUDY}, l AS (SELECT run_id, stat FROM study WHERE run_id % 20 = 0), d AS (SELECT draw, stat, row_number() OVER (PARTITION BY draw ORDER BY {S.key(2, 'draw', 'run_id')}, run_id) AS r FROM l, (SELECT unnest(generate_series(1, 40)) AS draw)),
+@query(near("mean std p5 p95", f"""WITH {S.STUDY}, l AS (SELECT run_id, stat FROM study), d AS (SELECT draw, stat, row_number() OVER (PARTITION BY draw ORDER BY {S.key(2, 'draw', 'run_id')}, run_id) AS r FROM l, (SELECT unnest(generate_series(1, 40)) AS draw)),
 m AS (SELECT k, draw, min(stat) AS b FROM d JOIN (SELECT unnest([1, 3, 10]) AS k) ON r <= k GROUP BY 1, 2)
 SELECT k, avg(b) AS mean, stddev_pop(b) AS std, quantile_cont(b, 0.05) AS p5, quantile_cont(b, 0.95) AS p95 FROM m GROUP BY 1"""))
 def best_of_k(spark, d):

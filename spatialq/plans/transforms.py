@@ -37,9 +37,9 @@ def log_cpm_z(spark, d):
     return E.zscore(E.log1p(E.densify(B.count_cells(spark, d), E.cpm(B.count_expr(spark, d))))).select("cell_id", "gene", "value")
 
 
-@query(near("value", f"WITH {S.dense(20)} SELECT cell_id, gene, (value - avg(value) OVER (PARTITION BY gene)) / (stddev_pop(value) OVER (PARTITION BY gene) + 1e-8) AS value FROM expr"))
+@query(near("value", f"WITH {S.dense()} SELECT cell_id, gene, (value - avg(value) OVER (PARTITION BY gene)) / (stddev_pop(value) OVER (PARTITION BY gene) + 1e-8) AS value FROM expr"))
 def zscore(spark, d):
-    return E.zscore(B.dense_expr(spark, d, 20)).select("cell_id", "gene", "value")
+    return E.zscore(B.dense_expr(spark, d)).select("cell_id", "gene", "value")
 
 
 @query(near("z", "SELECT c_custkey AS cell_id, CASE WHEN stddev_pop(c_acctbal) OVER () < 1e-8 THEN 0 ELSE (c_acctbal - avg(c_acctbal) OVER ()) / stddev_pop(c_acctbal) OVER () END AS z FROM customer"))
@@ -55,9 +55,9 @@ def coord_zscore(spark, d):
     return R.zscore_columns(B.dense_cells(spark, d), ["x", "y"]).select("cell_id", "x", "y")
 
 
-@query(near("value", f"WITH {S.dense(20)} SELECT cell_id, gene, cell_type, value - avg(value) OVER (PARTITION BY cell_type, gene) AS value FROM expr JOIN cells USING (cell_id)"))
+@query(near("value", f"WITH {S.dense()} SELECT cell_id, gene, cell_type, value - avg(value) OVER (PARTITION BY cell_type, gene) AS value FROM expr JOIN cells USING (cell_id)"))
 def celltype_residuals(spark, d):
-    return E.residuals(B.dense_expr(spark, d, 20), B.dense_cells(spark, d)).select("cell_id", "gene", "cell_type", "value")
+    return E.residuals(B.dense_expr(spark, d), B.dense_cells(spark, d)).select("cell_id", "gene", "cell_type", "value")
 
 
 @query(near("value", f"""{CPM}, l AS (SELECT cell_id, gene, cell_type, ln(1 + value) AS value FROM cpm JOIN cells USING (cell_id))
@@ -72,9 +72,9 @@ def poisson_type_sf(spark, d):
     return E.type_size_factors(E.densify(cells, B.count_expr(spark, d)), cells)
 
 
-@query(near("signal", f"WITH {S.dense(20)} SELECT cell_id, avg(abs(value)) AS signal FROM expr GROUP BY 1"))
+@query(near("signal", f"WITH {S.dense()} SELECT cell_id, avg(abs(value)) AS signal FROM expr GROUP BY 1"))
 def cell_signal(spark, d):
-    return E.signal(B.dense_expr(spark, d, 20))
+    return E.signal(B.dense_expr(spark, d))
 
 
 @query(near("total log_total pct", f"""WITH {S.COUNTS} SELECT cell_id, sum(value) AS total, ln(1 + sum(value)) AS log_total, count(*) FILTER (value > 0) AS n_genes,
