@@ -7,13 +7,15 @@ pack a fixed count of ids of equal width; selector 15 is an escape: the followin
 word is one literal 64-bit value. Each block starts on a word of its own, so blocks
 decode independently, and within a block all words of one selector decode at once.
 
-Defined results: a null text is empty and still has its end id; equal doc_ids follow
-each other in the order of their texts' hashes; a null doc_id comes first; an empty table gives an empty
-result and no file. Other columns are not read.
+Defined results: a null text is empty and still has its end id; a very long text is one
+row of one file, which may then be longer than ``file_ids``; equal doc_ids follow each
+other in the order of their texts' hashes; a null doc_id comes first; an empty table
+gives an empty result and no file. Other columns are not read.
 """
 
 from __future__ import annotations
 
+import json
 import struct
 import zlib
 from collections.abc import Iterable, Iterator
@@ -31,11 +33,19 @@ MAGIC = b"SQT1"
 PACKING = {1: (60, 1), 2: (30, 2), 3: (20, 3), 4: (15, 4), 5: (12, 5), 6: (10, 6), 7: (8, 7), 8: (7, 8), 9: (6, 10), 10: (5, 12), 11: (4, 15), 12: (3, 20), 13: (2, 30), 14: (1, 60)}
 ESCAPE = 15
 BLOCK_IDS = 1 << 16
+PARTS_A_GROUP = 2000
+
+
+#: Bits of the numbers below 2**16, at least 1.
+WIDTHS = np.maximum(np.frexp(np.arange(1 << 16, dtype=np.float64))[1], 1).astype(np.uint8)
 
 
 def widths(ids: np.ndarray) -> np.ndarray:
     """Bits of each id, at least 1. Below 2**53 they are the exponent of the id as a double."""
-    if int(ids.max()) < 1 << 53:
+    top = int(ids.max())
+    if top < 1 << 16:
+        return WIDTHS[ids.astype(np.uint16)]
+    if top < 1 << 53:
         return np.maximum(np.frexp(ids.astype(np.float64))[1], 1).astype(np.uint8)
     return np.array([max(1, x.bit_length()) for x in ids.tolist()], np.uint8)
 
@@ -65,12 +75,12 @@ def pack(ids: np.ndarray) -> np.ndarray:
         fits = top <= width
         if fits.any():
             np.copyto(best[: len(top)], sel, where=fits)
-    fit = np.array([0] + [PACKING[s][0] for s in range(1, 15)] + [1], np.int64)
-    nxt = (np.arange(n) + fit[best]).tolist()
+    fit = bytes([0] + [PACKING[s][0] for s in range(1, 15)] + [1])
+    step = best.tobytes().translate(fit.ljust(256, b"\0"))
     starts, i = [], 0
     while i < n:
         starts.append(i)
-        i = nxt[i]
+        i += step[i]
     at = np.array(starts, np.int64)
     sel = best[at]
     place = np.arange(len(at)) + np.concatenate([[0], np.cumsum(sel == ESCAPE)[:-1]])
@@ -78,9 +88,10 @@ def pack(ids: np.ndarray) -> np.ndarray:
     for s, (count, width) in PACKING.items():
         rows = np.flatnonzero(sel == s)
         if len(rows):
-            vals = ids[at[rows][:, None] + np.arange(count)]
-            shifts = (np.arange(count) * width).astype(np.uint64)
-            out[place[rows]] = np.bitwise_or.reduce(vals << shifts, axis=1) | np.uint64(s << 60)
+            first, word = at[rows], np.full(len(rows), s << 60, np.uint64)
+            for k in range(count):
+                word |= ids[first + k] << np.uint64(k * width)
+            out[place[rows]] = word
     rows = np.flatnonzero(sel == ESCAPE)
     out[place[rows]] = np.uint64(ESCAPE << 60)
     out[place[rows] + 1] = ids[at[rows]]
@@ -138,26 +149,76 @@ def read_ids(data: bytes) -> np.ndarray:
 
 #: Signs that may end a piece and are then a token run of their own; no letter, digit, blank, quote or bracket of a special token.
 TAIL = ".,!*$#%&;:?"
+#: The normalizer and pre-tokenizer that the shortcuts of ``WordEncoder`` hold for.
+WORD_RULES = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+    "post_processor": None,
+}
+
+
+def packed_ids(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
+class Memo(dict):
+    """A dictionary that makes missing values, in two generations.
+
+    When the young one is full it becomes the old one; what is used again moves back.
+    """
+
+    def __init__(self, make, limit: int) -> None:
+        self.make, self.limit, self.old = make, limit, {}
+
+    def __missing__(self, key):
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
+        self[key] = value
+        return value
 
+    def trim(self) -> None:
+        if len(self) > self.limit:
+            self.old = dict(self)
+            self.clear()
 
-class Encoder:
-    """A tokenizer with bounded memos of pieces between blanks and of words.
+
+class PlainEncoder:
+    """Any tokenizer: whole texts go to it as they are."""
+
+    def __init__(self, tokenizer) -> None:
+        self.tokenizer = tokenizer
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        return [packed_ids(self.tokenizer.encode(t, add_special_tokens=False).ids) for t in texts]
+
+
+class WordEncoder(PlainEncoder):
+    """A tokenizer of WORD_RULES, with bounded memos of pieces between blanks and of words.
 
     Blanks and newlines are dropped by the tokenizer and no token crosses one, so a
     text's ids are those of its pieces joined; likewise a letter and the signs after it
     never share a token. A piece is thus its word in lower case and its tail, where
-    that changes nothing (see ``word_of``), and only new words reach the tokenizer.
-    Memos have two generations: when the young one is full it becomes the old one, and
-    what is used again moves back. Ids are kept as packed uint32.
+    that changes nothing (see ``word_of``). A word of Latin letters is one pre-token
+    that no normalizer changes: its bytes go to the BPE model itself. Other words go
+    through the whole tokenizer. Ids are kept as packed uint32.
     """
 
-    def __init__(self, path: str, pieces: int = 250_000, words: int = 400_000) -> None:
-        from tokenizers import Tokenizer
+    def __init__(self, tokenizer, pieces: int = 300_000, words: int = 500_000) -> None:
+        from tokenizers.pre_tokenizers import ByteLevel
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.limits = (pieces, words)
-        self.pieces: list[dict[str, bytes]] = [{"": b""}, {}]
-        self.words: list[dict[str, bytes]] = [{"": b""}, {}]
+        super().__init__(tokenizer)
+        self.model = tokenizer.model
+        level = ByteLevel(add_prefix_space=False, use_regex=False)
+        self.letters = {ord(c): level.pre_tokenize_str(c)[0][0] for c in map(chr, range(0x80, 0x250)) if c.isalpha()}
+        self.words = Memo(self.word_ids, words)
+        self.pieces = Memo(self.piece_ids, pieces)
 
     @staticmethod
     def word_of(piece: str) -> tuple[str, str]:
@@ -173,65 +234,65 @@ class Encoder:
             word = word.lower()  # Latin letters: one for one, nothing to compose
         return word, tail
 
-    def encode_words(self, fresh: list[str]) -> None:
-        """Encode new words, many in one string; offsets tell which ids are whose."""
-        young = self.words[0]
-        for i in range(0, len(fresh), 2048):
-            part = fresh[i : i + 2048]
-            e = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
-            ids = np.array(e.ids, "<u4")
-            starts = np.array([o[0] for o in e.offsets], np.int64)
-            ends = np.searchsorted(starts, np.cumsum([len(p) + 1 for p in part])).tolist()
-            at = 0
-            for p, end in zip(part, ends, strict=True):
-                young[p] = ids[at:end].tobytes()
-                at = end
-
-    def known(self, memo: list[dict[str, bytes]], wanted: set[str], limit: int) -> list[str]:
-        """Bring what is known of wanted into the young generation; the rest is returned."""
-        if len(memo[0]) + len(wanted) > limit:
-            memo[:] = [{"": b""}, memo[0]]
-        young, old = memo
-        rest = []
-        for p in wanted:
-            if p not in young:
-                found = old.get(p)
-                if found is None:
-                    rest.append(p)
-                else:
-                    young[p] = found
-        return rest
+    def piece_ids(self, piece: str) -> bytes:
+        word, tail = self.word_of(piece)
+        return self.words[word] + self.words[tail] if tail else self.words[word]
+
+    def word_ids(self, word: str) -> bytes:
+        if word.isalpha() and word.islower():
+            if not word.isascii():
+                if max(word) >= "\u0250":
+                    return self.whole_ids(word)
+                word = word.translate(self.letters)
+            return packed_ids([t.id for t in self.model.tokenize(word)])
+        return self.whole_ids(word)
+
+    def whole_ids(self, text: str) -> bytes:
+        return packed_ids(self.tokenizer.encode(text, add_special_tokens=False).ids) if text else b""
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        split = [t.replace("\n", " ").split(" ") for t in texts]
-        fresh = self.known(self.pieces, {p for pieces in split for p in pieces}, self.limits[0])
-        parts = [self.word_of(p) for p in fresh]
-        self.encode_words(self.known(self.words, {x for pair in parts for x in pair}, self.limits[1]))
-        words, young = self.words[0], self.pieces[0]
-        for p, (word, tail) in zip(fresh, parts, strict=True):
-            young[p] = words[word] + words[tail]
-        return [b"".join(map(young.__getitem__, pieces)) for pieces in split]
+        self.pieces.trim()
+        self.words.trim()
+        found = self.pieces.__getitem__
+        return [b"".join(map(found, t.replace("\n", " ").split(" "))) for t in texts]
+
 
+def make_encoder(path: str) -> PlainEncoder:
+    """The encoder whose shortcuts the tokenizer's own description allows."""
+    from tokenizers import Tokenizer
 
-ENCODERS: dict[str, Encoder] = {}
+    tokenizer = Tokenizer.from_file(path)
+    said = json.loads(tokenizer.to_str())
+    model = said["model"]
+    plain_model = model["type"] == "BPE" and model["end_of_word_suffix"] == "</w>" and not any(model[k] for k in ("dropout", "unk_token", "continuing_subword_prefix", "fuse_unk", "byte_fallback"))
+    plain_added = all(t["special"] and not t["normalized"] and t["content"].startswith("<|") for t in said["added_tokens"])
+    if plain_model and plain_added and all(said[k] == v for k, v in WORD_RULES.items()):
+        return WordEncoder(tokenizer)
+    return PlainEncoder(tokenizer)
 
 
-def encoder(path: str) -> Encoder:
+ENCODERS: dict[str, PlainEncoder] = {}
+
+
+def encoder(path: str) -> PlainEncoder:
     """One encoder for each tokenizer file and Python worker."""
     if path not in ENCODERS:
-        ENCODERS[path] = Encoder(path)
+        ENCODERS[path] = make_encoder(path)
     return ENCODERS[path]
 
 
-def write_tokens(docs: DataFrame, tokenizer_path: str, folder: str, end_id: int = 1, rows_per_part: int = 4000, file_ids: int = 4 << 20) -> DataFrame:
+def write_tokens(docs: DataFrame, tokenizer_path: str, folder: str, end_id: int = 1, part_bytes: int = 16 << 20, file_ids: int = 4 << 20) -> DataFrame:
     """Encode the texts and write files in ascending order of doc_id.
 
+    part_bytes: about how much text a task encodes.
+
     Returns one row a document: file, its number in order (part, seq), the place of
     the document's ids in the file, and the number of ids there.
     """
     rows = pick(docs, "doc_id", "text").withColumn("tie", F.xxhash64("text"))
     order = (F.col("doc_id").asc_nulls_first(), F.col("tie"))
-    n_parts = max(1, -(-rows.count() // rows_per_part))
+    n_bytes = rows.agg(F.coalesce(F.sum(F.octet_length("text") + 16), F.lit(0))).first()[0]
+    n_parts = max(1, -(-n_bytes // part_bytes))
     spread = rows.repartitionByRange(n_parts, *order).sortWithinPartitions(*order)
 
     def write(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -276,11 +337,14 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, folder: str, end_id: int
 def read_tokens(manifest: DataFrame, folder: str) -> DataFrame:
     """Documents read back from the files: start, n_tokens and ids_crc32, with their ids.
 
-    Each file is decoded once by the task that has its rows; starts are running sums
-    over files, of which there is one row each.
+    Each file is decoded once by the task that has its rows. Starts are running sums over
+    files: within groups of parts, and over the groups, of which there are few.
     """
-    files = manifest.groupBy("part", "seq", "file").agg(F.sum("n_tokens").alias("n"))
-    files = files.withColumn("base", F.sum("n").over(Window.orderBy("part", "seq")) - F.col("n"))
+    files = manifest.groupBy("part", "seq", "file").agg(F.sum("n_tokens").alias("n")).withColumn("group", F.floor(F.col("part") / PARTS_A_GROUP))
+    groups = files.groupBy("group").agg(F.sum("n").alias("all"))
+    groups = groups.select("group", (F.sum("all").over(Window.orderBy("group")) - F.col("all")).alias("before"))
+    within = F.sum("n").over(Window.partitionBy("group").orderBy("part", "seq"))
+    files = files.withColumn("within", within - F.col("n")).join(groups, "group").withColumn("base", F.col("before") + F.col("within"))
     rows = manifest.join(files.select("file", "base"), "file").repartition("file").sortWithinPartitions("file", "at")
 
     def read(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

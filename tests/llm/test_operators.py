@@ -169,6 +169,34 @@ def test_token_table(spark):
     assert tokens.token_table(docs_of(spark, []), path).count() == 0
 
 
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_encoders_agree_with_their_tokenizers(name):
+    public = pytest.importorskip("public_tokenizers")
+    import numpy as np
+    from tokenizers import Tokenizer
+
+    rng = random.Random(5)
+    signs = list("abcXYZéÉßäÄñÑçİıſKﬁǅǰẖẗ ÅåΣσς0129٣.,!*$#%&;:?'\"<>|-_()[]{}—“”\n\t\r\x1c\x85\u0331\u0301\u0307\u0308\u030c中文日本語кириллицаЖ🙂 ")
+    signs += ["'s", "'t", "'re", "<|endoftext|>", "<|ENDOFTEXT|>", "<|startoftext|>", " ", " ", "\n", "don't", "The"]
+    whole, fast = Tokenizer.from_file(public.path(name)), tokens.make_encoder(public.path(name))
+    assert isinstance(fast, tokens.WordEncoder) == name.startswith("word")
+    for _ in range(40):
+        texts = ["".join(rng.choice(signs) for _ in range(rng.randrange(60))) for _ in range(60)]
+        want = [np.array(whole.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+        assert fast.encode(texts) == want
+
+
+def test_starts_run_over_groups_of_parts(spark, monkeypatch):
+    public = pytest.importorskip("public_tokenizers")
+    monkeypatch.setattr(tokens, "PARTS_A_GROUP", 2)
+    folder = common.scratch(spark, "t")
+    texts = ["long " * 3000, *("w%d" % i for i in range(60))]
+    manifest = tokens.write_tokens(docs_of(spark, texts, list(range(len(texts)))), public.path("word_bpe_49k.json"), folder, part_bytes=200, file_ids=8)
+    assert manifest.select("part").distinct().count() > 6
+    rows = sorted(tokens.read_tokens(manifest, folder).collect(), key=lambda r: r.doc_id)
+    assert [r.start for r in rows] == [sum(r.n_tokens for r in rows[:i]) for i in range(len(rows))]
+
+
 # decontamination
 
 
