@@ -81,7 +81,7 @@ def test_memo_encoder_equals_the_tokenizer():
     from tokenizers import Tokenizer
 
     path = public.path("word_bpe_49k.json")
-    own, whole = tokens.Encoder(path, 40, 30), Tokenizer.from_file(path)
+    own, whole = tokens.WordEncoder(Tokenizer.from_file(path), 40, 30), Tokenizer.from_file(path)
     texts = ["", " ", "It's  the\n\nCIÓN x\tÄÖ ", "a<|endoftext|> b 12 3.4", "é ́ \x1c  z", "ΣΑΣ ΣΑΣ.", "J̌.J̌ ǰ, İ! A.b. x., ..! Don't!! 's.'re, <|endoftext|>. ½. ² Ⅷ,", *("w%d v%d" % (i, i) for i in range(60))]
     for t in texts:
         for got, text in zip(own.encode([t, t + " end"]), [t, t + " end"]):
