@@ -1,25 +1,32 @@
 """Mixing documents to target token shares by soft domain membership, with DataFrame functions only.
 
-A naive Bayes classifier over letters is trained on the documents of a labelled table,
-whose domain is known; it gives every document a posterior over domains. Document rates
+A multinomial naive Bayes classifier over hashed words is trained on the documents of a
+labelled table, whose domain is known; it gives every document a posterior over domains.
+Words are runs between blanks; in scripts written without blanks each letter is a word
+of its own. The log likelihood of a text is scaled to that of at most ``EVIDENCE`` words,
+which keeps memberships soft for long texts; every word of a text counts. Document rates
 r >= ``low`` then minimise the squared distance between expected domain token totals,
-sum of r * tokens * posterior, and the targets. The fit is projected gradient descent:
-each step sums the totals over all documents, turns the residual into one vector v over
-domains (scaled by the inverse of the tokens' second moments, which makes a step exact
-where no rate is at its limit) and sets r to max(low, r + posterior . v). A rate is thus
-a short chain of expressions over the posterior; only totals, one number for each pair
-of domains, reach the driver.
-
-Defined results: a null text has no tokens and the prior as its posterior; documents
-with a null domain are scored but teach nothing; targets of domains that no labelled
-document has are left out and the others share their weight; without any labelled
-document all rates are 1 (or ``low``, if larger); repeated rows have equal rates; an
+sum of r * tokens * posterior, and the targets, in the norm given by the inverse of the
+tokens' second moments S = sum of tokens * posterior * posterior'. The fit is projected
+gradient descent: each step sums the totals over all documents, turns the residual into
+one vector v = S^-1 (target - totals) over domains and sets r to max(low, r + posterior . v).
+With a document's step divided by its tokens the curvature of that objective is 1, so a
+full step never overshoots. A rate is thus a short chain of expressions over the
+posterior; only totals, one number for each pair of domains, and the classifier's word
+counts, BUCKETS numbers a domain, reach the driver.
+
+Defined results: a null or empty text has no tokens and the prior as its posterior; a very
+long text is scored whole; documents with a null domain are scored but teach nothing;
+targets of domains that no labelled document has are left out and the others share their
+weight; without any labelled document all rates are 1 (or ``low``, if larger); repeated
+rows have equal rates, and ties of the likeliest domain go to the first by name; an
 empty table gives an empty result. In ``mixed`` other columns pass through.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterable
 from dataclasses import dataclass
 
 import numpy as np
@@ -27,86 +34,75 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import pick, written
-from .quality_rules import let
 
-LETTERS = "abcdefghijklmnopqrstuvwxyzäöüßéèêàçñóíá"
 MAX_DOMAINS = 64
-EVIDENCE = 60.0  # letters of evidence at most: keeps memberships soft for long texts
+BUCKETS = 4096
+EVIDENCE = 12.0
+#: Code points of the main scripts that are written without blanks.
+UNSPACED = r"[\u0E00-\u109F\u1780-\u17FF\u2E80-\uA4CF\uF900-\uFAFF\x{1B000}-\x{3FFFF}]"
 
 
-def tokens_of(text: Column) -> Column:
-    """Words between blanks."""
-    return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(r"\S+")).cast("double")
+def word_buckets(text: Column) -> Column:
+    """The hash bucket of each word of a text."""
+    full = F.coalesce(text, F.lit(""))
+    spaced = F.when(full.rlike(UNSPACED), F.regexp_replace(full, f"({UNSPACED})", " $1 ")).otherwise(full)
+    found = F.filter(F.split(spaced, r"\s"), lambda w: w != "")
+    return F.transform(found, lambda w: F.pmod(F.hash(w), F.lit(BUCKETS)))
 
 
-def letter_counts(text: Column) -> list[Column]:
-    full = F.lower(F.coalesce(text, F.lit("")))
-    return [(F.char_length(full) - F.char_length(F.replace(full, F.lit(c)))).cast("double") for c in LETTERS]
-
-
-def names(n: int = len(LETTERS)) -> list[str]:
-    return [f"f{i}" for i in range(n)]
-
-
-def feature_columns(df: DataFrame, text: str = "text") -> DataFrame:
-    """df with its token count ``t`` and letter counts f0, f1, ..."""
-    return df.withColumns({"t": tokens_of(F.col(text)), **dict(zip(names(), letter_counts(F.col(text)), strict=True))})
+def numbers(values: Iterable[float]) -> Column:
+    """A constant array; the optimizer folds the text into one literal."""
+    return F.split(F.lit(",".join(f"{x:.5f}" for x in values)), ",").cast("array<double>")
 
 
 @dataclass(frozen=True)
 class Classifier:
-    """Domains in ascending order, their log priors and log letter shares."""
+    """Domains in ascending order, their log priors, and each domain's log share of every bucket."""
 
     domains: tuple[str, ...]
     priors: tuple[float, ...]
-    weights: tuple[tuple[float, ...], ...]
-
-    def log_weights(self, features: list[Column]) -> list[Column]:
-        """One column for each domain: the log of its weight before scaling to 1."""
-        total = F.greatest(sum(features[1:], features[0]), F.lit(1.0))
-        scale = F.least(F.lit(1.0), F.lit(EVIDENCE) / total)
-        return [
-            F.lit(p) + scale * sum((F.lit(w) * f for w, f in zip(ws[1:], features[1:], strict=True)), F.lit(ws[0]) * features[0])
-            for p, ws in zip(self.priors, self.weights, strict=True)
-        ]
-
-
-def train(features: DataFrame, labelled: DataFrame, domain: str) -> Classifier:
-    """Multinomial naive Bayes over letters, from sums by domain over labelled documents."""
-    known = features.join(labelled.select("doc_id").distinct(), "doc_id", "left_semi").filter(F.col(domain).isNotNull())
-    rows = known.groupBy(domain).agg(F.count("*").alias("n"), *(F.sum(c).alias(c) for c in names())).orderBy(domain).limit(MAX_DOMAINS + 1).collect()
-    if len(rows) > MAX_DOMAINS:
-        raise ValueError(f"more than {MAX_DOMAINS} domains")
-    all_rows = sum(r["n"] for r in rows)
-    weights = []
-    for r in rows:
-        counts = [r[c] + 1.0 for c in names()]
-        whole = sum(counts)
-        weights.append(tuple(math.log(c / whole) for c in counts))
-    return Classifier(tuple(r[domain] for r in rows), tuple(math.log(r["n"] / all_rows) for r in rows), tuple(weights))
+    weights: np.ndarray
 
+    def posterior(self, df: DataFrame, buckets: str) -> DataFrame:
+        """df with p0, p1, ... in place of its column of buckets."""
+        k = len(self.domains)
+        if not k:
+            return df.drop(buckets)
+        scale = F.least(F.lit(1.0), F.lit(EVIDENCE) / F.greatest(F.size(buckets), F.lit(1)))
 
-def with_posterior(df: DataFrame, model: Classifier) -> DataFrame:
-    """df(t, f0, ...) with p0, p1, ... in place of the letter counts."""
-    k = len(model.domains)
-    logs = model.log_weights([F.col(c) for c in names()])
-    out = df.withColumns({f"l{i}": x for i, x in enumerate(logs)}).drop(*names())
-    top = F.greatest(*(f"l{i}" for i in range(k))) if k > 1 else F.col("l0")
-    out = out.withColumns({f"e{i}": F.exp(F.col(f"l{i}") - top) for i in range(k)})
-    whole = sum((F.col(f"e{i}") for i in range(1, k)), F.col("e0"))
-    return out.withColumns({f"p{i}": F.col(f"e{i}") / whole for i in range(k)}).drop(*(f"{c}{i}" for c in "le" for i in range(k)))
+        def total(ws: np.ndarray) -> Column:
+            table = numbers(ws)
+            return F.aggregate(buckets, F.lit(0.0), lambda a, b: a + F.get(table, b))
 
+        out = df.withColumns({f"l{i}": F.lit(p) + scale * total(ws) for i, (p, ws) in enumerate(zip(self.priors, self.weights, strict=True))})
+        top = F.greatest(*(f"l{i}" for i in range(k))) if k > 1 else F.col("l0")
+        out = out.drop(buckets).withColumn("top", top).withColumns({f"e{i}": F.exp(F.col(f"l{i}") - F.col("top")) for i in range(k)})
+        out = out.withColumn("whole", sum((F.col(f"e{i}") for i in range(1, k)), F.col("e0")))
+        out = out.withColumns({f"p{i}": F.col(f"e{i}") / F.col("whole") for i in range(k)})
+        return out.drop("top", "whole", *(f"{c}{i}" for c in "le" for i in range(k)))
 
-def posterior_of(features: Column, model: Classifier, body) -> Column:
-    """body applied to the posterior as an array; every intermediate array is computed once."""
-    k = len(model.domains)
-    logs = F.array(*model.log_weights([F.get(features, F.lit(i)) for i in range(len(LETTERS))]))
 
-    def scaled(e: Column) -> Column:
-        return let(F.aggregate(e, F.lit(0.0), lambda a, x: a + x), lambda whole: F.transform(e, lambda x: x / whole))
+def train(docs: DataFrame, labels: DataFrame, domain: str, max_train: int = 20_000) -> Classifier:
+    """Naive Bayes from word counts by domain over at most max_train labelled documents.
 
-    exps = let(logs, lambda ls: let(F.array_max(ls), lambda top: F.transform(ls, lambda x: F.exp(x - top))))
-    return let(let(exps, scaled), lambda p: body([F.get(p, F.lit(i)) for i in range(k)]))
+    Which ones is settled by a hash of doc_id over all of them. Counts are summed before
+    anything is gathered.
+    """
+    ids = pick(docs, "doc_id", domain).toDF("doc_id", "domain").filter("domain IS NOT NULL")
+    ids = ids.join(pick(labels, "doc_id").distinct(), "doc_id", "left_semi")
+    chosen = written(ids.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train), "chosen")
+    known = pick(docs, "doc_id", "text", domain).toDF("doc_id", "text", "domain").join(chosen, "doc_id", "left_semi").filter("domain IS NOT NULL")
+    rows = known.groupBy("domain").agg(F.count("*").alias("n")).orderBy("domain").limit(MAX_DOMAINS + 1).collect()
+    if len(rows) > MAX_DOMAINS:
+        raise ValueError(f"more than {MAX_DOMAINS} domains")
+    at = {r["domain"]: i for i, r in enumerate(rows)}
+    counts = np.ones((len(rows), BUCKETS))
+    # outer: else the optimizer adds a filter that cuts each text into words once more
+    words = known.select("domain", F.explode_outer(word_buckets(F.col("text"))).alias("b")).filter("b IS NOT NULL")
+    for r in words.groupBy("domain", "b").agg(F.count("*").alias("n")).collect():
+        counts[at[r["domain"]], r["b"]] += r["n"]
+    all_rows = sum(r["n"] for r in rows)
+    return Classifier(tuple(at), tuple(math.log(r["n"] / all_rows) for r in rows), np.log(counts / counts.sum(axis=1, keepdims=True)))
 
 
 def rate_of(steps: list[list[float]], start: float, low: float, p: list[Column]) -> Column:
@@ -195,16 +191,18 @@ def copies(rate: Column, key: Column) -> Column:
     return (F.floor(rate) + F.when(unit_hash(key) < rate - F.floor(rate), 1).otherwise(0)).cast("int")
 
 
-def prepare(docs: DataFrame, labels: DataFrame, domain: str) -> tuple[DataFrame, Classifier]:
-    features = written(feature_columns(pick(docs, "doc_id", "text", domain)).drop("text"), "features")
-    model = train(features, pick(labels, "doc_id"), domain)
-    members = with_posterior(features, model) if model.domains else features.drop(*names())
-    return written(members, "members"), model
+BINS = "buckets"
+
+
+def counted(docs: DataFrame, text: str) -> DataFrame:
+    """docs with the buckets of its words and their number ``t``."""
+    return docs.withColumn(BINS, word_buckets(F.col(text))).withColumn("t", F.size(BINS).cast("double"))
 
 
 def mix_table(docs: DataFrame, labels: DataFrame, weights: dict[str, float], domain: str = "lang", budget: float | None = None, low: float = 0.0) -> DataFrame:
     """doc_id, n_tokens, domain (the likeliest), posteriors, rate and copies of every document."""
-    members, model = prepare(docs, labels, domain)
+    model = train(docs, labels, domain)
+    members = written(model.posterior(counted(pick(docs, "doc_id", "text"), "text").drop("text"), BINS), "members")
     mix = fit(members, model, weights, budget, low)
     k = len(model.domains)
     post = F.array(*(F.col(f"p{i}") for i in range(k))) if k else F.array().cast("array<double>")
@@ -215,13 +213,16 @@ def mix_table(docs: DataFrame, labels: DataFrame, weights: dict[str, float], dom
 
 
 def mixed(docs: DataFrame, labels: DataFrame, weights: dict[str, float], domain: str = "lang", budget: float | None = None, low: float = 0.0) -> DataFrame:
-    """docs with each row as often as its copies say; the columns stay as they are."""
-    members, model = prepare(docs, labels, domain)
-    mix = fit(members, model, weights, budget, low)
+    """docs with each row as often as its copies say; the columns stay as they are.
+
+    Rows are written once with their posteriors beside them; the fit reads those columns
+    alone, the result the rest, so no text is scored twice and no row needs a key.
+    """
+    model = train(docs, labels, domain)
     inner = [f"c{i}" for i in range(len(docs.columns))]
-    flat = docs.toDF(*inner)
-    text = F.col(inner[docs.columns.index("text")])
-    rate = let(F.array(*letter_counts(text)), lambda f: posterior_of(f, model, mix.rate_at)) if model.domains else mix.rate()
-    n = let(rate, lambda r: copies(r, F.col(inner[docs.columns.index("doc_id")])))
-    repeated = flat.withColumn("copy", F.explode(F.array_repeat(F.lit(1), n)))
+    text, key = (inner[docs.columns.index(c)] for c in ("text", "doc_id"))
+    scored = written(model.posterior(counted(docs.toDF(*inner), text), BINS), "members")
+    mix = fit(scored, model, weights, budget, low)
+    n = copies(F.col("rate"), F.col(key))
+    repeated = scored.withColumn("rate", mix.rate()).withColumn("copy", F.explode(F.array_repeat(F.lit(1), n)))
     return repeated.select(*inner).toDF(*docs.columns)

@@ -275,6 +275,9 @@ def test_stupid_backoff(spark):
         assert abs(got[i].log_score - score) < 1e-9 and got[i].n_words == len(w)
         assert (got[i].mean_log_score is None) == (not w)
     assert lm_score.scores(docs_of(spark, [])).count() == 0
+    again = {r.doc_id: r.log_score for r in lm_score.scores(docs_of(spark, texts).repartition(7), 3, bucket_entries=500).collect()}
+    assert all(again[i] == got[i].log_score for i in again)  # to the last digit, however documents are dealt
+    assert got[0].log_score == 0 and got[0].mean_log_score is None
     table = lm_score.count_table(docs_of(spark, texts), 2, 3)
     assert table.agg(F.sum("n")).first()[0] == sum(n for g, n in grams.items() if len(g) < 3)
 
@@ -452,6 +455,68 @@ def test_classifier(spark):
 # mixing
 
 
+def posterior_reference(texts, labelled, domains, text):
+    """The classifier, word by word: labelled is a list of (text, domain)."""
+    counts = {d: collections.Counter() for d in domains}
+    for t, d in labelled:
+        counts[d].update(hashed(w) for w in (t or "").split())
+    logs = []
+    words = (text or "").split()
+    scale = min(1.0, mixing.EVIDENCE / max(1, len(words)))
+    for d in domains:
+        whole = sum(counts[d].values()) + mixing.BUCKETS
+        prior = math.log(sum(x == d for _, x in labelled) / len(labelled))
+        logs.append(prior + scale * sum(math.log((counts[d][hashed(w)] + 1) / whole) for w in words))
+    e = [math.exp(x - max(logs)) for x in logs]
+    return [x / sum(e) for x in e]
+
+
+HASHES = {}
+
+
+def hashed(word):
+    return HASHES[word]
+
+
+def test_mixing_posteriors_and_rates_by_brute_force(spark):
+    """Posteriors word by word, in other scripts too; rates against least squares over explicit documents."""
+    import numpy as np
+
+    rng = random.Random(15)
+    vocab = {"el": ["και", "το", "είναι", "που"], "ru": ["и", "в", "не", "что"], "zh": list("的一是不了人我在有他")}
+    rows = []
+    for i in range(150):
+        d = ["el", "ru", "zh"][i % 3]
+        w = [rng.choice(vocab[d] if rng.random() < 0.9 else vocab["el"]) for _ in range(rng.randrange(1, 30))]
+        rows.append((i, "".join(w) if d == "zh" and rng.random() < 0.7 and all(len(x) == 1 for x in w) else " ".join(w), d))
+    rows += [(150, None, "el"), (151, "και " * 20_000, None), (152, "", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i,) for i in range(90)], "doc_id long")
+    spaced = {i: " ".join(x if x.isascii() else "".join(f" {c} " if c in vocab["zh"] else c for c in x) for x in (t or "").split()) for i, t, _ in rows}
+    words = sorted({w for t in spaced.values() for w in t.split()})
+    for w, h in spark.createDataFrame([(w,) for w in words], "w string").select("w", F.pmod(F.hash("w"), F.lit(mixing.BUCKETS))).collect():
+        HASHES[w] = h
+    for low, weights in ((0.0, {"el": 1, "ru": 1, "zh": 3}), (1.0, {"el": 1, "ru": 6, "zh": 1})):
+        got = {r.doc_id: r for r in mixing.mix_table(docs, labels, weights, budget=3000.0, low=low).collect()}
+        labelled = [(spaced[i], d) for i, t, d in rows[:90]]
+        for i in range(0, 153, 7):
+            assert got[i].posteriors == pytest.approx(posterior_reference(None, labelled, ["el", "ru", "zh"], spaced[i]), abs=2e-3)
+        assert got[150].n_tokens == 0 and got[151].n_tokens == 20_000
+        t = np.array([got[i].n_tokens for i in range(153)], float)
+        p = np.array([got[i].posteriors for i in range(153)])
+        target = np.array([weights[d] for d in ("el", "ru", "zh")], float)
+        target *= 3000.0 / target.sum()
+        metric = np.linalg.inv((p * t[:, None]).T @ p)
+        r = np.maximum(low, np.ones(len(t)))
+        for _ in range(4000):  # plain projected gradient on the same objective, one rate a document
+            gap = target - (r * t) @ p
+            r = np.maximum(low, r + 0.5 * (p @ (metric @ gap)))
+        gap = target - (r * t) @ p
+        own = target - np.array([got[i].rate for i in range(153)]) * t @ p
+        assert min(got[i].rate for i in range(153)) >= low
+        assert own @ metric @ own <= gap @ metric @ gap + 1e-3 * (target @ metric @ target)
+
+
 def test_mixing_meets_its_targets(spark):
     random.seed(14)
     rows = []
