@@ -5,23 +5,29 @@ S(w | context) is c(context w) / c(context) where the n-gram was seen at least
 c(w) / N. Shorter contexts stand at a document's first words; n-grams do not cross
 documents. A document's score is the sum of log10 S over its words.
 
-Relations: documents become blocks (word dictionary and word numbers, written once to
-files that tasks read at a place); each block's distinct n-grams with their counts are dealt by hash into buckets, which
-sum them into the count table; the table's counts are joined back to the blocks that
-asked, where the exploded n-grams read them and are summed by document. Blocks and
-buckets pass arrays instead of rows. A frequent n-gram costs one entry a block, and
-buckets and blocks are bounded in entries, so nothing grows with one key.
-
-N-grams compare by HASH_BITS bits of hash: of n distinct ones, a share of about
-n / 2**HASH_BITS meets another's count (2e-7 of 1e10, the n-grams of 30 GB).
-
-Defined results: a null or empty text has no words, score 0 and null mean; repeated rows are scored alike and counted each; an empty table gives an empty result.
-Other columns are not read.
+Relations: documents become blocks (word dictionary and word numbers), a Parquet table
+bucketed by block. Each block explodes into its distinct n-grams with their counts, which
+are dealt by hash into buckets; a bucket sums them, which makes it a part of the count
+table, and answers each block that asked. The answers meet the blocks in a join that
+moves only the answers, and the scores are summed by document. Blocks and buckets pass
+packed arrays: of one row an n-gram the shuffle alone would be over five times the input.
+A frequent n-gram costs one entry a block, buckets and blocks are bounded in entries, and
+a block sends one row to each bucket that it has n-grams for, so the rows are at most the
+n-grams and nothing grows with one key.
+
+N-grams compare by 64 bits of hash: of n distinct ones, a share of about n / 2**64 meets
+another's count (5e-10 of 1e10, the n-grams of 30 GB). A document's sum depends on its
+own words and the counts only, not on how documents are dealt.
+
+Defined results: a null or empty text has no words, score 0 and null mean; a very long
+text is one block of its own; repeated rows are scored alike and counted each; ties do
+not arise; an empty table gives an empty result. Other columns are not read.
 """
 
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -29,14 +35,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, column, pick, scratch, utf8, written
-from .warc import open_fs
+from .common import blocks, column, pick, scratch, utf8
 from .words import FOLD, MULT, mix
 
 U = np.uint64
 NO_KEY = -(1 << 62)
-HASH_BITS = 56
-BLOCK_SCHEMA = "block long, file string, offset long, lengths array<long>, n_words long"
+BLOCK_SCHEMA = "block long, docs binary, words binary, hashes binary, n_words long"
 
 
 def planes(a: np.ndarray) -> bytes:
@@ -50,7 +54,7 @@ def from_planes(data: bytes, kind: str) -> np.ndarray:
 
 
 def packed(a: np.ndarray) -> bytes:
-    """planes(a), compressed: word numbers are skewed, so their planes shrink well."""
+    """planes(a), compressed: skewed numbers have planes that shrink well."""
     data = planes(a)
     return len(data).to_bytes(8, "little") + pa.compress(data, codec="zstd", asbytes=True)
 
@@ -59,71 +63,46 @@ def unpacked(data: bytes, kind: str) -> np.ndarray:
     return from_planes(pa.decompress(data[8:], int.from_bytes(data[:8], "little"), codec="zstd", asbytes=True), kind)
 
 
-def corpus_blocks(docs: DataFrame, block_bytes: int = 8 << 20) -> DataFrame:
-    """(block, file, offset, lengths, n_words): where each block's parts stand, see ``block_parts``.
+def corpus_blocks(docs: DataFrame, block_bytes: int = 8 << 20, bucket_bytes: int = 32 << 20) -> DataFrame:
+    """(block, docs, words, hashes, n_words): doc_ids and word counts, packed word numbers, the words' hashes.
 
-    A task writes one file, under a name of its own attempt; rows name the file of the
-    attempt that succeeded.
+    The table is bucketed by block, so that joins on block do not move it.
     """
-    folder = scratch(docs.sparkSession, "block-files")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        task = TaskContext.get()
-        serial, at, out = task.partitionId() << 32, 0, None
-        name = f"{folder}/blocks-{task.partitionId():06d}-{task.taskAttemptId()}"
-        try:
-            for batch in batches:
-                ids = column(batch, "doc_id")
-                data, offs = utf8(column(batch, "text"))
-                for lo, hi in blocks(offs, block_bytes):
-                    text = data[offs[lo] : offs[hi]].tobytes().translate(FOLD)
-                    cuts = (offs[lo : hi + 1] - offs[lo]).tolist()
-                    local: dict[bytes, int] = {}
-                    words, counts = [], []
-                    for a, b in zip(cuts, cuts[1:], strict=False):
-                        w = text[a:b].split()
-                        for x in w:
-                            if x not in local:
-                                local[x] = len(local)
-                        words.append(np.fromiter(map(local.__getitem__, w), np.uint32, len(w)))
-                        counts.append(len(w))
-                    keys = np.array([NO_KEY if k is None else k for k in ids.slice(lo, hi - lo).to_pylist()], np.int64)
-                    heads = b"".join(hashlib.blake2b(x, digest_size=8).digest() for x in local)
-                    parts = [np.concatenate([keys, np.array(counts, np.int64)]).tobytes(), packed(np.concatenate(words)), heads]
-                    if out is None:
-                        fs, path = open_fs(name)
-                        fs.create_dir(path.rpartition("/")[0], recursive=True)
-                        out = fs.open_output_stream(path, compression=None)
-                    for part in parts:
-                        out.write(part)
-                    lengths = [len(part) for part in parts]
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array([serial], pa.int64()),
-                            pa.array([name]),
-                            pa.array([at], pa.int64()),
-                            pa.array([lengths], pa.list_(pa.int64())),
-                            pa.array([sum(counts)], pa.int64()),
-                        ],
-                        names=["block", "file", "offset", "lengths", "n_words"],
-                    )
-                    serial, at = serial + 1, at + sum(lengths)
-        finally:
-            if out is not None:
-                out.close()
-
-    return written(pick(docs, "doc_id", "text").mapInArrow(run, BLOCK_SCHEMA), "blocks")
-
-
-def block_parts(file: str, offset: int, lengths: list[int]) -> list[bytes]:
-    """A block's doc_ids and word counts, its packed word numbers, and its words' hashes."""
-    fs, path = open_fs(file)
-    with fs.open_input_file(path) as src:
-        data = src.read_at(sum(lengths), offset)
-    ends = np.cumsum([0, *lengths]).tolist()
-    return [data[a:b] for a, b in zip(ends, ends[1:], strict=False)]
+        serial = TaskContext.get().partitionId() << 32
+        for batch in batches:
+            ids = column(batch, "doc_id")
+            data, offs = utf8(column(batch, "text"))
+            for lo, hi in blocks(offs, block_bytes):
+                text = data[offs[lo] : offs[hi]].tobytes().translate(FOLD)
+                cuts = (offs[lo : hi + 1] - offs[lo]).tolist()
+                local: dict[bytes, int] = {}
+                words, counts = [], []
+                for a, b in zip(cuts, cuts[1:], strict=False):
+                    w = text[a:b].split()
+                    for x in w:
+                        if x not in local:
+                            local[x] = len(local)
+                    words.append(np.fromiter(map(local.__getitem__, w), np.uint32, len(w)))
+                    counts.append(len(w))
+                keys = np.array([NO_KEY if k is None else k for k in ids.slice(lo, hi - lo).to_pylist()], np.int64)
+                heads = b"".join(hashlib.blake2b(x, digest_size=8).digest() for x in local)
+                parts = [np.concatenate([keys, np.array(counts, np.int64)]).tobytes(), packed(np.concatenate(words)), heads]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([serial], pa.int64()), *(pa.array([x], pa.binary()) for x in parts), pa.array([sum(counts)], pa.int64())],
+                    names=["block", "docs", "words", "hashes", "n_words"],
+                )
+                serial += 1
+
+    spark, own = docs.sparkSession, pick(docs, "doc_id", "text")
+    n_bytes = own.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    name = f"lm_blocks_{uuid.uuid4().hex}"
+    out = own.mapInArrow(run, BLOCK_SCHEMA).write.bucketBy(min(10_000, max(1, -(-n_bytes // bucket_bytes))), "block")
+    out.option("path", scratch(spark, "blocks")).option("compression", "zstd").saveAsTable(name)
+    return spark.table(name)
 
 
 def block_grams(docs: bytes, words: bytes, hashes: bytes, order: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
@@ -141,14 +120,15 @@ def block_grams(docs: bytes, words: bytes, hashes: bytes, order: int) -> tuple[l
 
 
 def distinct_grams(grams: list[np.ndarray], there: list[np.ndarray], inverse: bool):
-    flat = np.concatenate([g[t] for g, t in zip(grams, there, strict=True)]) >> U(64 - HASH_BITS)
+    flat = np.concatenate([g[t] for g, t in zip(grams, there, strict=True)])
     return np.unique(flat, return_counts=not inverse, return_inverse=inverse)
 
 
-def cuts_of(grams: np.ndarray, buckets: int) -> np.ndarray:
-    """Where the ascending hashes pass from bucket to bucket: equal ranges of the hash."""
-    edges = np.array([(b << HASH_BITS) // buckets for b in range(1, buckets)], np.uint64)
-    return np.concatenate([[0], np.searchsorted(grams, edges), [len(grams)]])
+def ranges(grams: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """The buckets, equal ranges of the hash, that ascending hashes fall into, and where each one's begin."""
+    own = (grams >> U(32)) * U(buckets) >> U(32)
+    heads = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]])) if len(own) else np.empty(0, np.int64)
+    return own[heads].astype(np.int32), np.append(heads, len(own))
 
 
 ENTRY_SCHEMA = "bucket int, block long, grams binary, counts binary"
@@ -157,67 +137,70 @@ ENTRY_SCHEMA = "bucket int, block long, grams binary, counts binary"
 def narrow(counts: np.ndarray) -> bytes:
     top = int(counts.max(initial=0))
     kind = "<u1" if top < 1 << 8 else "<u4" if top < 1 << 32 else "<u8"
-    return kind[-1].encode() + planes(counts.astype(kind))
+    return kind[-1].encode() + packed(counts.astype(kind))
 
 
 def wide(data: bytes) -> np.ndarray:
-    return from_planes(data[1:], f"<u{data[:1].decode()}").astype(np.int64)
+    return unpacked(data[1:], f"<u{data[:1].decode()}").astype(np.int64)
+
+
+def grams_of(data: bytes) -> np.ndarray:
+    return np.cumsum(unpacked(data, "<u8"), dtype=np.uint64)
 
 
 def block_counts(table: DataFrame, order: int, buckets: int) -> DataFrame:
-    """Each block's distinct n-grams and their counts, one row for each bucket."""
-    tasks = min(max(1, table.count()), 100_000)
+    """Each block's distinct n-grams and their counts, one row for each bucket that they fall into."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in range(batch.num_rows):
-                block, file, offset, lengths = (batch.column(i)[r].as_py() for i in range(4))
-                grams, counts = distinct_grams(*block_grams(*block_parts(file, offset, lengths), order), inverse=False)
-                cut = cuts_of(grams, buckets)
-                for b in range(buckets):
-                    g, c = grams[cut[b] : cut[b + 1]], counts[cut[b] : cut[b + 1]]
-                    if len(g):
-                        steps = np.diff(g, prepend=U(0))
-                        yield pa.RecordBatch.from_arrays(
-                            [pa.array([b], pa.int32()), pa.array([block], pa.int64()), pa.array([planes(steps)], pa.binary()), pa.array([narrow(c)], pa.binary())],
-                            names=["bucket", "block", "grams", "counts"],
-                        )
-
-    return table.select("block", "file", "offset", "lengths").repartition(tasks).mapInArrow(run, ENTRY_SCHEMA)
-
-
-def summed(key: tuple, rows: pa.Table) -> pa.Table:
-    """The count table of a bucket, read by each block that has its n-grams."""
-    order = np.argsort(rows.column("block").to_numpy(), kind="stable").tolist()
-    parts = [np.cumsum(from_planes(rows.column("grams")[i].as_py(), "<u8"), dtype=np.uint64) for i in order]
-    own = [wide(rows.column("counts")[i].as_py()) for i in order]
+                block, docs, words, hashes = (batch.column(i)[r].as_py() for i in range(4))
+                grams, counts = distinct_grams(*block_grams(docs, words, hashes, order), inverse=False)
+                own, ends = ranges(grams, buckets)
+                for i in range(0, len(own), 256):
+                    cuts = ends[i : i + 257].tolist()
+                    spans = list(zip(cuts, cuts[1:], strict=False))
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            pa.array(own[i : i + len(spans)]),
+                            pa.array([block] * len(spans), pa.int64()),
+                            pa.array([packed(np.diff(grams[a:b], prepend=U(0))) for a, b in spans], pa.binary()),
+                            pa.array([narrow(counts[a:b]) for a, b in spans], pa.binary()),
+                        ],
+                        names=["bucket", "block", "grams", "counts"],
+                    )
+
+    return table.select("block", "docs", "words", "hashes").mapInArrow(run, ENTRY_SCHEMA)
+
+
+def summed(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[int]]:
+    """A bucket's n-grams and their counts; each entry's place among them; the entries' sizes."""
+    parts = [grams_of(x.as_py()) for x in rows.column("grams")]
     grams, at = np.unique(np.concatenate(parts), return_inverse=True)
     total = np.zeros(len(grams), np.int64)
-    np.add.at(total, at, np.concatenate(own))
-    found, ends = total[at], np.cumsum([0, *map(len, parts)])
+    np.add.at(total, at, np.concatenate([wide(x.as_py()) for x in rows.column("counts")]))
+    return grams, total, at, [len(x) for x in parts]
+
+
+def answers(key: tuple, rows: pa.Table) -> pa.Table:
+    """The counts of a bucket, for each block in the order of its n-grams."""
+    _, total, at, sizes = summed(rows)
+    found, ends = total[at], np.cumsum([0, *sizes])
     back = [narrow(found[a:b]) for a, b in zip(ends, ends[1:], strict=False)]
     return pa.table(
-        [
-            pa.array([key[0].as_py()] * len(order), pa.int32()),
-            pa.array([rows.column("block")[i].as_py() for i in order], pa.int64()),
-            pa.array(back, pa.binary()),
-        ],
+        [pa.array([key[0].as_py()] * len(back), pa.int32()), rows.column("block"), pa.array(back, pa.binary())],
         names=["bucket", "block", "counts"],
     )
 
 
 def count_table(docs: DataFrame, order: int = 3, buckets: int = 64) -> DataFrame:
     """(gram, n): the hash and the corpus count of every n-gram up to the order."""
-    entries = block_counts(corpus_blocks(docs), order, buckets)
 
     def run(key: tuple, rows: pa.Table) -> pa.Table:
-        parts = [np.cumsum(from_planes(x.as_py(), "<u8"), dtype=np.uint64) for x in rows.column("grams")]
-        grams, at = np.unique(np.concatenate(parts), return_inverse=True)
-        total = np.zeros(len(grams), np.int64)
-        np.add.at(total, at, np.concatenate([wide(x.as_py()) for x in rows.column("counts")]))
+        grams, total, _, _ = summed(rows)
         return pa.table([pa.array(grams.view(np.int64)), pa.array(total)], names=["gram", "n"])
 
-    return entries.groupBy("bucket").applyInArrow(run, "gram long, n long")
+    return block_counts(corpus_blocks(docs), order, buckets).groupBy("bucket").applyInArrow(run, "gram long, n long")
 
 
 SCORE_SCHEMA = "doc_id long, n_words long, n_full long, log_score double, mean_log_score double"
@@ -228,10 +211,10 @@ def scores(docs: DataFrame, order: int = 3, alpha: float = 0.4, min_count: int =
     table = corpus_blocks(docs)
     total = table.agg(F.coalesce(F.sum("n_words"), F.lit(0))).first()[0]
     buckets = max(1, -(-total * order // bucket_entries))
-    counts = block_counts(table, order, buckets).groupBy("bucket").applyInArrow(summed, "bucket int, block long, counts binary")
+    counts = block_counts(table, order, buckets).groupBy("bucket").applyInArrow(answers, "bucket int, block long, counts binary")
 
     def run(key: tuple, blocks_: pa.Table, found: pa.Table) -> pa.Table:
-        parts = block_parts(*(blocks_.column(c)[0].as_py() for c in ("file", "offset", "lengths")))
+        parts = [blocks_.column(c)[0].as_py() for c in ("docs", "words", "hashes")]
         ids, n = np.frombuffer(parts[0], np.int64).reshape(2, -1)
         grams, there = block_grams(*parts, order)
         per = [np.zeros(len(g), np.int64) for g in grams]
@@ -252,16 +235,18 @@ def scores(docs: DataFrame, order: int = 3, alpha: float = 0.4, min_count: int =
             backed = np.where(there[k], score + np.log10(alpha), score)
             score = np.where(seen, np.log10(np.maximum(per[k], 1) / np.maximum(before, 1)), backed)
             full = seen
-        ends = np.concatenate([[0], np.cumsum(n)])
-        sums = np.concatenate([[0.0], np.cumsum(score)])
-        fulls = np.concatenate([[0], np.cumsum(full)])
-        doc_sum = sums[ends[1:]] - sums[ends[:-1]]
+        doc_sum, doc_full = np.zeros(len(n)), np.zeros(len(n), np.int64)
+        some = np.flatnonzero(n)
+        if len(some):
+            heads = (np.cumsum(n) - n)[some]
+            doc_sum[some] = np.add.reduceat(score, heads)
+            doc_full[some] = np.add.reduceat(full.astype(np.int64), heads)
         return pa.table(
             [
                 pa.array(ids, mask=ids == NO_KEY),
                 pa.array(n),
-                pa.array(fulls[ends[1:]] - fulls[ends[:-1]]),
-                pa.array(np.where(n > 0, doc_sum, 0.0)),
+                pa.array(doc_full),
+                pa.array(doc_sum),
                 pa.array(doc_sum / np.maximum(n, 1), mask=n == 0),
             ],
             names=["doc_id", "n_words", "n_full", "log_score", "mean_log_score"],
