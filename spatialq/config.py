@@ -24,7 +24,7 @@ DEFAULTS: dict[str, dict[str, Any]] = {
         "mode": "radial", "n_cells": 900, "n_genes": 20, "sigma": 0.1, "shape": "square",
     },
     "test": {
-        "method": "parallel_permutation", "metric": "nll_gaussian_mse", "decoder": "nn", "n_perms": 100, "n_reruns": 30, "epochs": 5000, "lr": 1e-3,
+        "method": "parallel_permutation", "metric": "nll_gaussian_mse", "decoder": "nn", "n_perms": 100, "n_nulls": 50, "n_reruns": 30, "epochs": 5000, "lr": 1e-3,
         "patience": 0, "seed": 0, "alpha": 0.05, "n_folds": 5, "delta": [0.05], "subset_fractions": [0.5, 0.7, 0.9],
         "block_radius": None, "block_shape": "hexagon", "block_jitter": True, "bin_shape": "hexagon", "bin_spot_distance_um": 100.0,
         "coordinate_um_per_unit": None, "msr_truncate_um": None, "msr_neighbor_radius_um": None, "moran": False, "moran_neighbor_radius_um": 30.0,
@@ -49,7 +49,7 @@ CHOICES = {
     ("test", "decoder"): ("linear", "quadratic", "nn"), ("test", "method"): METHODS,
     ("test", "block_shape"): ("square", "hexagon"), ("test", "bin_shape"): ("square", "hexagon"),
 }
-POSITIVE = {"data": ("n_cells", "n_genes", "min_cells_per_celltype", "spatial_region_split_min_samples"), "test": ("n_perms", "n_reruns", "epochs", "lr", "bin_spot_distance_um", "moran_neighbor_radius_um", "max_gradients")}
+POSITIVE = {"data": ("n_cells", "n_genes", "min_cells_per_celltype", "spatial_region_split_min_samples"), "test": ("n_perms", "n_nulls", "n_reruns", "epochs", "lr", "bin_spot_distance_um", "moran_neighbor_radius_um", "max_gradients")}
 WHITENING = {"freedman-lane": "freedman-lane", "freeman-lane": "freedman-lane", "freedman_lane": "freedman-lane", "loss-difference": "loss-difference", "loss_difference": "loss-difference", "nested-covariate": "loss-difference"}
 
 
@@ -107,7 +107,10 @@ def check(c: RunConfig) -> None:
     rules = [
         (d["source"] == "table" and not d["table"], "data.table is needed"),
         (bool(d["gene_list"]) and d["top_var_genes"] > 0, "gene_list and top_var_genes exclude each other"),
-        (t["metric"] not in TRAINED_METRICS, "trained tests take a loss metric"),
+        (t["metric"] not in (METRICS.values() if t["method"] == "comparison_perturbation_test" else TRAINED_METRICS), "trained tests take a loss metric"),
+        (t["recursive"] and t["method"] not in ("parallel_permutation", "full_retraining"), "recursive runs permute coordinates"),
+        (t["recursive"] and d["cell_type"] == "together", "recursive runs take one type at a time"),
+        (("msr" in t["method"] or t["method"] == "fourier_spectral_randomization") and (d["cell_type"] == "together" or t["metric"] == "nll_poisson_mse"), "surrogates take Gaussian losses of one group"),
         (t["metric"] == "nll_poisson_mse" and (d["log1p"] or d["normalize_total"]), "Poisson losses need raw counts"),
         (t["method"] == "block_permutation" and not t["block_radius"], "block_permutation needs block_radius"),
         (t["method"] == "cross_validation" and t["n_folds"] < 2, "n_folds must be at least 2"),

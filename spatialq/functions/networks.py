@@ -1,4 +1,7 @@
-"""Small encoder-decoder networks in NumPy: depth = encoder(x, y), expression = decoder(depth)."""
+"""Small encoder-decoder networks in NumPy, for the cells of one batch: depth = encoder(x, y), expression = decoder(depth).
+
+encoder: ``nn``, or ``midline``, the distance from a line whose angle and offset are learned.
+"""
 
 from __future__ import annotations
 
@@ -9,9 +12,10 @@ import numpy as np
 
 @dataclass(frozen=True)
 class Plan:
-    """How to train. decoder: linear, quadratic or nn; metric: gaussian or poisson."""
+    """How to train. decoder: linear, quadratic or nn; encoder: nn or midline; metric: gaussian or poisson."""
 
     decoder: str = "linear"
+    encoder: str = "nn"
     metric: str = "gaussian"
     epochs: int = 200
     rate: float = 5e-3
@@ -21,17 +25,17 @@ class Plan:
 
 
 class Adam:
-    def __init__(self, params: list[np.ndarray], rate: float) -> None:
+    """Steps for one flat vector of parameters a row; rows move on their own."""
+
+    def __init__(self, params: np.ndarray, rate: float) -> None:
         self.params, self.rate, self.t = params, rate, 0
-        self.m = [np.zeros_like(p) for p in params]
-        self.v = [np.zeros_like(p) for p in params]
+        self.m, self.v = np.zeros_like(params), np.zeros_like(params)
 
-    def step(self, grads: list[np.ndarray]) -> None:
+    def step(self, rows: np.ndarray, grads: np.ndarray) -> None:
         self.t += 1
-        for p, g, m, v in zip(self.params, grads, self.m, self.v, strict=True):
-            m += 0.1 * (g - m)
-            v += 0.001 * (g * g - v)
-            p -= self.rate * (m / (1 - 0.9**self.t)) / (np.sqrt(v / (1 - 0.999**self.t)) + 1e-8)
+        self.m[rows] += 0.1 * (grads - self.m[rows])
+        self.v[rows] += 0.001 * (grads * grads - self.v[rows])
+        self.params[rows] -= self.rate * (self.m[rows] / (1 - 0.9**self.t)) / (np.sqrt(self.v[rows] / (1 - 0.999**self.t)) + 1e-8)
 
 
 class Stack:
@@ -63,13 +67,33 @@ class Stack:
         return g, [*gw, *gb]
 
 
+class Midline:
+    """|x cos t + y sin t - c|, with two parameters."""
+
+    def __init__(self, rng: np.random.Generator) -> None:
+        self.t, self.c = rng.uniform(0, np.pi, 1), np.zeros(1)
+
+    def params(self) -> list[np.ndarray]:
+        return [self.t, self.c]
+
+    def forward(self, x: np.ndarray) -> np.ndarray:
+        self.x = x
+        self.u = x @ np.concatenate([np.cos(self.t), np.sin(self.t)]) - self.c
+        return np.abs(self.u)[:, None]
+
+    def backward(self, g: np.ndarray) -> tuple[None, list[np.ndarray]]:
+        own = g[:, 0] * np.sign(self.u)
+        turn = self.x @ np.concatenate([-np.sin(self.t), np.cos(self.t)])
+        return None, [np.array([(own * turn).sum()]), np.array([-own.sum()])]
+
+
 class DepthModel:
     """Encoder with a decoder for each group of cells (one group: a plain model)."""
 
     def __init__(self, n_genes: int, plan: Plan, n_groups: int = 1, n_covariates: int = 0) -> None:
         rng = np.random.default_rng(plan.seed)
         self.plan, h = plan, plan.hidden
-        self.encoder = Stack([2, h, h, 1], rng)
+        self.encoder = Midline(rng) if plan.encoder == "midline" else Stack([2, h, h, 1], rng)
         width = {"linear": 1, "quadratic": 2, "nn": 1}[plan.decoder] + n_covariates
         sizes = [width, h, h, n_genes] if plan.decoder == "nn" else [width, n_genes]
         self.decoders = [Stack(sizes, rng) for _ in range(n_groups)]
@@ -77,6 +101,16 @@ class DepthModel:
     def params(self) -> list[np.ndarray]:
         return [*self.encoder.params(), *(p for d in self.decoders for p in d.params())]
 
+    def flat(self) -> np.ndarray:
+        return np.concatenate([p.ravel() for p in self.params()])
+
+    def load(self, flat: np.ndarray) -> DepthModel:
+        at = 0
+        for p in self.params():
+            p[...] = flat[at : at + p.size].reshape(p.shape)
+            at += p.size
+        return self
+
     def predict(self, s: np.ndarray, group: np.ndarray, cov: np.ndarray | None) -> np.ndarray:
         self.z = self.encoder.forward(s)
         x = np.concatenate([self.z, self.z**2], 1) if self.plan.decoder == "quadratic" else self.z
@@ -97,42 +131,14 @@ class DepthModel:
         return [*self.encoder.backward(gz)[1], *grads]
 
 
-def loss_of(out: np.ndarray, a: np.ndarray, size: np.ndarray | None, mask: np.ndarray | None, metric: str) -> tuple[float, np.ndarray]:
-    """Mean loss over masked cells and its gradient at the outputs."""
-    m = np.ones(len(a)) if mask is None else mask.astype(float)
-    n = m.sum() * a.shape[1]
-    if n <= 0:
-        raise ValueError("the mask holds no cell")
+def loss_sums(out: np.ndarray, a: np.ndarray, factor: np.ndarray | None, metric: str) -> np.ndarray:
+    """The summed loss of each cell."""
     if metric == "poisson":
-        mu = np.exp(np.clip(out, -30, 30)) * (1.0 if size is None else size[:, None])
-        return float((m[:, None] * (mu - a * out)).sum() / n), m[:, None] * (mu - a) / n
+        return (factor * np.exp(np.clip(out, -30, 30)) - a * out).sum(1)
     d = out - a
-    return float((m[:, None] * d * d).sum() / n), 2 * m[:, None] * d / n
-
-
-def train(s: np.ndarray, a: np.ndarray, plan: Plan, group=None, cov=None, size=None, train_mask=None, test_mask=None) -> tuple[float, float, np.ndarray]:
-    """(train loss, loss on test_mask, depth) of the best state; stops when patience runs out.
-
-    The seed belongs to the model alone, so a layout's loss does not depend on how many
-    other layouts are fitted.
-    """
-    group = np.zeros(len(s), int) if group is None else group
-    model = DepthModel(a.shape[1], plan, int(group.max(initial=0)) + 1, 0 if cov is None else cov.shape[1])
-    params = model.params()
-    adam = Adam(params, plan.rate)
-    best, kept, left = np.inf, [p.copy() for p in params], plan.patience
-    for _ in range(plan.epochs):
-        value, g = loss_of(model.predict(s, group, cov), a, size, train_mask, plan.metric)
-        if value < best - 1e-5:
-            best, kept, left = value, [p.copy() for p in params], plan.patience
-        else:
-            left -= 1
-            if left <= 0:
-                break
-        adam.step(model.gradients(g))
-    for p, k in zip(params, kept, strict=True):
-        p[...] = k
-    out = model.predict(s, group, cov)
-    fit = loss_of(out, a, size, train_mask, plan.metric)[0]
-    test = loss_of(out, a, size, test_mask, plan.metric)[0] if test_mask is not None else fit
-    return fit, test, model.z[:, 0]
+    return (d * d).sum(1)
+
+
+def loss_slopes(out: np.ndarray, a: np.ndarray, factor: np.ndarray | None, metric: str) -> np.ndarray:
+    """Gradient of the summed loss at the outputs."""
+    return factor * np.exp(np.clip(out, -30, 30)) - a if metric == "poisson" else 2 * (out - a)

@@ -1,33 +1,50 @@
-"""Spectral surrogates of measurements: signs of spatial eigenmodes, Fourier phases."""
+"""Kernels of spectral surrogates for one bounded tile or one grid line."""
 
 from __future__ import annotations
 
-import numpy as np
+from collections.abc import Iterator
 
+import numpy as np
 
-def eigen_surrogate(s: np.ndarray, a: np.ndarray, radius: float, truncate: float, rng: np.random.Generator) -> np.ndarray:
-    """Random signs for the modes of the doubly centred weight matrix whose scale exceeds truncate.
 
-    Weights are 1 / distance within radius. One sign a mode is shared by all columns;
-    means stay. Dense in the number of cells, so callers bound it.
-    """
+def tile_weights(s: np.ndarray, radius: float) -> np.ndarray:
+    """1 / distance within radius, with a floor from the median distance."""
     d = np.sqrt(((s[:, None, :] - s[None, :, :]) ** 2).sum(-1))
     near = (d <= radius) & (d > 0)
     w = np.zeros_like(d)
     if near.any():
         floor = max(1e-4 * np.median(d[near]), 1e-9)
         w[near] = 1 / np.maximum(d[near], floor)
+    return w
+
+
+def turned_modes(values: np.ndarray, truncate: float, calibration: float) -> np.ndarray:
+    """Which modes take a random sign: those whose scale, calibration / sqrt(|eigenvalue|), exceeds truncate; all at 0.
+
+    Small eigenvalues belong to smooth, long-range modes; large ones to local modes, which stay.
+    """
+    if truncate <= 0:
+        return np.ones(len(values), bool)
+    return calibration / np.sqrt(np.maximum(np.abs(values), 1e-8)) > truncate
+
+
+def eigen_surrogates(s: np.ndarray, a: np.ndarray, radius: float, truncate: float, calibration: float, seeds: list[int]) -> Iterator[np.ndarray]:
+    """One surrogate of a for each seed; the eigenvectors of the doubly centred weights are found once.
+
+    One sign a mode is shared by all columns; means stay.
+    """
     n = len(s)
     center = np.eye(n) - 1.0 / n
-    values, vectors = np.linalg.eigh(center @ w @ center)
+    values, vectors = np.linalg.eigh(center @ tile_weights(s, radius) @ center)
     keep = np.abs(values) > 1e-8
     values, vectors = values[keep], vectors[:, keep]
     mean = a.mean(0)
     parts = vectors.T @ (a - mean)
     rest = a - mean - vectors @ parts
-    flip = np.abs(values) > truncate
-    signs = np.where(flip, rng.choice([-1.0, 1.0], len(values)), 1.0)
-    return mean + vectors @ (signs[:, None] * parts) + rest
+    turn = turned_modes(values, truncate, calibration)
+    for seed in seeds:
+        signs = np.where(turn, np.random.default_rng(seed).choice([-1.0, 1.0], len(values)), 1.0)
+        yield mean + vectors @ (signs[:, None] * parts) + rest
 
 
 def rank_surrogate(a: np.ndarray, reference: np.ndarray) -> np.ndarray:
@@ -36,28 +53,3 @@ def rank_surrogate(a: np.ndarray, reference: np.ndarray) -> np.ndarray:
     for g in range(a.shape[1]):
         out[np.argsort(reference[:, g], kind="stable"), g] = np.sort(a[:, g])
     return out
-
-
-def fourier_surrogate(grid: np.ndarray, rng: np.random.Generator) -> np.ndarray:
-    """grid (h, w, genes) with the phases of white noise added: powers and means stay, all genes alike."""
-    noise = np.fft.fft2(rng.normal(size=grid.shape[:2]))
-    turn = noise / np.abs(noise)
-    turn[0, 0] = 1.0
-    return np.real(np.fft.ifft2(np.fft.fft2(grid, axes=(0, 1)) * turn[:, :, None], axes=(0, 1)))
-
-
-def low_rank_poisson(y: np.ndarray, rank: int, rounds: int = 150, rate: float = 0.05, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
-    """Factors L, R of log means with size offsets and gene intercepts, by Adam from an SVD start."""
-    from .networks import Adam
-
-    size = np.log(np.maximum(y.sum(1, keepdims=True), 1.0))
-    base = np.log(np.maximum(y.sum(0, keepdims=True), 0.5)) - np.log(np.exp(size).sum())
-    u, s, vt = np.linalg.svd(np.log1p(y) - np.log1p(y).mean(0), full_matrices=False)
-    left, right = u[:, :rank] * np.sqrt(s[:rank]) * 0.1, vt[:rank].T * np.sqrt(s[:rank]) * 0.1
-    adam = Adam([left, right], rate)
-    for _ in range(rounds):
-        mu = np.exp(np.clip(size + base + left @ right.T, -15, 15))
-        g = (mu - y) / y.size
-        adam.step([g @ right, g.T @ left])
-    order = np.argsort(-np.linalg.norm(left, axis=0) * np.linalg.norm(right, axis=0))
-    return left[:, order], right[:, order]

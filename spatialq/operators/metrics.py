@@ -24,7 +24,11 @@ def losses(df: DataFrame, keys: list[str]) -> DataFrame:
 
 def masked_losses(df: DataFrame, mask: DataFrame, keys: list[str]) -> DataFrame:
     """Losses over the masked cells only; a key without any is an error at use."""
-    return losses(df.join(mask, [c for c in mask.columns], "left_semi"), keys)
+    on = df.join(mask.select(*mask.columns, F.lit(True).alias("_on")).distinct(), mask.columns, "left")
+    seen = on.groupBy(*keys).agg(F.count("_on").alias("_n"))
+    empty = seen.withColumn("_n", F.when(F.col("_n") == 0, F.raise_error(F.lit("an empty mask"))).otherwise(F.col("_n"))).filter("_n > 0")
+    found = losses(on.filter("_on"), keys)
+    return (empty.join(found, keys, "left") if keys else empty.crossJoin(F.broadcast(found))).drop("_n")
 
 
 def nll_poisson(df: DataFrame, keys: list[str]) -> DataFrame:

@@ -1,127 +1,261 @@
-"""Tests whose statistic is the loss of a trained network, one task a layout and rerun.
+"""Tests whose statistic is the loss of a trained network; every task trains on its own cells.
 
-Layouts are rows (slot, cell_id, x, y). The dense measurements of the cells go to the
-tasks as one broadcast of a checked size; larger inputs are refused and should be binned
-first. Results are (slot, rerun, loss); the least loss of each slot is its statistic.
+A table has one row a cell: its place in every layout, its measurements, and where it
+counts. One step is one pass over that table: each task adds up the gradients of all
+models over its cells, the sums are added up by model, and only they, a few thousand
+numbers a model, reach the driver, which moves the parameters. Cells are never gathered,
+so a layout may be of any size; models run in groups of bounded parameter bytes.
 """
 
 from __future__ import annotations
 
-from dataclasses import replace
+from collections.abc import Iterable, Iterator
+from dataclasses import dataclass, replace
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import surrogates
-from ..functions.networks import Plan, train
-from .metrics import permutation_p
+from ..functions.networks import Adam, DepthModel, Plan, loss_slopes, loss_sums
+from ..sources.scratch import written
+from .expr import type_size_factors
+from .metrics import nll_of_mse, permutation_p
 
-MAX_BYTES = 256 << 20
+GROUP_BYTES = 32 << 20
+CHUNK = 2048
 
 
-class Matrix:
-    """Cells in ascending id order with their measurements, types and coordinates."""
+def cell_table(slots: DataFrame, cells: DataFrame, expr: DataFrame, plan: Plan, by_type: bool = False, covariate: DataFrame | None = None, masks: DataFrame | None = None) -> DataFrame:
+    """One row a cell: xs, ys (by slot), a and factor (by gene), kind, cov, fit and judge (by variant).
 
-    def __init__(self, cells: DataFrame, expr: DataFrame) -> None:
-        n, genes = cells.count(), expr.select("gene").distinct().count()
-        if 8 * n * genes > MAX_BYTES:
-            raise ValueError(f"{n} cells x {genes} genes exceed {MAX_BYTES} bytes; bin the cells first")
-        frame = cells.select("cell_id", "x", "y", "cell_type").toPandas().sort_values("cell_id", ignore_index=True)
-        self.ids = frame["cell_id"].to_numpy()
-        self.s = frame[["x", "y"]].to_numpy(float)
-        self.types = np.unique(frame["cell_type"].astype(str), return_inverse=True)[1]
-        long = expr.toPandas()
-        names = np.sort(long["gene"].unique())
-        self.genes = names
-        self.a = np.zeros((len(self.ids), len(names)))
-        self.a[np.searchsorted(self.ids, long["cell_id"]), np.searchsorted(names, long["gene"])] = long["value"]
+    Layouts take the true layout's mean and scale. covariate: (cell_id, z), an input of
+    the decoder. masks: (variant, cell_id, fit, judge), which cells train and judge each
+    variant of a model; cells that a variant does not name are out of it.
+    """
+    m = slots.filter("slot = 0").agg(*(f(c).alias(f"_{n}{c}") for c in "xy" for n, f in (("m", F.avg), ("s", F.stddev_pop))))
+    place = [((F.col(c) - F.col(f"_m{c}")) / F.when(F.col(f"_s{c}") > 1e-8, F.col(f"_s{c}")).otherwise(1.0)).alias(c) for c in "xy"]
+    lay = slots.crossJoin(F.broadcast(m)).select("cell_id", F.struct("slot", *place).alias("p"))
+    lay = lay.groupBy("cell_id").agg(F.sort_array(F.collect_list("p")).alias("p")).select("cell_id", F.col("p.x").alias("xs"), F.col("p.y").alias("ys"))
+    if plan.metric == "poisson" and by_type:
+        typed = expr.join(cells.select("cell_id", "cell_type"), "cell_id")
+        expr = typed.join(type_size_factors(expr, cells), ["cell_type", "gene"]).select("cell_id", "gene", "value", "factor")
+    else:
+        expr = expr.withColumn("factor", F.lit(1.0))
+    rows = expr.groupBy("cell_id").agg(F.sort_array(F.collect_list(F.struct("gene", "value", "factor"))).alias("v"), F.sum("value").alias("total"))
+    factor = F.col("v.factor") if by_type else F.transform("v", lambda _: F.col("total"))
+    rows = rows.select("cell_id", F.col("v.value").alias("a"), factor.alias("factor"))
+    kinds = sorted(str(r[0]) for r in cells.select("cell_type").distinct().collect()) if by_type else []  # a few types
+    kind = F.array_position(F.array(*map(F.lit, kinds)), F.col("cell_type").cast("string")).cast("int") - 1 if by_type else F.lit(0)
+    own = cells.select("cell_id", kind.alias("kind")).join(lay, "cell_id").join(rows, "cell_id")
+    own = own.join(covariate.select("cell_id", F.array("z").alias("cov")), "cell_id") if covariate is not None else own.withColumn("cov", F.array().cast("array<double>"))
+    if masks is None:
+        own = own.withColumn("fit", F.array(F.lit(True))).withColumn("judge", F.array(F.lit(True)))
+    else:
+        n = masks.agg(F.max("variant")).first()[0] + 1
+        named = masks.groupBy("cell_id").agg(*(F.map_from_entries(F.collect_list(F.struct("variant", c))).alias(c) for c in ("fit", "judge")))
+        every = F.sequence(F.lit(0), F.lit(n - 1))
+
+        def flags_of(c: str):
+            return F.transform(every, lambda v: F.coalesce(F.try_element_at(F.col(c), v), F.lit(False))).alias(c)
+
+        own = own.join(named, "cell_id", "left").select("cell_id", "kind", "xs", "ys", "a", "factor", "cov", flags_of("fit"), flags_of("judge"))
+    return written(own, "cells")
+
+
+def null_table(cells: DataFrame, nulls: DataFrame) -> DataFrame:
+    """As cell_table, for one layout and nulls(slot, cell_id, a) that change the measurements: a holds those of all slots in turn."""
+    m = cells.agg(*(f(c).alias(f"_{n}{c}") for c in "xy" for n, f in (("m", F.avg), ("s", F.stddev_pop))))
+    place = [F.array((F.col(c) - F.col(f"_m{c}")) / F.when(F.col(f"_s{c}") > 1e-8, F.col(f"_s{c}")).otherwise(1.0)).alias(f"{c}s") for c in "xy"]
+    lay = cells.crossJoin(F.broadcast(m)).select("cell_id", F.lit(0).alias("kind"), *place, F.array().cast("array<double>").alias("cov"), F.array(F.lit(True)).alias("fit"), F.array(F.lit(True)).alias("judge"))
+    a = nulls.groupBy("cell_id").agg(F.sort_array(F.collect_list(F.struct("slot", "a"))).alias("r")).select("cell_id", F.flatten("r.a").alias("a"))
+    return written(lay.join(a, "cell_id").withColumn("factor", F.array(F.lit(1.0))), "cells")
+
+
+@dataclass(frozen=True)
+class Model:
+    slot: int
+    rerun: int
+    variant: int
+    seed: int
+
+
+def nested(batch: pa.RecordBatch, name: str) -> np.ndarray:
+    """A list column of equal lengths as a matrix."""
+    col = batch.column(batch.schema.names.index(name))
+    flat = col.flatten().to_numpy(zero_copy_only=False)
+    return flat.reshape(len(col), -1)
+
+
+class Trainer:
+    """Trains models(slot, rerun, variant) on a cell_table, or with nulls on a null_table."""
+
+    def __init__(self, table: DataFrame, plan: Plan, n_slots: int, reruns: int = 1, variants: int = 1, nulls: bool = False) -> None:
+        self.table, self.plan, self.nulls = table, plan, nulls
+        self.models = [Model(s, r, v, plan.seed * 1_000_003 + s * 1009 + r) for s in range(n_slots) for v in range(variants) for r in range(reruns)]
+        head = table.agg(F.max(F.size("a")), F.max(F.size("cov")), F.max("kind"), *(F.count_if(F.get(c, F.lit(v))) for v in range(variants) for c in ("fit", "judge"))).first()
+        if head[0] is None:
+            raise ValueError("no cell has measurements and a place in every layout")
+        self.shape = (head[0] // (n_slots if nulls else 1), head[2] + 1, head[1])
+        self.counts = np.array(head[3:], float).reshape(variants, 2) * self.shape[0]
+        if (self.counts == 0).any():
+            raise ValueError("a mask holds no cell")
+        size = self.network(self.models[0]).flat().size
+        self.best = np.zeros((len(self.models), size))
+        self.found = np.full((len(self.models), 2), np.inf)
+        step = max(1, GROUP_BYTES // (8 * size))
+        for i in range(0, len(self.models), step):
+            self.train(np.arange(i, min(i + step, len(self.models))))
+
+    def network(self, m: Model) -> DepthModel:
+        genes, kinds, cov = self.shape
+        return DepthModel(genes, replace(self.plan, seed=m.seed), kinds, cov)
+
+    def train(self, rows: np.ndarray) -> None:
+        """Full-batch steps until the epochs or every model's patience run out; the best state of each is kept."""
+        adam = Adam(np.stack([self.network(self.models[i]).flat() for i in rows]), self.plan.rate)
+        left = np.full(len(rows), self.plan.patience)
+        active = np.arange(len(rows))
+        for _ in range(self.plan.epochs):
+            sums = self.sums([self.models[i] for i in rows[active]], adam.params[active])
+            counts = self.counts[[self.models[i].variant for i in rows[active]]]
+            losses = sums[:, :2] / counts
+            better = losses[:, 0] < self.found[rows[active], 0] - 1e-5
+            self.found[rows[active[better]]] = losses[better]
+            self.best[rows[active[better]]] = adam.params[active[better]]
+            left[active] = np.where(better, self.plan.patience, left[active] - 1)
+            going = left[active] > 0
+            active = active[going]
+            if not len(active):
+                return
+            adam.step(active, sums[going, 2:] / counts[going, :1])
 
-    def standardised(self) -> np.ndarray:
-        return (self.a - self.a.mean(0)) / (self.a.std(0) + 1e-8)
+    def sums(self, models: list[Model], params: np.ndarray) -> np.ndarray:
+        """Summed training loss, judged loss and gradient of each model over all cells."""
+        spark, plan, shape, nulls = self.table.sparkSession, self.plan, self.shape, self.nulls
+        shared = spark.sparkContext.broadcast(params)  # at most GROUP_BYTES
 
+        def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            state, total, net = shared.value, None, DepthModel(shape[0], plan, shape[1], shape[2])
+            for whole in batches:
+                for lo in range(0, whole.num_rows, CHUNK):
+                    batch = whole.slice(lo, CHUNK)
+                    xs, ys, a, factor, cov, fit, judge = (nested(batch, c) for c in ("xs", "ys", "a", "factor", "cov", "fit", "judge"))
+                    kind = batch.column(batch.schema.names.index("kind")).to_numpy()
+                    if total is None:
+                        total = np.zeros((len(models), 2 + state.shape[1]))
+                    for k, m in enumerate(models):
+                        net.load(state[k])
+                        at, own = (0, a[:, m.slot * shape[0] : (m.slot + 1) * shape[0]]) if nulls else (m.slot, a)
+                        out = net.predict(np.stack([xs[:, at], ys[:, at]], 1), kind, cov if shape[2] else None)
+                        each = loss_sums(out, own, factor, plan.metric)
+                        on = fit[:, m.variant].astype(float)
+                        slope = loss_slopes(out, own, factor, plan.metric) * on[:, None]
+                        total[k] += np.concatenate([[each @ on, each @ judge[:, m.variant].astype(float)], *(g.ravel() for g in net.gradients(slope))])
+            if total is not None:
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(models), dtype=np.int32)), pa.array(list(total), pa.list_(pa.float64()))], names=["model", "sums"])
 
-LOSSES = "slot int, rerun int, loss double"
+        parts = self.table.mapInArrow(run, "model int, sums array<double>")
+        whole = parts.groupBy("model").agg(vector_to_array(Summarizer.sum(array_to_vector("sums"))).alias("sums")).toArrow()
+        shared.destroy()
+        order = np.argsort(whole.column("model").to_numpy())
+        return np.stack(whole.column("sums").to_numpy(zero_copy_only=False))[order]
 
+    def losses(self) -> DataFrame:
+        """(slot, rerun, variant, fit, loss, n): training loss, loss on the judged cells, and how many values those have."""
+        rows = [(m.slot, m.rerun, m.variant, float(f), float(j), int(self.counts[m.variant, 1])) for m, (f, j) in zip(self.models, self.found, strict=True)]
+        return self.table.sparkSession.createDataFrame(rows, "slot int, rerun int, variant int, fit double, loss double, n long")
 
-def fit_slots(slots: DataFrame, matrix: Matrix, plan: Plan, reruns: int = 1, by_type: bool = False, covariate: np.ndarray | None = None, masks: dict | None = None) -> DataFrame:
-    """(slot, rerun, loss) of layouts, each standardised with the true layout's mean and scale.
+    def chosen(self) -> list[int]:
+        """The rerun of least training loss for each slot and variant."""
+        first: dict[tuple[int, int], int] = {}
+        for i, m in enumerate(self.models):
+            k = (m.slot, m.variant)
+            if k not in first or self.found[i, 0] < self.found[first[k], 0]:
+                first[k] = i
+        return list(first.values())
 
-    masks: slot -> (training ids, test ids) where a layout uses only some cells.
+    def depths(self) -> DataFrame:
+        """(slot, variant, cell_id, depth, used) of the chosen models; used where the cell trained the variant."""
+        own = [self.models[i] for i in self.chosen()]
+        shared = self.table.sparkSession.sparkContext.broadcast(self.best[self.chosen()])
+        plan, shape = self.plan, self.shape
+
+        def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            net = DepthModel(shape[0], plan, shape[1], shape[2])
+            for batch in batches:
+                xs, ys, fit = (nested(batch, c) for c in ("xs", "ys", "fit"))
+                for k, m in enumerate(own):
+                    net.load(shared.value[k])
+                    z = net.encoder.forward(np.stack([xs[:, m.slot], ys[:, m.slot]], 1))[:, 0]
+                    n = len(z)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([m.slot] * n, pa.int32()), pa.array([m.variant] * n, pa.int32()), batch.column(batch.schema.names.index("cell_id")), pa.array(z), pa.array(fit[:, m.variant])],
+                        names=["slot", "variant", "cell_id", "depth", "used"],
+                    )
+
+        return self.table.mapInArrow(run, "slot int, variant int, cell_id long, depth double, used boolean")
+
+
+def statistics(trainer: Trainer, metric: str = "mse") -> DataFrame:
+    """(slot, variant, n, stat) of each slot's rerun of least training loss.
+
+    metric: mse or nll_poisson_mse (the mean loss as it is) or nll_gaussian_mse.
     """
-    spark = slots.sparkSession
-    mean, scale = matrix.s.mean(0), np.where(matrix.s.std(0) > 1e-8, matrix.s.std(0), 1.0)
-    shared = spark.sparkContext.broadcast((matrix.ids, matrix.standardised() if plan.metric == "gaussian" else matrix.a, matrix.types if by_type else None, covariate, masks))
+    best = trainer.losses().groupBy("slot", "variant", "n").agg(F.min_by("loss", F.struct("fit", "rerun")).alias("stat"))
+    return best.withColumn("stat", nll_of_mse(F.col("stat"), F.col("n"))) if metric == "nll_gaussian_mse" else best
+
+
+def fit_slots(slots: DataFrame, cells: DataFrame, expr: DataFrame, plan: Plan, reruns: int = 1, by_type: bool = False, covariate: DataFrame | None = None, masks: DataFrame | None = None) -> Trainer:
+    """Models of layouts 0..n; with masks one for each variant of each layout."""
+    n_slots = slots.agg(F.max("slot")).first()[0] + 1
+    variants = 1 if masks is None else masks.agg(F.max("variant")).first()[0] + 1
+    return Trainer(cell_table(slots, cells, expr, plan, by_type, covariate, masks), plan, n_slots, reruns, variants)
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        ids, a, types, cov, chosen = shared.value
-        slot, rerun = int(rows["slot"].iloc[0]), int(rows["rerun"].iloc[0])
-        rows = rows.sort_values("cell_id")
-        at = np.searchsorted(ids, rows["cell_id"].to_numpy())
-        s = (rows[["x", "y"]].to_numpy(float) - mean) / scale
-        own = replace(plan, seed=plan.seed * 1_000_003 + slot * 1009 + rerun)
-        fit_ids, test_ids = chosen[slot] if chosen else (None, None)
-        size = a[at].sum(1) if plan.metric == "poisson" else None
-        mask = None if fit_ids is None else np.isin(rows["cell_id"], fit_ids)
-        test = None if test_ids is None else np.isin(rows["cell_id"], test_ids)
-        _, value, _ = train(s, a[at], own, None if types is None else types[at], None if cov is None else cov[at], size, mask, test)
-        return pd.DataFrame({"slot": [slot], "rerun": [rerun], "loss": [value]})
 
-    many = slots.withColumn("slot", F.col("slot").cast("int")).withColumn("rerun", F.explode(F.sequence(F.lit(0), F.lit(reruns - 1))))
-    return many.groupBy("slot", "rerun").applyInPandas(run, LOSSES)
+def fit_nulls(cells: DataFrame, nulls: DataFrame, plan: Plan, reruns: int = 1) -> Trainer:
+    """Models of one layout with the measurements of each slot."""
+    return Trainer(null_table(cells, nulls), plan, nulls.agg(F.max("slot")).first()[0] + 1, reruns, nulls=True)
 
 
-def best(losses: DataFrame) -> DataFrame:
-    """(slot, stat): the least loss over reruns."""
-    return losses.groupBy("slot").agg(F.min("loss").alias("stat"))
+def test(trainer: Trainer, metric: str = "nll_gaussian_mse") -> DataFrame:
+    return permutation_p(statistics(trainer, metric), [])
 
 
-def fit_surrogates(matrix: Matrix, spark, n: int, plan: Plan, kind: str, radius: float = 0.1, truncate: float = 1.0, max_cells: int = 5000) -> DataFrame:
-    """(slot, rerun, loss) where the nulls change the measurements and the layout stays.
+def fold_masks(folds: DataFrame) -> DataFrame:
+    """One variant a fold: its cells judge, the others train."""
+    k = folds.agg(F.max("fold")).first()[0] + 1
+    every = folds.withColumn("variant", F.explode(F.sequence(F.lit(0), F.lit(k - 1))))
+    return every.select("variant", "cell_id", (F.col("variant") != F.col("fold")).alias("fit"), (F.col("variant") == F.col("fold")).alias("judge"))
 
-    kind: msr, rank_msr or fourier (the last needs a full square grid of cells).
+
+def by_folds(trainer: Trainer, metric: str) -> DataFrame:
+    """(slot, stat): held-out statistics, weighted by the folds' sizes."""
+    return statistics(trainer, metric).groupBy("slot").agg((F.sum(F.col("n") * F.col("stat")) / F.sum("n")).alias("stat"))
+
+
+def draw_masks(draws: DataFrame, fractions: list[float], n_draws: int) -> DataFrame:
+    """Variant 0 has all cells; then one variant for each fraction and draw, which trains and judges on its own cells."""
+    spec = F.array_position(F.array(*(F.lit(float(f)) for f in fractions)), F.col("fraction")).cast("int")
+    named = draws.select(((spec - 1) * n_draws + F.col("draw") + 1).cast("int").alias("variant"), "cell_id")
+    whole = draws.select("cell_id").distinct().select(F.lit(0).alias("variant"), "cell_id")
+    return whole.unionByName(named).select("variant", "cell_id", F.lit(True).alias("fit"), F.lit(True).alias("judge"))
+
+
+def similarity(depths: DataFrame, keys: list[str], base: str, metric: str) -> DataFrame:
+    """(keys, score): how alike depth and ``base`` are, both scaled to [0, 1] within the keys.
+
+    metric: spearman_corr_mean or pearson_corr_mean, in absolute value, else the mean square difference.
     """
-    n_cells = len(matrix.ids)
-    if n_cells > max_cells:
-        raise ValueError(f"surrogates are dense in the cells; {n_cells} exceed {max_cells}")
-    side = int(round(np.sqrt(n_cells)))
-    if kind == "fourier" and side * side != n_cells:
-        raise ValueError("Fourier surrogates need a square grid of cells")
-    shared = spark.sparkContext.broadcast((matrix.s, matrix.standardised()))
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        s, a = shared.value
-        slot = int(rows["slot"].iloc[0])
-        rng = np.random.default_rng(plan.seed * 7919 + slot)
-        if slot:
-            if kind == "fourier":
-                order = np.lexsort((s[:, 0], s[:, 1]))
-                grid = surrogates.fourier_surrogate(a[order].reshape(side, side, -1), rng)
-                b = np.empty_like(a)
-                b[order] = grid.reshape(n_cells, -1)
-            else:
-                b = surrogates.eigen_surrogate(s, a, radius, truncate, rng)
-                b = surrogates.rank_surrogate(a, b) if kind == "rank_msr" else b
-            a = (b - b.mean(0)) / (b.std(0) + 1e-8)
-        z = (s - s.mean(0)) / np.where(s.std(0) > 1e-8, s.std(0), 1.0)
-        value, _, _ = train(z, a, replace(plan, seed=plan.seed * 1_000_003 + slot))
-        return pd.DataFrame({"slot": [slot], "rerun": [0], "loss": [value]})
-
-    return spark.range(n + 1).select(F.col("id").cast("int").alias("slot")).groupBy("slot").applyInPandas(run, LOSSES)
-
-
-def test(losses: DataFrame) -> DataFrame:
-    return permutation_p(best(losses), [])
-
-
-def depth_of(cells: DataFrame, matrix: Matrix, plan: Plan) -> DataFrame:
-    """(cell_id, depth) of the true layout's model, fitted in a task."""
-    shared = cells.sparkSession.sparkContext.broadcast((matrix.ids, matrix.s, matrix.standardised()))
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        ids, s, a = shared.value
-        z = (s - s.mean(0)) / np.where(s.std(0) > 1e-8, s.std(0), 1.0)
-        return pd.DataFrame({"cell_id": ids, "depth": train(z, a, plan)[2]})
-
-    return cells.sparkSession.range(1).groupBy("id").applyInPandas(run, "cell_id long, depth double")
+    from . import metrics as M
+    from .ranks import average_rank
+
+    if metric.startswith("spearman"):
+        depths = depths.select(*keys, average_rank("depth", keys).alias("depth"), average_rank(base, keys).alias(base))
+    if "corr" in metric:
+        return depths.groupBy(*keys).agg(F.abs(M.pearson("depth", base)).alias("score"))
+    ends = depths.groupBy(*keys).agg(*(f(c).alias(f"_{n}{i}") for i, c in enumerate(("depth", base)) for n, f in (("l", F.min), ("h", F.max))))
+    d = M.minmax(F.col("depth"), F.col("_l0"), F.col("_h0")) - M.minmax(F.col(base), F.col("_l1"), F.col("_h1"))
+    return depths.join(ends, keys).groupBy(*keys).agg(F.avg(d * d).alias("score"))

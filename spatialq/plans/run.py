@@ -2,22 +2,24 @@
 
 from __future__ import annotations
 
+import json
+import math
 import time
 
-import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import RunConfig
 from ..functions.networks import Plan
+from ..operators import comparisons as C
 from ..operators import decoders as D
 from ..operators import expr as E
 from ..operators import genes as G
-from ..operators import metrics as M
 from ..operators import moran as MO
 from ..operators import nulls as N
 from ..operators import rows as R
 from ..operators import spatial as SP
+from ..operators import surrogates as SG
 from ..operators import trained as T
 from ..sources import results, synthetic
 
@@ -96,47 +98,75 @@ def reshape(c: RunConfig, cells: DataFrame) -> DataFrame:
     return R.some_rows(cells)
 
 
-def losses(c: RunConfig, cells: DataFrame, expr: DataFrame) -> DataFrame:
-    """(slot, stat) of the configured test; slot 0 is the truth."""
-    t, spark = c.test, cells.sparkSession
+def plan_of(c: RunConfig) -> Plan:
+    t = c.test
+    metric = "poisson" if t["metric"] == "nll_poisson_mse" else "gaussian"
+    return Plan(t["decoder"], metric=metric, epochs=t["epochs"], rate=t["lr"], patience=t["patience"] or t["epochs"], seed=t["seed"])
+
+
+def spot_radius(distance: float, shape: str) -> float:
+    """The tile radius of bins whose centres are so far apart: half of it for squares, over the root of 3 for hexagons."""
+    return distance / math.sqrt(3) if shape == "hexagon" else distance / 2
+
+
+def targets(c: RunConfig, cells: DataFrame, expr: DataFrame) -> DataFrame:
+    """What the decoders fit: counts for Poisson losses, else standardised values, for types together less their types' means."""
+    if c.test["metric"] == "nll_poisson_mse":
+        return expr
+    if c.data["standardize_expression"]:
+        expr = E.zscore(expr)
+    return E.residuals(expr, cells).drop("cell_type") if c.data["cell_type"] == "together" else expr
+
+
+def losses(c: RunConfig, cells: DataFrame, expr: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """(part, slot, stat) of the configured test, slot 0 the truth; part is a delta, a fraction or null. And (fraction, correlation) where there is one."""
+    t, method = c.test, c.test["method"]
     unit = t["coordinate_um_per_unit"] or 1.0
-    plan = Plan(t["decoder"], "poisson" if t["metric"] == "nll_poisson_mse" else "gaussian", t["epochs"], t["lr"], patience=t["patience"] or t["epochs"], seed=t["seed"])
-    method, n, seed, reruns = t["method"], t["n_perms"], t["seed"], t["n_reruns"]
+    plan, n, seed = plan_of(c), t["n_perms"], t["seed"]
     if method == "binning":
-        b = SP.bin_cells(cells, expr, t["bin_spot_distance_um"] / unit / 2, t["bin_shape"])
+        b = SP.bin_cells(cells, expr, spot_radius(t["bin_spot_distance_um"] / unit, t["bin_shape"]), t["bin_shape"])
         expr = b.select(F.col("bin").alias("cell_id"), "gene", "value")
         cells = b.select(F.col("bin").alias("cell_id"), "x", "y").distinct().withColumn("cell_type", F.lit("all"))
-    m = T.Matrix(cells, expr)
-    together = c.data["cell_type"] == "together"
-    if method in ("joint_truncated_msr", "joint_truncated_rank_msr", "fourier_spectral_randomization"):
-        kind = {"joint_truncated_msr": "msr", "joint_truncated_rank_msr": "rank_msr"}.get(method, "fourier")
-        return T.best(T.fit_surrogates(m, spark, n, plan, kind, (t["msr_neighbor_radius_um"] or 1.0) / unit, (t["msr_truncate_um"] or 1.0) / unit))
-    if method == "cross_validation":
-        folds = N.kfold(cells, t["n_folds"], seed).toPandas()
-        slots, out = N.coordinate_permutation(cells, n, seed), None
-        for k in range(t["n_folds"]):
-            test = folds.loc[folds["fold"] == k, "cell_id"].to_numpy()
-            rest = folds.loc[folds["fold"] != k, "cell_id"].to_numpy()
-            own = T.best(T.fit_slots(slots, m, plan, reruns, together, masks=dict.fromkeys(range(n + 1), (rest, test)))).withColumn("n", F.lit(len(test)))
-            out = own if out is None else out.unionByName(own)
-        return out.groupBy("slot").agg((F.sum(F.col("n") * F.col("stat")) / F.sum("n")).alias("stat"))
-    if method in ("perturbation_test", "comparison_perturbation_test"):
-        slots = N.perturb(cells, n, seed, t["delta"][0])
-    elif method in ("subsampling_test", "comparison_subsampling_test"):
-        share = t["subset_fractions"][0]
-        rng = np.random.default_rng(seed)
-        size = max(1, min(len(m.ids) - 1, round(share * len(m.ids))))
-        masks = {0: (m.ids, m.ids)} | {s: (own, own) for s in range(1, n + 1) for own in [np.sort(rng.choice(m.ids, size, replace=False))]}
-        return T.best(T.fit_slots(N.slots(cells.select("cell_id", "x", "y"), n, 0), m, plan, reruns, together, masks=masks))
-    elif method == "block_permutation":
-        slots = N.block_permutation(cells, n, seed, t["block_radius"] / unit, t["block_shape"], t["block_jitter"])
+    e = targets(c, cells, expr)
+    together = c.data["cell_type"] == "together" and method != "binning"
+    fit = {"reruns": t["n_reruns"], "by_type": together}
+    metric, alike = t["metric"], None
+    if method in ("joint_truncated_msr", "joint_truncated_rank_msr"):
+        radius, truncate = t["msr_neighbor_radius_um"] / unit, (t["msr_truncate_um"] or 0.0) / unit
+        nulls = SG.mode_surrogates(cells, e, n, seed, radius, truncate, ranks="rank" in method)
+        stats = T.statistics(T.fit_nulls(cells, SG.standardised(nulls), plan, t["n_reruns"]), metric)
+    elif method == "fourier_spectral_randomization":
+        stats = T.statistics(T.fit_nulls(cells, SG.standardised(SG.phase_surrogates(cells, e, n, seed)), plan, t["n_reruns"]), metric)
+    elif method == "cross_validation":
+        masks = T.fold_masks(N.kfold(cells, t["n_folds"], seed))
+        stats = T.by_folds(T.fit_slots(N.permute(cells, n, seed, ["x", "y"], ("cell_type",) if together else ()), cells, e, plan, masks=masks, **fit), metric)
+    elif method == "perturbation_test":
+        stats = C.perturbation_stats(cells, e, plan, t["delta"], n, seed, metric, **fit).withColumnRenamed("delta", "part")
+    elif method == "comparison_perturbation_test":
+        stats = C.compared_perturbation_stats(cells, e, plan, t["delta"], n, t["n_nulls"], seed, metric, **fit).withColumnRenamed("delta", "part")
+    elif method == "subsampling_test":
+        stats = C.subsampling_stats(cells, e, plan, t["subset_fractions"], n, seed, metric, **fit).withColumnRenamed("fraction", "part")
+    elif method == "comparison_subsampling_test":
+        stats, alike = C.compared_subsampling_stats(cells, e, plan, t["subset_fractions"], n, t["n_nulls"], seed, metric, **fit)
+        stats = stats.withColumnRenamed("fraction", "part")
     else:
-        slots = N.permute(cells, n, seed, ["x", "y"], ("cell_type",) if together else ())
-    w, cov = c.data["covariate_whitening"], None
-    if w and w["method"] == "loss-difference" and method != "binning":
-        z = R.zscore_columns(cells.select("cell_id", F.col(w["column"]).cast("double").alias("z")), ["z"]).toPandas().sort_values("cell_id")
-        cov = z[["z"]].to_numpy()
-    return T.best(T.fit_slots(slots, m, plan, reruns, together, cov))
+        if method == "block_permutation":
+            slots = N.block_permutation(cells, n, seed, t["block_radius"] / unit, t["block_shape"], t["block_jitter"])
+        else:
+            slots = N.permute(cells, n, seed, ["x", "y"], ("cell_type",) if together else ())
+        w = c.data["covariate_whitening"]
+        if w and w["method"] == "loss-difference" and method != "binning":
+            fit["covariate"] = R.zscore_columns(cells.select("cell_id", F.col(w["column"]).cast("double").alias("z")), ["z"])
+        stats = T.statistics(T.fit_slots(slots, cells, e, plan, **fit), metric)
+    if "part" not in stats.columns:
+        stats = stats.withColumn("part", F.lit(None).cast("double"))
+    return stats.select("part", "slot", "stat"), alike
+
+
+def recursive(c: RunConfig, cells: DataFrame, expr: DataFrame) -> DataFrame:
+    """Genes of each gradient, see comparisons.recursive_svg."""
+    t = c.test
+    return C.recursive_svg(cells, targets(c, cells, expr), plan_of(c), t["n_perms"], t["seed"], t["alpha"], t["max_gradients"], t["metric"], reruns=t["n_reruns"])
 
 
 def run(spark: SparkSession, c: RunConfig) -> DataFrame:
@@ -151,14 +181,31 @@ def run(spark: SparkSession, c: RunConfig) -> DataFrame:
     for kind in kinds:
         own = cells if kind is None else cells.filter(F.col("cell_type") == kind)
         e = transform(c, own, expr if kind is None else expr.join(own.select("cell_id"), "cell_id", "left_semi"))
-        stats = losses(c, own, e).orderBy("slot").collect()  # one row a layout
-        s = spark.createDataFrame([(r["slot"], r["stat"]) for r in stats], "slot int, stat double")
-        p = M.permutation_p(s, []).first()
         extra = {"cell_type": kind} if kind else {}
+        if c.test["recursive"]:
+            found = recursive(c, own, e).orderBy("gradient", "p_value", "gene").collect()  # one row a gene
+            extra["svg"] = json.dumps([r.asDict() for r in found])
+        stats, alike = losses(c, own, e)
+        stats = stats.orderBy("part", "slot").collect()  # one row a layout
+        higher = "corr" in c.test["metric"]
+        parts = {}
+        for part in dict.fromkeys(r["part"] for r in stats):
+            truth = next(r["stat"] for r in stats if r["part"] == part and r["slot"] == 0)
+            nulls = [r["stat"] for r in stats if r["part"] == part and r["slot"]]
+            good = sum(x >= truth if higher else x <= truth for x in nulls)
+            parts[part] = {"p_value": (good + 1) / (len(nulls) + 1), "stat_true": truth, "nulls": nulls}
+        if alike is not None:
+            for r in alike.collect():
+                parts[r["fraction"]]["correlation"] = r["correlation"]
+        first = {"perturbation_test": "delta", "comparison_perturbation_test": "delta", "subsampling_test": "subset_fractions", "comparison_subsampling_test": "subset_fractions"}.get(c.test["method"])
+        main = parts[float(c.test[first][0]) if first else None]
+        if first:
+            extra["parts"] = json.dumps({str(k): v for k, v in parts.items()}, sort_keys=True)
         if c.test["moran"]:
             radius = c.test["moran_neighbor_radius_um"] / (c.test["coordinate_um_per_unit"] or 1.0)
-            extra["moran_mean"] = str(MO.morans_i(own, e, radius).agg(F.avg("moran")).first()[0])
+            moran = MO.morans_i(own, e, radius).agg(F.avg("moran")).first()[0]
+            if moran is not None:  # no pairs within the radius: no statistic
+                extra["moran_mean"] = str(moran)
         n, g = own.count(), e.select("gene").distinct().count()
-        nulls = [float(r["stat"]) for r in stats if r["slot"]]
-        out.append((c.output["run_name"], c.test["method"], c.test["metric"], p["p_value"], p["stat_true"], nulls, time.time() - began, n, g, c.as_json(), extra))
+        out.append((c.output["run_name"], c.test["method"], c.test["metric"], main["p_value"], main["stat_true"], main["nulls"], time.time() - began, n, g, c.as_json(), extra))
     return spark.createDataFrame(out, results.RESULT)

@@ -1,172 +1,151 @@
-"""Trained and surrogate tests: results that SQL cannot express, checked by planted signals and invariants."""
+"""Trained tests: results that SQL cannot express, checked by planted signals, brute force and invariants."""
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import functions as F
 
 from .. import bindings as B
 from ..functions.networks import Plan
-from ..operators import decoders as D
-from ..operators import metrics as M
+from ..operators import comparisons as C
+from ..operators import expr as E
+from ..operators import lowrank
 from ..operators import nulls as N
+from ..operators import spatial as SP
+from ..operators import surrogates as SG
 from ..operators import trained as T
-from ..operators.ranks import bh_qvalues
 from .registry import query
 
-PLAN = Plan(epochs=60, rate=0.02)
+PLAN = Plan(epochs=12, rate=0.05)
 
 
 def inputs(spark, d):
-    cells = B.dense_cells(spark, d)
-    return cells, T.Matrix(cells, B.dense_expr(spark, d))
+    return B.dense_cells(spark, d), E.zscore(B.dense_expr(spark, d))
 
 
 @query()
 def parallel_permutation(spark, d):
     """Trained depth axis against coordinate permutations."""
-    cells, m = inputs(spark, d)
-    return T.test(T.fit_slots(N.coordinate_permutation(cells, 19, 3), m, PLAN, reruns=2))
+    cells, e = inputs(spark, d)
+    return T.test(T.fit_slots(N.coordinate_permutation(cells, 9, 3), cells, e, PLAN, reruns=2))
 
 
 @query()
 def parallel_permutation_by_type(spark, d):
-    """One encoder, a decoder for each cell type."""
-    cells, m = inputs(spark, d)
-    return T.test(T.fit_slots(N.permute(cells, 9, 3, ["x", "y"], ("cell_type",)), m, PLAN, by_type=True))
+    """One encoder, a decoder for each cell type, on residuals from the types' means."""
+    cells, e = inputs(spark, d)
+    slots = N.permute(cells, 5, 3, ["x", "y"], ("cell_type",))
+    return T.test(T.fit_slots(slots, cells, E.residuals(e, cells), PLAN, by_type=True))
 
 
 @query()
 def block_permutation(spark, d):
-    cells, m = inputs(spark, d)
-    return T.test(T.fit_slots(N.block_permutation(cells, 9, 5, 0.05), m, PLAN))
+    cells, e = inputs(spark, d)
+    return T.test(T.fit_slots(N.block_permutation(cells, 9, 5, 0.05), cells, e, PLAN))
+
+
+@query()
+def midline_encoder(spark, d):
+    """As the permutation test, with a depth that is the distance from a learned line."""
+    cells, e = inputs(spark, d)
+    return T.test(T.fit_slots(N.coordinate_permutation(cells, 9, 3), cells, e, Plan(encoder="midline", epochs=12, rate=0.05)))
 
 
 @query()
 def loss_difference(spark, d):
     """A covariate joins the decoder's input and is never permuted."""
-    cells, m = inputs(spark, d)
-    cov = ((m.s[:, 1] - m.s[:, 1].mean()) / m.s[:, 1].std())[:, None]
-    return T.test(T.fit_slots(N.coordinate_permutation(cells, 9, 3), m, PLAN, covariate=cov))
+    from ..operators.rows import zscore_columns
+
+    cells, e = inputs(spark, d)
+    cov = zscore_columns(cells.select("cell_id", F.col("y").alias("z")), ["z"])
+    return T.test(T.fit_slots(N.coordinate_permutation(cells, 9, 3), cells, e, PLAN, covariate=cov))
 
 
 @query()
 def joint_truncated_msr(spark, d):
-    """Surrogates from signs of spatial eigenmodes; dense in the cells, so more than 5000 are refused."""
-    cells, m = inputs(spark, d)
-    return T.test(T.fit_surrogates(m, spark, 5, PLAN, "msr"))
+    """Nulls from random signs of the long-range spatial modes of each tile."""
+    cells, e = inputs(spark, d)
+    nulls = SG.mode_surrogates(cells, e, 5, 3, 0.1, 0.5, calibration=1.0)
+    return T.test(T.fit_nulls(cells, SG.standardised(nulls), PLAN))
 
 
 @query()
 def joint_truncated_rank_msr(spark, d):
-    cells, m = inputs(spark, d)
-    return T.test(T.fit_surrogates(m, spark, 5, PLAN, "rank_msr"))
+    """As above, with the true values dealt in the surrogates' order."""
+    cells, e = inputs(spark, d)
+    nulls = SG.mode_surrogates(cells, e, 5, 3, 0.1, 0.5, calibration=1.0, ranks=True)
+    return T.test(T.fit_nulls(cells, SG.standardised(nulls), PLAN))
 
 
 @query()
 def fourier_spectral_randomization(spark, d):
-    """On the grid of a simulated layout, since the tables hold no full grid."""
-    from ..sources.synthetic import lattice, manifold
-
-    cells = lattice(spark, 20)
-    return T.test(T.fit_surrogates(T.Matrix(cells, manifold(cells, "radial", 10, 0.3, 1)), spark, 9, PLAN, "fourier"))
+    """Random phases on a full grid: mean discounts and taxes of line items by quantity and line number."""
+    g = B.read(spark, d, "lineitem").groupBy(F.col("l_quantity").alias("x"), F.col("l_linenumber").cast("double").alias("y"))
+    g = g.agg(*(F.avg(c).alias(c) for c in ("l_discount", "l_tax", "l_extendedprice"))).withColumn("cell_id", (F.col("x") * 10 + F.col("y")).cast("long"))
+    cells = g.select("cell_id", "x", "y")
+    e = E.zscore(g.select("cell_id", F.explode(F.create_map(*(z for c in ("l_discount", "l_tax", "l_extendedprice") for z in (F.lit(c), F.col(c))))).alias("gene", "value")))
+    return T.test(T.fit_nulls(cells, SG.standardised(SG.phase_surrogates(cells, e, 9, 3)), PLAN))
 
 
 @query()
 def cross_validation(spark, d):
     """Held-out losses by fold, weighted by fold size, against permuted layouts."""
-    cells, m = inputs(spark, d)
-    folds = N.kfold(cells, 3, 11).toPandas()  # one row a cell of a matrix that is bounded already
-    slots = N.coordinate_permutation(cells, 5, 3)
-    parts = []
-    for k in range(3):
-        test = folds.loc[folds["fold"] == k, "cell_id"].to_numpy()
-        rest = folds.loc[folds["fold"] != k, "cell_id"].to_numpy()
-        losses = T.best(T.fit_slots(slots, m, PLAN, masks={s: (rest, test) for s in range(6)}))
-        parts.append(losses.withColumn("n", F.lit(len(test))))
-    every = parts[0].unionByName(parts[1]).unionByName(parts[2])
-    return M.permutation_p(every.groupBy("slot").agg((F.sum(F.col("n") * F.col("stat")) / F.sum("n")).alias("stat")), [])
+    cells, e = inputs(spark, d)
+    masks = T.fold_masks(N.kfold(cells, 3, 11))
+    t = T.fit_slots(N.coordinate_permutation(cells, 5, 3), cells, e, PLAN, masks=masks)
+    return T.permutation_p(T.by_folds(t, "mse"), [])
 
 
 @query()
 def perturbation_test(spark, d):
     """The true layout's loss against jittered layouts, by size of the jitter."""
-    cells, m = inputs(spark, d)
-    out = None
-    for delta in (0.05, 0.2):
-        r = T.test(T.fit_slots(N.perturb(cells, 5, 4, delta), m, PLAN)).withColumn("delta", F.lit(delta))
-        out = r if out is None else out.unionByName(r)
-    return out
+    cells, e = inputs(spark, d)
+    return C.perturbation(cells, e, PLAN, [0.05, 0.2], 4, 4, "nll_gaussian_mse")
+
+
+@query()
+def comparison_perturbation_test(spark, d):
+    """How alike the depths of true and jittered layouts are, against permuted measurements."""
+    cells, e = inputs(spark, d)
+    return C.compared_perturbation(cells, e, PLAN, [0.05, 0.2], 2, 4, 4, "spearman_corr_mean")
 
 
 @query()
 def subsampling_test(spark, d):
     """Losses of models fitted on subsets of the cells, over their fractions."""
-    cells, m = inputs(spark, d)
-    masks = N.subset_masks(cells, [0.5, 0.75], 2, 8).toPandas()
-    keys = [(f, k) for f in (0.5, 0.75) for k in (0, 1)]
-    chosen = {0: (m.ids, m.ids)}
-    for i, (f, k) in enumerate(keys, 1):
-        own = masks.loc[(masks["fraction"] == f) & (masks["draw"] == k), "cell_id"].to_numpy()
-        chosen[i] = (own, own)
-    slots = N.slots(cells.select("cell_id", "x", "y"), len(keys), 0)
-    stats = T.best(T.fit_slots(slots, m, PLAN, masks=chosen))
-    names = spark.createDataFrame([(0, 1.0), *((i, f) for i, (f, _) in enumerate(keys, 1))], "slot int, fraction double")
-    return stats.join(names, "slot").select("slot", "fraction", (F.col("stat") / F.col("fraction")).alias("loss"))
+    cells, e = inputs(spark, d)
+    return C.subsampling(cells, e, PLAN, [0.5, 0.75], 2, 8, "nll_gaussian_mse")
+
+
+@query()
+def comparison_subsampling_test(spark, d):
+    """Mean losses on subsets against permuted measurements, with the depths' rank correlation."""
+    cells, e = inputs(spark, d)
+    return C.compared_subsampling(cells, e, PLAN, [0.5, 0.75], 2, 4, 8, "nll_gaussian_mse")
 
 
 @query()
 def binning_test(spark, d):
     """Counts summed into square pseudo-spots, then the permutation test on log counts."""
-    from ..operators import expr as E
-    from ..operators import spatial as SP
-
     b = SP.bin_cells(B.count_cells(spark, d), B.count_expr(spark, d), 500.0).select(F.col("bin").alias("cell_id"), "x", "y", "gene", "value")
     cells = b.select("cell_id", "x", "y").distinct().withColumn("cell_type", F.lit("all"))
     e = E.log1p(E.cpm(E.densify(cells, b.select("cell_id", "gene", "value"))))
-    return T.test(T.fit_slots(N.coordinate_permutation(cells, 9, 3), T.Matrix(cells, e), PLAN))
-
-
-@query()
-def recursive_svg(spark, d, alpha: float = 0.5, max_gradients: int = 3):
-    """Gradients one after another: test, call genes on the depth, take them out, repeat while p < alpha."""
-    cells = B.dense_cells(spark, d)
-    expr = B.dense_expr(spark, d)
-    found = spark.createDataFrame([], "gradient int, gene string, p_value double, q_value double")
-    for g in range(1, max_gradients + 1):
-        m = T.Matrix(cells, expr)
-        p = T.test(T.fit_slots(N.coordinate_permutation(cells, 9, 3), m, PLAN)).first()["p_value"]
-        if p >= alpha:
-            break
-        depth = T.depth_of(cells, m, PLAN).withColumnRenamed("depth", "z")
-        tests = bh_qvalues(D.with_f_p(D.quadratic_fit(expr.join(depth, "cell_id"), ["gene"]), 2).select("gene", "p_value"))
-        hits = [r for r in tests.filter("q_value < 0.05").select("gene", "p_value", "q_value").collect()]  # one row a gene
-        if not hits:
-            break
-        own = spark.createDataFrame([(g, *r) for r in hits], found.schema)
-        found = found.unionByName(own)
-        expr = expr.join(F.broadcast(own.select("gene")), "gene", "left_anti")
-        if expr.isEmpty():
-            break
-    return found
+    return T.test(T.fit_slots(N.coordinate_permutation(cells, 9, 3), cells, E.zscore(e), PLAN))
+
+
+@query()
+def recursive_svg(spark, d):
+    """Gradients one after another on measurements with a planted axis: two of the genes follow x."""
+    cells, e = inputs(spark, d)
+    strong = F.when(F.col("gene").isin("g02", "g03"), F.col("value") + 40 * F.col("x")).otherwise(F.col("value"))
+    planted = e.join(cells.select("cell_id", "x"), "cell_id").select("cell_id", "gene", strong.alias("value"))
+    return C.recursive_svg(cells, E.zscore(planted), Plan(epochs=25, rate=0.05), 9, 3, alpha=0.2, max_gradients=2)
 
 
 @query()
 def low_rank_poisson(spark, d):
     """Norms of Poisson factors of the counts, strongest first."""
-    from ..functions.surrogates import low_rank_poisson as fit
-    from ..operators import expr as E
-    import pandas as pd
-
     cells = B.count_cells(spark, d)
-    m = T.Matrix(cells, E.densify(cells, B.count_expr(spark, d)))
-    shared = spark.sparkContext.broadcast(m.a)
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        left, right = fit(shared.value, 4, rounds=60)
-        return pd.DataFrame({"factor": np.arange(4), "norm": np.linalg.norm(left, axis=0) * np.linalg.norm(right, axis=0)})
-
-    return spark.range(1).groupBy("id").applyInPandas(run, "factor long, norm double")
+    return lowrank.factor_norms(lowrank.fit(E.densify(cells, B.count_expr(spark, d)), 4, rounds=4))
 
 
 @query()

@@ -36,6 +36,22 @@ def write_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("header", "true").option("nullValue", "").csv(path)
 
 
+def write_svg(found: DataFrame, path: str) -> None:
+    """Genes of all gradients in one sorted CSV: by gradient, p-value and name."""
+    order = [c for c in ("gradient", "p_value", "gene") if c in found.columns]
+    found.orderBy(*order).coalesce(1).write.mode("overwrite").option("header", "true").csv(path)  # one row a gene
+
+
+def write_significant(tests: DataFrame, path: str, alpha: float = 0.05) -> None:
+    """The genes of (gene, p_value, q_value) whose q-value is below alpha, as sorted CSV."""
+    write_svg(tests.filter(F.col("q_value") < alpha), path)
+
+
+def write_qc(qc: DataFrame, path: str) -> None:
+    """Quality columns by cell, as Parquet."""
+    qc.write.mode("overwrite").parquet(path)
+
+
 def write_cells(cells: DataFrame, expr: DataFrame, path: str) -> None:
     """The normalised layout: cells, and measurements sorted by gene so that a gene filter skips row groups."""
     cells.write.mode("overwrite").parquet(f"{path}/cells")

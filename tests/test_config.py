@@ -1,3 +1,6 @@
+import json
+import math
+
 import pytest
 
 from spatialq import config
@@ -50,11 +53,34 @@ def test_runs(spark, tmp_path):
 
 
 @pytest.mark.parametrize(
-    "test", [{"method": "cross_validation", "n_folds": 2}, {"method": "block_permutation", "block_radius": 0.2}, {"method": "perturbation_test"}, {"method": "subsampling_test"}, {"method": "binning", "bin_spot_distance_um": 0.3}, {"method": "fourier_spectral_randomization"}]
+    "test", [{"method": "cross_validation", "n_folds": 2}, {"method": "block_permutation", "block_radius": 0.2}, {"method": "perturbation_test", "delta": [0.1, 0.3]}, {"method": "subsampling_test"}, {"method": "comparison_perturbation_test", "metric": "spearman"}, {"method": "comparison_subsampling_test"}, {"method": "joint_truncated_msr", "msr_neighbor_radius_um": 0.2, "msr_truncate_um": 0.3}, {"method": "binning", "bin_spot_distance_um": 0.3}, {"method": "fourier_spectral_randomization"}]
 )
 def test_methods(spark, test):
-    row = run.run(spark, config.parse(config.merged(SMALL, {"test": {**test, "n_perms": 2, "epochs": 10}}))).first()
-    assert 0 < row.p_value <= 1 and row.method == test["method"]
+    row = run.run(spark, config.parse(config.merged(SMALL, {"test": {"n_perms": 2, "n_nulls": 2, "epochs": 4, **test}}))).first()
+    assert 0 < row.p_value <= 1 and row.method == test["method"] and len(row.stat_perm) == 2
+    parts = {"perturbation_test": test.get("delta"), "comparison_perturbation_test": [0.05], "subsampling_test": [0.5, 0.7, 0.9], "comparison_subsampling_test": [0.5, 0.7, 0.9]}.get(test["method"])
+    assert parts is None or sorted(map(float, json.loads(row.artifacts["parts"]))) == parts
+
+
+def test_metrics_and_radii_of_runs(spark):
+    base = {"test": {"n_perms": 1, "epochs": 3}}
+    nll, mse = (run.run(spark, config.parse(config.merged(SMALL, {"test": {**base["test"], "metric": m}}))).first() for m in ("nll", "mse"))
+    n = nll.n_cells * nll.n_genes
+    assert nll.stat_true == pytest.approx(n / 2 * math.log(2 * math.pi * mse.stat_true) + n / 2, rel=1e-9)
+    assert run.spot_radius(6.0, "square") == 3.0 and run.spot_radius(6.0, "hexagon") == pytest.approx(6 / math.sqrt(3))
+
+
+def test_recursive_runs(spark, tmp_path):
+    raw = config.merged(SMALL, {"test": {"n_perms": 9, "epochs": 20, "lr": 0.05, "recursive": True, "max_gradients": 1, "alpha": 0.5}})
+    row = run.run(spark, config.parse(raw)).first()
+    assert "svg" in row.artifacts
+    found = spark.createDataFrame([(2, "b", 0.1, 0.2), (1, "c", 0.3, 0.4), (1, "a", 0.01, 0.04)], "gradient int, gene string, p_value double, q_value double")
+    results.write_svg(found, str(tmp_path / "all"))
+    assert [r.gene for r in spark.read.option("header", True).csv(str(tmp_path / "all")).collect()] == ["a", "c", "b"]
+    results.write_significant(found, str(tmp_path / "some"))
+    assert [r.gene for r in spark.read.option("header", True).csv(str(tmp_path / "some")).collect()] == ["a"]
+    with pytest.raises(ValueError, match="recursive"):
+        config.parse(config.merged(raw, {"test": {"method": "binning"}}))
 
 
 def test_table_source_with_filters_and_types(spark, tmp_path):

@@ -8,7 +8,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from spatialq.functions import networks, scalar, special, surrogates
-from spatialq.operators import decoders, expr, genes, graph, gsea, metrics, moran, nulls, ranks, rows, spatial, studies, trained
+from spatialq.operators import comparisons, decoders, expr, genes, graph, gsea, lowrank, metrics, moran, nulls, ranks, rows, spatial, studies, trained
+from spatialq.operators import surrogates as spectral
 from spatialq.sources import gmt, results, synthetic
 
 
@@ -92,8 +93,8 @@ def test_masked_loss(spark):
     d = spark.createDataFrame([(0, 1.0, 0.0), (0, 2.0, 1.0), (1, 3.0, 1.0), (1, 4.0, 2.0)], "cell_id long, predicted double, value double")
     mask = spark.createDataFrame([(0,)], "cell_id long")
     assert metrics.masked_losses(d, mask, []).first().mse == 1.0
-    with pytest.raises(ValueError):
-        networks.loss_of(np.zeros((2, 2)), np.zeros((2, 2)), None, np.zeros(2), "gaussian")
+    with pytest.raises(Exception, match="empty mask"):
+        metrics.masked_losses(d, mask.limit(0), []).collect()
 
 
 def test_ranks_and_permutation_p(spark):
@@ -222,13 +223,15 @@ def test_poisson_fit_recovers_a_planted_slope():
 
 @pytest.mark.parametrize("decoder", ["linear", "quadratic", "nn"])
 @pytest.mark.parametrize("metric", ["gaussian", "poisson"])
-def test_gradients_by_differences(decoder, metric):
+@pytest.mark.parametrize("encoder", ["nn", "midline"])
+def test_gradients_by_differences(decoder, metric, encoder):
     rng = np.random.default_rng(0)
     s, a, group = rng.normal(size=(12, 2)), rng.poisson(2, (12, 3)).astype(float), np.arange(12) % 2
-    model = networks.DepthModel(3, networks.Plan(decoder=decoder, hidden=4, seed=2), 2, 1)
+    model = networks.DepthModel(3, networks.Plan(decoder=decoder, encoder=encoder, hidden=4, seed=2), 2, 1)
     cov = rng.normal(size=(12, 1))
-    value = lambda: networks.loss_of(model.predict(s, group, cov), a, None, None, metric)
-    grads = model.gradients(value()[1])
+    factor = np.ones_like(a)
+    value = lambda: [networks.loss_sums(model.predict(s, group, cov), a, factor, metric).sum()]
+    grads = model.gradients(networks.loss_slopes(model.predict(s, group, cov), a, factor, metric))
     for p, g in zip(model.params(), grads):
         at = tuple(rng.integers(0, n) for n in p.shape)
         old, h = p[at], 1e-6
@@ -237,27 +240,141 @@ def test_gradients_by_differences(decoder, metric):
         p[at] = old - h
         down = value()[0]
         p[at] = old
-        assert g[at] == pytest.approx((up - down) / (2 * h), abs=1e-5)
+        assert g[at] == pytest.approx((up - down) / (2 * h), rel=1e-4, abs=1e-3)
+
+
+PLAN = networks.Plan(epochs=30, rate=0.05, hidden=8)
 
 
 def test_planted_axis_is_found(spark):
     c = synthetic.lattice(spark, 14)
-    m = trained.Matrix(c, synthetic.manifold(c, "radial", 6, 0.05, 3))
-    plan = networks.Plan(epochs=150, rate=0.02)
-    few = trained.test(trained.fit_slots(nulls.coordinate_permutation(c, 9, 3), m, plan)).first()
-    more = trained.test(trained.fit_slots(nulls.coordinate_permutation(c, 11, 3), m, plan)).first()
-    assert few.p_value == pytest.approx(0.1) and few.stat_true == more.stat_true
+    e = expr.zscore(synthetic.manifold(c, "radial", 6, 0.05, 3))
+    few = trained.test(trained.fit_slots(nulls.coordinate_permutation(c, 9, 3), c, e, PLAN)).first()
+    more = trained.test(trained.fit_slots(nulls.coordinate_permutation(c.repartition(3), 11, 3), c, e, PLAN)).first()
+    assert few.p_value == pytest.approx(0.1) and few.stat_true == pytest.approx(more.stat_true, rel=1e-9)
 
 
-def test_surrogates_keep_means_and_power():
+def test_midline_encoder_finds_a_line(spark):
+    c = synthetic.lattice(spark, 10)
+    e = c.select("cell_id", F.explode(F.array(F.lit("a"), F.lit("b"))).alias("gene"), F.abs(F.col("x") + F.col("y") - 1.0).alias("value"))
+    t = trained.fit_slots(nulls.coordinate_permutation(c, 4, 3), c, expr.zscore(e), networks.Plan(encoder="midline", epochs=40, rate=0.1), reruns=3)
+    assert trained.test(t).first().p_value == pytest.approx(0.2)
+
+
+def test_spark_steps_equal_one_array(spark):
+    """Sums over partitions against the same network on all cells at once."""
+    rng = np.random.default_rng(3)
+    xy = rng.normal(size=(40, 2))
+    c = cells(spark, xy, ["a", "b"] * 20).repartition(5)
+    a = rng.normal(size=(40, 3))
+    t = trained.fit_slots(c.select(F.lit(0).alias("slot"), "cell_id", "x", "y"), c, long(spark, a), networks.Plan(epochs=4, rate=0.05, hidden=3), by_type=True)
+    net = t.network(t.models[0])
+    adam = networks.Adam(net.flat()[None, :], 0.05)
+    s = (xy - xy.mean(0)) / xy.std(0)
+    for _ in range(4):
+        net.load(adam.params[0])
+        out = net.predict(s, np.arange(40) % 2, None)
+        loss = ((out - a) ** 2).mean()
+        adam.step(np.array([0]), np.concatenate([g.ravel() for g in net.gradients(2 * (out - a))])[None, :] / a.size)
+    assert t.found[0, 0] == pytest.approx(loss, rel=1e-9)
+    got = {r.cell_id: r.depth for r in t.depths().collect()}
+    assert [got[i] for i in range(40)] == pytest.approx(net.encoder.forward(s)[:, 0].tolist(), rel=1e-9)
+    nll = trained.statistics(t, "nll_gaussian_mse").first().stat
+    assert nll == pytest.approx(60 * math.log(2 * math.pi * loss) + 60, rel=1e-9)
+
+
+def test_reruns_are_chosen_by_training_loss(spark):
+    c = cells(spark, [(i, i % 3) for i in range(12)])
+    e = long(spark, np.random.default_rng(1).normal(size=(12, 2)))
+    masks = trained.fold_masks(nulls.kfold(c, 3, 1))
+    t = trained.fit_slots(c.select(F.lit(0).alias("slot"), "cell_id", "x", "y"), c, e, networks.Plan(epochs=3, hidden=3), reruns=3, masks=masks)
+    losses = t.losses().collect()
+    got = {r.variant: (r.n, r.stat) for r in trained.statistics(t).collect()}
+    for v in range(3):
+        best = min((r for r in losses if r.variant == v), key=lambda r: (r.fit, r.rerun))
+        assert got[v] == (8, best.loss)
+    whole = sum(n * s for n, s in got.values()) / 24
+    assert trained.by_folds(t, "mse").first().stat == pytest.approx(whole)
+
+
+def test_empty_masks_are_errors(spark):
+    c = cells(spark, [(0, 0), (1, 1), (2, 0)])
+    masks = c.select(F.lit(0).alias("variant"), "cell_id", F.lit(True).alias("fit"), F.lit(False).alias("judge"))
+    with pytest.raises(ValueError, match="no cell"):
+        trained.fit_slots(c.select(F.lit(0).alias("slot"), "cell_id", "x", "y"), c, long(spark, [[1], [2], [3]]), PLAN, masks=masks)
+    df = long(spark, [[1.0], [2.0]]).withColumn("predicted", F.lit(0.0))
+    with pytest.raises(Exception, match="empty mask"):
+        metrics.masked_losses(df, df.select("cell_id").limit(0), ["gene"]).collect()
+
+
+def test_comparisons(spark):
+    c = synthetic.lattice(spark, 10)
+    e = expr.zscore(synthetic.manifold(c, "radial", 4, 0.05, 3))
+    args = (c, e, PLAN, [0.01, 0.3], 2)
+    p = {r.delta: r for r in comparisons.perturbation(*args, 4, "mse").collect()}
+    assert p[0.01].n_perms == 2 and p[0.01].stat_true == p[0.3].stat_true
+    q = {r.delta: r for r in comparisons.compared_perturbation(*args, 3, 4, "spearman_corr_mean").collect()}
+    assert q[0.01].n_perms == 3 and q[0.01].p_value == pytest.approx(0.25) and 0 <= q[0.01].stat_true <= 1
+    s = {(r.fraction, r.slot): r.stat for r in comparisons.subsampling_stats(c, e, PLAN, [0.5, 0.8], 2, 8, "mse").collect()}
+    assert len(s) == 6 and s[0.5, 0] == s[0.8, 0]
+    r = {x.fraction: x for x in comparisons.compared_subsampling(c, e, PLAN, [0.5, 0.8], 2, 3, 8, "mse").collect()}
+    assert r[0.8].p_value == pytest.approx(0.25) and 0 <= r[0.8].correlation <= 1
+
+
+def test_permuted_rows_deal_places(spark):
+    c = cells(spark, [(i, 2 * i) for i in range(6)])
+    out = comparisons.with_permuted_rows(comparisons.perturbed(c, [0.1], 2, 1), 2, 2, 5).toPandas()
+    assert sorted(out["slot"].unique()) == list(range(9))
+    base = {k: sorted(zip(g["x"], g["y"])) for k, g in out.groupby("slot")}
+    assert base[0] == base[3] == base[6] and base[1] == base[4] == base[7] != base[2]
+
+
+def test_recursive_gradients(spark):
+    c = cells(spark, [(i % 10, i // 10) for i in range(100)])
+    rng = np.random.default_rng(42)
+    a = rng.normal(size=(100, 5))
+    a[:, 0], a[:, 1] = np.arange(100) % 10, -2.0 * (np.arange(100) % 10)
+    a[:, :2] += 0.1 * rng.normal(size=(100, 2))
+    got = comparisons.recursive_svg(c, expr.zscore(long(spark, a)), networks.Plan(epochs=40, rate=0.05, hidden=8), 9, 3, alpha=0.2, max_gradients=2).collect()
+    assert {"g0", "g1"} <= {r.gene for r in got if r.gradient == 1}
+
+
+def test_mode_mask_turns_long_scales():
+    assert surrogates.turned_modes(np.array([4.0, 0.25, -0.25, -4.0]), 1.0, 1.0).tolist() == [False, True, True, False]
+    assert surrogates.turned_modes(np.array([4.0]), 0.0, 1.0).all()
+
+
+def test_surrogates_keep_means_and_power(spark):
     rng = np.random.default_rng(0)
     s, a = rng.uniform(size=(40, 2)), rng.normal(size=(40, 3))
-    b = surrogates.eigen_surrogate(s, a, 0.3, 0.5, np.random.default_rng(1))
+    b = next(surrogates.eigen_surrogates(s, a, 0.3, 0.0, 1.0, [1]))
     assert np.allclose(a.mean(0), b.mean(0)) and np.allclose(a.var(0), b.var(0)) and not np.allclose(a, b)
     assert np.allclose(np.sort(surrogates.rank_surrogate(a, b), 0), np.sort(a, 0))
-    g = rng.normal(size=(8, 8, 2))
-    h = surrogates.fourier_surrogate(g, np.random.default_rng(2))
-    assert np.allclose(np.abs(np.fft.fft2(g, axes=(0, 1))), np.abs(np.fft.fft2(h, axes=(0, 1)))) and np.allclose(g.mean((0, 1)), h.mean((0, 1)))
+    c, e = cells(spark, s), long(spark, a)
+    for most in (100, 15):
+        out = spectral.mode_surrogates(c, e, 2, 1, 0.3, most=most).toPandas()
+        assert out.groupby("slot").size().tolist() == [40, 40, 40]
+        for _, g in out.groupby("slot"):
+            assert np.allclose(np.stack(g["a"]).mean(0), a.mean(0))
+    g = rng.normal(size=(5, 8, 2))
+    at = [(j, i) for i in range(5) for j in range(8)]
+    out = spectral.phase_surrogates(cells(spark, at), long(spark, g.reshape(40, 2)), 2, 3).toPandas().sort_values("cell_id")
+    for k, rows_ in out.groupby("slot"):
+        h = np.stack(rows_["a"]).reshape(5, 8, 2)
+        assert np.allclose(np.abs(np.fft.fft2(g, axes=(0, 1))), np.abs(np.fft.fft2(h, axes=(0, 1)))) and np.allclose(g, h) == (k == 0)
+    with pytest.raises(ValueError, match="full grid"):
+        spectral.phase_surrogates(cells(spark, at[:-1]), long(spark, g.reshape(40, 2)[:-1]), 1, 3)
+
+
+def test_low_rank_factors_lower_the_deviance(spark):
+    rng = np.random.default_rng(2)
+    left, right = rng.normal(0, 0.6, (60, 1)), rng.normal(0, 0.8, (12, 1))
+    y = rng.poisson(np.exp(1.5 + left @ right.T))
+    flat = lowrank.deviance(lowrank.fit(long(spark, y), 1, rounds=0))
+    own = lowrank.fit(long(spark, y), 1, rounds=6, ridge=0.1)
+    assert lowrank.deviance(own) < 0.7 * flat
+    got = np.array([r.l[0] for r in own.left.orderBy("cell_id").collect()])
+    assert abs(np.corrcoef(got, left[:, 0])[0, 1]) > 0.8
 
 
 def test_slots_and_samples(spark):
