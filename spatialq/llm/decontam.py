@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import blocks, column, pick, scratch, utf8
+from .common import blocks, column, pick, scratch, utf8, written
 
 #: Bytes that are not words become blanks, A-Z become lower case; bytes from 0x80 on are word bytes.
 FOLD = bytes(
@@ -325,13 +325,17 @@ def contamination(docs: DataFrame, benchmark: DataFrame, size: int = 13, max_ter
 def uncontaminated(docs: DataFrame, benchmark: DataFrame, size: int = 13) -> DataFrame:
     """The rows that are not contaminated, with all their columns.
 
-    Contamination depends on the text alone, so rows with the doc_id of a contaminated
-    one go only if that holds for their text: they are told apart by a hash of it.
+    Rows are told apart by doc_id where that is unique, else by their place in a written
+    copy, so a clean row stays whatever other rows share its id or its text.
     """
     inner = [f"c{i}" for i in range(len(docs.columns))]
     at, key = inner[docs.columns.index("text")], inner[docs.columns.index("doc_id")]
     flat = docs.toDF(*inner)
-    mark = F.xxhash64(F.col(key), F.coalesce(at, F.lit("")))
-    marked = flat.select(mark.alias("doc_id"), F.col(at).alias("text"))
-    bad = contamination(marked, benchmark, size).filter("contaminated").select(F.col("doc_id").alias("mark")).distinct()
-    return flat.withColumn("mark", mark).join(bad, "mark", "left_anti").select(*inner).toDF(*docs.columns)
+    n, ids, some = flat.agg(F.count("*"), F.countDistinct(key), F.count(key)).first()
+    if n == ids == some:
+        flat = flat.withColumn("row", F.col(key))
+    else:
+        flat = written(flat.withColumn("row", F.monotonically_increasing_id()), "documents")
+    own = flat.select(F.col("row").alias("doc_id"), F.col(at).alias("text"))
+    bad = contamination(own, benchmark, size).filter("contaminated").select(F.col("doc_id").alias("row"))
+    return flat.join(bad, "row", "left_anti").select(*inner).toDF(*docs.columns)
