@@ -135,6 +135,57 @@ def anchored(rows: DataFrame, k: int, block_bytes: int = 1 << 19, piece: int = 4
     return rows.mapInArrow(find, ROW_SCHEMA)
 
 
+def run_classes(words: np.ndarray, border: np.ndarray, run: int) -> np.ndarray:
+    """For each block the class of the ``run`` blocks from it on, equal for equal runs; -1 for runs that occur once.
+
+    Blocks at a border belong to no run. Runs of equal blocks consist of blocks, and of
+    pairs of blocks, that occur twice at least, so only stretches of such blocks that
+    are long enough reach the suffix array, each behind a sign of its own.
+    """
+    out = np.full(len(words), -1, np.int64)
+    _, symbols, often = np.unique(words, return_inverse=True, return_counts=True)
+    held = (often[symbols] > 1) & ~border
+    for _ in range(3):
+        pair = np.flatnonzero(held[:-1] & held[1:])
+        _, which, often = np.unique(symbols[pair] * (int(symbols.max()) + 1) + symbols[pair + 1], return_inverse=True, return_counts=True)
+        both = np.zeros(len(held), bool)  # the pair from here on occurs twice
+        both[pair] = often[which] > 1
+        edge = np.diff(np.concatenate([[0], both.astype(np.int8), [0]]))
+        first, last = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)  # blocks first..last
+        long = last - first + 1 >= run
+        first, last = first[long], last[long]
+        now = np.zeros(len(held) + 1, np.int64)
+        np.add.at(now, first, 1)
+        np.add.at(now, last + 1, -1)
+        before = int(held.sum())
+        held = np.cumsum(now[:-1]) > 0
+        if int(held.sum()) == before:
+            break
+    if not len(first):
+        return out
+    # stretches, each behind a sign of its own: signs are above all symbols and differ
+    size = last - first + 2
+    heads = np.cumsum(size) - size
+    place = np.arange(int(size.sum())) - np.repeat(heads, size)
+    where = np.repeat(first, size) + place - 1
+    dense, text = np.unique(symbols[where], return_inverse=True)
+    text = text.astype(np.int64)
+    text[heads] = len(dense) + np.arange(len(heads))
+    order = np.array(suffix_array(text.tolist()), np.int64)
+    left = np.repeat(size, size) - place  # blocks up to the stretch's end, from each
+    a, b = order[:-1], order[1:]
+    same = (left[a] >= run) & (left[b] >= run)
+    at = np.flatnonzero(same)
+    for t in range(run):
+        at = at[text[a[at] + t] == text[b[at] + t]]
+    same[:] = False
+    same[at] = True
+    near = np.concatenate([[False], same]) | np.concatenate([same, [False]])
+    classes = np.concatenate([[0], np.cumsum(~same)])
+    out[where[order[near]]] = classes[near]
+    return out
+
+
 def repeated_starts(texts: np.ndarray, offs: np.ndarray, rel: np.ndarray, span: np.ndarray, weight: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row, start, repeats) for every start of a batch of rows, by a suffix array over blocks.
 
@@ -149,17 +200,9 @@ def repeated_starts(texts: np.ndarray, offs: np.ndarray, rel: np.ndarray, span:
     flat = np.zeros(int(base[-1]) * BLOCK, np.uint8)
     flat[np.arange(int(lens.sum())) + np.repeat(base[:-1] * BLOCK + BLOCK + pad - (offs[:-1] - offs[0]), lens)] = texts[offs[0] : offs[-1]]
     words = flat.view("<u8")
-    _, symbols = np.unique(words, return_inverse=True)
-    symbols = symbols.astype(np.int64)
-    symbols[base[:-1]] = symbols.max() + 1 + np.arange(n)  # each row begins with a sign of its own
-    order = np.array(suffix_array(symbols.tolist()), np.int64)
-    same = np.ones(len(order) - 1, bool)
-    a, b = order[:-1], order[1:]
-    fits = (np.maximum(a, b) + run) <= len(symbols)
-    for t in range(run):
-        same &= symbols[np.minimum(a + t, len(symbols) - 1)] == symbols[np.minimum(b + t, len(symbols) - 1)]
-    alike = np.empty(len(order), np.int64)
-    alike[order] = np.concatenate([[0], np.cumsum(~(same & fits))])
+    border = np.zeros(len(words), bool)
+    border[base[:-1]] = True
+    alike = run_classes(words, border, run)
 
     row = np.repeat(np.arange(n), span + 1)
     start = np.arange(len(row)) - np.repeat(np.cumsum(span + 1) - (span + 1), span + 1)
@@ -169,14 +212,15 @@ def repeated_starts(texts: np.ndarray, offs: np.ndarray, rel: np.ndarray, span:
     g = base[row] + j
     right = np.array([(1 << 8 * (BLOCK - i)) - 1 for i in range(BLOCK)], np.uint64)
     around = (words[g - 1] & ~right[e]) | (words[g + run] & right[e])
-    key = alike[g] * BLOCK + e
+    repeats = np.zeros(len(row), bool)
+    shared = np.flatnonzero(alike[g] >= 0)
+    key, around = alike[g[shared]] * BLOCK + e[shared], around[shared]
     by = np.lexsort((around, key))
     new = np.ones(len(by), bool)
     new[1:] = (key[by][1:] != key[by][:-1]) | (around[by][1:] != around[by][:-1])
     heads = np.flatnonzero(new)
-    total = np.add.reduceat(weight[row][by], heads) if len(heads) else heads
-    repeats = np.empty(len(by), bool)
-    repeats[by] = np.repeat(total > 1, np.diff(np.append(heads, len(by))))
+    total = np.add.reduceat(weight[row[shared]][by], heads) if len(heads) else heads
+    repeats[shared[by]] = np.repeat(total > 1, np.diff(np.append(heads, len(by))))
     return row, start, repeats
 
 
