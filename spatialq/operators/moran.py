@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.portable import uniform
 from .spatial import radius_pairs
+from .vectors import packed, total
 
 
 def weights(cells: DataFrame, r: float, keys: tuple[str, ...] = ()) -> DataFrame:
@@ -25,28 +27,44 @@ def moran_of(n: Column, s0: Column, cross: Column, square: Column) -> Column:
     return F.when(square > 1e-12, n / s0 * cross / F.when(square > 1e-12, square))
 
 
+def centred(expr: DataFrame, scale: bool = False) -> DataFrame:
+    """(cell_id, z): a cell's measurements less the genes' means, over their deviations if asked, in gene order."""
+    means = expr.groupBy("gene").agg(F.avg("value").alias("_m"), F.stddev_pop("value").alias("_s"))
+    z = F.col("value") - F.col("_m")
+    return packed(expr.join(means, "gene").select("cell_id", "gene", (z / (F.col("_s") + 1e-8) if scale else z).alias("value")), "z")
+
+
+def at_both_ends(edges: DataFrame, z: DataFrame) -> DataFrame:
+    """edges with zi and zj: one row an edge, however many genes there are."""
+    left = edges.join(z.select(F.col("cell_id").alias("i"), F.col("z").alias("zi")), "i")
+    return left.join(z.select(F.col("cell_id").alias("j"), F.col("z").alias("zj")), "j")
+
+
+def crosses(edges: DataFrame, z: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """(keys, c, s0): sums of w zi zj by gene, and of w, over the edges."""
+    both = at_both_ends(edges, z)
+    return both.groupBy(*keys).agg(total(F.zip_with("zi", "zj", lambda a, b: a * b * F.col("w"))).alias("c"), F.sum("w").alias("s0"))
+
+
+def squares(expr: DataFrame) -> DataFrame:
+    """One row with n and q: cells, and sums of squares by gene in gene order."""
+    v = expr.groupBy("gene").agg((F.var_pop("value") * F.count("*")).alias("q"), F.count("*").alias("n"))
+    return v.agg(F.max("n").alias("n"), F.sort_array(F.collect_list(F.struct("gene", "q"))).alias("g")).select("n", F.col("g.gene").alias("gene"), F.col("g.q").alias("q"))
+
+
 def morans_i(cells: DataFrame, expr: DataFrame, r: float) -> DataFrame:
-    """(gene, moran) on dense measurements. Both ends of an edge take their value by a join on the cell."""
-    edges = weights(cells, r)
-    means = expr.groupBy("gene").agg(F.avg("value").alias("_m"), F.var_pop("value").alias("_v"), F.count("*").alias("n"))
-    z = expr.join(F.broadcast(means), "gene").select("gene", "cell_id", (F.col("value") - F.col("_m")).alias("z"))
-    left = edges.join(z.select(F.col("cell_id").alias("i"), "gene", F.col("z").alias("zi")), "i")
-    cross = left.join(z.select(F.col("cell_id").alias("j"), "gene", F.col("z").alias("zj")), ["j", "gene"]).groupBy("gene").agg(F.sum(F.col("w") * F.col("zi") * F.col("zj")).alias("c"))
-    s0 = edges.agg(F.sum("w").alias("s0"))
-    out = means.join(cross, "gene", "left").crossJoin(F.broadcast(s0))
-    return out.select("gene", moran_of(F.col("n"), F.col("s0"), F.coalesce("c", F.lit(0.0)), F.col("n") * F.col("_v")).alias("moran"))
+    """(gene, moran) on dense measurements. Both ends of an edge take all their values by one join on the cell."""
+    out = squares(expr).crossJoin(F.broadcast(crosses(weights(cells, r), centred(expr))))
+    pairs = F.arrays_zip(F.col("gene").alias("gene"), F.col("q").alias("q"), F.coalesce("c", F.transform("q", lambda _: F.lit(0.0))).alias("c"))
+    rows = out.select("n", "s0", F.explode(pairs).alias("g"))
+    return rows.select(F.col("g.gene").alias("gene"), moran_of(F.col("n"), F.col("s0"), F.col("g.c"), F.col("g.q")).alias("moran"))
 
 
 def moran_slots(slots: DataFrame, expr: DataFrame, r: float) -> DataFrame:
     """(slot, moran): mean over genes for each layout slots(slot, cell_id, x, y)."""
-    edges = weights(slots, r, ("slot",))
-    means = expr.groupBy("gene").agg(F.avg("value").alias("_m"), F.var_pop("value").alias("_v"), F.count("*").alias("n"))
-    z = expr.join(F.broadcast(means), "gene").select("gene", "cell_id", (F.col("value") - F.col("_m")).alias("z"))
-    left = edges.join(z.select(F.col("cell_id").alias("i"), "gene", F.col("z").alias("zi")), "i")
-    cross = left.join(z.select(F.col("cell_id").alias("j"), "gene", F.col("z").alias("zj")), ["j", "gene"]).groupBy("slot", "gene").agg(F.sum(F.col("w") * F.col("zi") * F.col("zj")).alias("c"))
-    s0 = edges.groupBy("slot").agg(F.sum("w").alias("s0"))
-    each = cross.join(F.broadcast(means), "gene").join(s0, "slot")
-    each = each.withColumn("moran", moran_of(F.col("n"), F.col("s0"), F.col("c"), F.col("n") * F.col("_v")))
+    out = crosses(weights(slots, r, ("slot",)), centred(expr), ("slot",)).crossJoin(F.broadcast(squares(expr)))
+    rows = out.select("slot", "n", "s0", F.explode(F.arrays_zip("q", "c")).alias("g"))
+    each = rows.select("slot", moran_of(F.col("n"), F.col("s0"), F.col("g.c"), F.col("g.q")).alias("moran"))
     return each.groupBy("slot").agg(F.avg("moran").alias("moran"))
 
 
@@ -60,12 +78,31 @@ def lower_rank_p(stats: DataFrame) -> DataFrame:
     )
 
 
-def variogram(cells: DataFrame, expr: DataFrame, r: float, bins: int) -> DataFrame:
-    """(bin, n_pairs, distance, covariance, gamma) of standardised values over pairs within r, gene-pooled."""
-    pairs = radius_pairs(cells, r).withColumn("bin", F.least(F.floor(F.col("d") / (r / bins)), F.lit(bins - 1)).cast("int"))
-    stats = expr.groupBy("gene").agg(F.avg("value").alias("_m"), F.stddev_pop("value").alias("_s"))
-    z = expr.join(F.broadcast(stats), "gene").select("gene", "cell_id", ((F.col("value") - F.col("_m")) / (F.col("_s") + 1e-8)).alias("z"))
-    both = pairs.join(z.select(F.col("cell_id").alias("i"), "gene", F.col("z").alias("zi")), "i").join(z.select(F.col("cell_id").alias("j"), "gene", F.col("z").alias("zj")), ["j", "gene"])
-    return both.groupBy("bin").agg(
-        F.countDistinct("i", "j").alias("n_pairs"), F.avg("d").alias("distance"), F.avg(F.col("zi") * F.col("zj")).alias("covariance")
-    ).withColumn("gamma", 1 - F.col("covariance"))
+def bin_of(d: Column, r: float, bins: int, kind: str) -> Column:
+    """The bin of a distance up to r: linear, of equal widths; log, of ratio 2 below r; near, as narrow near 0 as squares make them."""
+    place = {"linear": d / (r / bins), "log": bins + F.log2(F.greatest(d, F.lit(r / 2**bins)) / r), "near": F.sqrt(d / r) * bins}[kind]
+    return F.least(F.floor(place), F.lit(bins - 1)).cast("int")
+
+
+def variogram(cells: DataFrame, expr: DataFrame, r: float, bins: int, kind: str = "linear", share: float = 1.0, seed: int = 0) -> DataFrame:
+    """(bin, n_pairs, distance, covariance, gamma) of standardised values over pairs within r, gene-pooled.
+
+    share < 1: a sample of the pairs, by a hash of both ends.
+    """
+    pairs = radius_pairs(cells, r)
+    if share < 1:
+        pairs = pairs.filter(uniform(seed, "i", "j") < share)
+    both = at_both_ends(pairs.withColumn("bin", bin_of(F.col("d"), r, bins, kind)), centred(expr, True))
+    mean = F.aggregate(F.zip_with("zi", "zj", lambda a, b: a * b), F.lit(0.0), lambda t, x: t + x) / F.size("zi")
+    return both.groupBy("bin").agg(F.count("*").alias("n_pairs"), F.avg("d").alias("distance"), F.avg(mean).alias("covariance")).withColumn("gamma", 1 - F.col("covariance"))
+
+
+def variogram_bands(slots: DataFrame, expr: DataFrame, r: float, bins: int, low: float = 0.05, high: float = 0.95, **how) -> DataFrame:
+    """(bin, gamma, low, high): the true layout's variogram and quantiles over the null layouts of slots."""
+    n = slots.agg(F.max("slot")).first()[0]
+    each = None
+    for k in range(n + 1):  # a few layouts, each a plan of its own
+        v = variogram(slots.filter(F.col("slot") == k).drop("slot"), expr, r, bins, **how).select(F.lit(k).alias("slot"), "bin", "gamma")
+        each = v if each is None else each.unionByName(v)
+    nulls = F.when(F.col("slot") > 0, F.col("gamma"))
+    return each.groupBy("bin").agg(F.max(F.when(F.col("slot") == 0, F.col("gamma"))).alias("gamma"), F.percentile(nulls, F.lit(low)).alias("low"), F.percentile(nulls, F.lit(high)).alias("high"))

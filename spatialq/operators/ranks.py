@@ -104,9 +104,9 @@ def size_order(df: DataFrame, label: str) -> DataFrame:
 
 
 def best_per(df: DataFrame, keys: list[str], value: Column, *ties: str) -> DataFrame:
-    """The row of least value for each key; ties by the given columns."""
-    w = Window.partitionBy(*keys).orderBy(value, *ties)
-    return df.withColumn("_r", F.row_number().over(w)).filter("_r = 1").drop("_r")
+    """The row of least value for each key; ties by the given columns. A partial aggregate, no group is sorted."""
+    best = df.groupBy(*keys).agg(F.min_by(F.struct(*df.columns), F.struct(value.alias("v"), *ties)).alias("_row"))
+    return best.select("_row.*")
 
 
 def rank_match(values: DataFrame, reference: DataFrame, keys: list[str]) -> DataFrame:

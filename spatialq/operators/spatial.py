@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalar
+from ..sources.scratch import written
 from .graph import components
 
 
@@ -48,7 +49,8 @@ def knn(cells: DataFrame, k: int, rounds: int = 40) -> DataFrame:
 
     Tiles hold about k cells on average. A cell is settled once k neighbours lie within
     the radius that its tiles cover surely; the rest look again over tiles of twice the
-    side. The loop ends at the latest when a tile covers the whole extent.
+    side. Each round writes what it found and what is left, so no round is run again.
+    The loop ends at the latest when a tile covers the whole extent.
     """
     w, h, n = extent(cells)
     if n < 2:
@@ -56,19 +58,19 @@ def knn(cells: DataFrame, k: int, rounds: int = 40) -> DataFrame:
     side = max(math.sqrt(max(w, 1e-9) * max(h, 1e-9) * min(n, k + 1) / n), max(w, h) * 1e-6, 1e-12)
     todo, done = cells.select("cell_id", "x", "y"), None
     want = min(k, n - 1)
-    order = Window.partitionBy("i").orderBy("d", "j")
+    own = Window.partitionBy("i")
     for _ in range(rounds):
         a = todo.select(F.col("cell_id").alias("i"), F.col("x").alias("ax"), F.col("y").alias("ay"), tile("x", side).alias("_tx"), tile("y", side).alias("_ty"))
         b = near_tiles(cells.select("cell_id", "x", "y"), side).select(F.col("cell_id").alias("j"), F.col("x").alias("bx"), F.col("y").alias("by"), "_tx", "_ty")
         near = a.join(b, ["_tx", "_ty"]).filter("i <> j").withColumn("d", distance(F.col("ax"), F.col("ay"), F.col("bx"), F.col("by")))
-        ranked = near.select("i", "j", "d", F.row_number().over(order).alias("rank")).filter(F.col("rank") <= want)
+        ranked = near.select("i", "j", "d", F.row_number().over(own.orderBy("d", "j")).alias("rank")).filter(F.col("rank") <= want)
         last = side > max(w, h)
-        sure = ranked.groupBy("i").agg(F.count("*").alias("c"), F.max("d").alias("far")).filter((F.col("c") == want) & (F.lit(last) | (F.col("far") <= side)))
-        found = ranked.join(sure.select("i"), "i", "left_semi")
+        sure = (F.count("*").over(own) == want) & (F.lit(last) | (F.max("d").over(own) <= side))
+        found = written(ranked.withColumn("sure", sure).filter("sure").drop("sure"), "neighbours", n * want)
         done = found if done is None else done.unionByName(found)
         if last:
             return done
-        todo = todo.join(sure.select(F.col("i").alias("cell_id")), "cell_id", "left_anti")
+        todo = written(todo.join(found.select(F.col("i").alias("cell_id")).distinct(), "cell_id", "left_anti"), "todo", n)
         if todo.isEmpty():
             return done
         side *= 2
@@ -140,7 +142,7 @@ def dbscan(cells: DataFrame, eps: float, min_samples: int) -> DataFrame:
     A cell is a core if its closed ball holds min_samples cells, itself included.
     Clusters are components of core-core links, numbered by their least core.
     """
-    near = radius_pairs(cells, eps)
+    near = written(radius_pairs(cells, eps).select("i", "j"), "near")
     both = near.select("i", "j").unionByName(near.select(F.col("j").alias("i"), F.col("i").alias("j")))
     degree = both.groupBy("i").agg((F.count("*") + 1).alias("n"))
     cores = cells.select(F.col("cell_id").alias("i")).join(degree, "i", "left").filter(F.coalesce("n", F.lit(1)) >= min_samples).select("i")

@@ -9,6 +9,7 @@ from ..operators import decoders as D
 from ..operators import expr as E
 from ..operators import metrics as M
 from ..operators import nulls as N
+from ..operators import vectors as V
 from ..operators.ranks import bh_qvalues
 from . import sqltext as S
 from .nulls import PERM
@@ -22,13 +23,24 @@ loss AS (SELECT slot, sum(sse) / sum(n) AS mse, sum(n) AS n FROM fit GROUP BY 1)
 def depth_losses(slots, expr):
     """(slot, mse, stat): loss of linear decoders of all genes on each slot's depth axis.
 
-    Sums by slot and gene are all that is shuffled; the measurements are joined once and
-    never copied into slots beforehand.
+    A cell's measurements are one array, joined once to its depths; vector sums by slot
+    are all that is shuffled.
     """
-    rows = expr.join(D.depth_axis(slots), "cell_id")
-    fit = D.linear_fit(D.linear_sums(rows, ["slot", "gene"]))
-    loss = fit.groupBy("slot").agg((F.sum("sse") / F.sum("n")).alias("mse"), F.sum("n").alias("n"))
-    return loss.select("slot", "mse", M.nll_of_mse(F.col("mse"), F.col("n")).alias("stat"))
+    rows = D.depth_axis(slots).join(V.packed(expr), "cell_id")
+    s = rows.groupBy("slot").agg(
+        F.count("*").cast("double").alias("n"), F.sum("z").alias("sz"), F.sum(F.col("z") * F.col("z")).alias("szz"), V.total(F.col("a")).alias("sy"),
+        V.total(F.transform("a", lambda y: y * y)).alias("syy"), V.total(F.transform("a", lambda y: y * F.col("z"))).alias("szy"),
+    )
+    vz = F.col("szz") - F.col("sz") * F.col("sz") / F.col("n")
+
+    def sse(g):
+        c = g["szy"] - F.col("sz") * g["sy"] / F.col("n")
+        sst = g["syy"] - g["sy"] * g["sy"] / F.col("n")
+        return F.greatest(sst - F.when(vz > 1e-12, c * c / vz).otherwise(0.0), F.lit(0.0))
+
+    each = F.transform(F.arrays_zip("sy", "syy", "szy"), sse)
+    loss = s.select("slot", F.aggregate(each, F.lit(0.0), lambda t, x: t + x).alias("sse"), (F.col("n") * F.size("sy")).alias("n"))
+    return loss.select("slot", (F.col("sse") / F.col("n")).alias("mse"), M.nll_of_mse(F.col("sse") / F.col("n"), F.col("n")).alias("stat"))
 
 
 @query(near("stat_true p_value", f"WITH {S.dense()}, {PERM.replace('generate_series(1, 5)', 'generate_series(1, 19)')}, {DEPTH}, t AS (SELECT stat AS stat_true FROM nll WHERE slot = 0) SELECT stat_true, (count(*) FILTER (stat <= stat_true) + 1) / (count(*) + 1)::DOUBLE AS p_value, count(*) AS n_perms FROM nll, t WHERE slot > 0 GROUP BY 1"))

@@ -66,7 +66,7 @@ def best_rerun(spark, d):
 @query(near("score", "SELECT gene, score, p_partkey FROM (SELECT p_brand AS gene, p_retailprice - 1400 AS score, p_partkey, row_number() OVER (PARTITION BY p_brand ORDER BY round(abs(p_retailprice - 1400), 6) DESC, p_partkey) AS r FROM part) WHERE r = 1"))
 def collapse_genes(spark, d):
     p = B.read(spark, d, "part").select(F.col("p_brand").alias("gene"), (F.col("p_retailprice") - 1400).alias("score"), "p_partkey")
-    return RK.best_per(p, ["gene"], F.round(F.abs("score"), 6).desc(), "p_partkey")
+    return RK.best_per(p, ["gene"], -F.round(F.abs("score"), 6), "p_partkey")
 
 
 @query(near("value", f"""WITH {S.dense()}, v AS (SELECT cell_id, gene, value * value AS value FROM expr),

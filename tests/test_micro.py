@@ -377,6 +377,29 @@ def test_low_rank_factors_lower_the_deviance(spark):
     assert abs(np.corrcoef(got, left[:, 0])[0, 1]) > 0.8
 
 
+def test_variogram_kinds_and_bands(spark):
+    c = cells(spark, [(0, 0), (1, 0), (0, 2), (4, 0)])
+    e = long(spark, [[1.0], [2.0], [4.0], [1.0]])
+    z = (np.array([1, 2, 4, 1]) - 2) / np.array([1, 2, 4, 1]).std()
+    pairs = {(0, 1): 1.0, (0, 2): 2.0, (0, 3): 4.0, (1, 2): 5**0.5, (1, 3): 3.0, (2, 3): 20**0.5}
+    for kind, slot in (("linear", lambda d: int(d / 1.0)), ("log", lambda d: int(5 + math.log2(d / 5))), ("near", lambda d: int((d / 5) ** 0.5 * 5))):
+        want = {}
+        for (i, j), d in pairs.items():
+            want.setdefault(slot(d), []).append(z[i] * z[j])
+        got = {r.bin: (r.n_pairs, r.gamma) for r in moran.variogram(c, e, 5.0, 5, kind).collect()}
+        assert {k: (len(v), pytest.approx(1 - sum(v) / len(v), abs=1e-6)) for k, v in want.items()} == got
+    b = moran.variogram_bands(nulls.coordinate_permutation(c, 4, 1), e, 5.0, 5).collect()
+    assert all(r.low <= r.high for r in b if r.low is not None)
+    assert 0 < moran.variogram(c, e, 5.0, 5, share=0.5, seed=1).agg(F.sum("n_pairs")).first()[0] < 6
+
+
+def test_knn_plan_does_not_grow(spark):
+    c = cells(spark, [(i % 7, i // 7) for i in range(40)] + [(1000 + i, 0) for i in range(5)] + [(1e6, 1e6)])
+    out = spatial.knn(c, 3)
+    assert out.count() == 46 * 3
+    assert out._jdf.queryExecution().executedPlan().toString().count("Exchange") == 0  # rounds are read, not run again
+
+
 def test_slots_and_samples(spark):
     c = cells(spark, [(i, i * i % 7) for i in range(30)])
     p = nulls.coordinate_permutation(c, 2, 3).toPandas()
