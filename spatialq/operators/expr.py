@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .genes import highly_variable
+
 EPS = 1e-8
 
 
@@ -69,7 +71,27 @@ def qc(expr: DataFrame, prefix: str = "MT-") -> DataFrame:
     return a.select("cell_id", "total", F.log1p("total").alias("log_total"), "n_genes", F.coalesce(F.try_divide(100 * F.col("_p"), F.col("total")), F.lit(0.0)).alias("pct"))
 
 
-def preprocess_by_type(expr: DataFrame, cells: DataFrame) -> DataFrame:
-    """CPM, log and z-score inside each cell type, on dense values."""
-    out = log1p(cpm(expr)).join(cells.select("cell_id", "cell_type"), "cell_id")
+def cp10k(expr: DataFrame) -> DataFrame:
+    """log1p of counts per ten thousand of the cell's total, which counts as 1 at least; absent values are 0."""
+    total = expr.groupBy("cell_id").agg(F.greatest(F.sum("value"), F.lit(1.0)).alias("_t"))
+    return expr.join(total, "cell_id").withColumn("value", F.log1p(F.col("value") * 1e4 / F.col("_t"))).drop("_t")
+
+
+def preprocess_by_type(expr: DataFrame, cells: DataFrame, n_top: int = 0, least: int = 0) -> DataFrame:
+    """Inside each cell type: the most variable genes, of them those in enough cells, then CPM, log and z-score.
+
+    expr is dense. n_top and least at 0 keep all genes.
+    """
+    kinds = cells.select("cell_id", "cell_type")
+    if n_top or least:
+        typed = expr.join(kinds, "cell_id")
+        keep = typed.select("cell_type", "gene").distinct()
+        if n_top:
+            n = kinds.groupBy("cell_type").agg(F.count("*").alias("n"))
+            keep = highly_variable(typed, n, n_top, keys=("cell_type",)).select("cell_type", "gene")
+        if least:
+            seen = typed.groupBy("cell_type", "gene").agg(F.count_if(F.col("value") != 0).alias("_n")).filter(F.col("_n") >= least)
+            keep = keep.join(seen, ["cell_type", "gene"], "left_semi")
+        expr = typed.join(keep, ["cell_type", "gene"], "left_semi").drop("cell_type")
+    out = log1p(cpm(expr)).join(kinds, "cell_id")
     return zscore(out, ("cell_type", "gene"))

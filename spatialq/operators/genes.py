@@ -59,29 +59,28 @@ def resolve(symbols: DataFrame, genes: DataFrame) -> DataFrame:
     )
 
 
-def highly_variable(expr: DataFrame, n_cells: int | DataFrame, n_top: int, bins: int = 20, scale: float = 1e4) -> DataFrame:
+def highly_variable(expr: DataFrame, n_cells: int | DataFrame, n_top: int, bins: int = 20, scale: float = 1e4, keys: tuple[str, ...] = ()) -> DataFrame:
     """(gene, mean, dispersion, score, rank): the Seurat recipe on long counts whose zeros may be absent.
 
     Counts are scaled to a common total and logged; means and variances (ddof 1) are
     those of the unlogged values over all cells; log dispersions are standardised in
     equal-width bins of the log mean; a bin with one gene scores 1.
+    keys: columns of expr, such as the cell type, within which all of that is done;
+    n_cells is then a table (keys, n).
     """
     total = expr.groupBy("cell_id").agg(F.sum("value").alias("_t"))
     v = F.col("value") * scale / F.col("_t")
-    sums = (
-        expr.join(total.filter("_t > 0"), "cell_id").groupBy("gene")
-        .agg(F.sum(v).alias("s"), F.sum(v * v).alias("q"))
-        .withColumn("n", F.lit(float(n_cells)))
-    )
+    sums = expr.join(total.filter("_t > 0"), "cell_id").groupBy(*keys, "gene").agg(F.sum(v).alias("s"), F.sum(v * v).alias("q"))
+    sums = sums.join(n_cells.select(*keys, F.col("n").cast("double").alias("n")), list(keys)) if keys else sums.withColumn("n", F.lit(float(n_cells)))
     moments = sums.select(
-        "gene", (F.col("s") / F.col("n")).alias("mean"), ((F.col("q") - F.col("s") * F.col("s") / F.col("n")) / (F.col("n") - 1)).alias("var")
+        *keys, "gene", (F.col("s") / F.col("n")).alias("mean"), ((F.col("q") - F.col("s") * F.col("s") / F.col("n")) / (F.col("n") - 1)).alias("var")
     ).filter("mean > 0 AND var > 0")
-    logs = moments.select("gene", F.log1p("mean").alias("mean"), F.log(F.col("var") / F.col("mean")).alias("dispersion"))
-    edge = logs.agg(F.min("mean").alias("_lo"), F.max("mean").alias("_hi"))
+    logs = moments.select(*keys, "gene", F.log1p("mean").alias("mean"), F.log(F.col("var") / F.col("mean")).alias("dispersion"))
+    edge = logs.groupBy(*keys).agg(F.min("mean").alias("_lo"), F.max("mean").alias("_hi"))
     width = (F.col("_hi") - F.col("_lo")) / bins
     slot = F.when(width <= 0, 0).otherwise(F.least(F.floor((F.col("mean") - F.col("_lo")) / F.when(width > 0, width)), F.lit(bins - 1)))
-    binned = logs.crossJoin(F.broadcast(edge)).withColumn("bin", slot)
-    by = binned.groupBy("bin").agg(F.avg("dispersion").alias("_m"), F.stddev_samp("dispersion").alias("_s"))
+    binned = (logs.join(edge, list(keys)) if keys else logs.crossJoin(F.broadcast(edge))).withColumn("bin", slot)
+    by = binned.groupBy(*keys, "bin").agg(F.avg("dispersion").alias("_m"), F.stddev_samp("dispersion").alias("_s"))
     score = F.when(F.col("_s").isNull() | (F.col("_s") == 0), 1.0).otherwise((F.col("dispersion") - F.col("_m")) / F.col("_s"))
-    scored = binned.join(F.broadcast(by), "bin").select("gene", "mean", "dispersion", score.alias("score"))
-    return scored.withColumn("rank", F.row_number().over(Window.orderBy(F.round("score", 9).desc(), "gene"))).filter(F.col("rank") <= n_top)
+    scored = binned.join(by, [*keys, "bin"]).select(*keys, "gene", "mean", "dispersion", score.alias("score"))
+    return scored.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(F.round("score", 9).desc(), "gene"))).filter(F.col("rank") <= n_top)

@@ -33,6 +33,14 @@ def enrichment(ranking: DataFrame, sets: DataFrame, keys: tuple[str, ...] = ())
     return run.groupBy(*keys, "pathway").agg(F.sum(F.col("hit").cast("int")).alias("size"), F.when(hi >= -lo, hi).otherwise(lo).alias("es"))
 
 
+def leading_edge(ranking: DataFrame, sets: DataFrame) -> DataFrame:
+    """(pathway, gene, rank): a set's genes up to the peak of its running sum, or from the trough on where that is larger."""
+    run = running_sums(ranking, sets)
+    ends = run.groupBy("pathway").agg(F.max("run").alias("hi"), F.min("run").alias("lo"), F.min_by("rank", F.struct(-F.round("run", 12), "rank")).alias("top"), F.min_by("rank", F.struct(F.round("run", 12), "rank")).alias("low"))
+    up = F.col("hi") >= -F.col("lo")
+    return run.filter("hit").join(ends, "pathway").filter(F.when(up, F.col("rank") <= F.col("top")).otherwise(F.col("rank") >= F.col("low"))).select("pathway", "gene", "rank")
+
+
 def preranked(ranking: DataFrame, sets: DataFrame, n_perms: int, seed: int, least: int = 3, most: int = 500) -> DataFrame:
     """pathway, size, es, nes, p_value, q_value from permutations of the gene labels.
 

@@ -33,21 +33,24 @@ def coordinate_permutation(cells: DataFrame, n: int, seed: int) -> DataFrame:
     return permute(cells, n, seed, ["x", "y"])
 
 
-def block_permutation(cells: DataFrame, n: int, seed: int, radius: float, shape: str = "square", jitter: bool = True) -> DataFrame:
+def block_permutation(cells: DataFrame, n: int, seed: int, radius: float, shape: str = "square", jitter: bool = True, keys: tuple[str, ...] = ()) -> DataFrame:
     """(slot, cell_id, x, y): block centroids trade places, cells keep their offsets to them.
 
+    keys: columns, such as the cell type, each value of which has a mesh and blocks of its own.
+
     Each slot may shift the mesh by hash-derived uniforms in (-radius, radius). Only
     blocks are ranked; a slot with one block stays as it is.
     """
-    many = slots(cells.select("cell_id", "x", "y"), n)
-    dx, dy = (((uniform(seed, "slot", F.lit(a)) * 2 - 1) * radius if jitter else F.lit(0.0)) for a in ("jx", "jy"))
-    shifted = many.select("slot", "cell_id", F.col("x").alias("_x"), F.col("y").alias("_y"), (F.col("x") + dx).alias("x"), (F.col("y") + dy).alias("y"))
-    tiled = with_bin(shifted, radius, shape).select("slot", "cell_id", "bin", F.col("_x").alias("x"), F.col("_y").alias("y"))
-    blocks = tiled.groupBy("slot", "bin").agg(F.avg("x").alias("cx"), F.avg("y").alias("cy"))
-    a = blocks.withColumn("_r", F.row_number().over(Window.partitionBy("slot").orderBy("bin")))
-    b = blocks.withColumn("_r", F.row_number().over(Window.partitionBy("slot").orderBy(order_key(seed, "slot", "bin"), "bin")))
-    move = a.join(b.select("slot", "_r", F.col("cx").alias("tx"), F.col("cy").alias("ty")), ["slot", "_r"])
-    moved = tiled.join(move.select("slot", "bin", (F.col("tx") - F.col("cx")).alias("mx"), (F.col("ty") - F.col("cy")).alias("my")), ["slot", "bin"])
+    many = slots(cells.select("cell_id", "x", "y", *keys), n)
+    dx, dy = (((uniform(seed, "slot", *keys, F.lit(a)) * 2 - 1) * radius if jitter else F.lit(0.0)) for a in ("jx", "jy"))
+    own = ["slot", *keys]
+    shifted = many.select(*own, "cell_id", F.col("x").alias("_x"), F.col("y").alias("_y"), (F.col("x") + dx).alias("x"), (F.col("y") + dy).alias("y"))
+    tiled = with_bin(shifted, radius, shape).select(*own, "cell_id", "bin", F.col("_x").alias("x"), F.col("_y").alias("y"))
+    blocks = tiled.groupBy(*own, "bin").agg(F.avg("x").alias("cx"), F.avg("y").alias("cy"))
+    a = blocks.withColumn("_r", F.row_number().over(Window.partitionBy(*own).orderBy("bin")))
+    b = blocks.withColumn("_r", F.row_number().over(Window.partitionBy(*own).orderBy(order_key(seed, *own, "bin"), "bin")))
+    move = a.join(b.select(*own, "_r", F.col("cx").alias("tx"), F.col("cy").alias("ty")), [*own, "_r"])
+    moved = tiled.join(move.select(*own, "bin", (F.col("tx") - F.col("cx")).alias("mx"), (F.col("ty") - F.col("cy")).alias("my")), [*own, "bin"])
     nulls = moved.select("slot", "cell_id", (F.col("x") + F.col("mx")).alias("x"), (F.col("y") + F.col("my")).alias("y"))
     return cells.select(F.lit(0).alias("slot"), "cell_id", "x", "y").unionByName(nulls)
 

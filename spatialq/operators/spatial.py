@@ -136,13 +136,15 @@ def principal_axis(cells: DataFrame) -> DataFrame:
     return out.select("lam", (F.col("vx") / size).alias("ux"), (F.col("vy") / size).alias("uy"))
 
 
-def dbscan(cells: DataFrame, eps: float, min_samples: int) -> DataFrame:
+def dbscan(cells: DataFrame, eps: float, min_samples: int, keys: tuple[str, ...] = ()) -> DataFrame:
     """(cell_id, cluster): -1 is noise; a border cell joins its neighbours' lowest cluster.
 
+    keys: columns, such as the cell type, within which cells are neighbours.
+
     A cell is a core if its closed ball holds min_samples cells, itself included.
     Clusters are components of core-core links, numbered by their least core.
     """
-    near = written(radius_pairs(cells, eps).select("i", "j"), "near")
+    near = written(radius_pairs(cells, eps, keys).select("i", "j"), "near")
     both = near.select("i", "j").unionByName(near.select(F.col("j").alias("i"), F.col("i").alias("j")))
     degree = both.groupBy("i").agg((F.count("*") + 1).alias("n"))
     cores = cells.select(F.col("cell_id").alias("i")).join(degree, "i", "left").filter(F.coalesce("n", F.lit(1)) >= min_samples).select("i")
@@ -173,6 +175,64 @@ def denoise(cells: DataFrame, radius: float) -> DataFrame:
     return own.join(best, "cell_type").filter(F.col("keep").isNull() | (F.col("c") == F.col("keep"))).select(*cells.columns)
 
 
+def bin_covariates(cells: DataFrame, radius: float, covariates: list[str], shape: str = "square") -> DataFrame:
+    """(bin, n_cells, covariates): how many cells each bin of bin_cells holds, and the mean of each covariate."""
+    lo = cells.agg(F.min("x").alias("_x0"), F.min("y").alias("_y0"))
+    f = {"square": scalar.square_bin, "hexagon": scalar.hex_bin}[shape]
+    bin_ = f(F.col("x") - F.col("_x0"), F.col("y") - F.col("_y0"), radius)
+    return cells.crossJoin(F.broadcast(lo)).groupBy(bin_.alias("bin")).agg(F.count("*").alias("n_cells"), *(F.avg(c).alias(c) for c in covariates))
+
+
+def count_stats(bins: DataFrame) -> DataFrame:
+    """One row: number of bins, and mean, median, least and most cells of a bin. Medians come from counts of counts."""
+    n = bins.groupBy("n_cells").agg(F.count("*").alias("c"))
+    whole = Window.orderBy("n_cells").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    upto = n.select("n_cells", "c", F.sum("c").over(Window.orderBy("n_cells")).alias("u"), F.sum("c").over(whole).alias("t"))
+    lower, upper = (F.min(F.when(F.col("u") >= F.floor((F.col("t") + k) / 2), F.col("n_cells"))) for k in (1, 2))
+    return upto.agg(
+        F.sum("c").alias("n_bins"), (F.sum(F.col("n_cells") * F.col("c")) / F.sum("c")).alias("mean_cells"), ((lower + upper) / 2).alias("median_cells"),
+        F.min("n_cells").alias("min_cells"), F.max("n_cells").alias("max_cells"),
+    )
+
+
+def regions(cells: DataFrame, clusters: DataFrame, least: int, keys: tuple[str, ...] = ("cell_type",)) -> DataFrame:
+    """(keys, region, n_cells, cx, cy): clusters of at least so many cells with their centroids; 0 is the largest of its keys."""
+    n = clusters.filter("cluster >= 0").join(cells, "cell_id").groupBy(*keys, "cluster").agg(F.count("*").alias("n_cells"), F.avg("x").alias("cx"), F.avg("y").alias("cy"))
+    order = Window.partitionBy(*keys).orderBy(F.col("n_cells").desc(), "cluster")
+    return n.filter(F.col("n_cells") >= least).withColumn("region", F.row_number().over(order) - 1).drop("cluster")
+
+
+def middle_cluster(cells: DataFrame, clusters: DataFrame, axis: str = "x") -> DataFrame:
+    """(cell_id) of the cluster in the middle along x, y or pc1, the first principal axis; ties by number."""
+    if axis == "pc1":
+        u = principal_axis(cells)
+        at = cells.crossJoin(F.broadcast(u)).select("cell_id", (F.col("x") * F.col("ux") + F.col("y") * F.col("uy")).alias("_p"))
+    else:
+        at = cells.select("cell_id", F.col(axis).alias("_p"))
+    own = clusters.filter("cluster >= 0")
+    m = own.join(at, "cell_id").groupBy("cluster").agg(F.avg("_p").alias("_m"))
+    m = m.select("cluster", (F.row_number().over(Window.orderBy("_m", "cluster")) - 1).alias("place"), F.count("*").over(Window.partitionBy()).alias("k"))
+    return own.join(m.filter(F.col("place") == F.floor(F.col("k") / 2)), "cluster").select("cell_id")
+
+
+def kde(points: DataFrame, n: int, width: float, reach: float = 4.0) -> DataFrame:
+    """(bx, by, density) at the centres of an n x n grid over the extent: normal kernels, cut off at reach widths.
+
+    Points meet the grid's places in tiles of the reach, so only near ones are compared.
+    """
+    e = points.agg(F.min("x").alias("_a"), F.max("x").alias("_b"), F.min("y").alias("_c"), F.max("y").alias("_d"), F.count("*").alias("_n"))
+    axis = F.sequence(F.lit(0), F.lit(n - 1))
+    grid = e.withColumn("bx", F.explode(axis)).withColumn("by", F.explode(axis))
+    grid = grid.withColumn("x", F.col("_a") + (F.col("bx") + 0.5) * (F.col("_b") - F.col("_a")) / n).withColumn("y", F.col("_c") + (F.col("by") + 0.5) * (F.col("_d") - F.col("_c")) / n)
+    r = reach * width
+    g = near_tiles(grid.select("bx", "by", "x", "y", "_n"), r).withColumnsRenamed({"x": "gx", "y": "gy"})
+    p = points.select(F.col("x").alias("px"), F.col("y").alias("py"), tile("x", r).alias("_tx"), tile("y", r).alias("_ty"))
+    d = distance(F.col("px"), F.col("py"), F.col("gx"), F.col("gy"))
+    near = g.join(p, ["_tx", "_ty"]).withColumn("d", d).filter(F.col("d") <= r)
+    kernel = F.exp(-F.col("d") * F.col("d") / (2 * width * width)) / (2 * math.pi * width * width)
+    return near.groupBy("bx", "by", "_n").agg(F.sum(kernel).alias("s")).select("bx", "by", (F.col("s") / F.col("_n")).alias("density"))
+
+
 def density(points: DataFrame, n: int) -> DataFrame:
     """Counts in n x n equal bins over the extent; the upper edges belong to the last bins."""
     e = points.agg(F.min("x").alias("_a"), F.max("x").alias("_b"), F.min("y").alias("_c"), F.max("y").alias("_d"))

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = ("selection", "transforms", "spatial", "statistics", "nulls", "models", "studies", "tests")
+MODULES = ("selection", "transforms", "spatial", "statistics", "nulls", "models", "studies", "more", "tests")
 _queries: dict[str, Query] = {}
 _sql: dict[str, str] = {}
 
@@ -35,6 +35,11 @@ def near(columns: str, sql: str) -> str:
     return "SELECT * REPLACE (" + ", ".join(f"round({c}, 6) + 0 AS {c}" for c in columns.split()) + f") FROM ({sql})"
 
 
+def oracle_of(name: str) -> str:
+    """The SQL of a query whose module is loaded already."""
+    return _sql[name]
+
+
 def load() -> None:
     for m in MODULES:
         importlib.import_module(f"spatialq.plans.{m}")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import json
 import math
 import time
@@ -9,7 +10,7 @@ import time
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..config import RunConfig
+from ..config import RunConfig, parse
 from ..functions.networks import Plan
 from ..operators import comparisons as C
 from ..operators import decoders as D
@@ -209,3 +210,17 @@ def run(spark: SparkSession, c: RunConfig) -> DataFrame:
         n, g = own.count(), e.select("gene").distinct().count()
         out.append((c.output["run_name"], c.test["method"], c.test["metric"], main["p_value"], main["stat_true"], main["nulls"], time.time() - began, n, g, c.as_json(), extra))
     return spark.createDataFrame(out, results.RESULT)
+
+
+def sweep(spark: SparkSession, raw: dict, grid: dict[str, list]) -> DataFrame:
+    """One result row for each combination of grid's values; keys are ``section.key``, and run names tell the values."""
+    out = None
+    for values in itertools.product(*grid.values()):
+        named = dict(zip(grid, values, strict=True))
+        extra: dict = {"output": {"run_name": "_".join(f"{k.partition('.')[2]}-{v}" for k, v in named.items())}}
+        for k, v in named.items():
+            section, _, key = k.partition(".")
+            extra.setdefault(section, {})[key] = v
+        row = run(spark, parse(raw, extra))
+        out = row if out is None else out.unionByName(row)
+    return out
