@@ -2,24 +2,28 @@
 
 ``write_archives`` writes pages as WARC/1.1 records into whole-file gzip streams.
 ``normalise`` inflates each such stream once, rewrites every record as a gzip member
-of its own and writes a sidecar index of offsets; ``read_index`` and ``read_records``
-give random access through that index. Archives roll over at a byte limit, files are
-put in place by renaming, and a repeated task overwrites its own file with the same
-bytes, so lost executors cost only a retry.
+of its own and writes a sidecar index of offsets; ``sidecar_rows`` reads the sidecars and
+``read_records`` fetches members by them. A record at a time passes through, so an
+archive of any size may be normalised. Archives roll over at a byte limit, files are put
+in place by renaming, and a repeated task overwrites its own file with the same bytes, so
+lost executors cost only a retry.
 
 Defined results: a null html is an empty payload; equal payloads (also empty ones) of
 ``dedup_min_bytes`` or more share one response record, that of the smallest page_id (a
 null page_id counts as largest), and the others are revisits of it; repeated rows with
 the same page_id are records of their own, of which the first in url order is the
-response. Other columns are not read.
+response; a very long page is one record, held whole only while it is written or read; an
+empty table gives an empty result and no archive. Other columns are not read.
 """
 
 from __future__ import annotations
 
 import base64
+import contextlib
 import hashlib
 import io
 import struct
+import uuid
 import zlib
 from collections.abc import Iterable, Iterator
 
@@ -44,16 +48,22 @@ def open_fs(uri: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(uri)
 
 
-def put(uri: str, data: bytes) -> None:
-    """Write a whole file and move it into place, so that readers see all of it or none."""
+@contextlib.contextmanager
+def placing(uri: str) -> Iterator[pa.NativeFile]:
+    """A stream whose file moves into place at the end, so that readers see all of it or none."""
     fs, path = open_fs(uri)
     fs.create_dir(path.rpartition("/")[0], recursive=True)
-    part = f"{path}.{hashlib.sha1(data).hexdigest()[:12]}.part"
+    part = f"{path}.{uuid.uuid4().hex[:12]}.part"
     with fs.open_output_stream(part, compression=None) as out:
-        out.write(data)
+        yield out
     fs.move(part, path)
 
 
+def put(uri: str, data: bytes) -> None:
+    with placing(uri) as out:
+        out.write(data)
+
+
 def digest_base32(data: bytes) -> str:
     """Bare upper-case base32 of the SHA-1."""
     return base64.b32encode(hashlib.sha1(data).digest()).decode()
@@ -212,7 +222,7 @@ def split_members(uri: str, piece: int = 1 << 20) -> Iterator[bytes]:
 
 
 def normalise(files: DataFrame, source: str, folder: str, level: int = 6) -> DataFrame:
-    """Rewrite each listed archive with one gzip member a record plus an index; returns the index rows.
+    """Rewrite each listed archive with one gzip member a record and a sidecar; returns (file, records).
 
     The sidecar ``<file>.idx`` holds (offset, length) pairs as little-endian int64.
     """
@@ -220,19 +230,18 @@ def normalise(files: DataFrame, source: str, folder: str, level: int = 6) -> Dat
     def rewrite(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for name in batch.column(0).to_pylist():
-                members = [gzip_bytes(raw, level) for raw in split_members(f"{source}/{name}")]
-                lengths = np.array([len(m) for m in members], np.int64)
-                offsets = np.concatenate([[0], np.cumsum(lengths)[:-1]]).astype(np.int64) if len(members) else lengths
-                put(f"{folder}/{name}", b"".join(members))
-                put(f"{folder}/{name}.idx", np.stack([offsets, lengths], 1).astype("<i8").tobytes())
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([name] * len(members), pa.string()), pa.array(np.arange(len(members))), pa.array(offsets), pa.array(lengths)],
-                    names=["file", "member", "offset", "length"],
-                )
+                at = records = 0
+                with placing(f"{folder}/{name}") as out, placing(f"{folder}/{name}.idx") as idx:
+                    for raw in split_members(f"{source}/{name}"):
+                        member = gzip_bytes(raw, level)
+                        out.write(member)
+                        idx.write(struct.pack("<qq", at, len(member)))
+                        at, records = at + len(member), records + 1
+                yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([records])], names=["file", "records"])
 
     names = files.select("file")
     names = names.repartition(max(1, min(names.count(), 100_000)))
-    return written(names.mapInArrow(rewrite, INDEX_SCHEMA), "warc-index")
+    return written(names.mapInArrow(rewrite, "file string, records long"), "warc-members")
 
 
 def read_index(uri: str) -> list[tuple[int, int]]:
@@ -243,6 +252,27 @@ def read_index(uri: str) -> list[tuple[int, int]]:
     return [tuple(x) for x in struct.iter_unpack("<qq", data)]
 
 
+def sidecar_rows(files: DataFrame, folder: str) -> DataFrame:
+    """(file, member, offset, length) of every record, read from the sidecars in pieces."""
+
+    def read(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name in batch.column(0).to_pylist():
+                fs, path = open_fs(f"{folder}/{name}.idx")
+                member = 0
+                with fs.open_input_stream(path, compression=None) as src:
+                    while data := src.read(16 << 14):
+                        pairs = np.frombuffer(data, "<i8").reshape(-1, 2)
+                        n = len(pairs)
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array([name] * n, pa.string()), pa.array(np.arange(member, member + n)), pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())],
+                            names=["file", "member", "offset", "length"],
+                        )
+                        member += n
+
+    return files.select("file").mapInArrow(read, INDEX_SCHEMA)
+
+
 def page_of(urn: str | None) -> int | None:
     found = (urn or "").strip("<>").rpartition(":")[2]
     return int(found) if found.lstrip("-").isdigit() else None
@@ -296,10 +326,10 @@ def as_batch(rows: list[dict]) -> pa.RecordBatch:
 
 
 def round_trip(pages: DataFrame, roll_bytes: int = 32 << 20) -> DataFrame:
-    """Write pages as monolithic archives, normalise them and read every record back by index."""
+    """Write pages as monolithic archives, normalise them and read every record back by the sidecars."""
     base = scratch(pages.sparkSession, "warc")
     n = pages.count()
     files = write_archives(plan_records(pages), f"{base}/whole", roll_bytes, rows=n)
-    index = normalise(files, f"{base}/whole", f"{base}/members")
-    spread = index.repartitionByRange(max(1, -(-n // ROWS_PER_TASK)), "file", "offset").sortWithinPartitions("file", "offset")
+    done = normalise(files, f"{base}/whole", f"{base}/members")
+    spread = sidecar_rows(done, f"{base}/members").repartitionByRange(max(1, -(-n // ROWS_PER_TASK)), "file", "offset").sortWithinPartitions("file", "offset")
     return read_records(spread.select("file", "member", "offset", "length"), f"{base}/members")

@@ -132,12 +132,14 @@ def test_normalised_archives_have_members_and_sidecars(spark, tmp_path):
     df = spark.createDataFrame([(i, "u", "p%d" % i) for i in range(20)], "page_id long, url string, html string").coalesce(1)
     base = f"file://{tmp_path}"
     files = warc.write_archives(warc.plan_records(df), f"{base}/whole")
-    warc.normalise(files, f"{base}/whole", f"{base}/members").count()
+    done = warc.normalise(files, f"{base}/whole", f"{base}/members")
+    assert sorted(map(tuple, done.collect())) == sorted((r.file, r.records) for r in files.collect())
+    rows = {(r.file, r.member): (r.offset, r.length) for r in warc.sidecar_rows(done, f"{base}/members").collect()}
     for r in files.collect():
         whole = gzip.decompress((tmp_path / "whole" / r.file).read_bytes())
         data = (tmp_path / "members" / r.file).read_bytes()
         index = warc.read_index(f"{base}/members/{r.file}.idx")
-        assert len(index) == r.records
+        assert len(index) == r.records and index == [rows[r.file, k] for k in range(r.records)]
         assert b"".join(gzip.decompress(data[a : a + n]) for a, n in index) == whole
         assert list(warc.split_members(f"{base}/members/{r.file}", piece=7)) == list(warc.split_members(f"{base}/whole/{r.file}"))
 
