@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.special import f_tail
+from ..sources.scratch import written
 from .ranks import lower_median
 
 
@@ -99,16 +100,43 @@ def poisson_fit(y: np.ndarray, x: np.ndarray, log_exposure: np.ndarray, degree:
     return beta
 
 
-def poisson_irls(df: DataFrame, degree: int = 1) -> DataFrame:
-    """(gene, beta, deviance) from rows (gene, cell_id, value, z, exposure): one NumPy fit a gene."""
-
-    def fit(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("cell_id")
-        y, x, e = (rows[c].to_numpy(float) for c in ("value", "z", "exposure"))
-        beta = poisson_fit(y, x, np.log(np.maximum(e, 1e-12)), degree)
-        z = (x - x.mean()) / max(x.std(), 1e-12)
-        mu = np.exp(np.clip(sum(b * z**k for k, b in enumerate(beta)) + np.log(np.maximum(e, 1e-12)), -30, 30))
-        dev = 2 * np.sum(np.where(y > 0, y * np.log(np.maximum(y, 1e-300) / mu), 0.0) - (y - mu))
-        return pd.DataFrame({"gene": [rows["gene"].iloc[0]], "beta": [beta.tolist()], "deviance": [dev]})
-
-    return df.groupBy("gene").applyInPandas(fit, "gene string, beta array<double>, deviance double")
+IRLS_ROUNDS = 100
+
+
+def poisson_irls(df: DataFrame, degree: int = 1, tol: float = 1e-10) -> DataFrame:
+    """(gene, beta, deviance) from rows (gene, cell_id, value, z, exposure).
+
+    The iteration of ``poisson_fit`` with its normal equations summed over the cells: a
+    round is one aggregate by gene, and only its few numbers a gene reach the driver.
+    """
+    spark = df.sparkSession
+    scale = df.groupBy("gene").agg(F.avg("z").alias("_m"), F.greatest(F.stddev_pop("z"), F.lit(1e-12)).alias("_s"))
+    start = df.groupBy("gene").agg(F.sum("value").alias("y"), F.sum(F.greatest("exposure", F.lit(1e-12))).alias("e")).collect()  # one row a gene
+    rows = df.join(scale, "gene").select("gene", "value", ((F.col("z") - F.col("_m")) / F.col("_s")).alias("z"), F.log(F.greatest("exposure", F.lit(1e-12))).alias("o"))
+    rows = written(rows, "irls")
+    k = degree + 1
+    beta = {r["gene"]: np.array([np.log(r["y"] / r["e"]) if r["y"] > 0 else -20.0] + [0.0] * degree) for r in start}
+    going = {r["gene"] for r in start if r["y"] > 0}
+
+    def fitted(genes) -> DataFrame:
+        now = spark.createDataFrame([(g, beta[g].tolist()) for g in sorted(genes)], "gene string, b array<double>")
+        line = sum((F.col("b")[i] * F.pow("z", F.lit(i)) for i in range(1, k)), F.col("b")[0])
+        eta = F.greatest(F.lit(-30.0), F.least(F.lit(30.0), line + F.col("o")))
+        return rows.join(now, "gene").withColumn("eta", eta).withColumn("mu", F.exp("eta"))
+
+    for _ in range(IRLS_ROUNDS):
+        if not going:
+            break
+        work = F.col("eta") - F.col("o") + (F.col("value") - F.col("mu")) / F.col("mu")
+        got = fitted(going).groupBy("gene").agg(
+            *(F.sum(F.col("mu") * F.pow("z", F.lit(i))).alias(f"w{i}") for i in range(2 * degree + 1)),
+            *(F.sum(F.col("mu") * work * F.pow("z", F.lit(i))).alias(f"v{i}") for i in range(k)),
+        ).collect()  # a few numbers a gene
+        for r in got:
+            normal = np.array([[r[f"w{i + j}"] for j in range(k)] for i in range(k)])
+            new = np.linalg.pinv(normal) @ np.array([r[f"v{i}"] for i in range(k)])
+            if np.abs(new - beta[r["gene"]]).max() <= tol * (1 + np.abs(beta[r["gene"]]).max()):
+                going.discard(r["gene"])
+            beta[r["gene"]] = new
+    dev = F.when(F.col("value") > 0, F.col("value") * F.log(F.col("value") / F.col("mu"))).otherwise(0.0) - (F.col("value") - F.col("mu"))
+    return fitted(beta).groupBy("gene", F.col("b").alias("beta")).agg((2 * F.sum(dev)).alias("deviance"))

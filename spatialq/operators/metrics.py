@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .ranks import average_rank
+from .ranks import with_average_rank
 
 CORRELATIONS = ("pearson", "spearman")
 
@@ -49,7 +49,10 @@ def pearson(a: str, b: str) -> Column:
 
 
 def rank_columns(df: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
-    return df.withColumns({c: average_rank(c, keys) for c in columns})
+    """df with its columns replaced by their mean ranks within keys."""
+    for c in columns:
+        df = with_average_rank(df, c, keys, "_rank").drop(c).withColumnRenamed("_rank", c)
+    return df
 
 
 def permutation_p(stats: DataFrame, keys: list[str], higher_is_better: bool = False) -> DataFrame:

@@ -6,10 +6,40 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def average_rank(value: str, keys: list[str]) -> Column:
-    """1-based rank within keys; ties share their mean rank."""
-    w = Window.partitionBy(*keys)
-    return F.rank().over(w.orderBy(value)) + (F.count("*").over(w.partitionBy(*keys, value)) - 1) / F.lit(2.0)
+def value_bucket(values: DataFrame, column: str, per_task: int) -> Column | None:
+    """A bucket number that rises with the column, each of about per_task rows of values; None where one is enough."""
+    n = values.count()
+    if n <= per_task:
+        return None
+    k = -(-n // per_task)
+    bounds = sorted(set(values.select(F.percentile_approx(column, [i / k for i in range(1, k)], 10 * k)).first()[0]))
+    return F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b <= F.col(column)))
+
+
+def cumulated(counts: DataFrame, value: str, keys: list[str], per_task: int = 200_000) -> DataFrame:
+    """counts(keys, value, _c) with _b, a bucket, and _u, the rows up to each value within keys.
+
+    Values are summed in buckets of bounded size, and each bucket is shifted by the rows
+    of the lower ones, so no task holds all values of a key.
+    """
+    bucket = value_bucket(counts, value, per_task)
+    counts = counts.withColumn("_b", F.lit(0) if bucket is None else bucket)
+    own = counts.withColumn("_u", F.sum("_c").over(Window.partitionBy(*keys, "_b").orderBy(value)))
+    if bucket is None:
+        return own
+    n = counts.groupBy(*keys, "_b").agg(F.sum("_c").alias("_n"))
+    n = n.select(*keys, "_b", (F.sum("_n").over(Window.partitionBy(*keys).orderBy("_b")) - F.col("_n")).alias("_base"))
+    return own.join(n, [*keys, "_b"]).withColumn("_u", F.col("_u") + F.col("_base")).drop("_base")
+
+
+def with_average_rank(df: DataFrame, value: str, keys: list[str], name: str = "r", per_task: int = 200_000) -> DataFrame:
+    """df with the 1-based rank of value within keys; ties share their mean rank, a null value has none.
+
+    Equal values are counted first, so only distinct ones are ranked.
+    """
+    counts = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_c"))
+    up = cumulated(counts, value, keys, per_task)
+    return df.join(up.select(*keys, value, (F.col("_u") - (F.col("_c") - 1) / F.lit(2.0)).alias(name)), [*keys, value], "left")
 
 
 def hash_rank(df: DataFrame, keys: list[str], hash_key: Column, *ties: str, rows: int, per_task: int = 200_000) -> DataFrame:
@@ -74,18 +104,23 @@ def lower_median(df: DataFrame, key: str, value: str, exact_rows: int = 200_000,
     return left.select(key, F.coalesce(at, "_lo").alias("median"))
 
 
-def bh_qvalues(df: DataFrame, p: str = "p_value", keys: tuple[str, ...] = ()) -> DataFrame:
+def bh_qvalues(df: DataFrame, p: str = "p_value", keys: tuple[str, ...] = (), per_task: int = 200_000) -> DataFrame:
     """df with q_value: p n / rank, made monotone from the right and clipped to [0, 1].
 
-    Only distinct p-values are ranked: they are counted first, so that the global window
-    holds one row a value.
+    Only distinct p-values are ranked, in buckets of bounded size; a bucket's minimum
+    goes down to the buckets below it.
     """
     counts = df.groupBy(*keys, p).agg(F.count("*").alias("_c"))
-    up, down = Window.partitionBy(*keys).orderBy(F.col(p).asc()), Window.partitionBy(*keys).orderBy(F.col(p).desc())
-    whole = F.sum("_c").over(Window.partitionBy(*keys))
-    q = counts.withColumn("_q", F.col(p) * whole / F.sum("_c").over(up))
-    q = q.withColumn("q_value", F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.min("_q").over(down))))
-    return df.join(q.select(*keys, p, "q_value"), [*keys, p])
+    whole = counts.groupBy(*keys).agg(F.sum("_c").alias("_t"))
+    up = cumulated(counts, p, list(keys), per_task)
+    q = (up.join(whole, list(keys)) if keys else up.crossJoin(F.broadcast(whole))).withColumn("_q", F.col(p) * F.col("_t") / F.col("_u"))
+    least = q.groupBy(*keys, "_b").agg(F.min("_q").alias("_m"))
+    later = Window.partitionBy(*keys).orderBy(F.col("_b").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    least = least.select(*keys, "_b", F.min("_m").over(later).alias("_m"))
+    q = q.join(least, [*keys, "_b"])
+    low = F.least(F.min("_q").over(Window.partitionBy(*keys, "_b").orderBy(F.col(p).desc())), "_m")
+    q = q.select(*keys, p, F.least(F.lit(1.0), F.greatest(F.lit(0.0), low)).alias("q_value"))
+    return df.join(q, [*keys, p])
 
 
 def quantile_bins(df: DataFrame, x: str, y: str, n: int, least: int) -> DataFrame:
@@ -109,11 +144,14 @@ def best_per(df: DataFrame, keys: list[str], value: Column, *ties: str) -> DataF
     return best.select("_row.*")
 
 
-def rank_match(values: DataFrame, reference: DataFrame, keys: list[str]) -> DataFrame:
-    """values dealt to the cells so that their order is the reference's, within keys."""
-    a = values.select(*keys, "value", F.row_number().over(Window.partitionBy(*keys).orderBy("value", "cell_id")).alias("_r"))
-    b = reference.select(*keys, "cell_id", F.row_number().over(Window.partitionBy(*keys).orderBy("value", "cell_id")).alias("_r"))
-    return b.join(a, [*keys, "_r"]).select(*keys, "cell_id", "value")
+def rank_match(values: DataFrame, reference: DataFrame, keys: list[str], per_task: int = 200_000) -> DataFrame:
+    """values dealt to the cells so that their order is the reference's, within keys; ties by cell_id."""
+
+    def ranked(df: DataFrame) -> DataFrame:
+        return bucket_rank(df.select(*keys, "cell_id", "value"), keys, value_bucket(df, "value", per_task), ["value", "cell_id"])
+
+    a = ranked(values).select(*keys, "value", "_r")
+    return ranked(reference).select(*keys, "cell_id", "_r").join(a, [*keys, "_r"]).select(*keys, "cell_id", "value")
 
 
 def jaccard(sets: DataFrame, key: str, item: str) -> DataFrame:

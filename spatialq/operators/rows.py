@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import math
+import re
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, IntegralType, StringType
 
 from ..functions.portable import order_key
 from ..functions.scalar import finite
@@ -14,30 +18,51 @@ RANGE_OPS = {
 }
 
 
+#: Bounds of the narrower integral types.
+LIMITS = {"byte": 1 << 7, "short": 1 << 15, "integer": 1 << 31}
+
+
 def need(df: DataFrame, names) -> None:
     missing = [c for c in names if c not in df.columns]
     if missing:
         raise ValueError(f"missing columns: {', '.join(missing)}")
 
 
+def equals_text(df: DataFrame, name: str, value: object) -> Column:
+    """Whether a column equals a value as text, compared in the column's own type where that can reach the scan."""
+    kind, text, c = df.schema[name].dataType, str(value), F.col(name)
+    if isinstance(kind, StringType):
+        return c == F.lit(text)
+    if isinstance(kind, IntegralType):
+        plain = re.fullmatch(r"0|-?[1-9][0-9]{0,17}", text)
+        return c == F.lit(int(text)).cast(kind) if plain and abs(int(text)) < LIMITS.get(kind.typeName(), 1 << 63) else c.cast("string") == F.lit(text)
+    return c.cast("string") == F.lit(text)
+
+
 def filter_equal(df: DataFrame, wanted: dict[str, object]) -> DataFrame:
     """Rows whose columns equal the values as text; all must hold."""
     need(df, wanted)
     for c, v in wanted.items():
-        df = df.filter(F.col(c).cast("string") == F.lit(str(v)))
+        df = df.filter(equals_text(df, c, v))
     return df
 
 
 def filter_range(df: DataFrame, wanted: dict[str, dict[str, float]]) -> DataFrame:
-    """Rows that meet all comparisons; values that are no finite numbers never do, not even for ``ne``."""
+    """Rows that meet all comparisons; values that are no finite numbers never do, not even for ``ne``.
+
+    Numeric columns are compared as they are, so that the comparisons reach the scan.
+    """
     need(df, wanted)
     for c, ops in wanted.items():
-        v = finite(F.col(c))
-        df = df.filter(v.isNotNull())
+        kind = df.schema[c].dataType
+        whole = isinstance(kind, IntegralType)
+        v = F.col(c) if whole or isinstance(kind, DoubleType) else finite(F.col(c))
+        df = df.filter(v.isNotNull()) if whole or not isinstance(kind, DoubleType) else df.filter((v > -math.inf) & (v < math.inf))
         for op, bound in ops.items():
             if op not in RANGE_OPS:
                 raise ValueError(f"unknown comparison: {op}")
-            df = df.filter(RANGE_OPS[op](v, F.lit(float(bound))))
+            exact = whole and float(bound).is_integer() and abs(bound) < LIMITS.get(kind.typeName(), 1 << 53)
+            df = df.filter(RANGE_OPS[op](v, F.lit(int(bound)).cast(kind) if exact else F.lit(float(bound))))
     return df
 
 

@@ -250,10 +250,8 @@ def similarity(depths: DataFrame, keys: list[str], base: str, metric: str) -> Da
     metric: spearman_corr_mean or pearson_corr_mean, in absolute value, else the mean square difference.
     """
     from . import metrics as M
-    from .ranks import average_rank
-
     if metric.startswith("spearman"):
-        depths = depths.select(*keys, average_rank("depth", keys).alias("depth"), average_rank(base, keys).alias(base))
+        depths = M.rank_columns(depths.select(*keys, "depth", base), keys, ["depth", base])
     if "corr" in metric:
         return depths.groupBy(*keys).agg(F.abs(M.pearson("depth", base)).alias("score"))
     ends = depths.groupBy(*keys).agg(*(f(c).alias(f"_{n}{i}") for i, c in enumerate(("depth", base)) for n, f in (("l", F.min), ("h", F.max))))

@@ -16,7 +16,8 @@ from .registry import near, query
 
 @query(near("r", "SELECT l_orderkey, l_linenumber, rank() OVER (PARTITION BY l_returnflag ORDER BY l_quantity) + (count(*) OVER (PARTITION BY l_returnflag, l_quantity) - 1) / 2e0 AS r FROM lineitem"))
 def avg_rank(spark, d):
-    return B.read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", RK.average_rank("l_quantity", ["l_returnflag"]).alias("r"))
+    items = B.read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag", "l_quantity")
+    return RK.with_average_rank(items, "l_quantity", ["l_returnflag"]).select("l_orderkey", "l_linenumber", "r")
 
 
 @query(near("p_value q_value", f"""WITH {S.STUDY}, r AS (SELECT run_id, p_value, row_number() OVER (ORDER BY p_value, run_id) AS r, count(*) OVER () AS n FROM study)
@@ -156,7 +157,7 @@ def depth_similarity(spark, d):
     wide = e.groupBy("cell_id").pivot("gene", ["g02", "g03"]).agg(F.first("value")).withColumnsRenamed({"g02": "a", "g03": "b"})
     s = wide.agg(*(f(c).alias(f"_{n}{c}") for c in "ab" for n, f in (("lo", F.min), ("hi", F.max))))
     n = wide.crossJoin(F.broadcast(s)).select(*(M.minmax(F.col(c), F.col(f"_lo{c}"), F.col(f"_hi{c}")).alias(c) for c in "ab"))
-    k = n.withColumn("ra", RK.average_rank("a", [])).withColumn("rb", RK.average_rank("b", []))
+    k = RK.with_average_rank(RK.with_average_rank(n, "a", [], "ra"), "b", [], "rb")
     return k.agg(F.avg((F.col("a") - F.col("b")) * (F.col("a") - F.col("b"))).alias("mse"), F.abs(M.pearson("ra", "rb")).alias("spearman"))
 
 
@@ -175,7 +176,7 @@ def gene_corr(spark, d):
 
 @query(near("r", f"WITH {S.dense()}, k AS (SELECT cell_id, gene, {RANKS.format(c='value')} AS k FROM expr) SELECT a.gene AS a, b.gene AS b, corr(a.k, b.k) AS r FROM k a JOIN k b ON a.cell_id = b.cell_id AND a.gene <= b.gene GROUP BY 1, 2"))
 def spearman_matrix(spark, d):
-    k = B.dense_expr(spark, d).select("cell_id", F.col("gene").alias("a"), RK.average_rank("value", ["gene"]).alias("ka"))
+    k = RK.with_average_rank(B.dense_expr(spark, d), "value", ["gene"], "ka").select("cell_id", F.col("gene").alias("a"), "ka")
     b = k.select("cell_id", F.col("a").alias("b"), F.col("ka").alias("kb"))
     return k.join(b, "cell_id").filter("a <= b").groupBy("a", "b").agg(F.corr("ka", "kb").alias("r"))
 

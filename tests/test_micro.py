@@ -99,7 +99,7 @@ def test_masked_loss(spark):
 
 def test_ranks_and_permutation_p(spark):
     d = spark.createDataFrame([(1, 5.0), (2, 7.0), (3, 5.0), (4, 1.0)], "i int, v double")
-    assert {r.i: r.r for r in d.select("i", ranks.average_rank("v", []).alias("r")).collect()} == {1: 2.5, 2: 4.0, 3: 2.5, 4: 1.0}
+    assert {r.i: r.r for r in ranks.with_average_rank(d, "v", []).collect()} == {1: 2.5, 2: 4.0, 3: 2.5, 4: 1.0}
     s = spark.createDataFrame([(0, 0.05), (1, 0.1), (2, 0.2), (3, 0.3)], "slot int, stat double")
     assert metrics.permutation_p(s, []).first().p_value == 0.25
     t = spark.createDataFrame([(0, 0.9), (1, 0.2), (2, 0.3), (3, 0.4)], "slot int, stat double")
@@ -117,6 +117,40 @@ def test_ranks_in_buckets_equal_plain_ranks(spark):
     assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
 
 
+def test_value_ranks_in_buckets_equal_plain_ranks(spark):
+    rng = np.random.default_rng(4)
+    rows_ = [(i, i % 2, float(rng.integers(0, 40)), float(rng.uniform())) for i in range(300)]
+    d = spark.createDataFrame(rows_, "cell_id long, k int, value double, p double")
+    for per_task in (10**6, 7):
+        got = {r.cell_id: r.r for r in ranks.with_average_rank(d, "value", ["k"], per_task=per_task).collect()}
+        for i, k, v, _ in rows_:
+            own = [x[2] for x in rows_ if x[1] == k]
+            assert got[i] == sum(x < v for x in own) + (sum(x == v for x in own) + 1) / 2
+        q = {r.cell_id: r.q_value for r in ranks.bh_qvalues(d, "p", ("k",), per_task).collect()}
+        for k in (0, 1):
+            own = sorted((x[3], x[0]) for x in rows_ if x[1] == k)
+            low = 1.0
+            for rank, (p, i) in reversed(list(enumerate(own, 1))):
+                low = min(low, p * len(own) / rank)
+                assert q[i] == pytest.approx(low)
+        m = ranks.rank_match(d.select("k", "cell_id", F.col("p").alias("value")), d.select("k", "cell_id", "value"), ["k"], per_task).collect()
+        for k in (0, 1):
+            own = sorted((r for r in m if r.k == k), key=lambda r: (rows_[r.cell_id][2], r.cell_id))
+            assert [r.value for r in own] == sorted(x[3] for x in rows_ if x[1] == k)
+
+
+def test_filters_reach_the_scan(spark, tmp_path):
+    spark.createDataFrame([(1, 2.5, "a"), (7, float("nan"), "b"), (None, float("inf"), "7")], "i int, x double, s string").write.parquet(f"{tmp_path}/t")
+    d = spark.read.parquet(f"{tmp_path}/t")
+    assert rows.filter_equal(d, {"i": 7}).count() == 1 and rows.filter_equal(d, {"i": "07"}).count() == 0 and rows.filter_equal(d, {"s": 7}).count() == 1
+    f = rows.filter_range(rows.filter_equal(d, {"i": 1, "s": "a"}), {"x": {"ge": 2, "ne": 3}})
+    assert f.count() == 1 and rows.filter_range(d, {"i": {"lt": 5}}).count() == 1 and rows.filter_range(d, {"x": {"ne": 3}}).count() == 1 and rows.filter_range(d, {"i": {"gt": 1.5}}).count() == 1
+    spark.conf.set("spark.sql.maxMetadataStringLength", 4000)
+    plan = f._jdf.queryExecution().executedPlan().toString()
+    spark.conf.unset("spark.sql.maxMetadataStringLength")
+    assert all(x in plan for x in ("EqualTo(i,1)", "EqualTo(s,a)", "GreaterThanOrEqual(x,2.0)"))
+
+
 def test_lower_median_in_rounds(spark):
     d = spark.range(1001).select((F.col("id") % 2).alias("k"), (F.col("id") * 7919 % 997 / 3.0).alias("v"))
     d = d.unionByName(spark.createDataFrame([(5, 2.0), (5, 2.0), (5, 2.0)], "k long, v double"))
@@ -212,6 +246,23 @@ def test_tails():
     assert special.incomplete_beta(0.5, 2, 2) == pytest.approx(0.5)
 
 
+def test_poisson_irls_sums_equal_one_array(spark):
+    """Rounds of sums over the cells against the fit of whole arrays."""
+    rng = np.random.default_rng(5)
+    x, e = rng.normal(size=40), rng.uniform(1, 3, 40)
+    y = np.stack([rng.poisson(e * np.exp(0.3 + 0.8 * x)), rng.poisson(4, 40), np.zeros(40)], 1)
+    df = long(spark, y).join(spark.createDataFrame([(i, float(x[i]), float(e[i])) for i in range(40)], "cell_id long, z double, exposure double"), "cell_id")
+    for degree in (1, 2):
+        got = {r.gene: r for r in decoders.poisson_irls(df.repartition(4), degree).collect()}
+        for g in range(3):
+            beta = decoders.poisson_fit(y[:, g], x, np.log(e), degree)
+            assert got[f"g{g}"].beta == pytest.approx(beta.tolist(), rel=1e-6, abs=1e-6)
+            z = (x - x.mean()) / x.std()
+            mu = e * np.exp(sum(b * z**k for k, b in enumerate(beta)))
+            dev = 2 * np.sum(np.where(y[:, g] > 0, y[:, g] * np.log(np.maximum(y[:, g], 1e-300) / mu), 0) - (y[:, g] - mu))
+            assert got[f"g{g}"].deviance == pytest.approx(dev, rel=1e-6, abs=1e-6)
+
+
 def test_poisson_fit_recovers_a_planted_slope():
     rng = np.random.default_rng(1)
     x = rng.normal(size=4000)
