@@ -95,8 +95,17 @@ def shape_features(text: str, shapes: Shapes) -> np.ndarray:
     return np.concatenate([length, *(base + f[counts > level * n] for f, level in zip(found, LEVELS, strict=True))])
 
 
+PIECE = 1 << 16
+
+
+def pieces(data: np.ndarray) -> Iterator[np.ndarray]:
+    """A text's bytes in pieces that overlap so far that every character n-gram lies in one."""
+    for a in range(0, max(len(data) - GRAM + 1, 0), PIECE):
+        yield data[a : a + PIECE + GRAM - 1]
+
+
 def features(data: np.ndarray, text: str, shapes: Shapes) -> np.ndarray:
-    return np.unique(np.concatenate([char_features(data), shape_features(text, shapes)]))
+    return np.unique(np.concatenate([*map(char_features, pieces(data)), shape_features(text, shapes)]))
 
 
 @dataclass
@@ -184,8 +193,8 @@ def margins_of(texts: pa.Array, model: Model, shapes: Shapes, seen: np.ndarray)
     out = np.zeros(len(offs) - 1)
     for i, t in enumerate(texts.to_pylist()):
         part = data[offs[i] : offs[i + 1]]
-        for a in range(0, max(len(part) - GRAM + 1, 0), 1 << 16):
-            seen[char_features(part[a : a + (1 << 16) + GRAM - 1])] = 1.0
+        for piece in pieces(part):
+            seen[char_features(piece)] = 1.0
         seen[shape_features(t or "", shapes)] = 1.0
         out[i] = model.margins(seen)
         seen[:] = 0.0

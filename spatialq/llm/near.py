@@ -22,7 +22,8 @@ out: each is in one component, or verified, or too far apart. At similarity 0.8
 shares a band with probability 0.9998.
 
 Defined results: null counts as empty; texts without words are linked only if they are
-equal; texts of one to four words are one shingle; repeated rows fall into one class;
+equal; texts of one to four words are one shingle; very long texts are sketched and compared
+whole; repeated rows fall into one class;
 the class id is that of the least doc_id in it (a null one only if there is no other); an empty table gives an empty result. Columns other
 than the id and the text are not read.
 """

@@ -1,8 +1,9 @@
 """Jump consistent hashing of stable keys to shards, with DataFrame functions only.
 
 Defined results: a null key hashes as the text ``null``; repeated rows go to the same
-shard and get slots of their own; a null text has size 1; empty tables give empty
-results. Columns of the input other than the key and the text are not read.
+shard and get slots of their own, in any order among themselves; a null text has size 1;
+a very long text counts as one row, its bytes and checksum taken whole; empty tables give
+empty results. Columns of the input other than the key and the text are not read.
 """
 
 from __future__ import annotations

@@ -454,6 +454,43 @@ def test_classifier(spark):
     assert {r.doc_id for r in kept.select("doc_id").collect()} == {i for i, r in got.items() if r.score >= 0.5}
 
 
+def test_classifier_reaches_the_optimum():
+    """The fit against projected gradient ascent on the dense dual of the same problem."""
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    rows = [np.unique(rng.integers(0, 30, 12)) + (i % 2) * rng.integers(0, 3) for i in range(40)]
+    labels = np.arange(40) % 2
+    y = np.where(labels > 0, 1.0, -1.0)
+    p, q = np.ones(nbsvm.SIZE), np.ones(nbsvm.SIZE)
+    for r, label in zip(rows, labels):
+        (p if label else q)[r] += 1
+    ratio = np.log(p / p.sum()) - np.log(q / q.sum())
+    x = np.zeros((40, 41))
+    for i, r in enumerate(rows):
+        x[i, r] = ratio[r] / np.sqrt((ratio[r] ** 2).sum())
+    x[:, 40] = 1.0  # the bias
+    gram = (x @ x.T) * np.outer(y, y)
+    top, alpha = np.ones(40), np.zeros(40)
+    for _ in range(60_000):
+        alpha = np.clip(alpha + 0.02 * (1 - gram @ alpha), 0, top)
+    w = x.T @ (alpha * y)
+    model = nbsvm.fit(rows, labels, epochs=4000, beta=1.0)
+    for i, r in enumerate(rows):
+        seen = np.zeros(nbsvm.SIZE, np.float32)
+        seen[r] = 1
+        assert model.margins(seen) + model.bias == pytest.approx(float(x[i] @ w), abs=2e-3)
+
+
+def test_long_texts_have_the_same_features():
+    import numpy as np
+
+    text = "".join(random.Random(3).choice("abcdefgh ") for _ in range(150_000))
+    data = np.frombuffer(text.encode(), np.uint8)
+    whole = np.unique(np.concatenate([nbsvm.char_features(data), nbsvm.shape_features(text, nbsvm.Shapes())]))
+    assert nbsvm.features(data, text, nbsvm.Shapes()).tolist() == whole.tolist()
+
+
 # mixing
 
 
