@@ -6,14 +6,15 @@ terms from the rarest on and intersects their lists, shifted by the terms' offse
 ``find_near`` returns places where all terms of a phrase stand within a span.
 ``contamination`` turns matches into the share of a document's words that they cover.
 
-A term of a third of all documents has one list in every block, so no task reads a
-term's whole list. A block is bounded in bytes (a longer document is a block alone).
-The terms to index are those of the test set by default, since no other list can be
-asked for; ``vocabulary=None`` keeps every term for later test sets.
-
-Defined results: null or empty texts have no words; items without words match nothing;
-repeated rows count as documents of their own; an empty benchmark leaves every document
-clean. Other columns are not read.
+Every term of the training texts is stored, so one index serves any test set. A term of a
+third of all documents has one list in every block, so no task reads a term's whole list.
+A block is bounded in bytes (a longer document is a block alone). A search reads only the
+lists of its phrases' terms.
+
+Defined results: null or empty texts have no words; a very long text is one block; items
+without words match nothing; repeated rows count as documents of their own; terms of equal
+counts are taken by name; an empty benchmark leaves every document clean; an empty table
+gives an empty result. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -41,12 +42,17 @@ def words_of(text: bytes) -> list[bytes]:
     return text.translate(FOLD).split()
 
 
-def encode_places(places: np.ndarray) -> bytes:
-    """Ascending int64 places as first value and gaps, in the narrowest of three widths."""
+def encode_lists(places: np.ndarray, heads: np.ndarray) -> pa.Array:
+    """One binary for each list of ascending places, which begin at heads: a width mark, the first value and gaps."""
+    n = np.diff(np.append(heads, len(places)))
     gaps = np.diff(places, prepend=0)
-    top = int(gaps.max(initial=0))
-    kind = "<u2" if top < 1 << 16 else "<u4" if top < 1 << 32 else "<u8"
-    return kind[-1].encode() + gaps.astype(kind).tobytes()
+    gaps[heads] = places[heads]
+    width = 2 if int(gaps.max(initial=0)) < 1 << 16 else 4 if int(gaps.max(initial=0)) < 1 << 32 else 8
+    offsets = np.concatenate([[0], np.cumsum(1 + width * n)])
+    flat, value = np.empty(int(offsets[-1]), np.uint8), np.ones(int(offsets[-1]), bool)
+    flat[offsets[:-1]], value[offsets[:-1]] = ord(str(width)), False
+    flat[value] = gaps.astype(f"<u{width}").view(np.uint8)
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(n), [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(flat)]).cast(pa.binary())
 
 
 def decode_places(data: bytes) -> np.ndarray:
@@ -63,18 +69,20 @@ class Index:
     def rows(self) -> DataFrame:
         return self.spark.read.schema(INDEX_SCHEMA).parquet(self.path)
 
-    def lists(self) -> DataFrame:
-        return self.rows().filter(F.col("term") != DOC_MARK)
+    def lists(self, wanted: DataFrame) -> DataFrame:
+        """The posting lists of the terms of wanted(term)."""
+        return self.rows().filter(F.col("term") != DOC_MARK).join(wanted, "term", "left_semi").select(*self.rows().columns)
 
+    def marks(self) -> DataFrame:
+        return self.rows().filter(F.col("term") == DOC_MARK)
 
-def build_index(docs: DataFrame, path: str, vocabulary: list[str] | None, block_bytes: int = 4 << 20) -> Index:
-    """Write the index as a Parquet table.
+
+def build_index(docs: DataFrame, path: str, block_bytes: int = 4 << 20) -> Index:
+    """Write the index as a Parquet table, terms in order within a block.
 
     A place counts words from the block's start; the block's DOC_MARK row has the
     doc_ids and word counts, which tell where each document begins.
     """
-    keep = None if vocabulary is None else {t.encode(): i for i, t in enumerate(vocabulary)}
-    names = vocabulary
 
     def index(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -84,38 +92,33 @@ def build_index(docs: DataFrame, path: str, vocabulary: list[str] | None, block_
             ids = column(batch, "doc_id")
             data, offs = utf8(column(batch, "text"))
             for lo, hi in blocks(offs, block_bytes):
-                rows: list[tuple] = []
                 text = data[offs[lo] : offs[hi]].tobytes().translate(FOLD)
                 cuts = (offs[lo : hi + 1] - offs[lo]).tolist()
                 split = [text[a:b].split() for a, b in zip(cuts, cuts[1:], strict=False)]
                 counts = np.array([len(w) for w in split], np.int64)
-                if keep is None:
-                    local: dict[bytes, int] = {}
-                    codes = np.fromiter((local.setdefault(w, len(local)) for ws in split for w in ws), np.int64, int(counts.sum()))
-                    terms = [w.decode("utf-8", "replace") for w in local]
-                else:
-                    codes = np.concatenate([np.fromiter(map(keep.get, ws, [-1] * len(ws)), np.int64, len(ws)) for ws in split])
-                    terms = names
-                at = np.flatnonzero(codes >= 0)
-                order = at[np.argsort(codes[at], kind="stable")]
-                sorted_codes = codes[order]
-                cut = np.flatnonzero(np.diff(sorted_codes, prepend=-1))
-                for a, b in zip(cut.tolist(), [*cut[1:].tolist(), len(order)], strict=False):
-                    rows.append((serial, terms[sorted_codes[a]], b - a, encode_places(order[a:b])))
+                terms = sorted(set().union(*split))
+                code = {w: i for i, w in enumerate(terms)}
+                codes = np.concatenate([np.fromiter(map(code.__getitem__, ws), np.int64, len(ws)) for ws in split])
+                order = np.argsort(codes, kind="stable")
+                heads = np.flatnonzero(np.diff(codes[order], prepend=-1))
                 keys = np.array([NO_KEY if k is None else k for k in ids.slice(lo, hi - lo).to_pylist()], "<i8")
-                rows.append((serial, DOC_MARK, hi - lo, np.stack([keys, counts.astype("<i8")]).tobytes()))
+                mark = np.stack([keys, counts.astype("<i8")]).tobytes()
+                for names, n, places in (
+                    ([DOC_MARK], np.array([hi - lo]), pa.array([mark], pa.binary())),
+                    ([w.decode("utf-8", "replace") for w in terms], np.diff(np.append(heads, len(order))), encode_lists(order, heads)),
+                ):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(names), serial, np.int64)), pa.array(names, pa.string()), pa.array(n.astype(np.int64)), places], names=["block", "term", "n", "places"])
                 serial += 1
-                cols = list(zip(*rows, strict=True))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.binary())],
-                    names=["block", "term", "n", "places"],
-                )
 
     out = pick(docs, "doc_id", "text").mapInArrow(index, INDEX_SCHEMA)
     out.write.option("compression", "zstd").parquet(path)
     return Index(docs.sparkSession, path)
 
 
+def terms_of(phrases: DataFrame) -> DataFrame:
+    return phrases.select(F.explode("terms").alias("term")).distinct()
+
+
 def phrase_table(benchmark: DataFrame) -> DataFrame:
     """(phrase, terms): the words of each item that has any, under its id as text."""
     raw = pick(benchmark, "item_id", "text").select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("phrase"), "text")
@@ -126,7 +129,7 @@ def phrase_table(benchmark: DataFrame) -> DataFrame:
 
 def ranked_phrases(index: Index, phrases: DataFrame, size: int | None) -> DataFrame:
     """phrases with ``counts`` of their terms in the index and ``rare``, the rarest term of each window."""
-    counts = index.lists().groupBy("term").agg(F.sum("n").alias("n"))
+    counts = index.lists(terms_of(phrases)).groupBy("term").agg(F.sum("n").alias("n"))
     numbered = phrases.withColumn("row", F.monotonically_increasing_id())
     one = numbered.select("row", "phrase", F.posexplode("terms").alias("offset", "term"))
     whole = (
@@ -154,7 +157,7 @@ def search(index: Index, phrases: DataFrame, size: int | None, within: int | Non
     holds all terms in any order, if that is at most ``within`` words.
     """
     ranked = ranked_phrases(index, phrases, size)
-    where = index.lists().select("block", "term")
+    where = index.lists(terms_of(phrases)).select("block", "term")
     visits = (
         ranked.select("phrase", "terms", "counts", F.explode("rare").alias("term"))
         .join(where, "term").select("block", "phrase", "terms", "counts").distinct()
@@ -188,7 +191,8 @@ def search(index: Index, phrases: DataFrame, size: int | None, within: int | Non
             names=["block", "phrase", "start", "length"],
         )
 
-    return index.rows().groupBy("block").cogroup(visits.groupBy("block")).applyInArrow(skip_empty(match), MATCH_SCHEMA)
+    lists = index.lists(terms_of(phrases)).unionByName(index.marks())
+    return lists.groupBy("block").cogroup(visits.groupBy("block")).applyInArrow(skip_empty(match), MATCH_SCHEMA)
 
 
 def exact_starts(terms: list[str], counts: list[int], places) -> np.ndarray:
@@ -294,22 +298,13 @@ def per_document(index: Index, matches: DataFrame) -> DataFrame:
             names=["doc_id", "n_words", "n_hit", "items"],
         )
 
-    marks = index.rows().filter(F.col("term") == DOC_MARK)
-    return marks.groupBy("block").cogroup(matches.groupBy("block")).applyInArrow(tally, HIT_SCHEMA)
+    return index.marks().groupBy("block").cogroup(matches.groupBy("block")).applyInArrow(tally, HIT_SCHEMA)
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, size: int = 13, max_terms: int = 4_000_000) -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated, and the item_ids that hit.
-
-    The test set's distinct terms go to the index builders; max_terms bounds that and a
-    larger vocabulary is refused rather than cut (index with vocabulary=None then).
-    """
+def contamination(docs: DataFrame, benchmark: DataFrame, size: int = 13) -> DataFrame:
+    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated, and the item_ids that hit."""
     phrases = phrase_table(benchmark)
-    terms = phrases.select(F.explode("terms").alias("t")).distinct().limit(max_terms + 1)
-    vocabulary = sorted(r[0] for r in terms.collect())
-    if len(vocabulary) > max_terms:
-        raise ValueError(f"the test set has more than {max_terms} distinct terms")
-    index = build_index(docs, scratch(docs.sparkSession, "index"), vocabulary)
+    index = build_index(docs, scratch(docs.sparkSession, "index"))
     hits = per_document(index, find_phrases(index, phrases, size))
     return hits.select(
         "doc_id",

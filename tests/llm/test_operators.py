@@ -244,7 +244,7 @@ def test_contamination(spark):
 
 def test_proximity(spark):
     df = docs_of(spark, ["the red fox saw a lazy dog", "dog fox", "fox " + "x " * 20 + "dog"]).coalesce(1)
-    index = decontam.build_index(df, common.scratch(spark, "t"), None)
+    index = decontam.build_index(df, common.scratch(spark, "t"))
     phrases = spark.createDataFrame([("p", ["fox", "dog"])], "phrase string, terms array<string>")
     got = sorted((r.start, r.length) for r in decontam.find_near(index, phrases, 6).collect())
     assert got == [(2, 5), (7, 2)]
