@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, lm_score, mixing, nbsvm, near, quality_rules, sharding, substring, tokens, warc
+from . import decontam, filter_audit, lm_score, mixing, nbsvm, near, quality_rules, sharding, substring, tokens, warc
 from .common import table
 
 N_SHARDS = 16
@@ -65,6 +65,10 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_table(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), MIX_WEIGHTS)
 
 
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()}
 
@@ -135,9 +139,46 @@ FROM f
 """
 
 
+OP12_SQL = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS text, coalesce(source, '') AS part,
+    list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+l AS (SELECT doc_id, bool_or(coalesce(quality = 1, false)) AS good, bool_or(coalesce(toxic = 1, false)) AS toxic FROM labels GROUP BY doc_id),
+f AS (
+  SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic,
+    len(w) < 50 AS a, 100 * len(list_distinct(w)) < 65 * len(w) AS b,
+    100 * (length(text) - length(regexp_replace(text, '[A-Z]', '', 'g'))) > 5 * length(text) AS c,
+    regexp_matches(text, '[#$%&*|]') AS d, coalesce(doc_id > min(doc_id) OVER (PARTITION BY sha256(text)), false) AS e
+  FROM d LEFT JOIN l USING (doc_id)),
+m AS (
+  SELECT part, CAST(a AS INT) + 2 * CAST(b AS INT) + 4 * CAST(c AS INT) + 8 * CAST(d AS INT) + 16 * CAST(e AS INT) AS mask,
+    count(*) AS n, count_if(good) AS g, count_if(toxic) AS t FROM f GROUP BY ALL),
+x AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x, unnest([1, 2, 4, 8, 16]) AS v),
+o AS (
+  SELECT p.x || q.x || r.x || s.x || t.x AS filter_order, [p.v, q.v, r.v, s.v, t.v] AS bits FROM x p, x q, x r, x s, x t
+  WHERE p.v | q.v | r.v | s.v | t.v = 31),
+z AS (SELECT filter_order, step, bits[step] AS bit, CAST(list_sum(bits[1 : step - 1]) AS BIGINT) AS before
+      FROM (SELECT *, unnest([1, 2, 3, 4, 5]) AS step FROM o)),
+y AS (
+  SELECT part, filter_order, step, bit,
+    sum(CASE WHEN mask & (coalesce(before, 0) | bit) = 0 THEN n ELSE 0 END) AS kept,
+    sum(CASE WHEN mask & bit > 0 AND mask & coalesce(before, 0) = 0 THEN n ELSE 0 END) AS removed,
+    sum(CASE WHEN mask & bit > 0 AND mask & coalesce(before, 0) > 0 THEN n ELSE 0 END) AS redundant,
+    sum(CASE WHEN mask = bit THEN n ELSE 0 END) AS unique_fails,
+    sum(CASE WHEN mask & bit > 0 AND mask & coalesce(before, 0) = 0 THEN g ELSE 0 END) AS good_lost,
+    sum(CASE WHEN mask & bit > 0 AND mask & coalesce(before, 0) = 0 THEN t ELSE 0 END) AS toxic_lost
+  FROM m, z GROUP BY ALL)
+SELECT part, filter_order, step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant,
+  CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost,
+  CAST(sum(removed) OVER (PARTITION BY part, bit) AS BIGINT) AS shapley
+FROM y
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "op2_benchmark_decontamination": OP2_SQL,
         "op5_quality_rules": OP5_SQL,
         "op6_warc": OP6_SQL,
+        "op12_filter_audit": OP12_SQL,
     }
