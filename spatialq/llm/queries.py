@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, filter_audit, lm_score, mixing, nbsvm, near, quality_rules, sharding, substring, tokens, warc
+from . import decontam, filter_audit, lm_score, mixing, nbsvm, near, pruned_graph, quality_rules, sharding, substring, tokens, warc
 from .common import table
 
 N_SHARDS = 16
@@ -69,6 +69,10 @@ def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op13_pruned_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pruned_graph.nearest(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()}
 
