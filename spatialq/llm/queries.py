@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, filter_audit, lm_score, mixing, nbsvm, near, pruned_graph, quality_rules, sharding, substring, tokens, warc
+from . import decontam, filter_audit, grammar_runs, lm_score, mixing, nbsvm, near, pruned_graph, quality_rules, sharding, substring, tokens, warc
 from .common import table
 
 N_SHARDS = 16
@@ -65,6 +67,39 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_table(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), MIX_WEIGHTS)
 
 
+def planted_periods(doc_ids: list, n_words: np.ndarray) -> list:
+    """Where the words of every tenth document (by the hash of its id) are read from, so that its end is periodic."""
+    out = []
+    for doc_id, n in zip(doc_ids, n_words.tolist(), strict=True):
+        h = 1 if doc_id is None else zlib.crc32(str(doc_id).encode())
+        if h % 10 or not n:
+            out.append(None)
+            continue
+        g = h // 10
+        a = g % n
+        p = 1 + (n - a) // (3 + g % 8)
+        i = np.arange(n)
+        out.append(np.where(i >= a, a + (i - a) % p, i))
+    return out
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = grammar_runs.runs(table(spark, sf_dir, "documents"), planted_periods)
+    line = F.transform("runs", lambda r: F.concat(r["start"], F.lit(","), r["length"], F.lit(","), r["period"], F.lit("\n")))
+    # the greatest exponent, then the least start, then the least period
+    best = F.array_max(F.transform("runs", lambda r: F.struct((r["length"] / r["period"]).alias("x"), (-r["start"]).alias("s"), (-r["period"]).alias("p"), r["length"].alias("length"))))
+    return found.withColumn("b", best).select(
+        "doc_id",
+        F.size("runs").cast("bigint").alias("n_runs"),
+        (-F.col("b.s")).alias("start"),
+        F.col("b.length").alias("length"),
+        (-F.col("b.p")).alias("period"),
+        F.call_function("div", 1000 * F.col("b.length"), -F.col("b.p")).alias("exponent_milli"),
+        F.sha2(F.array_join(line, "").cast("binary"), 256).alias("runs_sha256"),
+        F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
+    )
+
+
 def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
