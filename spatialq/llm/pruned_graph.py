@@ -10,7 +10,8 @@ Vectors are dealt by hash to shards of about ``shard_rows``; each shard is one t
   first, a neighbour p drops every later c with ``alpha * d(p, c) <= d(node, c)``, so that
   the at most ``degree`` edges point in different directions. The edges are also made
   backwards; a node with too many is pruned in the same way. A second pass goes over the
-  finished graph.
+  finished graph. Where norms differ, long vectors answer most queries and yet are far from
+  all nodes, so half of a node's edges go to what a search for the node as a query proposes.
 * Searches begin at ``ENTRIES`` nodes; parts that cannot be reached from them get an entry of their own.
 
 The graphs are an index, written as a table of one row a shard. Queries go in blocks to
@@ -174,6 +175,8 @@ def build_graph(x: np.ndarray, degree: int = DEGREE, beam: int = BUILD_BEAM, alp
     n = len(x)
     graph = np.full((n, degree), -1, np.int32)
     start = int(np.argmax(x @ x.mean(0)))
+    flat = np.append(np.ones(x.shape[1] - 1, np.float32), np.float32(0))
+    asked = degree // 2 if (x[:, -1] > 1e-3).any() else 0
     order = np.random.default_rng(n).permutation(n).astype(np.int32)
     order = np.concatenate([[np.int32(start)], order[order != start]])
     for round_, slack in enumerate((1.0, alpha)):
@@ -189,7 +192,14 @@ def build_graph(x: np.ndarray, degree: int = DEGREE, beam: int = BUILD_BEAM, alp
                 ids, near = np.concatenate([ids, held], 1), np.concatenate([near, products], 1)
                 best = np.argsort(-near, axis=1, kind="stable")
                 ids, near = np.take_along_axis(ids, best, 1), np.take_along_axis(near, best, 1)
-            out = prune(x, own, ids, near, degree, slack)
+            out = prune(x, own, ids, near, degree - asked, slack)
+            if asked:
+                side = x[own] * flat
+                side /= np.maximum(np.sqrt((side * side).sum(1, keepdims=True)), 1e-12)
+                ids, near = beam_search(x, graph, order[: min(ENTRIES, i) if round_ == 0 else ENTRIES], side, beam)
+                more = prune(x, own, ids, near, asked, slack)
+                out = np.sort(np.concatenate([out, more], 1), axis=1)
+                out[:, 1:][out[:, 1:] == out[:, :-1]] = -1
             graph[own] = out
             backwards(x, graph, own, out, degree, slack)
             i += len(own)
@@ -262,7 +272,7 @@ def answers(row: dict, query_ids: np.ndarray, q: np.ndarray, k: int, beam: int)
         side[:, :dim] = part / np.abs(part).max(1, keepdims=True)
         at, _ = beam_search(x, graph, entries, side, max(beam, k + 1))
         score = np.where(at >= 0, exact(nodes, at, part), -np.inf)
-        order = np.lexsort((ids[starts[at]], -score), axis=1)[:, : k + 1]
+        order = np.lexsort((ids[starts[:-1][at]], -score), axis=1)[:, : k + 1]
         at, score = np.take_along_axis(at, order, 1), np.take_along_axis(score, order, 1)
         for j, own in enumerate(query_ids[i : i + CHUNK]):
             real = at[j] >= 0
