@@ -1,23 +1,10 @@
-"""Kernels of spectral surrogates for one bounded tile or one grid line."""
+"""Kernels of spectral surrogates."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 
 
-def tile_weights(s: np.ndarray, radius: float) -> np.ndarray:
-    """1 / distance within radius, with a floor from the median distance."""
-    d = np.sqrt(((s[:, None, :] - s[None, :, :]) ** 2).sum(-1))
-    near = (d <= radius) & (d > 0)
-    w = np.zeros_like(d)
-    if near.any():
-        floor = max(1e-4 * np.median(d[near]), 1e-9)
-        w[near] = 1 / np.maximum(d[near], floor)
-    return w
-
-
 def turned_modes(values: np.ndarray, truncate: float, calibration: float) -> np.ndarray:
     """Which modes take a random sign: those whose scale, calibration / sqrt(|eigenvalue|), exceeds truncate; all at 0.
 
@@ -26,30 +13,3 @@ def turned_modes(values: np.ndarray, truncate: float, calibration: float) -> np.
     if truncate <= 0:
         return np.ones(len(values), bool)
     return calibration / np.sqrt(np.maximum(np.abs(values), 1e-8)) > truncate
-
-
-def eigen_surrogates(s: np.ndarray, a: np.ndarray, radius: float, truncate: float, calibration: float, seeds: list[int]) -> Iterator[np.ndarray]:
-    """One surrogate of a for each seed; the eigenvectors of the doubly centred weights are found once.
-
-    One sign a mode is shared by all columns; means stay.
-    """
-    n = len(s)
-    center = np.eye(n) - 1.0 / n
-    values, vectors = np.linalg.eigh(center @ tile_weights(s, radius) @ center)
-    keep = np.abs(values) > 1e-8
-    values, vectors = values[keep], vectors[:, keep]
-    mean = a.mean(0)
-    parts = vectors.T @ (a - mean)
-    rest = a - mean - vectors @ parts
-    turn = turned_modes(values, truncate, calibration)
-    for seed in seeds:
-        signs = np.where(turn, np.random.default_rng(seed).choice([-1.0, 1.0], len(values)), 1.0)
-        yield mean + vectors @ (signs[:, None] * parts) + rest
-
-
-def rank_surrogate(a: np.ndarray, reference: np.ndarray) -> np.ndarray:
-    """Each column's own values in the order of the reference's."""
-    out = np.empty_like(a)
-    for g in range(a.shape[1]):
-        out[np.argsort(reference[:, g], kind="stable"), g] = np.sort(a[:, g])
-    return out

@@ -82,10 +82,12 @@ def subset_masks(cells: DataFrame, fractions: list[float], draws: int, seed: int
 
 
 def kfold(cells: DataFrame, k: int, seed: int) -> DataFrame:
-    """(cell_id, fold): the first n % k folds have one cell more."""
+    """(cell_id, fold): the first n % k folds have one cell more; more folds than cells are an error."""
     if k < 2:
         raise ValueError("k must be at least 2")
     n = cells.count()
+    if k > n:
+        raise ValueError(f"{k} folds of {n} cells")
     ranked = hash_rank(cells.select("cell_id"), [], order_key(seed, "cell_id"), "cell_id", rows=n)
     size, extra = divmod(n, k)
     r, first = F.col("_r") - 1, extra * (size + 1)

@@ -1,7 +1,4 @@
-"""Null measurements that keep spatial structure: signs of tile modes, phases of a grid's Fourier transform.
-
-Both give (slot, cell_id, a): slot 0 is the truth, a the measurements in gene order.
-"""
+"""Null measurements that keep the power of a grid's Fourier transform: (slot, cell_id, a), slot 0 the truth, a in gene order."""
 
 from __future__ import annotations
 
@@ -11,12 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.portable import uniform
-from ..functions.surrogates import eigen_surrogates, rank_surrogate
 from ..sources.scratch import written
 
-TILE_CELLS = 1500
-SURROGATES = "slot int, cell_id long, a array<double>"
-
 
 def rows_of(cells: DataFrame, expr: DataFrame) -> DataFrame:
     """(cell_id, x, y, a) of dense measurements."""
@@ -24,43 +17,6 @@ def rows_of(cells: DataFrame, expr: DataFrame) -> DataFrame:
     return written(cells.select("cell_id", "x", "y").join(v, "cell_id").select("cell_id", "x", "y", F.col("v.value").alias("a")), "rows")
 
 
-def tiles(rows: DataFrame, most: int = TILE_CELLS) -> DataFrame:
-    """rows with ``tile``: strips along x, cut along y, of about equal counts and about ``most`` cells."""
-    n = rows.count()
-    if n <= most:
-        return rows.withColumn("tile", F.lit(0))
-    strips = int(np.ceil(np.sqrt(n / most)))
-    steps = [i / strips for i in range(1, strips)] or [0.5]
-
-    def slot(c: str, bounds):
-        return F.size(F.filter(bounds, lambda b: b <= F.col(c)))
-
-    cut = rows.agg(F.percentile_approx("x", steps, 10_000).alias("bx"))
-    strip = rows.crossJoin(F.broadcast(cut)).withColumn("strip", slot("x", F.col("bx"))).drop("bx")
-    own = strip.groupBy("strip").agg(F.percentile_approx("y", steps, 10_000).alias("by"))  # one row a strip
-    return strip.join(own, "strip").withColumn("tile", F.col("strip") * (strips + 1) + slot("y", F.col("by"))).drop("strip", "by")
-
-
-def mode_surrogates(cells: DataFrame, expr: DataFrame, n: int, seed: int, radius: float, truncate: float = 0.0, calibration: float | None = None, ranks: bool = False, most: int = TILE_CELLS) -> DataFrame:
-    """Nulls from random signs of the spatial modes of each tile.
-
-    Modes need all pairs of their cells, so they are taken by tile: layouts of up to
-    ``most`` cells are one tile, larger ones keep structure below a tile's width only.
-    calibration: the length that eigenvalue 1 stands for; truncate itself, or radius
-    where that is 0. ranks: deal the true values in the surrogate's order.
-    """
-    scale = calibration or truncate or radius
-
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("cell_id")
-        s, a, tile = part[["x", "y"]].to_numpy(float), np.stack(part["a"].to_numpy()), int(part["tile"].iloc[0])
-        seeds = [(seed * 7919 + k) * 1_000_003 + tile for k in range(1, n + 1)]
-        out = [a, *((rank_surrogate(a, b) if ranks else b) for b in eigen_surrogates(s, a, radius, truncate, scale, seeds))]
-        return pd.concat([pd.DataFrame({"slot": k, "cell_id": part["cell_id"].to_numpy(), "a": list(b)}) for k, b in enumerate(out)])
-
-    return tiles(rows_of(cells, expr), most).groupBy("tile").applyInPandas(run, SURROGATES)
-
-
 def grid_lines(cells: DataFrame) -> DataFrame:
     """(cell_id, i, j): row and column of each cell of a full grid; anything else is an error."""
     n, nx, ny, places = cells.agg(F.count("*"), F.countDistinct("x"), F.countDistinct("y"), F.countDistinct("x", "y")).first()

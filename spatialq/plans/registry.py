@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = ("selection", "transforms", "spatial", "statistics", "nulls", "models", "studies", "more", "tests")
+MODULES = ("selection", "transforms", "spatial", "statistics", "nulls", "models", "studies", "more", "surrogates", "tests")
 _queries: dict[str, Query] = {}
 _sql: dict[str, str] = {}
 

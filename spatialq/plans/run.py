@@ -16,6 +16,7 @@ from ..operators import comparisons as C
 from ..operators import decoders as D
 from ..operators import expr as E
 from ..operators import genes as G
+from ..operators import modes as MD
 from ..operators import moran as MO
 from ..operators import nulls as N
 from ..operators import rows as R
@@ -134,7 +135,7 @@ def losses(c: RunConfig, cells: DataFrame, expr: DataFrame) -> tuple[DataFrame,
     metric, alike = t["metric"], None
     if method in ("joint_truncated_msr", "joint_truncated_rank_msr"):
         radius, truncate = t["msr_neighbor_radius_um"] / unit, (t["msr_truncate_um"] or 0.0) / unit
-        nulls = SG.mode_surrogates(cells, e, n, seed, radius, truncate, ranks="rank" in method)
+        nulls = MD.mode_surrogates(cells, e, n, seed, radius, truncate, ranks="rank" in method)
         stats = T.statistics(T.fit_nulls(cells, SG.standardised(nulls), plan, t["n_reruns"]), metric)
     elif method == "fourier_spectral_randomization":
         stats = T.statistics(T.fit_nulls(cells, SG.standardised(SG.phase_surrogates(cells, e, n, seed)), plan, t["n_reruns"]), metric)
@@ -152,7 +153,7 @@ def losses(c: RunConfig, cells: DataFrame, expr: DataFrame) -> tuple[DataFrame,
         stats = stats.withColumnRenamed("fraction", "part")
     else:
         if method == "block_permutation":
-            slots = N.block_permutation(cells, n, seed, t["block_radius"] / unit, t["block_shape"], t["block_jitter"])
+            slots = N.block_permutation(cells, n, seed, t["block_radius"] / unit, t["block_shape"], t["block_jitter"], ("cell_type",) if together else ())
         else:
             slots = N.permute(cells, n, seed, ["x", "y"], ("cell_type",) if together else ())
         w = c.data["covariate_whitening"]

@@ -9,6 +9,7 @@ from ..functions.networks import Plan
 from ..operators import comparisons as C
 from ..operators import expr as E
 from ..operators import lowrank
+from ..operators import modes as MD
 from ..operators import nulls as N
 from ..operators import spatial as SP
 from ..operators import surrogates as SG
@@ -62,9 +63,9 @@ def loss_difference(spark, d):
 
 @query()
 def joint_truncated_msr(spark, d):
-    """Nulls from random signs of the long-range spatial modes of each tile."""
+    """Nulls from random signs of the long-range spatial modes."""
     cells, e = inputs(spark, d)
-    nulls = SG.mode_surrogates(cells, e, 5, 3, 0.1, 0.5, calibration=1.0)
+    nulls = MD.mode_surrogates(cells, e, 5, 3, 0.1, 0.5, calibration=1.0)
     return T.test(T.fit_nulls(cells, SG.standardised(nulls), PLAN))
 
 
@@ -72,7 +73,7 @@ def joint_truncated_msr(spark, d):
 def joint_truncated_rank_msr(spark, d):
     """As above, with the true values dealt in the surrogates' order."""
     cells, e = inputs(spark, d)
-    nulls = SG.mode_surrogates(cells, e, 5, 3, 0.1, 0.5, calibration=1.0, ranks=True)
+    nulls = MD.mode_surrogates(cells, e, 5, 3, 0.1, 0.5, calibration=1.0, ranks=True)
     return T.test(T.fit_nulls(cells, SG.standardised(nulls), PLAN))
 
 

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from spatialq.functions import networks, scalar, special, surrogates
-from spatialq.operators import comparisons, decoders, expr, genes, graph, gsea, lowrank, metrics, moran, nulls, ranks, rows, spatial, studies, trained
+from spatialq.operators import comparisons, decoders, expr, genes, graph, gsea, lowrank, matched, metrics, modes, moran, nulls, ranks, rows, spatial, studies, trained
 from spatialq.operators import surrogates as spectral
 from spatialq.sources import gmt, results, synthetic
 
@@ -395,18 +395,71 @@ def test_mode_mask_turns_long_scales():
     assert surrogates.turned_modes(np.array([4.0]), 0.0, 1.0).all()
 
 
-def test_surrogates_keep_means_and_power(spark):
+def layout(n, seed, genes=3):
+    rng = np.random.default_rng(seed)
+    s = rng.uniform(size=(n, 2))
+    a = rng.normal(size=(n, genes))
+    a[:, 0] += 2 * s[:, 0]
+    return s, a
+
+
+def centred_weights(s, radius):
+    d = np.sqrt(((s[:, None] - s[None]) ** 2).sum(-1))
+    near = (d <= radius) & (d > 0)
+    w = np.zeros_like(d)
+    w[near] = 1 / np.maximum(d[near], max(1e-4 * np.median(d[np.triu(near)]), 1e-9))
+    c = np.eye(len(s)) - 1 / len(s)
+    return c @ w @ c
+
+
+def test_modes_equal_the_dense_ones(spark):
+    s, _ = layout(1200, 1)
+    c = cells(spark, s)
+    dense = np.linalg.eigvalsh(centred_weights(s, 0.06))
+    edges = modes.edge_table(c, 0.06)
+    values, own = modes.leading_modes(c, edges, 4, width=8, steps=12)
+    assert np.allclose(values, dense[np.argsort(-np.abs(dense))][:4], atol=1e-6)
+    for r in modes.mode_residuals(edges, own, values).collect():
+        assert r.residual < 1e-3 * abs(r.eigenvalue) and r.length == pytest.approx(1)
+    with pytest.raises(ValueError, match="no two cells"):
+        modes.edge_table(c, 1e-9)
+
+
+@pytest.mark.parametrize("steps, truncate", [(2, 0.0), (3, 0.1)])
+def test_mode_nulls_keep_covariances_and_autocorrelation(spark, steps, truncate):
+    """With far fewer basis columns than cells."""
+    s, a = layout(90, 2)
+    o = centred_weights(s, 0.3)
+    out = modes.mode_surrogates(cells(spark, s), long(spark, a), 2, 1, 0.3, truncate, calibration=1.0 if truncate else None, steps=steps).toPandas().sort_values("cell_id")
+    az = a - a.mean(0)
+    for k, g in out.groupby("slot"):
+        b = np.stack(g["a"])
+        bz = b - b.mean(0)
+        assert np.allclose(b.mean(0), a.mean(0)) and np.allclose(bz.T @ bz, az.T @ az) and np.allclose(bz.T @ o @ bz, az.T @ o @ az)
+        assert np.allclose(a, b) == (k == 0)
+
+
+def test_whole_bases_turn_the_operators_own_modes(spark):
+    s, a = layout(40, 3)
+    out = modes.mode_surrogates(cells(spark, s), long(spark, a), 1, 5, 0.4, steps=60).toPandas().sort_values("cell_id")
+    b = np.stack(out[out.slot == 1]["a"])
+    _, v = np.linalg.eigh(centred_weights(s, 0.4))
+    before, after = v.T @ (a - a.mean(0)), v.T @ (b - b.mean(0))
+    assert np.allclose(np.abs(before), np.abs(after), atol=1e-6)  # every coefficient kept or turned, alike for all genes
+    turned = np.sign(before * after)[np.abs(before).min(1) > 1e-6]
+    assert (turned == turned[:, :1]).all() and {-1.0, 1.0} == set(turned[:, 0])
+
+
+def test_rank_matched_nulls_deal_the_true_values(spark):
+    s, a = layout(60, 4)
+    a[:, 1] = np.round(a[:, 1])
+    out = modes.mode_surrogates(cells(spark, s), long(spark, a), 2, 1, 0.3, ranks=True, steps=2).toPandas()
+    for _, g in out.groupby("slot"):
+        assert np.allclose(np.sort(np.stack(g["a"]), 0), np.sort(a, 0))
+
+
+def test_phases_keep_means_and_power(spark):
     rng = np.random.default_rng(0)
-    s, a = rng.uniform(size=(40, 2)), rng.normal(size=(40, 3))
-    b = next(surrogates.eigen_surrogates(s, a, 0.3, 0.0, 1.0, [1]))
-    assert np.allclose(a.mean(0), b.mean(0)) and np.allclose(a.var(0), b.var(0)) and not np.allclose(a, b)
-    assert np.allclose(np.sort(surrogates.rank_surrogate(a, b), 0), np.sort(a, 0))
-    c, e = cells(spark, s), long(spark, a)
-    for most in (100, 15):
-        out = spectral.mode_surrogates(c, e, 2, 1, 0.3, most=most).toPandas()
-        assert out.groupby("slot").size().tolist() == [40, 40, 40]
-        for _, g in out.groupby("slot"):
-            assert np.allclose(np.stack(g["a"]).mean(0), a.mean(0))
     g = rng.normal(size=(5, 8, 2))
     at = [(j, i) for i in range(5) for j in range(8)]
     out = spectral.phase_surrogates(cells(spark, at), long(spark, g.reshape(40, 2)), 2, 3).toPandas().sort_values("cell_id")
@@ -514,3 +567,51 @@ def test_queries_take_whole_tables(spark, tmp_path):
         assert got[k] == pytest.approx(sum(best) / 40, abs=1e-6)
     plan = q["best_of_k"](spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
     assert "WindowGroupLimit" in plan  # tasks keep the first rows of each draw before the shuffle
+
+
+def test_matched_nulls_follow_the_variogram(spark):
+    """A smooth gene's nulls have its variogram within their bands; a white one's stay flat."""
+    rng = np.random.default_rng(8)
+    s = rng.uniform(size=(400, 2))
+    d = np.sqrt(((s[:, None] - s[None]) ** 2).sum(-1))
+    a = np.stack([np.linalg.cholesky(np.exp(-d / 0.15) + 1e-6 * np.eye(400)) @ rng.normal(size=400), rng.normal(size=400)], 1)
+    choices, out = matched.variogram_matched(cells(spark, s), long(spark, a), 6, 3, 0.3, [0.03, 0.08, 0.2], 6)
+    assert choices.count() == 12
+    rows_ = out.toPandas().sort_values("cell_id")
+    i, j = np.nonzero(np.triu((d <= 0.3) & (d > 0)))
+    slot = np.minimum((d[i, j] / 0.05).astype(int), 5)
+    gamma = {k: np.array([((np.stack(g["a"])[i] - np.stack(g["a"])[j]) ** 2)[slot == b].mean(0) / 2 for b in range(6)]) for k, g in rows_.groupby("slot")}
+    nulls_ = np.stack([gamma[k] for k in range(1, 7)])
+    spread = nulls_.max(0) - nulls_.min(0) + 0.25
+    assert (np.abs(nulls_.mean(0) - gamma[0]) < spread).all()
+    assert (nulls_[:, 0, 0] < nulls_[:, 5, 0]).all()  # near pairs are alike in every null of the smooth gene
+    assert not np.allclose(np.stack(rows_[rows_.slot == 1]["a"]), np.stack(rows_[rows_.slot == 2]["a"]))
+
+
+def test_smooth_axes_have_the_kernels_covariance(spark):
+    rng = np.random.default_rng(9)
+    s = rng.uniform(size=(30, 2)) * 4
+    df = cells(spark, s).select("cell_id", "x", "y", F.lit(0).alias("lobule"))
+    out = matched.smooth_axes(df, 400, 0.8, 48, 3).toPandas().pivot(index="draw", columns="cell_id", values="value").to_numpy()
+    z = (s - s.mean(0)) / (s.std(0) + 1e-8)
+    k = np.exp(-((z[:, None] - z[None]) ** 2).sum(-1) / (2 * 0.8**2))
+    assert np.abs(out.T @ out / 400 - k).max() < 0.25 and np.abs(out.T @ out / 400 - k).mean() < 0.06
+
+
+def test_axes_that_follow_the_target_stand_out(spark):
+    rng = np.random.default_rng(10)
+    s = rng.uniform(size=(240, 2))
+    lobule = np.arange(240) % 3
+    target = np.hypot(s[:, 0] - 0.5, s[:, 1] - 0.5)
+    rows_ = [(i, int(lobule[i]), *map(float, s[i]), float(target[i] + 0.01 * rng.normal() if lobule[i] < 2 else rng.normal()), float(target[i])) for i in range(240)]
+    df = spark.createDataFrame(rows_, "cell_id long, lobule int, x double, y double, axis double, target double")
+    observed, nulls_ = matched.axis_recovery(df, 40, 0.8, 24, 1)
+    p = {r.lobule: r.p_value for r in matched.recovery_by_key(observed, nulls_).collect()}
+    assert p[0] == p[1] == 0 and p[2] > 0.05
+    one = matched.recovery(observed, nulls_).collect()
+    assert len(one) == 1 and one[0].n_lobules == 3 and one[0].p_value == 0 and one[0].observed > one[0].null_mean
+
+
+def test_folds_need_as_many_cells(spark):
+    with pytest.raises(ValueError, match="5 folds"):
+        nulls.kfold(cells(spark, [(0, 0), (1, 1), (2, 2)]), 5, 1)
