@@ -44,6 +44,12 @@ def extent(cells: DataFrame) -> tuple[float, float, int]:
     return float(w or 0.0), float(h or 0.0), int(n)
 
 
+def density_radius(cells: DataFrame, neighbours: float) -> float:
+    """The radius of a circle that holds so many cells where they fill their bounding box evenly: pairs within it grow with the cells."""
+    w, h, n = extent(cells)
+    return math.sqrt(w * h * neighbours / (math.pi * n)) if n else 0.0
+
+
 def knn(cells: DataFrame, k: int, rounds: int = 40) -> DataFrame:
     """(i, j, d, rank): the k nearest others of each cell, ties by id.
 

@@ -9,10 +9,19 @@ from ..operators import matched as MT
 from ..operators import modes as MD
 from ..operators import moran as MO
 from ..operators import spatial as SP
+from ..sources.scratch import written
 from . import sqltext as S
 from .nulls import PERM
-from .registry import near, oracle_of, query
-from .spatial import R, pairs
+from .registry import near, query
+from .spatial import PAIRS, WEIGHTS
+
+NEAR = 12
+#: Pairs within the radius that holds NEAR cells on average; it shrinks as cells become more.
+NEAR_PAIRS = f"rr AS (SELECT sqrt((max(x) - min(x)) * (max(y) - min(y)) * {NEAR}e0 / (pi() * count(*))) AS r FROM cells), " + PAIRS.format(r="(SELECT r FROM rr)")
+
+
+def radius(cells) -> float:
+    return SP.density_radius(cells, float(NEAR))
 
 
 def nulls_in_long_form(nulls, slot: str = "slot"):
@@ -23,16 +32,20 @@ def nulls_in_long_form(nulls, slot: str = "slot"):
 
 
 def modes_of(spark, d, **how):
-    return MD.mode_surrogates(B.dense_cells(spark, d), B.dense_expr(spark, d), 2, 3, R, **how)
+    cells = B.dense_cells(spark, d)
+    return MD.mode_surrogates(cells, B.dense_expr(spark, d), 2, 3, radius(cells), **how)
 
 
-@query(f"SELECT slot, gene, moran FROM ({oracle_of('morans_i')}), (SELECT unnest([1, 2]) AS slot)")
+@query(near("moran", f"""WITH {S.dense()}, {NEAR_PAIRS}, {WEIGHTS}, z AS (SELECT cell_id, gene, value - avg(value) OVER (PARTITION BY gene) AS z FROM expr),
+c AS (SELECT a.gene, sum(w * a.z * b.z) AS c FROM w JOIN z a ON a.cell_id = w.i JOIN z b ON b.cell_id = w.j AND a.gene = b.gene GROUP BY 1),
+o AS (SELECT gene, count(*) / (SELECT sum(w) FROM w) * any_value(c) / sum(z * z) AS moran FROM z JOIN c USING (gene) GROUP BY 1)
+SELECT slot, gene, moran FROM o, (SELECT unnest([1, 2]) AS slot)"""))
 def mode_null_moran(spark, d):
     """Moran's I of every gene in nulls of spatial modes: that of the truth, which is the SQL."""
-    cells, e = B.dense_cells(spark, d), nulls_in_long_form(modes_of(spark, d))
+    cells, e = B.dense_cells(spark, d), nulls_in_long_form(written(modes_of(spark, d), "nulls"))
     out = None
     for slot in (1, 2):
-        one = MO.morans_i(cells, e.filter(F.col("slot") == slot).drop("slot"), R).select(F.lit(slot).alias("slot"), "gene", "moran")
+        one = MO.morans_i(cells, e.filter(F.col("slot") == slot).drop("slot"), radius(cells)).select(F.lit(slot).alias("slot"), "gene", "moran")
         out = one if out is None else out.unionByName(one)
     return out
 
@@ -41,7 +54,7 @@ def mode_null_moran(spark, d):
             f"SELECT 2, * FROM (WITH {S.dense()} SELECT a.gene AS a, b.gene AS b, covar_pop(a.value, b.value) AS covariance FROM expr a JOIN expr b ON a.cell_id = b.cell_id AND a.gene <= b.gene GROUP BY 1, 2)"))
 def mode_null_covariance(spark, d):
     """Covariances of genes in nulls whose long modes alone take signs: those of the truth."""
-    e = nulls_in_long_form(modes_of(spark, d, truncate=0.05, calibration=1.0))
+    e = nulls_in_long_form(modes_of(spark, d, truncate=0.1, calibration=1.0))
     a = e.select("slot", "cell_id", F.col("gene").alias("a"), F.col("value").alias("va"))
     b = a.select("slot", "cell_id", F.col("a").alias("b"), F.col("va").alias("vb"))
     return a.join(b, ["slot", "cell_id"]).filter("a <= b").groupBy("slot", "a", "b").agg(F.covar_pop("va", "vb").alias("covariance"))
@@ -57,12 +70,12 @@ def mode_null_values(spark, d):
 def mode_residuals(spark, d):
     """The leading spatial modes: how far the operator takes each from its own direction, over its eigenvalue."""
     cells = B.dense_cells(spark, d)
-    edges = MD.edge_table(cells, R)
+    edges = MD.edge_table(cells, radius(cells))
     values, modes = MD.leading_modes(cells, edges, 3)
     return MD.mode_residuals(edges, modes, values).select("mode", (F.col("residual") / F.abs("eigenvalue")).alias("residual"), "length")
 
 
-WIDTHS = [0.01, 0.02, 0.04]
+WIDTHS = (0.15, 0.3, 0.6)  # of the radius
 NORMAL = "sqrt(-2 * ln(1 - {a})) * cos(2 * pi() * (1 - {b}))"
 
 
@@ -70,15 +83,15 @@ def normal_sql(seed: int, *parts: str) -> str:
     return NORMAL.format(a=S.uniform(seed, *parts, "'a'"), b=S.uniform(seed, *parts, "'b'"))
 
 
-MATCHED = f"""{S.dense()}, {pairs(0.06)}, {PERM.replace("generate_series(1, 5)", "generate_series(1, 2)").replace("x, y FROM cells, (", "x, y FROM cells, (")},
+MATCHED = f"""{S.dense()}, {NEAR_PAIRS}, {PERM.replace("generate_series(1, 5)", "generate_series(1, 2)")},
 z AS (SELECT cell_id, CAST(substr(gene, 2) AS INT) - 2 AS g, (value - avg(value) OVER (PARTITION BY gene)) / (stddev_pop(value) OVER (PARTITION BY gene) + 1e-8) AS z FROM expr),
 src AS (SELECT slot, cell_id AS src, row_number() OVER (PARTITION BY slot ORDER BY {S.key(3, "slot", "cell_id")}, cell_id) AS r FROM s),
 dealt AS (SELECT own.slot, own.cell_id, g, z FROM own JOIN src USING (slot, r) JOIN z ON z.cell_id = src),
-h AS (SELECT unnest([0, 1, 2]) AS k, unnest([0.01e0, 0.02e0, 0.04e0]) AS h),
+h AS (SELECT k, r * h AS h FROM (SELECT unnest([0, 1, 2]) AS k, unnest([0.15e0, 0.3e0, 0.6e0]) AS h), rr),
 ends AS (SELECT i, j, d FROM pairs UNION ALL SELECT j, i, d FROM pairs),
 sums AS (SELECT slot, i AS cell_id, g, k, sum(exp(-d / h) * z) AS s, sum(exp(-d / h)) AS w FROM ends JOIN dealt ON cell_id = j, h GROUP BY ALL),
 y AS (SELECT a.slot, a.cell_id, a.g, h.k, (a.z + coalesce(s, 0)) / (1 + coalesce(w, 0)) AS y FROM dealt a CROSS JOIN h LEFT JOIN sums b ON a.slot = b.slot AND a.cell_id = b.cell_id AND a.g = b.g AND h.k = b.k),
-e AS (SELECT i, j, least(floor(d / (0.06e0 / 6)), 5) AS bin FROM pairs),
+e AS (SELECT i, j, least(floor(d / (r / 6)), 5) AS bin FROM pairs, rr),
 t AS (SELECT a.g, bin, sum((a.z - b.z) ** 2) / (2 * count(*)) AS t FROM e JOIN z a ON a.cell_id = i JOIN z b ON b.cell_id = j AND a.g = b.g GROUP BY 1, 2),
 v AS (SELECT a.slot, a.g, a.k, bin, sum((a.y - b.y) ** 2) / (2 * count(*)) AS s FROM e JOIN y a ON a.cell_id = i JOIN y b ON b.cell_id = j AND a.g = b.g AND a.k = b.k AND a.slot = b.slot GROUP BY ALL),
 f AS (SELECT slot, g, k, covar_pop(s, t) / var_pop(s) AS beta, avg(t) - covar_pop(s, t) / var_pop(s) * avg(s) AS alpha, count(*) * (var_pop(t) - covar_pop(s, t) ** 2 / var_pop(s)) AS err FROM v JOIN t USING (g, bin) GROUP BY ALL),
@@ -86,10 +99,12 @@ c AS (SELECT slot, g, k, alpha, beta FROM f QUALIFY row_number() OVER (PARTITION
 
 
 def matched(spark, d):
-    return MT.variogram_matched(B.dense_cells(spark, d), B.dense_expr(spark, d), 2, 3, 0.06, WIDTHS, 6)
+    cells = B.dense_cells(spark, d)
+    r = radius(cells)
+    return MT.variogram_matched(cells, B.dense_expr(spark, d), 2, 3, r, [r * w for w in WIDTHS], 6)
 
 
-@query(near("alpha beta", f"WITH {MATCHED} SELECT slot, g, h AS width, alpha, beta FROM c JOIN h USING (k)"))
+@query(near("width alpha beta", f"WITH {MATCHED} SELECT slot, g, h AS width, alpha, beta FROM c JOIN h USING (k)"))
 def variogram_matched_choice(spark, d):
     """The kernel width of every gene and null whose variogram fits the true one best."""
     return matched(spark, d)[0]

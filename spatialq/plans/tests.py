@@ -65,7 +65,7 @@ def loss_difference(spark, d):
 def joint_truncated_msr(spark, d):
     """Nulls from random signs of the long-range spatial modes."""
     cells, e = inputs(spark, d)
-    nulls = MD.mode_surrogates(cells, e, 5, 3, 0.1, 0.5, calibration=1.0)
+    nulls = MD.mode_surrogates(cells, e, 5, 3, SP.density_radius(cells, 12.0), 0.1, calibration=1.0)
     return T.test(T.fit_nulls(cells, SG.standardised(nulls), PLAN))
 
 
@@ -73,7 +73,7 @@ def joint_truncated_msr(spark, d):
 def joint_truncated_rank_msr(spark, d):
     """As above, with the true values dealt in the surrogates' order."""
     cells, e = inputs(spark, d)
-    nulls = MD.mode_surrogates(cells, e, 5, 3, 0.1, 0.5, calibration=1.0, ranks=True)
+    nulls = MD.mode_surrogates(cells, e, 5, 3, SP.density_radius(cells, 12.0), 0.1, calibration=1.0, ranks=True)
     return T.test(T.fit_nulls(cells, SG.standardised(nulls), PLAN))
 
 
