@@ -162,3 +162,26 @@ def gmt_explode(spark, d):
     p = B.read(spark, d, "part")
     lines = p.select(F.concat_ws("\t", "p_type", F.lit("url"), "p_brand", F.upper(F.lower("p_brand"))).alias("line"))
     return explode_lines(lines).withColumn("gene", F.upper("gene")).distinct()
+
+
+@query(f"""WITH {S.COUNTS} SELECT 'c' || cell_id AS cell_id, gene, value, x, y FROM expr JOIN cells USING (cell_id) WHERE cell_type <> 'BUILDING'""")
+def mtx_cells(spark, d):
+    """The counts written as a compressed coordinate matrix in parts, with name files and positions, and assembled from them."""
+    from ..operators.ranks import id_rank
+    from ..sources import matrices as M
+    from ..sources.scratch import scratch, written
+
+    base = scratch(spark, "mtx")
+    cells = B.count_cells(spark, d)
+    n = cells.count()
+    cells = written(id_rank(cells, [], "cell_id", n).withColumnRenamed("_r", "j"), "cells")
+    genes = B.read(spark, d, "part").select(F.col("p_brand").alias("gene")).distinct()
+    genes = written(genes.selectExpr("gene", "row_number() OVER (ORDER BY gene) AS i"), "genes")  # a dimension
+    entries = B.count_expr(spark, d).join(cells.select("cell_id", "j"), "cell_id").join(genes, "gene").select("i", "j", "value")
+    M.write_matrix(entries, genes.count(), n, f"{base}/matrix", "gzip")
+    M.write_names(genes.select("i", F.lit("id").alias("id"), "gene", F.lit("Gene Expression").alias("kind")), "i", ["id", "gene", "kind"], f"{base}/features")
+    M.write_names(cells.select("j", F.concat(F.lit("c"), F.col("cell_id")).alias("barcode")), "j", ["barcode"], f"{base}/barcodes", "gzip")
+    on = (F.col("cell_type") != "BUILDING").cast("int")
+    cells.select(F.concat(F.lit("c"), F.col("cell_id")), on, F.lit(0).alias("r"), F.lit(0).alias("c"), "y", "x").write.csv(f"{base}/positions")
+    own, expr = M.assemble(spark, f"{base}/matrix", f"{base}/features", f"{base}/barcodes", f"{base}/positions")
+    return expr.join(own.select("cell_id", "x", "y"), "cell_id")
