@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 
 from ..functions.portable import uniform
 from ..sources.scratch import written
-from .moran import bin_of, centred
+from . import halo
+from .moran import centred
 from .nulls import permute
 from .ranks import bucket_rank, value_bucket
-from .spatial import radius_pairs
 from .vectors import total
 
 
@@ -22,27 +22,10 @@ def normal(seed: int, *parts: Column | str) -> Column:
     return F.sqrt(-2 * F.log(u1)) * F.cos(F.lit(2 * math.pi) * u2)
 
 
-def half_squares(edges: DataFrame, values: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, bin, gamma): half the mean squared difference over the pairs of a bin, place by place of values(keys, cell_id, y)."""
-    at = edges.join(values.select(*(k for k in keys), F.col("cell_id").alias("i"), F.col("y").alias("yi")), "i")
-    at = at.join(values.select(*(k for k in keys), F.col("cell_id").alias("j"), F.col("y").alias("yj")), [*keys, "j"])
-    sums = at.groupBy(*keys, "bin").agg(total(F.zip_with("yi", "yj", lambda a, b: (a - b) * (a - b))).alias("s"), F.count("*").alias("n"))
-    return sums.select(*keys, "bin", F.transform("s", lambda s: s / (2 * F.col("n"))).alias("gamma"))
-
-
-def smoothed(pairs: DataFrame, values: DataFrame, widths: list[float]) -> DataFrame:
-    """(slot, cell_id, y): means of values(slot, cell_id, z) over a cell and its neighbours with weights exp(-d / width), width after width."""
-    both = pairs.select("i", "j", "d").unionByName(pairs.select(F.col("j").alias("i"), F.col("i").alias("j"), "d"))
-    w = [F.exp(-F.col("d") / h) for h in widths]
-    near = both.join(values.select("slot", F.col("cell_id").alias("j"), "z"), "j")
-    scaled = lambda v: F.transform("z", lambda x: x * v)
-    weighted = F.concat(*map(scaled, w), F.array(*w))
-    sums = near.groupBy("slot", F.col("i").alias("cell_id")).agg(total(weighted).alias("s"))
-    g = F.size("z")
-    k = len(widths)
-    s = F.coalesce("s", F.array_repeat(F.lit(0.0), k * (g + 1)))
-    mean = lambda h: F.transform("z", lambda x, m: (x + F.get(s, h * g + m)) / (1 + F.get(s, k * g + h)))
-    return values.join(sums, ["slot", "cell_id"], "left").select("slot", "cell_id", F.concat(*map(mean, range(k))).alias("y"))
+def half_squares(rows: DataFrame, radius: float, bins: int) -> DataFrame:
+    """(slot, bin, gamma): half the mean squared difference over the pairs of a bin, place by place of rows(slot, cell_id, x, y, v)."""
+    sums = halo.squared_differences(rows, radius, bins).groupBy("slot", "bin").agg(total("s").alias("s"), F.sum("n").alias("n"))
+    return sums.select("slot", "bin", F.transform("s", lambda s: s / (2 * F.col("n"))).alias("gamma"))
 
 
 def variogram_matched(cells: DataFrame, expr: DataFrame, n: int, seed: int, radius: float, widths: list[float], bins: int) -> tuple[DataFrame, DataFrame]:
@@ -54,15 +37,13 @@ def variogram_matched(cells: DataFrame, expr: DataFrame, n: int, seed: int, radi
     values plus ``sqrt(|alpha|)`` times white noise.
 
     choices(slot, g, width, alpha, beta), g the place in gene order; nulls(slot, cell_id, a), slot 0 the truth.
-    Pairs within the radius are written once; a null is one row a cell, with all genes in an array.
+    A null is one row a cell, with all genes in an array; neighbours meet by tile.
     """
-    z = written(centred(expr, True), "standardised")
-    pairs = written(radius_pairs(cells, radius).withColumn("bin", bin_of(F.col("d"), radius, bins, "linear")), "pairs")
-    dealt = written(permute(z, n, seed, ["z"]).filter("slot > 0"), "dealt")
-    y = written(smoothed(pairs, dealt, widths), "smoothed")
-    edges = pairs.select("i", "j", "bin")
-    true = half_squares(edges, z.withColumnRenamed("z", "y"), []).select("bin", F.posexplode("gamma").alias("g", "t"))
-    null = half_squares(edges, y, ["slot"]).select("slot", "bin", F.posexplode("gamma").alias("p", "s"))
+    z = written(cells.select("cell_id", "x", "y").join(centred(expr, True), "cell_id"), "standardised")
+    dealt = permute(z.select("cell_id", "z"), n, seed, ["z"]).filter("slot > 0").join(z.select("cell_id", "x", "y"), "cell_id").withColumnRenamed("z", "v")
+    y = written(halo.smoothed(dealt, radius, widths), "smoothed")
+    true = half_squares(z.select(F.lit(0).alias("slot"), "cell_id", "x", "y", F.col("z").alias("v")), radius, bins).select("bin", F.posexplode("gamma").alias("g", "t"))
+    null = half_squares(y.withColumnRenamed("s", "v"), radius, bins).select("slot", "bin", F.posexplode("gamma").alias("p", "s"))
     genes = z.select(F.size("z")).first()[0]  # one row
     null = null.select("slot", "bin", (F.col("p") % genes).alias("g"), F.call_function("div", F.col("p"), F.lit(genes)).alias("k"), "s")
     fit = null.join(true, ["bin", "g"]).groupBy("slot", "g", "k").agg(
@@ -74,7 +55,7 @@ def variogram_matched(cells: DataFrame, expr: DataFrame, n: int, seed: int, radi
     widest = F.array(*(F.lit(float(w)) for w in widths))
     packed = best.groupBy("slot").agg(F.sort_array(F.collect_list(F.struct("g", "k", "alpha", "beta"))).alias("c"))  # one entry a gene
     noise = lambda g: normal(seed, "slot", "cell_id", g)
-    value = F.transform("c", lambda c: F.sqrt(F.abs(c["beta"])) * F.get("y", (c["k"] * genes + c["g"]).cast("int")) + F.sqrt(F.abs(c["alpha"])) * noise(c["g"]))
+    value = F.transform("c", lambda c: F.sqrt(F.abs(c["beta"])) * F.get("s", (c["k"] * genes + c["g"]).cast("int")) + F.sqrt(F.abs(c["alpha"])) * noise(c["g"]))
     nulls = y.join(packed, "slot").select("slot", "cell_id", value.alias("a"))
     choices = best.select("slot", "g", F.get(widest, F.col("k").cast("int")).alias("width"), "alpha", "beta")
     return choices, z.select(F.lit(0).alias("slot"), "cell_id", F.col("z").alias("a")).unionByName(nulls)

@@ -1,8 +1,8 @@
-"""Spatial modes of a layout of any size: block Lanczos over its edge table.
+"""Spatial modes of a layout of any size: block Lanczos.
 
 The operator is the matrix of inverse distances within a radius, centred in rows and columns. It is
-never formed: a step joins the edges with the last block of basis columns, adds up by cell, and makes
-the result orthogonal to all earlier columns (and to the constant one, which is the centring). A cell
+never formed: a step adds up the last block of basis columns over every cell's neighbours, tile by tile,
+and makes the result orthogonal to all earlier columns (and to the constant one, which is the centring). A cell
 keeps its basis values in one array; the driver only sees products of columns, a few hundred squared.
 
 For nulls, the basis starts from the measurements themselves. With Q its columns, T = Q' O Q and
@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from ..functions.portable import uniform
 from ..functions.surrogates import turned_modes
 from ..sources.scratch import written
-from .moran import weights
+from .halo import arrays, least_distance, matrix, weighted_sums
 from .ranks import rank_match
 from .vectors import total
 
@@ -49,15 +49,6 @@ class Basis:
         return np.linalg.eigh(self.t)
 
 
-def matrix(col: pa.Array) -> np.ndarray:
-    flat = np.asarray(col.flatten().to_numpy(zero_copy_only=False), float)
-    return flat.reshape(len(col), -1) if len(col) else np.empty((0, 0))
-
-
-def arrays(m: np.ndarray) -> pa.Array:
-    return pa.ListArray.from_arrays(pa.array(np.arange(len(m) + 1, dtype=np.int32) * m.shape[1]), pa.array(m.ravel()))
-
-
 def products(df: DataFrame, f: Callable[[np.ndarray, np.ndarray], list[np.ndarray]]) -> list[np.ndarray]:
     """Sums over all rows (q, u) of f's matrices: added up by task, then by matrix row."""
 
@@ -108,14 +99,29 @@ def orthogonal(state: DataFrame, grow: bool = True) -> tuple[DataFrame | None, n
     return grown(state, lambda q, u: ((u - q @ h) @ turn - q @ h3) @ back), h + h3 @ r, low.T @ r
 
 
-def times_weights(edges: DataFrame, rows: DataFrame, width: int) -> DataFrame:
-    """(cell_id, q, u): u sums w times the last ``width`` basis values over a cell's neighbours."""
-    last = rows.select(F.col("cell_id").alias("j"), F.slice("q", -width, width).alias("x"))
-    sums = edges.join(last, "j").groupBy(F.col("i").alias("cell_id")).agg(total(F.transform("x", lambda x: x * F.col("w"))).alias("u"))
-    return rows.join(sums, "cell_id", "left").select("cell_id", "q", F.coalesce("u", F.array_repeat(F.lit(0.0), width)).alias("u"))
+@dataclass
+class Layout:
+    """cells(cell_id, x, y) whose pairs within the radius are linked, and the least distance that counts."""
+
+    cells: DataFrame
+    radius: float
+    least: float
+
+    def times(self, rows: DataFrame, width: int) -> DataFrame:
+        """(cell_id, q, u): u sums the last ``width`` basis values over a cell's neighbours, over their distances."""
+        last = rows.select("cell_id", F.slice("q", -width, width).alias("v"))
+        return rows.join(weighted_sums(self.cells.join(last, "cell_id"), self.radius, self.least), "cell_id").select("cell_id", "q", "u")
 
 
-def lanczos(rows: DataFrame, edges: DataFrame, steps: int) -> Basis:
+def layout(cells: DataFrame, radius: float) -> Layout:
+    """Without any pair there is no operator, which is an error."""
+    least = least_distance(cells, radius)
+    if least is None:
+        raise ValueError(f"no two cells within {radius}")
+    return Layout(cells.select("cell_id", "x", "y"), radius, least)
+
+
+def lanczos(rows: DataFrame, links: Layout, steps: int) -> Basis:
     """A basis of the blocks A, OA, ..., O^(steps - 1) A for rows(cell_id, a), the columns of a less their means.
 
     Ends early where nothing new comes.
@@ -129,7 +135,7 @@ def lanczos(rows: DataFrame, edges: DataFrame, steps: int) -> Basis:
     t, first = np.zeros((len(r), len(r))), r
     for step in range(steps):
         q, width, k = written(q, "basis"), len(r), len(t)
-        state = written(times_weights(edges, q, width), "product")
+        state = written(links.times(q, width), "product")
         more, h, r = orthogonal(state, grow=step + 1 < steps)
         t[:, k - width :] = h[1:]
         if more is None:
@@ -146,17 +152,9 @@ def hashed_start(cells: DataFrame, width: int, seed: int) -> DataFrame:
     return cells.select("cell_id", F.array(*(uniform(seed, "cell_id", F.lit(k)) - 0.5 for k in range(width))).alias("a"))
 
 
-def edge_table(cells: DataFrame, radius: float) -> DataFrame:
-    """(i, j, w), both ways; without any pair there is no operator, which is an error."""
-    edges = written(weights(cells, radius).select("i", "j", "w"), "edges")
-    if edges.isEmpty():
-        raise ValueError(f"no two cells within {radius}")
-    return edges
-
-
-def leading_modes(cells: DataFrame, edges: DataFrame, count: int, width: int = 8, steps: int = 12, seed: int = 0) -> tuple[list[float], DataFrame]:
+def leading_modes(links: Layout, count: int, width: int = 8, steps: int = 12, seed: int = 0) -> tuple[list[float], DataFrame]:
     """The eigenvalues of greatest size, largest first, and (cell_id, v) with the values of their modes."""
-    basis = lanczos(hashed_start(cells, width, seed), edges, steps)
+    basis = lanczos(hashed_start(links.cells, width, seed), links, steps)
     values, vectors = basis.pairs()
     at = np.argsort(-np.abs(values), kind="stable")[:count]
     own = np.concatenate([np.zeros((1, len(at))), vectors[:, at]])
@@ -169,10 +167,10 @@ def leading_modes(cells: DataFrame, edges: DataFrame, count: int, width: int = 8
     return values[at].tolist(), written(basis.rows.select("cell_id", "q").mapInArrow(run, "cell_id long, v array<double>"), "modes")
 
 
-def mode_residuals(edges: DataFrame, modes: DataFrame, values: list[float]) -> DataFrame:
+def mode_residuals(links: Layout, modes: DataFrame, values: list[float]) -> DataFrame:
     """(mode, eigenvalue, residual, length): the length of O v - value v, and of v, for modes(cell_id, v)."""
     k = len(values)
-    held = times_weights(edges, modes.withColumnRenamed("v", "q"), k)
+    held = links.times(modes.withColumnRenamed("v", "q"), k)
     at = held.select("cell_id", F.posexplode(F.arrays_zip("q", "u")).alias("mode", "z")).select("mode", F.col("z.q").alias("v"), F.col("z.u").alias("u"))
     lam = F.array(*(F.lit(float(x)) for x in values))[F.col("mode")]
     own = at.select("mode", lam.alias("eigenvalue"), "v", (F.col("u") - lam * F.col("v")).alias("e"))
@@ -193,7 +191,7 @@ def mode_surrogates(
     from .surrogates import rows_of
 
     rows = rows_of(cells, expr)
-    basis = lanczos(rows, edge_table(cells, radius), steps)
+    basis = lanczos(rows, layout(cells, radius), steps)
     values, vectors = basis.pairs()
     turn = turned_modes(values, truncate, calibration or truncate or radius)
     parts = vectors.T @ basis.start

@@ -70,9 +70,9 @@ def mode_null_values(spark, d):
 def mode_residuals(spark, d):
     """The leading spatial modes: how far the operator takes each from its own direction, over its eigenvalue."""
     cells = B.dense_cells(spark, d)
-    edges = MD.edge_table(cells, radius(cells))
-    values, modes = MD.leading_modes(cells, edges, 3)
-    return MD.mode_residuals(edges, modes, values).select("mode", (F.col("residual") / F.abs("eigenvalue")).alias("residual"), "length")
+    links = MD.layout(cells, radius(cells))
+    values, modes = MD.leading_modes(links, 3)
+    return MD.mode_residuals(links, modes, values).select("mode", (F.col("residual") / F.abs("eigenvalue")).alias("residual"), "length")
 
 
 WIDTHS = (0.15, 0.3, 0.6)  # of the radius

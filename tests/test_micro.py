@@ -416,13 +416,13 @@ def test_modes_equal_the_dense_ones(spark):
     s, _ = layout(1200, 1)
     c = cells(spark, s)
     dense = np.linalg.eigvalsh(centred_weights(s, 0.06))
-    edges = modes.edge_table(c, 0.06)
-    values, own = modes.leading_modes(c, edges, 4, width=8, steps=12)
-    assert np.allclose(values, dense[np.argsort(-np.abs(dense))][:4], atol=1e-6)
-    for r in modes.mode_residuals(edges, own, values).collect():
+    links = modes.layout(c, 0.06)
+    values, own = modes.leading_modes(links, 3, width=12, steps=7)
+    assert np.allclose(values, dense[np.argsort(-np.abs(dense))][:3], atol=1e-6)
+    for r in modes.mode_residuals(links, own, values).collect():
         assert r.residual < 1e-3 * abs(r.eigenvalue) and r.length == pytest.approx(1)
     with pytest.raises(ValueError, match="no two cells"):
-        modes.edge_table(c, 1e-9)
+        modes.layout(c, 1e-9)
 
 
 @pytest.mark.parametrize("steps, truncate", [(2, 0.0), (3, 0.1)])
@@ -440,7 +440,7 @@ def test_mode_nulls_keep_covariances_and_autocorrelation(spark, steps, truncate)
 
 
 def test_whole_bases_turn_the_operators_own_modes(spark):
-    s, a = layout(40, 3)
+    s, a = layout(24, 3)
     out = modes.mode_surrogates(cells(spark, s), long(spark, a), 1, 5, 0.4, steps=60).toPandas().sort_values("cell_id")
     b = np.stack(out[out.slot == 1]["a"])
     _, v = np.linalg.eigh(centred_weights(s, 0.4))
