@@ -257,3 +257,30 @@ def rss_ratio(spark, d):
     fit = D.linear_fit(D.linear_sums(rows, ["gene", "cell_type"])).groupBy("gene").agg(F.sum("sst").alias("a"), F.sum("sse").alias("b"))
     r = fit.select("gene", F.try_divide("a", "b").alias("ratio"))
     return r.withColumn("place", F.row_number().over(Window.orderBy(F.round("ratio", 9).desc_nulls_last(), "gene")))
+
+
+def gene_distances(spark, d):
+    """(a, b, d): one less the size of the correlation, for all pairs of genes."""
+    return gene_corr(spark, d).select("a", "b", (1 - F.abs("r")).alias("d"))
+
+
+@query(near("height", f"""WITH RECURSIVE {S.dense()}, dist AS MATERIALIZED (SELECT a.gene AS a, b.gene AS b, 1 - abs(corr(a.value, b.value)) AS d FROM expr a JOIN expr b ON a.cell_id = b.cell_id AND a.gene <> b.gene GROUP BY 1, 2),
+t AS (SELECT 0 AS step, gene, gene AS c, NULL::DOUBLE AS height, NULL::VARCHAR AS ma, NULL::VARCHAR AS mb FROM (SELECT DISTINCT gene FROM expr)
+  UNION ALL
+  SELECT step + 1, gene, CASE WHEN c = m.b THEN m.a ELSE c END, m.d, m.a, m.b FROM t,
+    (SELECT x.c AS a, y.c AS b, avg(d) AS d FROM t x, t y, dist WHERE x.c < y.c AND dist.a = x.gene AND dist.b = y.gene GROUP BY 1, 2 ORDER BY avg(d), 1, 2 LIMIT 1) m)
+SELECT ma AS a, mb AS b, height, count(*) AS size FROM t WHERE c = ma GROUP BY ALL"""))
+def gene_linkage(spark, d):
+    """The merges of genes by average linkage."""
+    from ..operators.linkage import average_linkage
+
+    return average_linkage(gene_distances(spark, d))
+
+
+@query()
+def gene_order(spark, d):
+    """The genes in the order of the linkage tree's leaves."""
+    from ..operators.linkage import average_linkage, leaf_order
+
+    pairs = gene_distances(spark, d)
+    return leaf_order(average_linkage(pairs), pairs.select("a").union(pairs.select("b")).distinct())

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from spatialq.functions import networks, scalar, special, surrogates
-from spatialq.operators import comparisons, decoders, expr, genes, graph, gsea, lowrank, matched, metrics, modes, moran, nulls, ranks, rows, spatial, studies, trained
+from spatialq.operators import comparisons, decoders, expr, genes, graph, gsea, linkage, lowrank, matched, metrics, modes, moran, nulls, ranks, rows, spatial, studies, trained
 from spatialq.operators import surrogates as spectral
 from spatialq.sources import gmt, results, synthetic
 
@@ -615,3 +615,35 @@ def test_axes_that_follow_the_target_stand_out(spark):
 def test_folds_need_as_many_cells(spark):
     with pytest.raises(ValueError, match="5 folds"):
         nulls.kfold(cells(spark, [(0, 0), (1, 1), (2, 2)]), 5, 1)
+
+
+def merged_one_by_one(d):
+    """Average linkage of a distance matrix, the nearest pair at a time: {(a, b): height} and the leaf order."""
+    clusters, number, leaves, heights = {k: [k] for k in range(len(d))}, {k: k for k in range(len(d))}, {k: [k] for k in range(len(d))}, {}
+    while len(clusters) > 1:
+        h, a, b = min((np.mean([d[x][y] for x in clusters[a] for y in clusters[b]]), a, b) for a in clusters for b in clusters if a < b)
+        heights[a, b] = h
+        first, second = sorted((a, b), key=number.__getitem__)
+        leaves[a] = leaves[first] + leaves[second]
+        clusters[a] += clusters.pop(b)
+        number[a] = len(d) + len(heights) - 1
+    return heights, leaves[0]
+
+
+@pytest.mark.parametrize("n, seed", [(2, 0), (13, 1), (24, 2)])
+def test_average_linkage_equals_merging_one_by_one(spark, n, seed):
+    x = np.random.default_rng(seed).normal(size=(n, 3))
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1))
+    pairs = spark.createDataFrame([(i, j, float(d[i, j])) for i in range(n) for j in range(i + 1, n)], "a int, b int, d double")
+    got = linkage.average_linkage(pairs)
+    want, leaves = merged_one_by_one(d)
+    rows_ = {(r.a, r.b): r.height for r in got.collect()}
+    assert rows_.keys() == want.keys() and all(rows_[k] == pytest.approx(h) for k, h in want.items())
+    order = linkage.leaf_order(got, spark.range(n).selectExpr("cast(id as int) AS item"))
+    assert [r.item for r in order.orderBy("place").collect()] == leaves
+
+
+def test_linkage_of_equal_distances(spark):
+    pairs = spark.createDataFrame([(i, j, 1.0) for i in range(5) for j in range(i + 1, 5)], "a int, b int, d double")
+    got = linkage.average_linkage(pairs).collect()
+    assert len(got) == 4 and {r.height for r in got} == {1.0} and max(r["size"] for r in got) == 5
