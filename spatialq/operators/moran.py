@@ -6,18 +6,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.portable import uniform
+from ..sources.scratch import written
+from .ranks import lower_median
 from .spatial import radius_pairs
 from .vectors import packed, total
 
 
 def weights(cells: DataFrame, r: float, keys: tuple[str, ...] = ()) -> DataFrame:
-    """(keys, i, j, w): 1 / distance in both directions; distances have a floor from their median."""
-    pairs = radius_pairs(cells, r, keys)
-    if keys:
-        low = pairs.groupBy(*keys).agg(F.percentile("d", F.lit(0.5)).alias("_m"))
-        pairs = pairs.join(F.broadcast(low), list(keys))
-    else:
-        pairs = pairs.crossJoin(F.broadcast(pairs.agg(F.percentile("d", F.lit(0.5)).alias("_m"))))
+    """(keys, i, j, w): 1 / distance in both directions; distances have a floor from their median. At most one key."""
+    pairs = written(radius_pairs(cells, r, keys), "pairs")
+    key = keys[0] if keys else "_key"
+    if not keys:
+        pairs = pairs.withColumn(key, F.lit(0))
+    low = lower_median(pairs, key, "d").withColumnRenamed("median", "_m")  # one row a key
+    pairs = pairs.join(low, key)
     w = 1.0 / F.greatest(F.col("d"), F.greatest(F.col("_m") * 1e-4, F.lit(1e-9)))
     one = pairs.select(*keys, "i", "j", w.alias("w"))
     return one.unionByName(one.select(*keys, F.col("j").alias("i"), F.col("i").alias("j"), "w"))
@@ -84,25 +86,22 @@ def bin_of(d: Column, r: float, bins: int, kind: str) -> Column:
     return F.least(F.floor(place), F.lit(bins - 1)).cast("int")
 
 
-def variogram(cells: DataFrame, expr: DataFrame, r: float, bins: int, kind: str = "linear", share: float = 1.0, seed: int = 0) -> DataFrame:
-    """(bin, n_pairs, distance, covariance, gamma) of standardised values over pairs within r, gene-pooled.
+def variogram(cells: DataFrame, expr: DataFrame, r: float, bins: int, kind: str = "linear", share: float = 1.0, seed: int = 0, keys: tuple[str, ...] = ()) -> DataFrame:
+    """(keys, bin, n_pairs, distance, covariance, gamma) of standardised values over pairs within r, gene-pooled.
 
-    share < 1: a sample of the pairs, by a hash of both ends.
+    keys: columns of cells, such as the slot, each value of which is a layout. share < 1: a
+    sample of the pairs, by a hash of both ends.
     """
-    pairs = radius_pairs(cells, r)
+    pairs = radius_pairs(cells, r, keys)
     if share < 1:
         pairs = pairs.filter(uniform(seed, "i", "j") < share)
     both = at_both_ends(pairs.withColumn("bin", bin_of(F.col("d"), r, bins, kind)), centred(expr, True))
     mean = F.aggregate(F.zip_with("zi", "zj", lambda a, b: a * b), F.lit(0.0), lambda t, x: t + x) / F.size("zi")
-    return both.groupBy("bin").agg(F.count("*").alias("n_pairs"), F.avg("d").alias("distance"), F.avg(mean).alias("covariance")).withColumn("gamma", 1 - F.col("covariance"))
+    return both.groupBy(*keys, "bin").agg(F.count("*").alias("n_pairs"), F.avg("d").alias("distance"), F.avg(mean).alias("covariance")).withColumn("gamma", 1 - F.col("covariance"))
 
 
 def variogram_bands(slots: DataFrame, expr: DataFrame, r: float, bins: int, low: float = 0.05, high: float = 0.95, **how) -> DataFrame:
     """(bin, gamma, low, high): the true layout's variogram and quantiles over the null layouts of slots."""
-    n = slots.agg(F.max("slot")).first()[0]
-    each = None
-    for k in range(n + 1):  # a few layouts, each a plan of its own
-        v = variogram(slots.filter(F.col("slot") == k).drop("slot"), expr, r, bins, **how).select(F.lit(k).alias("slot"), "bin", "gamma")
-        each = v if each is None else each.unionByName(v)
-    nulls = F.when(F.col("slot") > 0, F.col("gamma"))
+    each = variogram(slots, expr, r, bins, keys=("slot",), **how)
+    nulls = F.when(F.col("slot") > 0, F.col("gamma"))  # one value a layout and bin
     return each.groupBy("bin").agg(F.max(F.when(F.col("slot") == 0, F.col("gamma"))).alias("gamma"), F.percentile(nulls, F.lit(low)).alias("low"), F.percentile(nulls, F.lit(high)).alias("high"))

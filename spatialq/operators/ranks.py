@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -74,34 +77,67 @@ def bucket_rank(df: DataFrame, keys: list[str], bucket: Column | None, order: li
     return own.join(n, [*keys, "_b"]).select(*columns, (F.col("_base") + F.col("_k")).alias("_r"))
 
 
-def lower_median(df: DataFrame, key: str, value: str, exact_rows: int = 200_000, bins: int = 1024) -> DataFrame:
-    """(key, median): the lower of the middle values of each key (a few keys).
+def order_statistics(df: DataFrame, key: str, value: str, places: Callable[[int], list[int]], exact_rows: int = 200_000, bins: int = 1024) -> dict[object, list[float]]:
+    """For each key (a few) the values at places(n) of its n sorted values, 1-based and ascending; nulls are left out.
 
-    Large groups narrow the range that holds the median by histograms, round by round,
+    Large groups narrow the ranges that hold the places by histograms, round by round,
     until few enough values are left to be sorted.
     """
     v = F.col(value)
-    state = [(r[0], r["lo"], r["hi"], 0, (r["n"] - 1) // 2 + 1, r["n"]) for r in df.groupBy(key).agg(F.min(v).alias("lo"), F.max(v).alias("hi"), F.count(v).alias("n")).collect() if r["n"]]
-    kind = f"{key} {dict(df.dtypes)[key]}, _lo double, _hi double, _below long, _rank long, _left long"
+    first = df.groupBy(key).agg(F.min(v).alias("lo"), F.max(v).alias("hi"), F.count(v).alias("n")).collect()
+    # one entry for each key and place: key, place, range, values below it, values in it
+    state = [(r[0], k, r["lo"], r["hi"], 0, r["n"]) for r in first if r["n"] for k in places(r["n"])]
+    kind = f"{key} {dict(df.dtypes)[key]}, _k long, _lo double, _hi double, _below long, _left long"
 
     def inside() -> DataFrame:
-        bounds = df.sparkSession.createDataFrame(state, kind)
-        return df.join(F.broadcast(bounds), key).filter((v >= F.col("_lo")) & (v <= F.col("_hi")))
+        ranges = df.sparkSession.createDataFrame(state, kind).groupBy(key, "_lo", "_hi").agg(F.min("_below").alias("_below"))
+        return df.join(F.broadcast(ranges), key).filter((v >= F.col("_lo")) & (v <= F.col("_hi")))  # a few ranges
 
-    while any(s[5] > exact_rows and s[1] < s[2] for s in state):
-        slot = F.least(F.floor((v - F.col("_lo")) / F.when(F.col("_hi") > F.col("_lo"), F.col("_hi") - F.col("_lo")).otherwise(1.0) * bins), F.lit(bins - 1))
-        rows = inside().groupBy(key, slot.alias("_b")).agg(F.min(v).alias("lo"), F.max(v).alias("hi"), F.count("*").alias("n")).orderBy(key, "_b").collect()
+    while any(s[5] > exact_rows and s[2] < s[3] for s in state):
+        width = F.when(F.col("_hi") > F.col("_lo"), F.col("_hi") - F.col("_lo")).otherwise(1.0)
+        slot = F.least(F.floor((v - F.col("_lo")) / width * bins), F.lit(bins - 1))
+        rows = inside().groupBy(key, "_lo", "_hi", slot.alias("_b")).agg(F.min(v).alias("lo"), F.max(v).alias("hi"), F.count("*").alias("n")).orderBy(key, "_b").collect()
         new = []
-        for k, _, _, below, rank, _ in state:
-            for r in (r for r in rows if r[0] == k):
-                if below + r["n"] >= rank:
-                    new.append((k, r["lo"], r["hi"], below, rank, r["n"]))
+        for own, k, lo, hi, below, _ in state:
+            for r in (r for r in rows if (r[0], r["_lo"], r["_hi"]) == (own, lo, hi)):
+                if below + r["n"] >= k:
+                    new.append((own, k, r["lo"], r["hi"], below, r["n"]))
                     break
                 below += r["n"]
         state = new
-    left = inside().groupBy(key, "_below", "_rank").agg(F.sort_array(F.collect_list(F.when(F.col("_lo") < F.col("_hi"), v))).alias("_v"), F.first("_lo").alias("_lo"))
-    at = F.get("_v", (F.col("_rank") - F.col("_below") - 1).cast("int"))
-    return left.select(key, F.coalesce(at, "_lo").alias("median"))
+    if not state:
+        return {}
+    left = inside().groupBy(key, "_lo", "_hi").agg(F.sort_array(F.collect_list(F.when(F.col("_lo") < F.col("_hi"), v))).alias("v")).collect()  # exact_rows at most
+    found = {(r[0], r["_lo"], r["_hi"]): r["v"] for r in left}
+    out: dict[object, list[float]] = {}
+    for own, k, lo, hi, below, _ in state:
+        out.setdefault(own, []).append(float(lo if lo == hi else found[own, lo, hi][k - below - 1]))
+    return out
+
+
+def lower_median(df: DataFrame, key: str, value: str, exact_rows: int = 200_000, bins: int = 1024) -> DataFrame:
+    """(key, median): the lower of the middle values of each key (a few keys)."""
+    found = order_statistics(df, key, value, lambda n: [(n - 1) // 2 + 1], exact_rows, bins)
+    return df.sparkSession.createDataFrame([(k, v[0]) for k, v in found.items()], f"{key} {dict(df.dtypes)[key]}, median double")
+
+
+def quantiles(df: DataFrame, value: str, shares: list[float], exact_rows: int = 200_000) -> list[float]:
+    """Quantiles of a column, interpolated between neighbouring values; none of an empty column."""
+
+    def places(n: int) -> list[int]:
+        return sorted({k for q in shares for k in (math.floor(q * (n - 1)) + 1, math.ceil(q * (n - 1)) + 1)})
+
+    own = df.select(F.lit(0).alias("_key"), F.col(value).cast("double").alias(value))
+    n = own.agg(F.count(value)).first()[0]
+    if not n:
+        return []
+    at = dict(zip(places(n), order_statistics(own, "_key", value, places, exact_rows)[0], strict=True))
+    out = []
+    for q in shares:
+        x = q * (n - 1)
+        low, high = at[math.floor(x) + 1], at[math.ceil(x) + 1]
+        out.append(low if low == high else (math.ceil(x) - x) * low + (x - math.floor(x)) * high)
+    return out
 
 
 def bh_qvalues(df: DataFrame, p: str = "p_value", keys: tuple[str, ...] = (), per_task: int = 200_000) -> DataFrame:
@@ -125,11 +161,10 @@ def bh_qvalues(df: DataFrame, p: str = "p_value", keys: tuple[str, ...] = (), pe
 
 def quantile_bins(df: DataFrame, x: str, y: str, n: int, least: int) -> DataFrame:
     """(bin, mean_x, mean_y, n) over distinct quantile edges of x; bins with at least so many rows."""
-    edges = df.agg(F.array_distinct(F.percentile(x, F.array(*(F.lit(i / n) for i in range(n + 1))))).alias("_e"))
-    inner = F.size(F.filter("_e", lambda e: e <= F.col(x)))
-    slot = F.least(F.greatest(inner - 1, F.lit(0)), F.greatest(F.size("_e") - 2, F.lit(0)))
-    out = df.crossJoin(F.broadcast(edges)).groupBy(slot.alias("bin")).agg(F.avg(x).alias("mean_x"), F.avg(y).alias("mean_y"), F.count("*").alias("n"))
-    return out.filter(F.col("n") >= least)
+    edges = list(dict.fromkeys(quantiles(df, x, [i / n for i in range(n + 1)])))
+    inner = F.size(F.filter(F.array(*map(F.lit, edges)), lambda e: e <= F.col(x)))
+    slot = F.least(F.greatest(inner - 1, F.lit(0)), F.lit(max(len(edges) - 2, 0)))
+    return df.groupBy(slot.alias("bin")).agg(F.avg(x).alias("mean_x"), F.avg(y).alias("mean_y"), F.count("*").alias("n")).filter(F.col("n") >= least)
 
 
 def size_order(df: DataFrame, label: str) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import scalar
 from ..sources.scratch import written
 from .graph import components
+from .ranks import quantiles
 
 
 def distance(ax, ay, bx, by) -> Column:
@@ -50,45 +51,99 @@ def density_radius(cells: DataFrame, neighbours: float) -> float:
     return math.sqrt(w * h * neighbours / (math.pi * n)) if n else 0.0
 
 
-def knn(cells: DataFrame, k: int, rounds: int = 40) -> DataFrame:
+#: Halvings of the extent after which a tile is taken as it is: its cells are at one place, as far as doubles tell.
+DEEPEST = 45
+
+
+def at_level(df: DataFrame, x0: float, y0: float, size: float, level: Column) -> DataFrame:
+    """df with _tx, _ty: its tile when the extent is halved ``level`` times."""
+    side = F.lit(size) / F.pow(F.lit(2.0), level)
+    return df.withColumn("_tx", F.floor((F.col("x") - x0) / side).cast("bigint")).withColumn("_ty", F.floor((F.col("y") - y0) / side).cast("bigint"))
+
+
+def tile_levels(cells: DataFrame, x0: float, y0: float, size: float, least: int, start: int) -> DataFrame:
+    """cells with ``level``: how often the extent is halved until a cell's tile holds about 4 * ``least`` cells or fewer.
+
+    All cells begin at one level. Those in crowded tiles go as many levels deeper as even
+    density asks for, and are counted again; the others are left alone.
+    """
+    todo, done = cells.withColumn("level", F.lit(start)), None
+    while True:
+        tiled = at_level(todo, x0, y0, size, F.col("level"))
+        n = tiled.groupBy("level", "_tx", "_ty").agg(F.count("*").alias("_n"))
+        crowded = (F.col("_n") > 4 * least) & (F.col("level") < DEEPEST)
+        deeper = F.greatest(F.lit(1), F.floor(F.log2(F.col("_n") / least) / 2)).cast("int")
+        seen = written(tiled.join(n, ["level", "_tx", "_ty"]).withColumn("_more", F.when(crowded, deeper).otherwise(0)).drop("_tx", "_ty", "_n"), "levels")
+        fine = seen.filter("_more = 0").drop("_more")
+        done = fine if done is None else done.unionByName(fine)
+        todo = seen.filter("_more > 0").withColumn("level", F.least(F.lit(DEEPEST), F.col("level") + F.col("_more"))).drop("_more")
+        if todo.isEmpty():
+            return done
+
+
+def candidates_at_levels(todo: DataFrame, points: DataFrame, x0: float, y0: float, size: float) -> DataFrame:
+    """(i, level, j, d): the points in the 3 x 3 tiles around each cell of todo, at its own level."""
+    levels = [r[0] for r in todo.select("level").distinct().collect()]  # DEEPEST at most
+    a = at_level(todo, x0, y0, size, F.col("level")).select(F.col("cell_id").alias("i"), F.col("x").alias("ax"), F.col("y").alias("ay"), "level", "_tx", "_ty")
+    for c in ("_tx", "_ty"):
+        a = a.withColumn(c, F.explode(F.array(*(F.col(c) + o for o in (-1, 0, 1)))))
+    every = points.withColumn("level", F.explode(F.array(*map(F.lit, levels))))
+    b = at_level(every, x0, y0, size, F.col("level")).select(F.col("cell_id").alias("j"), F.col("x").alias("bx"), F.col("y").alias("by"), "level", "_tx", "_ty")
+    return a.join(b, ["level", "_tx", "_ty"]).filter("i <> j").withColumn("d", distance(F.col("ax"), F.col("ay"), F.col("bx"), F.col("by")))
+
+
+def knn(cells: DataFrame, k: int) -> DataFrame:
     """(i, j, d, rank): the k nearest others of each cell, ties by id.
 
-    Tiles hold about k cells on average. A cell is settled once k neighbours lie within
-    the radius that its tiles cover surely; the rest look again over tiles of twice the
-    side. Each round writes what it found and what is left, so no round is run again.
-    The loop ends at the latest when a tile covers the whole extent.
+    A cell looks over the 3 x 3 tiles around it at a level of its own, where its tile holds
+    about 4 (k + 1) cells or fewer, so that clumps are split as finely as they are dense: a
+    tile with many cells is only looked at from the few around it that are not crowded. A
+    cell is settled once k neighbours lie within the side of its tiles; the rest look again
+    over tiles of twice the side. Each round writes what it found and what is left. The loop
+    ends at the latest when a tile covers the whole extent.
     """
-    w, h, n = extent(cells)
+    x0, y0, w, h, n = cells.agg(F.min("x"), F.min("y"), F.max("x") - F.min("x"), F.max("y") - F.min("y"), F.count("*")).first()
     if n < 2:
         return cells.select(F.col("cell_id").alias("i"), F.col("cell_id").alias("j"), F.lit(0.0).alias("d"), F.lit(1).alias("rank")).limit(0)
-    side = max(math.sqrt(max(w, 1e-9) * max(h, 1e-9) * min(n, k + 1) / n), max(w, h) * 1e-6, 1e-12)
-    todo, done = cells.select("cell_id", "x", "y"), None
-    want = min(k, n - 1)
+    want, done = min(k, n - 1), None
+    size = max(w, h, 1e-12) * (1 + 1e-9)  # the one tile of level 0 holds all
+    start = max(0, math.floor(math.log2(n / (k + 1)) / 2))
+    points = cells.select("cell_id", "x", "y")
+    todo = written(tile_levels(points, x0, y0, size, k + 1, start), "todo")
     own = Window.partitionBy("i")
-    for _ in range(rounds):
-        a = todo.select(F.col("cell_id").alias("i"), F.col("x").alias("ax"), F.col("y").alias("ay"), tile("x", side).alias("_tx"), tile("y", side).alias("_ty"))
-        b = near_tiles(cells.select("cell_id", "x", "y"), side).select(F.col("cell_id").alias("j"), F.col("x").alias("bx"), F.col("y").alias("by"), "_tx", "_ty")
-        near = a.join(b, ["_tx", "_ty"]).filter("i <> j").withColumn("d", distance(F.col("ax"), F.col("ay"), F.col("bx"), F.col("by")))
-        ranked = near.select("i", "j", "d", F.row_number().over(own.orderBy("d", "j")).alias("rank")).filter(F.col("rank") <= want)
-        last = side > max(w, h)
-        sure = (F.count("*").over(own) == want) & (F.lit(last) | (F.max("d").over(own) <= side))
-        found = written(ranked.withColumn("sure", sure).filter("sure").drop("sure"), "neighbours", n * want)
+    while True:
+        near = candidates_at_levels(todo, points, x0, y0, size)
+        ranked = near.select("i", "level", "j", "d", F.row_number().over(own.orderBy("d", "j")).alias("rank")).filter(F.col("rank") <= want)
+        side = F.lit(size) / F.pow(F.lit(2.0), F.col("level"))
+        sure = (F.count("*").over(own) == want) & ((F.col("level") == 0) | (F.max("d").over(own) <= side))
+        found = written(ranked.withColumn("sure", sure).filter("sure").drop("sure", "level"), "neighbours", n * want)
         done = found if done is None else done.unionByName(found)
-        if last:
-            return done
-        todo = written(todo.join(found.select(F.col("i").alias("cell_id")).distinct(), "cell_id", "left_anti"), "todo", n)
+        left = todo.join(found.select(F.col("i").alias("cell_id")).distinct(), "cell_id", "left_anti")
+        todo = written(left.withColumn("level", F.greatest(F.lit(0), F.col("level") - 1)), "todo", n)
         if todo.isEmpty():
             return done
-        side *= 2
-    raise RuntimeError("neighbour search did not end")
 
 
 def auto_eps(cells: DataFrame, share: float = 0.9, factor: float = 1.0) -> DataFrame:
-    """A quantile of the distance to the nearest other cell, times factor."""
-    return knn(cells, 1).agg((F.percentile("d", F.lit(share)) * factor).alias("eps"))
+    """A quantile of the distance to the nearest other cell, times factor; null without one."""
+    at = quantiles(knn(cells, 1), "d", [share])
+    return cells.sparkSession.createDataFrame([(at[0] * factor if at else None,)], "eps double")
+
+
+def nearest_match(targets: DataFrame, candidates: DataFrame, tolerance: float, strict: bool = False) -> DataFrame:
+    """(cell_id, match_id, d): the nearest candidate within the tolerance, ties by id; null without one.
+
+    strict: a target without a match, or a candidate that is the match of two, is an error.
+    """
+    out = matches(targets, candidates, tolerance)
+    if strict:
+        n, some, each = out.agg(F.count("*"), F.count("match_id"), F.countDistinct("match_id")).first()
+        if some < n or each < some:
+            raise ValueError(f"{n - some} of {n} cells have no match within {tolerance}; {some - each} share theirs")
+    return out
 
 
-def nearest_match(targets: DataFrame, candidates: DataFrame, tolerance: float) -> DataFrame:
+def matches(targets: DataFrame, candidates: DataFrame, tolerance: float) -> DataFrame:
     """(cell_id, match_id, d): the nearest candidate within the tolerance, ties by id; null without one."""
     a = targets.select("cell_id", F.col("x").alias("ax"), F.col("y").alias("ay"), tile("x", tolerance).alias("_tx"), tile("y", tolerance).alias("_ty"))
     b = near_tiles(candidates.select("cell_id", "x", "y"), tolerance).select(F.col("cell_id").alias("match_id"), F.col("x").alias("bx"), F.col("y").alias("by"), "_tx", "_ty")

@@ -647,3 +647,38 @@ def test_linkage_of_equal_distances(spark):
     pairs = spark.createDataFrame([(i, j, 1.0) for i in range(5) for j in range(i + 1, 5)], "a int, b int, d double")
     got = linkage.average_linkage(pairs).collect()
     assert len(got) == 4 and {r.height for r in got} == {1.0} and max(r["size"] for r in got) == 5
+
+
+def test_candidates_of_a_clump_grow_with_the_cells(spark):
+    """Half of the cells in a clump: twice the cells look at about twice the candidates."""
+    seen = []
+    for n in (500, 1000, 2000):
+        xy = np.random.default_rng(1).random((n, 2))
+        xy[: n // 2] = 0.5 + 1e-4 * np.random.default_rng(2).normal(size=(n // 2, 2))
+        c = cells(spark, xy).select("cell_id", "x", "y")
+        todo = spatial.tile_levels(c, 0.0, 0.0, 1.0, 7, 4)
+        seen.append(spatial.candidates_at_levels(todo, c, 0.0, 0.0, 1.0).count())
+    assert seen[1] < 3 * seen[0] and seen[2] < 3 * seen[1] and seen[2] < 200 * 2000
+
+
+def test_knn_of_equal_places(spark):
+    got = spatial.knn(cells(spark, [(1, 1)] * 30 + [(2, 2)]), 3).toPandas()
+    assert len(got) == 31 * 3 and (got[got.i < 30].d == 0).all() and sorted(got[got.i == 30].j) == [0, 1, 2]
+
+
+def test_quantiles_by_narrowing(spark):
+    x = np.random.default_rng(4).normal(size=3000).round(2)
+    df = spark.createDataFrame([(float(v),) for v in x] + [(None,)], "v double")
+    for rows_ in (100_000, 50):
+        got = ranks.quantiles(df, "v", [0.0, 0.1, 0.5, 0.97, 1.0], exact_rows=rows_)
+        assert np.allclose(got, np.quantile(x, [0.0, 0.1, 0.5, 0.97, 1.0]))
+    assert ranks.quantiles(df.filter("v is null"), "v", [0.5]) == []
+
+
+def test_strict_matches(spark):
+    a, b = cells(spark, [(0, 0), (5, 5)]), cells(spark, [(0.1, 0), (5, 5.1), (9, 9)])
+    assert spatial.nearest_match(a, b, 0.5, strict=True).count() == 2
+    with pytest.raises(ValueError, match="1 of 2"):
+        spatial.nearest_match(a, b.filter("cell_id <> 1"), 0.5, strict=True)
+    with pytest.raises(ValueError, match="1 share"):
+        spatial.nearest_match(cells(spark, [(0, 0), (0.2, 0)]), b, 0.5, strict=True)
