@@ -1,18 +1,20 @@
 """WARC archives: write monolithic gzip streams, normalise them to one member a record, read by index.
 
-``write_archives`` writes pages as WARC/1.1 records into whole-file gzip streams.
-``normalise`` inflates each such stream once, rewrites every record as a gzip member
-of its own and writes a sidecar index of offsets; ``sidecar_rows`` reads the sidecars and
-``read_records`` fetches members by them. A record at a time passes through, so an
-archive of any size may be normalised. Archives roll over at a byte limit, files are put
+``write_archives`` writes pages as WARC/1.1 records into whole-file gzip streams and
+returns a narrow row a record. ``archive_plan`` finds, from these rows alone, which
+records repeat another's payload, and lists them by file. ``normalise`` inflates each
+stream once, rewrites every record as a gzip member of its own - repeats as revisits,
+without the payload - and writes a sidecar index of offsets; ``sidecar_rows`` reads the
+sidecars and ``read_records`` fetches members by them. A record at a time passes through,
+so an archive of any size may be normalised. Payloads are never shuffled. Archives roll over at a byte limit, files are put
 in place by renaming, and a repeated task overwrites its own file with the same bytes, so
 lost executors cost only a retry.
 
 Defined results: a null html is an empty payload; equal payloads (also empty ones) of
 ``dedup_min_bytes`` or more share one response record, that of the smallest page_id (a
-null page_id counts as largest), and the others are revisits of it; repeated rows with
-the same page_id are records of their own, of which the first in url order is the
-response; a very long page is one record, held whole only while it is written or read; an
+null page_id counts as largest), and the others are revisits of it; repeated rows are
+records of their own: of several with the smallest page_id, one is the response, the first
+by url, then by its place in the archives; a very long page is one record, held whole only while it is written or read; an
 empty table gives an empty result and no archive. Other columns are not read.
 """
 
@@ -37,6 +39,7 @@ from .common import pick, scratch, written
 
 CRLF = b"\r\n"
 ROWS_PER_TASK = 2000
+RECORDS = "file string, record long, page_id long, url string, payload_bytes long, digest string"
 INDEX_SCHEMA = "file string, member long, offset long, length long"
 RECORD_SCHEMA = (
     "page_id long, record_type string, refers_to long, target_uri string, "
@@ -69,31 +72,23 @@ def digest_base32(data: bytes) -> str:
     return base64.b32encode(hashlib.sha1(data).digest()).decode()
 
 
-def plan_records(pages: DataFrame, dedup_min_bytes: int = 0) -> DataFrame:
-    """Each page with its payload, its record type and the page it refers to.
+def archive_plan(records: DataFrame, dedup_min_bytes: int = 0) -> DataFrame:
+    """(file, records, revisits): the records of each archive, and which of them revisit another page.
 
-    The smallest page of each digest comes from a partial aggregate over narrow rows;
-    payloads are never shuffled.
+    records: the rows of ``write_archives``. The first record of each digest comes from a
+    partial aggregate; a digest that fills a third of the table is split by the join.
     """
-    p = pick(pages, "page_id", "url", "html").select(
-        "page_id",
-        F.coalesce("url", F.lit("")).alias("url"),
-        F.coalesce("html", F.lit("")).cast("binary").alias("payload"),
-    )
-    p = p.withColumn("payload_bytes", F.octet_length("payload").cast("bigint")).withColumn("sha1", F.sha1("payload"))
-    rank = F.struct(F.col("page_id").isNull().alias("z"), F.col("page_id"), F.col("url"))
+    rank = F.struct(F.col("page_id").isNull().alias("z"), "page_id", "url", "file", "record")
     first = (
-        p.filter(F.col("payload_bytes") >= dedup_min_bytes)
-        .groupBy("sha1").agg(F.min(rank).alias("first"), F.count("*").alias("copies"))
-        .filter("copies > 1").select("sha1", "first")
-    )
-    same = F.col("first").isNotNull() & ~(rank == F.col("first"))
-    return p.join(first, "sha1", "left").select(
-        "page_id", "url", "payload", "payload_bytes",
-        F.when(same, "revisit").otherwise("response").alias("record_type"),
-        F.when(same, F.col("first.page_id")).alias("refers_to"),
-        F.when(same, F.col("first.url")).alias("refers_to_url"),
+        records.filter(F.col("payload_bytes") >= dedup_min_bytes)
+        .groupBy("digest").agg(F.min(rank).alias("first"), F.count("*").alias("copies"))
+        .filter("copies > 1").select("digest", "first")
     )
+    other = (F.col("file") != F.col("first.file")) | (F.col("record") != F.col("first.record"))
+    again = records.select("file", "record", "digest").join(first, "digest").filter(other)
+    # at most the records of one archive
+    lists = again.groupBy("file").agg(F.collect_list(F.struct("record", F.col("first.page_id").alias("refers_to"))).alias("revisits"))
+    return records.groupBy("file").agg(F.count("*").alias("records")).join(lists, "file", "left")
 
 
 def record_bytes(row: dict) -> bytes:
@@ -122,6 +117,20 @@ def record_bytes(row: dict) -> bytes:
     return head + block + CRLF + CRLF
 
 
+def as_revisit(raw: bytes, refers_to: int | None) -> bytes:
+    """A response record as a revisit of another page: the same headers, without the payload."""
+    heads, block, _ = parse_record(io.BytesIO(raw))
+    return record_bytes({
+        "page_id": page_of(heads["warc-record-id"]),
+        "url": heads["warc-target-uri"],
+        "payload": b"",
+        "payload_bytes": int(heads["x-payload-length"]),
+        "payload_digest": heads["warc-payload-digest"].partition(":")[2],
+        "record_type": "revisit",
+        "refers_to": refers_to,
+    })
+
+
 def parse_record(stream: io.BufferedIOBase) -> tuple[dict, bytes, bytes] | None:
     """Headers, block and raw bytes of the next record; None at the end."""
     first = stream.readline()
@@ -153,40 +162,42 @@ def gzip_bytes(data: bytes, level: int) -> bytes:
     return c.compress(data) + c.flush()
 
 
-def write_archives(planned: DataFrame, folder: str, roll_bytes: int = 32 << 20, level: int = 1, rows: int | None = None) -> DataFrame:
-    """Write the records as whole-file gzip streams; returns one row a file (file, records).
+def write_archives(pages: DataFrame, folder: str, roll_bytes: int = 32 << 20, level: int = 1, rows: int | None = None) -> DataFrame:
+    """Write the pages as whole-file gzip streams; returns a row a record (file, record, page_id, url, payload_bytes, digest).
 
-    rows: about how many records there are; few records then make few archives.
+    rows: about how many pages there are; few pages then make few archives.
     """
+    p = pick(pages, "page_id", "url", "html").select("page_id", F.coalesce("url", F.lit("")).alias("url"), F.coalesce("html", F.lit("")).cast("binary").alias("payload"))
     if rows is not None:
-        planned = planned.coalesce(max(1, -(-rows // ROWS_PER_TASK)))
+        p = p.coalesce(max(1, -(-rows // ROWS_PER_TASK)))
 
     def write(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         part, serial, held, size = TaskContext.get().partitionId(), 0, [], 0
-        names: list[str] = []
-        counts: list[int] = []
+        done: list[tuple] = []
 
-        def flush() -> None:
-            nonlocal serial, held, size
+        def flush() -> pa.RecordBatch:
+            nonlocal serial, held, size, done
             name = f"part-{part:06d}-{serial:05d}.warc.gz"
             put(f"{folder}/{name}", gzip_bytes(b"".join(held), level))
-            names.append(name)
-            counts.append(len(held))
-            serial, held, size = serial + 1, [], 0
+            columns = [[name] * len(done), range(len(done)), *zip(*done, strict=True)]
+            kinds = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string()]
+            serial, held, size, done = serial + 1, [], 0, []
+            return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, kinds, strict=True)], names=[c.split()[0] for c in RECORDS.split(", ")])
 
         for batch in batches:
             for row in batch.to_pylist():
-                held.append(record_bytes(row | {"payload_digest": digest_base32(row["payload"])}))
+                n, digest = len(row["payload"]), digest_base32(row["payload"])
+                held.append(record_bytes(row | {"payload_bytes": n, "payload_digest": digest, "record_type": "response"}))
+                done.append((row["page_id"], row["url"], n, digest))
                 size += len(held[-1])
                 if size >= roll_bytes:
-                    flush()
+                    yield flush()
         if held:
-            flush()
-        yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(counts, pa.int64())], names=["file", "records"])
+            yield flush()
 
-    return written(planned.mapInArrow(write, "file string, records long"), "warc-files")
+    return written(p.mapInArrow(write, RECORDS), "warc-records", rows)
 
 
 def split_members(uri: str, piece: int = 1 << 20) -> Iterator[bytes]:
@@ -222,26 +233,28 @@ def split_members(uri: str, piece: int = 1 << 20) -> Iterator[bytes]:
 
 
 def normalise(files: DataFrame, source: str, folder: str, level: int = 6) -> DataFrame:
-    """Rewrite each listed archive with one gzip member a record and a sidecar; returns (file, records).
+    """Rewrite each archive of (file, revisits) with one gzip member a record and a sidecar; returns (file, records).
 
+    revisits: the records that become revisits, with the pages they refer to; null for none.
     The sidecar ``<file>.idx`` holds (offset, length) pairs as little-endian int64.
     """
 
     def rewrite(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for name in batch.column(0).to_pylist():
+            for row in batch.to_pylist():
+                name, again = row["file"], {r["record"]: r["refers_to"] for r in row["revisits"] or ()}
                 at = records = 0
                 with placing(f"{folder}/{name}") as out, placing(f"{folder}/{name}.idx") as idx:
                     for raw in split_members(f"{source}/{name}"):
-                        member = gzip_bytes(raw, level)
+                        member = gzip_bytes(as_revisit(raw, again[records]) if records in again else raw, level)
                         out.write(member)
                         idx.write(struct.pack("<qq", at, len(member)))
                         at, records = at + len(member), records + 1
                 yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([records])], names=["file", "records"])
 
-    names = files.select("file")
-    names = names.repartition(max(1, min(names.count(), 100_000)))
-    return written(names.mapInArrow(rewrite, "file string, records long"), "warc-members")
+    plan = files.select("file", "revisits")
+    plan = plan.repartition(max(1, min(plan.count(), 100_000)))
+    return written(plan.mapInArrow(rewrite, "file string, records long"), "warc-members")
 
 
 def read_index(uri: str) -> list[tuple[int, int]]:
@@ -325,11 +338,11 @@ def as_batch(rows: list[dict]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in kinds.items()], names=list(kinds))
 
 
-def round_trip(pages: DataFrame, roll_bytes: int = 32 << 20) -> DataFrame:
+def round_trip(pages: DataFrame, roll_bytes: int = 32 << 20, dedup_min_bytes: int = 0) -> DataFrame:
     """Write pages as monolithic archives, normalise them and read every record back by the sidecars."""
     base = scratch(pages.sparkSession, "warc")
     n = pages.count()
-    files = write_archives(plan_records(pages), f"{base}/whole", roll_bytes, rows=n)
-    done = normalise(files, f"{base}/whole", f"{base}/members")
+    records = write_archives(pages, f"{base}/whole", roll_bytes, rows=n)
+    done = normalise(archive_plan(records, dedup_min_bytes), f"{base}/whole", f"{base}/members")
     spread = sidecar_rows(done, f"{base}/members").repartitionByRange(max(1, -(-n // ROWS_PER_TASK)), "file", "offset").sortWithinPartitions("file", "offset")
     return read_records(spread.select("file", "member", "offset", "length"), f"{base}/members")

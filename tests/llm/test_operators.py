@@ -126,12 +126,37 @@ def test_warc_round_trip(spark, tmp_path):
     assert warc.round_trip(df.limit(0)).count() == 0
 
 
+def test_repeated_rows_have_one_response(spark):
+    pages = [(1, "u", "x"), (1, "u", "x"), (1, "a", "x"), (2, "u", "x"), (None, None, "y"), (None, None, "y"), (None, None, None), (7, "long", "z" * 2_000_000), (7, "long", "z" * 2_000_000), (8, "b", "w"), (9, "a", "w")]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string").withColumn("record", F.lit(1)).withColumn("HTML ", F.lit(2)).repartition(3)
+    got = warc.round_trip(df, roll_bytes=1000).collect()
+    assert len(got) == len(pages)
+    by = collections.defaultdict(list)
+    for r in got:
+        by[r.payload_digest].append(r)
+    for rows in by.values():
+        (first,) = (r for r in rows if r.record_type == "response")
+        assert first.refers_to is None and all(r.refers_to == first.page_id for r in rows if r.record_type == "revisit")
+        assert first.page_id == min((r.page_id for r in rows if r.page_id is not None), default=None)
+    x = by[base64.b32encode(hashlib.sha1(b"x").digest()).decode()]
+    assert [r.target_uri for r in x if r.record_type == "response"] == ["a"] and len(x) == 4
+    assert [r.record_type for r in warc.round_trip(df, dedup_min_bytes=2).collect()].count("revisit") == 1
+
+
+def test_payloads_are_not_shuffled(spark, tmp_path):
+    df = spark.createDataFrame([(i, "u", "p%d" % (i % 3)) for i in range(20)], "page_id long, url string, html string")
+    records = warc.write_archives(df, f"file://{tmp_path}/whole")
+    assert "payload" not in {c for c in records.columns if c != "payload_bytes"}
+    plan = warc.archive_plan(records)
+    assert plan.selectExpr("sum(size(revisits))").first()[0] == 17 and plan.selectExpr("sum(records)").first()[0] == 20
+
+
 def test_normalised_archives_have_members_and_sidecars(spark, tmp_path):
     import gzip
 
     df = spark.createDataFrame([(i, "u", "p%d" % i) for i in range(20)], "page_id long, url string, html string").coalesce(1)
     base = f"file://{tmp_path}"
-    files = warc.write_archives(warc.plan_records(df), f"{base}/whole")
+    files = warc.archive_plan(warc.write_archives(df, f"{base}/whole"))
     done = warc.normalise(files, f"{base}/whole", f"{base}/members")
     assert sorted(map(tuple, done.collect())) == sorted((r.file, r.records) for r in files.collect())
     rows = {(r.file, r.member): (r.offset, r.length) for r in warc.sidecar_rows(done, f"{base}/members").collect()}
