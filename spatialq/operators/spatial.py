@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalar
+from ..functions.portable import order_key, uniform
 from ..sources.scratch import written
 from .graph import components
 from .ranks import quantiles
@@ -218,6 +219,70 @@ def dbscan(cells: DataFrame, eps: float, min_samples: int, keys: tuple[str, ...]
     return owner.join(ids, "root", "left").select(F.col("i").alias("cell_id"), F.coalesce("cluster", F.lit(-1)).alias("cluster"))
 
 
+def nearest_of(centers: list[tuple[float, float]]) -> Column:
+    """(d2, center): the squared distance to the nearest of a few centres, and its number; ties to the lower."""
+    each = [F.struct(((F.col("x") - cx) * (F.col("x") - cx) + (F.col("y") - cy) * (F.col("y") - cy)).alias("d2"), F.lit(k).alias("center")) for k, (cx, cy) in enumerate(centers)]
+    return F.least(*each) if len(each) > 1 else each[0]
+
+
+def kmeans_seeds(cells: DataFrame, k: int, seed: int, rounds: int = 3) -> list[tuple[float, float]]:
+    """k starting centres, the same in every run: oversampled by distance, then thinned out.
+
+    The first candidate is the cell of least hash. Each round adds cells with probability
+    2 k d^2 / sum d^2, d being the distance to the nearest candidate, by a hash of the round
+    and the cell: about 2 k a round, whatever the number of cells. Candidates weigh what is
+    nearest to them; the heaviest is taken first, then always that of largest weight times
+    squared distance to those taken. Equal places count once.
+    """
+    first = cells.agg(F.min_by(F.struct("x", "y"), F.struct(order_key(seed, "cell_id"), "cell_id"))).first()[0]
+    found = [(first["x"], first["y"])]
+    for r in range(1, rounds + 1):
+        d2 = cells.select("cell_id", "x", "y", nearest_of(found)["d2"].alias("d2"))
+        total = d2.agg(F.sum("d2")).first()[0]
+        if not total:
+            break
+        new = d2.filter(uniform(seed, F.lit(r), "cell_id") < F.col("d2") * (2 * k) / total).select("x", "y").distinct().orderBy("x", "y").collect()
+        found += [(x, y) for x, y in new if (x, y) not in found]
+    weights = dict(cells.groupBy(nearest_of(found)["center"]).count().collect())
+    left = [(weights.get(i, 0), p) for i, p in enumerate(found)]
+    taken: list[tuple[float, float]] = []
+    while left and len(taken) < k:
+        def gain(c: tuple[int, tuple[float, float]]) -> tuple[float, float, float]:
+            w, (x, y) = c
+            return w * min(((x - a) ** 2 + (y - b) ** 2 for a, b in taken), default=1.0), -x, -y
+
+        best = max(left, key=gain)
+        taken.append(best[1])
+        left.remove(best)
+    return taken
+
+
+def lloyd_step(cells: DataFrame, centers: list[tuple[float, float]]) -> list[tuple[int, float, float, int]]:
+    """(center, x, y, n): the mean and number of the cells nearest to each centre; a centre without cells stays where it is."""
+    sums = cells.groupBy(nearest_of(centers)["center"].alias("center")).agg(F.avg("x").alias("x"), F.avg("y").alias("y"), F.count("*").alias("n"))
+    found = {r["center"]: (r["x"], r["y"], r["n"]) for r in sums.collect()}
+    return [(i, *found.get(i, (*c, 0))) for i, c in enumerate(centers)]
+
+
+def kmeans(cells: DataFrame, k: int, seed: int, rounds: int = 100, tolerance: float = 1e-9) -> DataFrame:
+    """(cell_id, cluster): Lloyd's iteration from kmeans_seeds, at most as many clusters as cells (and places).
+
+    A round is one partial aggregate; only the centres pass through the driver. It ends when no
+    centre moves by more than the tolerance times the extent.
+    """
+    w, h, n = extent(cells)
+    if not n:
+        return cells.select("cell_id", F.lit(0).alias("cluster"))
+    centers = kmeans_seeds(cells, min(k, n), seed)
+    for _ in range(rounds):
+        moved = [(x, y) for _, x, y, _ in lloyd_step(cells, centers)]
+        far = max(math.hypot(a - c, b - d) for (a, b), (c, d) in zip(moved, centers, strict=True))
+        centers = moved
+        if far <= tolerance * max(w, h):
+            break
+    return cells.select("cell_id", nearest_of(centers)["center"].alias("cluster"))
+
+
 def relabel_by_size(clusters: DataFrame, least: int) -> DataFrame:
     """(cell_id, region): clusters of at least so many cells, 0 for the largest; ties by old number."""
     sizes = clusters.filter("cluster >= 0").groupBy("cluster").agg(F.count("*").alias("n")).filter(F.col("n") >= least)

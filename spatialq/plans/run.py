@@ -87,12 +87,8 @@ def reshape(c: RunConfig, cells: DataFrame) -> DataFrame:
         found = SP.relabel_by_size(SP.dbscan(cells, eps, d["spatial_region_split_min_samples"]), d["spatial_region_split_min_cells"])
         cells = cells.join(found, "cell_id").withColumn("cell_type", F.concat("cell_type", F.lit("_r"), F.col("region").cast("string"))).drop("region")
     elif split:
-        from pyspark.ml.clustering import KMeans
-        from pyspark.ml.feature import VectorAssembler
-
-        rows = VectorAssembler(inputCols=["x", "y"], outputCol="_v").transform(cells)
-        fitted = KMeans(k=int(split), seed=d["seed"], featuresCol="_v", predictionCol="_c").fit(rows).transform(rows)
-        cells = fitted.withColumn("cell_type", F.concat("cell_type", F.lit("_r"), F.col("_c").cast("string"))).drop("_v", "_c")
+        found = SP.kmeans(cells, int(split), d["seed"])
+        cells = cells.join(found, "cell_id").withColumn("cell_type", F.concat("cell_type", F.lit("_r"), F.col("cluster").cast("string"))).drop("cluster")
     if d["standardize_coordinates"] and c.test["method"] != "block_permutation":
         cells = R.zscore_columns(cells, ["x", "y"])
     if d["spatial_crop"]:
@@ -121,7 +117,7 @@ def targets(c: RunConfig, cells: DataFrame, expr: DataFrame) -> DataFrame:
 
 
 def losses(c: RunConfig, cells: DataFrame, expr: DataFrame) -> tuple[DataFrame, DataFrame | None]:
-    """(part, slot, stat) of the configured test, slot 0 the truth; part is a delta, a fraction or null. And (fraction, correlation) where there is one."""
+    """(part, slot, stat) of the configured test, slot 0 the truth; part is a delta, a fraction, a fold or null (all folds). And (fraction, correlation) where there is one."""
     t, method = c.test, c.test["method"]
     unit = t["coordinate_um_per_unit"] or 1.0
     plan, n, seed = plan_of(c), t["n_perms"], t["seed"]
@@ -141,7 +137,9 @@ def losses(c: RunConfig, cells: DataFrame, expr: DataFrame) -> tuple[DataFrame,
         stats = T.statistics(T.fit_nulls(cells, SG.standardised(SG.phase_surrogates(cells, e, n, seed)), plan, t["n_reruns"]), metric)
     elif method == "cross_validation":
         masks = T.fold_masks(N.kfold(cells, t["n_folds"], seed))
-        stats = T.by_folds(T.fit_slots(N.permute(cells, n, seed, ["x", "y"], ("cell_type",) if together else ()), cells, e, plan, masks=masks, **fit), metric)
+        fitted = T.fit_slots(N.permute(cells, n, seed, ["x", "y"], ("cell_type",) if together else ()), cells, e, plan, masks=masks, **fit)
+        whole = T.by_folds(fitted, metric).withColumn("part", F.lit(None).cast("double"))
+        stats = whole.unionByName(T.statistics(fitted, metric).select("slot", "stat", F.col("variant").cast("double").alias("part")))
     elif method == "perturbation_test":
         stats = C.perturbation_stats(cells, e, plan, t["delta"], n, seed, metric, **fit).withColumnRenamed("delta", "part")
     elif method == "comparison_perturbation_test":
@@ -201,7 +199,7 @@ def run(spark: SparkSession, c: RunConfig) -> DataFrame:
                 parts[r["fraction"]]["correlation"] = r["correlation"]
         first = {"perturbation_test": "delta", "comparison_perturbation_test": "delta", "subsampling_test": "subset_fractions", "comparison_subsampling_test": "subset_fractions"}.get(c.test["method"])
         main = parts[float(c.test[first][0]) if first else None]
-        if first:
+        if len(parts) > 1 or first:  # deltas, fractions or folds
             extra["parts"] = json.dumps({str(k): v for k, v in parts.items()}, sort_keys=True)
         if c.test["moran"]:
             radius = c.test["moran_neighbor_radius_um"] / (c.test["coordinate_um_per_unit"] or 1.0)

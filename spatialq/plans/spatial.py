@@ -193,3 +193,40 @@ def middle_region(spark, d):
     w = Window.orderBy("mx", "cluster")
     m = m.select("cluster", (F.row_number().over(w) - 1).alias("place"), F.count("*").over(Window.partitionBy()).alias("k"))
     return cl.join(m.filter(F.col("place") == F.floor(F.col("k") / 2)), "cluster").select("cell_id")
+
+
+@query(near("cx cy", f"""WITH RECURSIVE {S.POINTS}, px AS (SELECT DISTINCT CAST(floor(y / 20) AS BIGINT) AS r, CAST(floor(x / 12) AS BIGINT) AS c FROM cells),
+reach AS (SELECT r, c, r * 2147483648 + c AS root FROM px UNION SELECT px.r, px.c, reach.root FROM reach JOIN px ON abs(px.r - reach.r) + abs(px.c - reach.c) = 1),
+own AS (SELECT r, c, min(root) AS root FROM reach GROUP BY 1, 2), n AS (SELECT root, count(*) AS n_pixels, avg(c) AS cx, avg(r) AS cy FROM own GROUP BY 1 HAVING count(*) >= 2)
+SELECT row_number() OVER (ORDER BY root) - 1 AS object, n_pixels, cx, cy FROM n"""))
+def mask_objects(spark, d):
+    """Objects of at least two pixels in the mask of places where events fall."""
+    from ..operators.masks import mask_objects as objects
+
+    p = B.points(spark, d).select(F.floor(F.col("y") / 20).alias("row"), F.floor(F.col("x") / 12).alias("col"))
+    return objects(p, 2).withColumn("object", F.col("object").cast("bigint"))
+
+
+NEXT = """d{r} AS (SELECT cell_id, c.x, c.y, min((c.x - f.x) * (c.x - f.x) + (c.y - f.y) * (c.y - f.y)) AS d2 FROM cells c, f{p} f GROUP BY ALL),
+f{r} AS (SELECT x, y FROM f{p} UNION SELECT x, y FROM d{r}, (SELECT sum(d2) AS t FROM d{r}) WHERE {u} < d2 * 8 / t)"""
+SEEDS = f"""WITH RECURSIVE {S.CELLS}, f0 AS (SELECT x, y FROM cells ORDER BY {S.key(3, 'cell_id')}, cell_id LIMIT 1),
+{", ".join(NEXT.format(r=r, p=r - 1, u=S.uniform(3, str(r), 'cell_id')) for r in (1, 2, 3))},
+w AS (SELECT x, y, count(*) AS n FROM (SELECT f.x, f.y FROM cells c, f3 f QUALIFY row_number() OVER (PARTITION BY cell_id ORDER BY (c.x - f.x) * (c.x - f.x) + (c.y - f.y) * (c.y - f.y)) = 1) GROUP BY 1, 2),
+t AS ((SELECT 0 AS center, x, y, [x] AS xs, [y] AS ys FROM w ORDER BY n DESC, x, y LIMIT 1)
+  UNION ALL SELECT center + 1, w.x, w.y, list_append(xs, w.x), list_append(ys, w.y) FROM t, w WHERE center < 3
+  QUALIFY row_number() OVER (ORDER BY n * list_min(list_transform(range(1, len(xs) + 1), lambda i: (w.x - xs[i]) ** 2 + (w.y - ys[i]) ** 2)) DESC, w.x, w.y) = 1)"""
+
+
+@query(near("x y", f"{SEEDS} SELECT center, x, y FROM t"))
+def kmeans_seeds(spark, d):
+    """Four starting centres by deterministic oversampling."""
+    found = SP.kmeans_seeds(B.dense_cells(spark, d), 4, 3)
+    return spark.createDataFrame([(i, x, y) for i, (x, y) in enumerate(found)], "center int, x double, y double")
+
+
+@query(near("x y", f"""{SEEDS}, a AS (SELECT cells.x, cells.y, center FROM cells, t QUALIFY row_number() OVER (PARTITION BY cell_id ORDER BY (cells.x - t.x) ** 2 + (cells.y - t.y) ** 2, center) = 1)
+SELECT center, avg(x) AS x, avg(y) AS y, count(*) AS n FROM a GROUP BY 1"""))
+def kmeans_step(spark, d):
+    """The centres after one round, and their cells."""
+    cells = B.dense_cells(spark, d)
+    return spark.createDataFrame(SP.lloyd_step(cells, SP.kmeans_seeds(cells, 4, 3)), "center int, x double, y double, n long")

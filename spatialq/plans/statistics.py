@@ -240,7 +240,23 @@ def gsea_inputs(spark, d):
     return ranking, k.filter("_k <= 8").select("pathway", "gene")
 
 
-@query()
+GSEA_NULLS = f"""WITH sets AS (SELECT pathway, gene FROM (SELECT p_type AS pathway, p_brand AS gene, count(*) AS n, rank() OVER (PARTITION BY p_type ORDER BY count(*) DESC, p_brand) AS k FROM part GROUP BY 1, 2) WHERE k <= 8), {GSEA},
+many AS (SELECT slot, gene, score FROM r, (SELECT unnest(generate_series(1, 100)) AS slot)),
+deal AS (SELECT slot, gene, row_number() OVER (PARTITION BY slot ORDER BY {S.key(5, 'slot', 'gene')}, gene) AS k FROM many),
+own AS (SELECT slot, score, row_number() OVER (PARTITION BY slot ORDER BY gene) AS k FROM many),
+a AS (SELECT 0 AS slot, gene, score FROM r UNION ALL SELECT slot, gene, score FROM own JOIN deal USING (slot, k)),
+ar AS (SELECT slot, gene, abs(score) AS w, row_number() OVER (PARTITION BY slot ORDER BY round(score, 9) DESC, gene) AS rank FROM a),
+ah AS (SELECT slot, p.pathway, ar.gene, rank, w, sets.gene IS NOT NULL AS hit FROM ar CROSS JOIN (SELECT DISTINCT pathway FROM sets) p LEFT JOIN sets ON sets.pathway = p.pathway AND sets.gene = ar.gene),
+at_ AS (SELECT *, sum(CASE WHEN hit THEN w / nh ELSE -1e0 / nm END) OVER (PARTITION BY slot, pathway ORDER BY rank) AS run
+  FROM (SELECT *, sum(CASE WHEN hit THEN w ELSE 0 END) OVER (PARTITION BY slot, pathway) AS nh, count(*) FILTER (NOT hit) OVER (PARTITION BY slot, pathway) AS nm FROM ah)),
+es AS (SELECT slot, pathway, count_if(hit) AS size, CASE WHEN max(run) >= -min(run) THEN max(run) ELSE min(run) END AS es FROM at_ GROUP BY 1, 2),
+both_ AS (SELECT t.pathway, t.size, t.es, n.es AS e0, (t.es >= 0) = (n.es >= 0) AS same FROM es t JOIN es n USING (pathway) WHERE t.slot = 0 AND n.slot > 0 AND t.size BETWEEN 3 AND 500),
+p AS (SELECT pathway, size, es, es / avg(abs(e0)) FILTER (same) AS nes, (count(*) FILTER (same AND abs(e0) >= abs(es)) + 1) / (count(*) FILTER (same) + 1) AS p_value FROM both_ GROUP BY 1, 2, 3),
+k AS (SELECT *, row_number() OVER (ORDER BY p_value, pathway) AS k, count(*) OVER () AS n FROM p)
+SELECT pathway, CAST(size AS BIGINT) AS size, es, nes, p_value, least(1, min(p_value * n / k) OVER (ORDER BY k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS q_value FROM k"""
+
+
+@query(near("es nes p_value q_value", GSEA_NULLS))
 def gsea(spark, d):
     """Preranked enrichment with gene-label permutations: es, nes, p and q by pathway."""
     from ..operators import gsea as G

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from spatialq.functions import networks, scalar, special, surrogates
-from spatialq.operators import comparisons, decoders, expr, genes, graph, gsea, linkage, lowrank, matched, metrics, modes, moran, nulls, ranks, rows, spatial, studies, trained
+from spatialq.operators import comparisons, decoders, expr, genes, graph, gsea, linkage, lowrank, masks, matched, metrics, modes, moran, nulls, ranks, rows, spatial, studies, trained
 from spatialq.operators import surrogates as spectral
 from spatialq.sources import gmt, results, synthetic
 
@@ -682,3 +682,59 @@ def test_strict_matches(spark):
         spatial.nearest_match(a, b.filter("cell_id <> 1"), 0.5, strict=True)
     with pytest.raises(ValueError, match="1 share"):
         spatial.nearest_match(cells(spark, [(0, 0), (0.2, 0)]), b, 0.5, strict=True)
+
+
+def flooded(on, corners):
+    """Sizes and centres of a mask's objects, pixel by pixel."""
+    left, out = set(on), []
+    while left:
+        todo = [min(left)]
+        left.discard(todo[0])
+        own = []
+        while todo:
+            r, c = todo.pop()
+            own.append((r, c))
+            for dr in (-1, 0, 1):
+                for dc in (-1, 0, 1):
+                    if (corners or not (dr and dc)) and (r + dr, c + dc) in left:
+                        left.discard((r + dr, c + dc))
+                        todo.append((r + dr, c + dc))
+        out.append((len(own), np.mean([c for _, c in own]), np.mean([r for r, _ in own])))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("corners", [False, True])
+def test_mask_objects_equal_flooding(spark, corners):
+    rng = np.random.default_rng(6)
+    on = [(int(r), int(c)) for r, c in zip(*np.nonzero(rng.random((25, 300)) < 0.45))] + [(40, c) for c in range(700)] + [(41, 699), (42, 699), (39, 5)]
+    df = spark.createDataFrame(on + on[:20], "row int, col int")
+    got = masks.mask_objects(df, 1, corners).collect()
+    assert sorted((r.n_pixels, r.cx, r.cy) for r in got) == [pytest.approx(x) for x in flooded(on, corners)]
+    assert [r.object for r in sorted(got, key=lambda r: r.object)] == list(range(len(got)))
+    assert masks.mask_objects(df, 100, corners).count() == sum(x[0] >= 100 for x in flooded(on, corners))
+    assert masks.mask_objects(df.limit(0)).count() == 0
+
+
+def test_colour_mask(spark):
+    df = spark.createDataFrame([(200, 10, 10), (180, 10, 10), (200, 80, 10), (255, 79, 79)], "r int, g int, b int")
+    on = masks.colour_mask(F.col("r"), F.col("g"), F.col("b"), (180, -1, -1), (256, 80, 80))
+    assert [r[0] for r in df.select(on).collect()] == [True, False, False, True]
+
+
+def test_kmeans_finds_blobs(spark):
+    rng = np.random.default_rng(7)
+    at = np.array([(0, 0), (10, 0), (0, 10), (10, 10), (30, 30)])
+    xy = np.concatenate([c + 0.5 * rng.normal(size=(n, 2)) for c, n in zip(at, (80, 60, 40, 30, 5))])
+    c = cells(spark, xy.tolist())
+    got = spatial.kmeans(c, 5, 3).toPandas().sort_values("cell_id")["cluster"].to_numpy()
+    parts = np.split(got, np.cumsum((80, 60, 40, 30)))
+    assert all(len(set(p)) == 1 for p in parts) and len({p[0] for p in parts}) == 5
+    again = spatial.kmeans(c.repartition(7), 5, 3).toPandas().sort_values("cell_id")["cluster"].to_numpy()
+    assert (got == again).all()
+    centers = spatial.kmeans_seeds(c, 5, 3)
+    d = ((xy[:, None] - np.array(centers)[None]) ** 2).sum(-1).argmin(1)
+    for k, x, y, n in spatial.lloyd_step(c, centers):
+        assert n == (d == k).sum() and (not n or np.allclose((x, y), xy[d == k].mean(0)))
+    assert {r.cluster for r in spatial.kmeans(cells(spark, [(1, 1)] * 4), 3, 1).collect()} == {0}
+    assert {r.cluster for r in spatial.kmeans(cells(spark, [(1, 1), (2, 2)]), 9, 1).collect()} == {0, 1}
+    assert spatial.kmeans(c.limit(0), 3, 1).count() == 0
