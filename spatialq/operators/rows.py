@@ -110,6 +110,21 @@ def zscore_columns(df: DataFrame, columns: list[str], tiny: float = 1e-8) -> Dat
     return out.drop(*(f"_{k}{c}" for k in "ms" for c in columns))
 
 
+def coordinate_scale(df: DataFrame, columns: list[str], tiny: float = 1e-8) -> DataFrame:
+    """One row with the mean and the divisor of each column: _m<column>, _s<column>."""
+    s = lambda c: F.stddev_pop(c)
+    return df.agg(*(F.avg(c).alias(f"_m{c}") for c in columns), *(F.when(s(c) <= tiny, 1.0).otherwise(s(c)).alias(f"_s{c}") for c in columns))
+
+
+def scaled(df: DataFrame, scale: DataFrame, columns: list[str], back: bool = False) -> DataFrame:
+    """df with its columns less the scale's means over its divisors, whichever rows the scale was taken from; or back again."""
+    out = df.crossJoin(F.broadcast(scale))  # one row
+    for c in columns:
+        m, s = F.col(f"_m{c}"), F.col(f"_s{c}")
+        out = out.withColumn(c, F.col(c) * s + m if back else (F.col(c) - m) / s)
+    return out.drop(*(f"_{k}{c}" for k in "ms" for c in columns))
+
+
 def crop(cells: DataFrame, bounds: dict[str, dict[str, float]]) -> DataFrame:
     """Axis-aligned crop on standardised coordinates, which are not standardised again."""
     return filter_range(zscore_columns(cells, ["x", "y"]), bounds)

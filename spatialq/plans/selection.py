@@ -185,3 +185,20 @@ def mtx_cells(spark, d):
     cells.select(F.concat(F.lit("c"), F.col("cell_id")), on, F.lit(0).alias("r"), F.lit(0).alias("c"), "y", "x").write.csv(f"{base}/positions")
     own, expr = M.assemble(spark, f"{base}/matrix", f"{base}/features", f"{base}/barcodes", f"{base}/positions")
     return expr.join(own.select("cell_id", "x", "y"), "cell_id")
+
+
+@query(near("x", """SELECT CASE WHEN c_custkey % 7 = 3 THEN '2 of 3 fields' WHEN c_custkey % 7 = 5 THEN 'a value of another kind' ELSE 'whole' END AS reason, count(*) AS n,
+  sum(CASE WHEN c_custkey % 7 IN (3, 5) THEN 0 ELSE c_acctbal END) AS x FROM customer GROUP BY 1"""))
+def quarantine_scan(spark, d):
+    """A written CSV with damaged lines: what was set aside and why, and what the job went on with."""
+    from ..sources.results import read_quarantined
+    from ..sources.scratch import scratch
+
+    path = scratch(spark, "damaged")
+    c = B.read(spark, d, "customer")
+    kind = F.col("c_custkey") % 7
+    line = F.when(kind == 3, F.concat_ws(",", "c_custkey", "c_acctbal")).when(kind == 5, F.concat_ws(",", "c_custkey", F.lit("n/a"), "c_nationkey")).otherwise(F.concat_ws(",", "c_custkey", "c_acctbal", "c_nationkey"))
+    c.select(line.alias("value")).write.text(path)
+    rows, damaged = read_quarantined(spark, path, "cell_id long, x double, nation long", header=False)
+    aside = damaged.groupBy("reason").agg(F.count("*").alias("n"), F.lit(0.0).alias("x"))
+    return aside.unionByName(rows.agg(F.lit("whole").alias("reason"), F.count("*").alias("n"), F.sum("x").alias("x")))

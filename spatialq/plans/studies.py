@@ -13,9 +13,12 @@ from . import sqltext as S
 from .registry import near, query
 
 
-@query(near("sigma", "SELECT sigma, seed, k, truth FROM (SELECT unnest([0.1e0, 0.5e0, 1e0]) AS sigma), (SELECT unnest(generate_series(0, 4)) AS seed), (SELECT unnest([1, 2, 3]) AS k), (SELECT unnest(['alt', 'null']) AS truth)"))
+@query("""SELECT condition, truth, seed FROM (SELECT DISTINCT o_orderpriority AS condition FROM orders), (SELECT DISTINCT o_orderstatus AS truth FROM orders), (SELECT unnest(generate_series(0, 4)) AS seed)""")
 def expand_grid(spark, d):
-    return ST.grid(spark, {"sigma": [0.1, 0.5, 1.0], "seed": list(range(5)), "k": [1, 2, 3], "truth": ["alt", "null"]})
+    """The runs of a study: every condition and truth that occurs, with five seeds."""
+    rows = B.study_rows(spark, d)
+    seen = {c: sorted(r[0] for r in rows.select(c).distinct().collect()) for c in ("condition", "truth")}  # dimensions
+    return ST.grid(spark, seen | {"seed": list(range(5))})
 
 
 @query(near("rate se lo hi", f"""WITH {S.STUDY}, a AS (SELECT condition, truth, count(*) AS n, count(*) FILTER (p_value < 0.05) AS n_reject FROM study GROUP BY 1, 2), r AS (SELECT *, n_reject / n::DOUBLE AS rate FROM a), s AS (SELECT *, sqrt(rate * (1 - rate) / n) AS se FROM r)

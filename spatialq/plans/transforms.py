@@ -161,10 +161,30 @@ def parse_run_name(spark, d):
     return r.select("run_name", F.regexp_extract("run_name", r"^(\d+)-", 1).alias("stage"), F.regexp_extract("run_name", "-(.*)$", 1).alias("region"), scalar.safe_name(F.col("run_name")).alias("safe"))
 
 
-@query("""SELECT b AS batch_size, CAST(ceil(1000 / b::DOUBLE) AS BIGINT) AS steps, CAST(ceil(5000 / ceil(1000 / b::DOUBLE)) AS BIGINT) AS epochs
-FROM (SELECT unnest([8, 16, 32, 64, 128, 256, 512]) AS b)""")
+@query(f"""WITH {S.CELLS}, n AS (SELECT cell_type, count(*) AS n FROM cells GROUP BY 1)
+SELECT cell_type, b AS batch_size, CAST(ceil(n / b::DOUBLE) AS BIGINT) AS steps, CAST(ceil(5000 / ceil(n / b::DOUBLE)) AS BIGINT) AS epochs FROM n, (SELECT unnest([8, 16, 32, 64, 128, 256, 512]) AS b)""")
 def update_schedule(spark, d):
-    """Epochs that give each batch size about 5000 updates on 1000 cells."""
-    b = spark.createDataFrame([(x,) for x in (8, 16, 32, 64, 128, 256, 512)], "batch_size int")
-    steps = F.ceil(F.lit(1000.0) / F.col("batch_size"))
-    return b.select("batch_size", steps.alias("steps"), F.ceil(F.lit(5000.0) / steps).alias("epochs"))
+    """Epochs that give each batch size about 5000 updates on the cells of each type."""
+    n = B.dense_cells(spark, d).groupBy("cell_type").agg(F.count("*").alias("n"))
+    b = n.withColumn("batch_size", F.explode(F.array(*(F.lit(2**k) for k in range(3, 10)))))
+    steps = F.ceil(F.col("n") / F.col("batch_size"))
+    return b.select("cell_type", "batch_size", steps.alias("steps"), F.ceil(F.lit(5000.0) / steps).alias("epochs"))
+
+
+SCALE = "s AS (SELECT avg(x) AS mx, stddev_pop(x) AS sx, avg(y) AS my, stddev_pop(y) AS sy FROM cells)"
+
+
+@query(near("x y back_x back_y", f"WITH {S.CELLS}, {SCALE} SELECT cell_id, (y - mx) / sx AS x, (x - my) / sy AS y, y AS back_x, x AS back_y FROM cells, s"))
+def coord_zscore_batch(spark, d):
+    """Another layout of the cells (axes exchanged) on the scale of the true one, and brought back by the inverse."""
+    cells = B.dense_cells(spark, d)
+    scale = R.coordinate_scale(cells, ["x", "y"])
+    other = cells.select("cell_id", F.col("y").alias("x"), F.col("x").alias("y"))
+    z = R.scaled(other, scale, ["x", "y"])
+    back = R.scaled(z, scale, ["x", "y"], back=True).select("cell_id", F.col("x").alias("back_x"), F.col("y").alias("back_y"))
+    return z.join(back, "cell_id")
+
+
+@query("SELECT DISTINCT p_type AS name, replace(replace(p_name, ' ', '_'), '/', '_') AS safe FROM part")
+def safe_names(spark, d):
+    return B.read(spark, d, "part").select(F.col("p_type").alias("name"), scalar.safe_name(F.col("p_name")).alias("safe")).distinct()

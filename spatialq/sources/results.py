@@ -60,3 +60,41 @@ def write_cells(cells: DataFrame, expr: DataFrame, path: str) -> None:
 
 def read_cells(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return spark.read.parquet(f"{path}/cells"), spark.read.parquet(f"{path}/expr")
+
+
+def read_quarantined(spark: SparkSession, path: str, schema: str, header: bool = True) -> tuple[DataFrame, DataFrame]:
+    """(rows, damaged) of CSV files: rows that fit the schema, and (file, line, reason, read) of those that do not; read: what could be.
+
+    Input files are never changed; a line with other fields than the schema's, or with a value of
+    another kind, goes to the side and the job goes on.
+    """
+    kind = T._parse_datatype_string(schema)
+    raw = (
+        spark.read.schema(T.StructType([*kind.fields, T.StructField("_damaged", T.StringType())]))
+        .options(header=str(header).lower(), mode="PERMISSIVE", columnNameOfCorruptRecord="_damaged", enforceSchema="true").csv(path)
+        .withColumn("file", F.col("_metadata.file_name"))
+    )
+    fields = F.size(F.split("_damaged", ","))
+    reason = F.when(fields != len(kind.fields), F.concat(fields.cast("string"), F.lit(f" of {len(kind.fields)} fields"))).otherwise("a value of another kind")
+    return raw.filter("_damaged is null").drop("_damaged", "file"), raw.filter("_damaged is not null").select("file", F.col("_damaged").alias("line"), reason.alias("reason"), F.struct(*(f.name for f in kind.fields)).alias("read"))
+
+
+def write_region_manifest(regions: DataFrame, base: dict, folder: str) -> int:
+    """One manifest row and one configuration a region of regions(cell_type, region, n_cells, ...); returns their number.
+
+    A configuration is the base one with the region's name, cell type and cells as filters. Rows go to
+    ``manifest`` as Parquet, configurations to ``configs`` as one JSON line a region.
+    """
+    import copy
+    import json
+
+    named = regions.withColumn("run_name", F.concat_ws("_r", F.translate("cell_type", " /", "__"), F.col("region").cast("string")))
+    named.write.mode("overwrite").parquet(f"{folder}/manifest")
+    out = []
+    for r in named.select("run_name", "cell_type", "region").orderBy("run_name").collect():  # one row a region
+        c = copy.deepcopy(base)
+        c.setdefault("output", {})["run_name"] = r["run_name"]
+        c.setdefault("data", {})["obs_filters"] = c.get("data", {}).get("obs_filters", {}) | {"cell_type": r["cell_type"], "region": r["region"]}
+        out.append((r["run_name"], json.dumps(c, sort_keys=True)))
+    regions.sparkSession.createDataFrame(out, "run_name string, config string").coalesce(1).write.mode("overwrite").json(f"{folder}/configs")
+    return len(out)

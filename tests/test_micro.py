@@ -738,3 +738,35 @@ def test_kmeans_finds_blobs(spark):
     assert {r.cluster for r in spatial.kmeans(cells(spark, [(1, 1)] * 4), 3, 1).collect()} == {0}
     assert {r.cluster for r in spatial.kmeans(cells(spark, [(1, 1), (2, 2)]), 9, 1).collect()} == {0, 1}
     assert spatial.kmeans(c.limit(0), 3, 1).count() == 0
+
+
+def test_low_rank_start_is_the_dense_one(spark):
+    rng = np.random.default_rng(12)
+    y = rng.poisson(np.exp(rng.normal(0, 1, (120, 2)) @ rng.normal(0, 0.7, (2, 15))) * 3).astype(float)
+    e = long(spark, y)
+    rows_ = e.groupBy("cell_id").agg(F.sort_array(F.collect_list(F.struct("gene", "value"))).alias("v"), F.sum("value").alias("t")).select(F.col("v.value").alias("y"), F.log(F.greatest("t", F.lit(1.0))).alias("size"))
+    order = np.argsort([f"g{j}" for j in range(15)])
+    y = y[:, order]
+    base = np.log(np.maximum(y.sum(0), 0.5)) - np.log(y.sum())
+    mu = np.exp(np.log(np.maximum(y.sum(1), 1))[:, None] + base)
+    dense = np.linalg.svd((y - mu) / np.sqrt(mu))
+    values, v = lowrank.leading_directions(rows_, base, 3, 1, passes=8)
+    assert np.allclose(values, dense[1][:3], rtol=1e-4) and np.allclose(np.abs(v[:, 0] @ dense[2][0]), 1, atol=1e-4)
+    other, w = lowrank.leading_directions(rows_.repartition(5), base, 3, 1, passes=8)
+    assert np.allclose(values, other) and np.allclose(v, w, atol=1e-6)
+
+
+def test_low_rank_factors_by_type(spark):
+    rng = np.random.default_rng(13)
+    y = rng.poisson(np.exp(rng.normal(0, 1, (60, 1)) @ rng.normal(0, 1, (1, 6))) * 2)
+    c = cells(spark, [(i, 0) for i in range(60)], ["a"] * 30 + ["b"] * 30)
+    got = lowrank.fit_by_type(c, long(spark, y), 1, rounds=4, patience=1)
+    assert set(got) == {"a", "b"} and all(f.left.count() == 30 for f in got.values())
+
+
+def test_scales_of_other_layouts(spark):
+    c, o = cells(spark, [(0, 5), (2, 5), (4, 5)]), cells(spark, [(4, 6)])
+    scale_ = rows.coordinate_scale(c, ["x", "y"])
+    z = rows.scaled(o, scale_, ["x", "y"])
+    assert z.first().x == pytest.approx(2 / math.sqrt(8 / 3)) and z.first().y == 1.0  # no spread: divided by 1
+    assert rows.scaled(z, scale_, ["x", "y"], back=True).first().x == pytest.approx(4)

@@ -5,7 +5,7 @@ import gzip
 import numpy as np
 import pytest
 
-from spatialq.sources import matrices, scale
+from spatialq.sources import matrices, results, scale
 
 
 def write(path, text, compressed=False):
@@ -89,3 +89,25 @@ def test_scale_of_coordinates():
     assert scale.um_per_unit(lib(metadata={"coordinate_um_per_unit": 3}, scalefactors={"spot_diameter_fullres": 11})) == 3
     assert scale.um_per_unit(lib(scalefactors={"microns_per_pixel": "bad", "spot_diameter_fullres": 110})) == 0.5
     assert scale.um_per_unit(lib(scalefactors={"spot_diameter_fullres": 0})) is None and scale.um_per_unit({"spatial": 3}) is None
+
+
+def test_damaged_rows_are_set_aside(spark, tmp_path):
+    text = "cell_id,x,y\n1,0.5,2\n2,zero,3\n3,1.5\n4,2.5,4,9\n\n5,,6\n"
+    path = write(tmp_path / "cells.csv", text)
+    rows, damaged = results.read_quarantined(spark, path, "cell_id long, x double, y double")
+    assert sorted(tuple(r) for r in rows.collect()) == [(1, 0.5, 2.0), (5, None, 6.0)]
+    got = {r.line: r.reason for r in damaged.collect()}
+    assert got == {"2,zero,3": "a value of another kind", "3,1.5": "2 of 3 fields", "4,2.5,4,9": "4 of 3 fields"}
+    assert {r.file for r in damaged.collect()} == {"cells.csv"} and open(path).read() == text
+
+
+def test_region_manifest_and_configs(spark, tmp_path):
+    import json
+
+    df = spark.createDataFrame([("T cell", 0, 9, 1.0), ("T cell", 1, 4, 2.0), ("B", 0, 5, 3.0)], "cell_type string, region int, n_cells int, cx double")
+    base = {"data": {"table": "t", "obs_filters": {"ok": True}}, "test": {"seed": 3}}
+    assert results.write_region_manifest(df, base, str(tmp_path)) == 3
+    assert {r.run_name for r in spark.read.parquet(f"{tmp_path}/manifest").collect()} == {"T_cell_r0", "T_cell_r1", "B_r0"}
+    configs = {r.run_name: json.loads(r.config) for r in spark.read.json(f"{tmp_path}/configs").collect()}
+    assert configs["T_cell_r1"]["data"] == {"table": "t", "obs_filters": {"ok": True, "cell_type": "T cell", "region": 1}} and configs["B_r0"]["test"] == {"seed": 3}
+    assert base["data"]["obs_filters"] == {"ok": True}
