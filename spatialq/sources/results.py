@@ -63,20 +63,23 @@ def read_cells(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
 
 
 def read_quarantined(spark: SparkSession, path: str, schema: str, header: bool = True) -> tuple[DataFrame, DataFrame]:
-    """(rows, damaged) of CSV files: rows that fit the schema, and (file, line, reason, read) of those that do not; read: what could be.
+    """(rows, damaged) of CSV files: rows that fit the schema, and (file, line, reason) of those that do not.
 
     Input files are never changed; a line with other fields than the schema's, or with a value of
-    another kind, goes to the side and the job goes on.
+    another kind, goes to the side and the job goes on. A row is a line; lines equal to the first
+    file's first one are headings.
     """
-    kind = T._parse_datatype_string(schema)
-    raw = (
-        spark.read.schema(T.StructType([*kind.fields, T.StructField("_damaged", T.StringType())]))
-        .options(header=str(header).lower(), mode="PERMISSIVE", columnNameOfCorruptRecord="_damaged", enforceSchema="true").csv(path)
-        .withColumn("file", F.col("_metadata.file_name"))
-    )
-    fields = F.size(F.split("_damaged", ","))
-    reason = F.when(fields != len(kind.fields), F.concat(fields.cast("string"), F.lit(f" of {len(kind.fields)} fields"))).otherwise("a value of another kind")
-    return raw.filter("_damaged is null").drop("_damaged", "file"), raw.filter("_damaged is not null").select("file", F.col("_damaged").alias("line"), reason.alias("reason"), F.struct(*(f.name for f in kind.fields)).alias("read"))
+    lines = spark.read.text(path).filter(F.trim("value") != "").select(F.col("_metadata.file_name").alias("file"), F.col("value").alias("line"))
+    if header:
+        first = spark.read.text(sorted(spark.read.text(path).inputFiles())[:1]).first()
+        lines = lines.filter(F.col("line") != (first[0] if first else ""))
+    names = [f.name for f in T._parse_datatype_string(schema).fields]
+    parsed = F.from_csv("line", f"{schema}, _damaged string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_damaged"})
+    raw = lines.withColumn("_row", parsed)
+    fields = F.size(F.split("line", ","))
+    reason = F.when(fields != len(names), F.concat(fields.cast("string"), F.lit(f" of {len(names)} fields"))).otherwise("a value of another kind")
+    bad = F.col("_row._damaged").isNotNull()
+    return raw.filter(~bad).select(*(F.col(f"_row.{n}").alias(n) for n in names)), raw.filter(bad).select("file", "line", reason.alias("reason"))
 
 
 def write_region_manifest(regions: DataFrame, base: dict, folder: str) -> int:
