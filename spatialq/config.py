@@ -29,6 +29,7 @@ DEFAULTS: dict[str, dict[str, Any]] = {
         "block_radius": None, "block_shape": "hexagon", "block_jitter": True, "bin_shape": "hexagon", "bin_spot_distance_um": 100.0,
         "coordinate_um_per_unit": None, "msr_truncate_um": None, "msr_neighbor_radius_um": None, "moran": False, "moran_neighbor_radius_um": 30.0,
         "recursive": False, "max_gradients": 10,
+        "sgd_batch_size": None, "sgd_cosine_lr_decay": False, "sgd_cosine_eta_min": 0.0, "gaussian_pretrain_epochs": 0, "gaussian_pretrain_freeze_encoder": False,
     },
     "output": {"out_dir": "results", "run_name": "permutation"},
 }
@@ -115,6 +116,9 @@ def check(c: RunConfig) -> None:
         (t["method"] == "block_permutation" and not t["block_radius"], "block_permutation needs block_radius"),
         (t["method"] == "cross_validation" and t["n_folds"] < 2, "n_folds must be at least 2"),
         (t["method"] == "fourier_spectral_randomization" and d["cell_type"] is not False, "Fourier randomisation takes no cell types"),
+        ((t["sgd_batch_size"] or 0) < 0 or t["gaussian_pretrain_epochs"] < 0, "batches and warm-up epochs are not negative"),
+        (t["sgd_cosine_lr_decay"] and not t["sgd_batch_size"], "a falling rate needs sgd_batch_size"),
+        (t["gaussian_pretrain_epochs"] and t["metric"] != "nll_poisson_mse", "a warm-up leads to the Poisson loss"),
         ("msr" in t["method"] and not t["msr_neighbor_radius_um"], "surrogates need msr_neighbor_radius_um"),
         (any(x <= 0 for x in t["delta"]), "delta must be positive"),
         (any(not 0 < x < 1 for x in t["subset_fractions"]), "subset fractions lie between 0 and 1"),

@@ -12,7 +12,12 @@ import numpy as np
 
 @dataclass(frozen=True)
 class Plan:
-    """How to train. decoder: linear, quadratic or nn; encoder: nn or midline; metric: gaussian or poisson."""
+    """How to train. decoder: linear, quadratic or nn; encoder: nn or midline; metric: gaussian or poisson.
+
+    batch: cells of a step (0: all of them). cosine: the rate falls along half a cosine to
+    least_rate, over all steps. warm: so many epochs fit log(1 + counts per 10,000) with squared
+    loss before the Poisson loss; from then on the encoder rests if ``freeze``.
+    """
 
     decoder: str = "linear"
     encoder: str = "nn"
@@ -22,6 +27,11 @@ class Plan:
     hidden: int = 20
     patience: int = 40
     seed: int = 0
+    batch: int = 0
+    cosine: bool = False
+    least_rate: float = 0.0
+    warm: int = 0
+    freeze: bool = False
 
 
 class Adam:
@@ -31,11 +41,16 @@ class Adam:
         self.params, self.rate, self.t = params, rate, 0
         self.m, self.v = np.zeros_like(params), np.zeros_like(params)
 
-    def step(self, rows: np.ndarray, grads: np.ndarray) -> None:
+    def step(self, rows: np.ndarray, grads: np.ndarray, rate: float | None = None, fixed: int = 0) -> None:
+        """Move the given rows; the first ``fixed`` parameters stay."""
+        grads = grads.copy()
+        grads[:, :fixed] = 0
         self.t += 1
         self.m[rows] += 0.1 * (grads - self.m[rows])
         self.v[rows] += 0.001 * (grads * grads - self.v[rows])
-        self.params[rows] -= self.rate * (self.m[rows] / (1 - 0.9**self.t)) / (np.sqrt(self.v[rows] / (1 - 0.999**self.t)) + 1e-8)
+        move = (self.rate if rate is None else rate) * (self.m[rows] / (1 - 0.9**self.t)) / (np.sqrt(self.v[rows] / (1 - 0.999**self.t)) + 1e-8)
+        move[:, :fixed] = 0
+        self.params[rows] -= move
 
 
 class Stack:

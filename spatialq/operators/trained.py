@@ -20,9 +20,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.networks import Adam, DepthModel, Plan, loss_slopes, loss_sums
-from ..sources.scratch import written
+from ..functions.portable import order_key
+from ..sources.scratch import scratch, written
 from .expr import type_size_factors
 from .metrics import nll_of_mse, permutation_p
+from .ranks import hash_rank
 
 GROUP_BYTES = 32 << 20
 CHUNK = 2048
@@ -105,6 +107,8 @@ class Trainer:
         size = self.network(self.models[0]).flat().size
         self.best = np.zeros((len(self.models), size))
         self.found = np.full((len(self.models), 2), np.inf)
+        self.history: list[tuple[int, int, float]] = []
+        self.parts = self.batches()
         step = max(1, GROUP_BYTES // (8 * size))
         for i in range(0, len(self.models), step):
             self.train(np.arange(i, min(i + step, len(self.models))))
@@ -113,27 +117,68 @@ class Trainer:
         genes, kinds, cov = self.shape
         return DepthModel(genes, replace(self.plan, seed=m.seed), kinds, cov)
 
+    def batches(self) -> list[DataFrame]:
+        """The table in parts of about ``batch`` cells, dealt by hash once, for all models and epochs alike.
+
+        The parts are folders of one written table, so a step reads its own and moves nothing.
+        """
+        n = self.table.count()
+        k = max(1, -(-n // self.plan.batch)) if self.plan.batch else 1
+        if k == 1:
+            return [self.table]
+        path = scratch(self.table.sparkSession, "batches")
+        bucket = hash_rank(self.table, [], order_key(self.plan.seed, "cell_id"), "cell_id", rows=n)
+        dealt = bucket.withColumn("batch", ((F.col("_r") - 1) % k).cast("int")).drop("_r")
+        dealt.repartition(k, "batch").write.partitionBy("batch").option("compression", "zstd").parquet(path)
+        whole = self.table.sparkSession.read.schema(dealt.schema).parquet(path)
+        return [whole.filter(F.col("batch") == i).drop("batch") for i in range(k)]
+
     def train(self, rows: np.ndarray) -> None:
-        """Full-batch steps until the epochs or every model's patience run out; the best state of each is kept."""
-        adam = Adam(np.stack([self.network(self.models[i]).flat() for i in rows]), self.plan.rate)
-        left = np.full(len(rows), self.plan.patience)
+        """Steps over the parts until the epochs or every model's patience run out; the best state of each is kept.
+
+        With one part the loss before a step is the epoch's; with more, it is that of a pass over all
+        cells after them. Each epoch visits the parts in a seeded order, the same for all models.
+        """
+        plan = self.plan
+        adam = Adam(np.stack([self.network(self.models[i]).flat() for i in rows]), plan.rate)
+        left = np.full(len(rows), plan.patience)
         active = np.arange(len(rows))
-        for _ in range(self.plan.epochs):
-            sums = self.sums([self.models[i] for i in rows[active]], adam.params[active])
-            counts = self.counts[[self.models[i].variant for i in rows[active]]]
-            losses = sums[:, :2] / counts
-            better = losses[:, 0] < self.found[rows[active], 0] - 1e-5
-            self.found[rows[active[better]]] = losses[better]
-            self.best[rows[active[better]]] = adam.params[active[better]]
-            left[active] = np.where(better, self.plan.patience, left[active] - 1)
-            going = left[active] > 0
-            active = active[going]
-            if not len(active):
-                return
-            adam.step(active, sums[going, 2:] / counts[going, :1])
-
-    def sums(self, models: list[Model], params: np.ndarray) -> np.ndarray:
-        """Summed training loss, judged loss and gradient of each model over all cells."""
+        parts = self.parts
+        inner = sum(p.size for p in self.network(self.models[0]).encoder.params())
+        for epoch in range(plan.epochs):
+            warm = plan.metric == "poisson" and epoch < plan.warm
+            fixed = inner if plan.freeze and plan.metric == "poisson" and 0 < plan.warm <= epoch else 0
+            if plan.metric == "poisson" and plan.warm and epoch == plan.warm:  # losses of another kind begin
+                self.found[rows[active]], left[active] = np.inf, plan.patience
+            order = np.random.default_rng([plan.seed, epoch]).permutation(len(parts))
+            for step, part in enumerate(order):
+                own = [self.models[i] for i in rows[active]]
+                sums = self.sums(own, adam.params[active], parts[part], warm)
+                seen = self.counts[[m.variant for m in own]] if len(parts) == 1 else np.maximum(sums[:, 2:4], 1)
+                before = active
+                if len(parts) == 1 and not (active := self.judged(rows, active, left, epoch, sums[:, :2] / seen, adam.params)).size:
+                    return
+                at = np.isin(before, active)
+                progress = (epoch * len(parts) + step) / (plan.epochs * len(parts))
+                rate = plan.least_rate + (plan.rate - plan.least_rate) * (1 + np.cos(np.pi * progress)) / 2 if plan.cosine else plan.rate
+                adam.step(active, (sums[:, 4:] / seen[:, :1])[at], rate, fixed)
+            if len(parts) > 1:
+                own = [self.models[i] for i in rows[active]]
+                sums = self.sums(own, adam.params[active], self.table, warm)
+                if not (active := self.judged(rows, active, left, epoch, sums[:, :2] / self.counts[[m.variant for m in own]], adam.params)).size:
+                    return
+
+    def judged(self, rows: np.ndarray, active: np.ndarray, left: np.ndarray, epoch: int, losses: np.ndarray, params: np.ndarray) -> np.ndarray:
+        """Note an epoch's losses, keep better states, and return the models whose patience lasts."""
+        self.history += [(epoch, int(i), float(x)) for i, x in zip(rows[active], losses[:, 0], strict=True)]
+        better = losses[:, 0] < self.found[rows[active], 0] - 1e-5
+        self.found[rows[active[better]]] = losses[better]
+        self.best[rows[active[better]]] = params[active[better]]
+        left[active] = np.where(better, self.plan.patience, left[active] - 1)
+        return active[left[active] > 0]
+
+    def sums(self, models: list[Model], params: np.ndarray, table: DataFrame, warm: bool = False) -> np.ndarray:
+        """For each model over the table's cells: summed training loss, judged loss, values that train and judge, and the gradient."""
         spark, plan, shape, nulls = self.table.sparkSession, self.plan, self.shape, self.nulls
         shared = spark.sparkContext.broadcast(params)  # at most GROUP_BYTES
 
@@ -145,19 +190,23 @@ class Trainer:
                     xs, ys, a, factor, cov, fit, judge = (nested(batch, c) for c in ("xs", "ys", "a", "factor", "cov", "fit", "judge"))
                     kind = batch.column(batch.schema.names.index("kind")).to_numpy()
                     if total is None:
-                        total = np.zeros((len(models), 2 + state.shape[1]))
+                        total = np.zeros((len(models), 4 + state.shape[1]))
                     for k, m in enumerate(models):
                         net.load(state[k])
                         at, own = (0, a[:, m.slot * shape[0] : (m.slot + 1) * shape[0]]) if nulls else (m.slot, a)
                         out = net.predict(np.stack([xs[:, at], ys[:, at]], 1), kind, cov if shape[2] else None)
-                        each = loss_sums(out, own, factor, plan.metric)
+                        metric = "gaussian" if warm else plan.metric
+                        if warm:
+                            own = np.log1p(own * (1e4 / np.maximum(own.sum(1, keepdims=True), 1)))
+                        each = loss_sums(out, own, factor, metric)
                         on = fit[:, m.variant].astype(float)
-                        slope = loss_slopes(out, own, factor, plan.metric) * on[:, None]
-                        total[k] += np.concatenate([[each @ on, each @ judge[:, m.variant].astype(float)], *(g.ravel() for g in net.gradients(slope))])
+                        slope = loss_slopes(out, own, factor, metric) * on[:, None]
+                        judges = judge[:, m.variant].astype(float)
+                        total[k] += np.concatenate([[each @ on, each @ judges, on.sum() * shape[0], judges.sum() * shape[0]], *(g.ravel() for g in net.gradients(slope))])
             if total is not None:
                 yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(models), dtype=np.int32)), pa.array(list(total), pa.list_(pa.float64()))], names=["model", "sums"])
 
-        parts = self.table.mapInArrow(run, "model int, sums array<double>")
+        parts = table.mapInArrow(run, "model int, sums array<double>")
         whole = parts.groupBy("model").agg(vector_to_array(Summarizer.sum(array_to_vector("sums"))).alias("sums")).toArrow()
         shared.destroy()
         order = np.argsort(whole.column("model").to_numpy())
@@ -168,6 +217,11 @@ class Trainer:
         rows = [(m.slot, m.rerun, m.variant, float(f), float(j), int(self.counts[m.variant, 1])) for m, (f, j) in zip(self.models, self.found, strict=True)]
         return self.table.sparkSession.createDataFrame(rows, "slot int, rerun int, variant int, fit double, loss double, n long")
 
+    def trajectory(self) -> DataFrame:
+        """(epoch, slot, rerun, variant, loss): the training loss of every model by epoch, as far as it went."""
+        named = [(e, m.slot, m.rerun, m.variant, x) for e, i, x in self.history for m in (self.models[i],)]
+        return self.table.sparkSession.createDataFrame(named, "epoch int, slot int, rerun int, variant int, loss double")
+
     def chosen(self) -> list[int]:
         """The rerun of least training loss for each slot and variant."""
         first: dict[tuple[int, int], int] = {}

@@ -99,7 +99,10 @@ def reshape(c: RunConfig, cells: DataFrame) -> DataFrame:
 def plan_of(c: RunConfig) -> Plan:
     t = c.test
     metric = "poisson" if t["metric"] == "nll_poisson_mse" else "gaussian"
-    return Plan(t["decoder"], metric=metric, epochs=t["epochs"], rate=t["lr"], patience=t["patience"] or t["epochs"], seed=t["seed"])
+    return Plan(
+        t["decoder"], metric=metric, epochs=t["epochs"], rate=t["lr"], patience=t["patience"] or t["epochs"], seed=t["seed"], batch=t["sgd_batch_size"] or 0,
+        cosine=t["sgd_cosine_lr_decay"], least_rate=t["sgd_cosine_eta_min"], warm=t["gaussian_pretrain_epochs"], freeze=t["gaussian_pretrain_freeze_encoder"],
+    )
 
 
 def spot_radius(distance: float, shape: str) -> float:

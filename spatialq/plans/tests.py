@@ -157,3 +157,14 @@ def synthetic(spark, d):
     cells = lattice(spark, 30)
     e = manifold(cells, "fourier", 5, 0.5, 2)
     return e.groupBy("gene").agg(F.count("*").alias("n"), F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"))
+
+
+@query()
+def minibatch_history(spark, d):
+    """p-values by epoch of a permutation test trained in steps of 256 cells with a falling rate."""
+    from ..operators.studies import p_trajectory
+
+    cells, e = inputs(spark, d)
+    plan = Plan(epochs=6, rate=0.05, batch=256, cosine=True)
+    trained = T.fit_slots(N.coordinate_permutation(cells, 9, 3), cells, e, plan, reruns=2)
+    return p_trajectory(trained.trajectory().withColumn("condition", F.lit("all")), ["condition"])

@@ -36,6 +36,11 @@ def write_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("header", "true").option("nullValue", "").csv(path)
 
 
+def write_history(history: DataFrame, path: str) -> None:
+    """Training losses (epoch, slot, rerun, variant, loss), as Parquet by slot and epoch."""
+    history.sortWithinPartitions("slot", "rerun", "epoch").write.mode("overwrite").parquet(path)
+
+
 def write_svg(found: DataFrame, path: str) -> None:
     """Genes of all gradients in one sorted CSV: by gradient, p-value and name."""
     order = [c for c in ("gradient", "p_value", "gene") if c in found.columns]

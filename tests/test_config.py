@@ -53,7 +53,7 @@ def test_runs(spark, tmp_path):
 
 
 @pytest.mark.parametrize(
-    "test", [{"method": "cross_validation", "n_folds": 2}, {"method": "block_permutation", "block_radius": 0.2}, {"method": "perturbation_test", "delta": [0.1, 0.3]}, {"method": "subsampling_test"}, {"method": "comparison_perturbation_test", "metric": "spearman"}, {"method": "comparison_subsampling_test"}, {"method": "joint_truncated_msr", "msr_neighbor_radius_um": 0.2, "msr_truncate_um": 0.3}, {"method": "binning", "bin_spot_distance_um": 0.3}, {"method": "fourier_spectral_randomization"}]
+    "test", [{"method": "cross_validation", "n_folds": 2}, {"method": "block_permutation", "block_radius": 0.2}, {"method": "perturbation_test", "delta": [0.1, 0.3]}, {"method": "subsampling_test"}, {"method": "comparison_perturbation_test", "metric": "spearman"}, {"method": "comparison_subsampling_test"}, {"method": "joint_truncated_msr", "msr_neighbor_radius_um": 0.6, "msr_truncate_um": 0.3}, {"method": "binning", "bin_spot_distance_um": 0.3}, {"method": "fourier_spectral_randomization"}]
 )
 def test_methods(spark, test):
     row = run.run(spark, config.parse(config.merged(SMALL, {"test": {"n_perms": 2, "n_nulls": 2, "epochs": 4, **test}}))).first()
@@ -93,3 +93,28 @@ def test_table_source_with_filters_and_types(spark, tmp_path):
     raw = {"data": {"table": str(tmp_path), "cell_type": "separate", "obs_numeric_filters": {"q": {"lt": 0.9}}, "exclude_gene_patterns": ["3$"]}, "test": {"n_perms": 2, "n_reruns": 1, "epochs": 5, "decoder": "linear", "moran": True, "moran_neighbor_radius_um": 1.0}}
     rows = run.run(spark, config.parse(raw)).collect()
     assert [r.n_cells for r in rows] == [45, 45] and all(r.n_genes == 2 and "moran_mean" in r.artifacts for r in rows)
+
+
+def test_batches_and_warm_up_reach_the_plan():
+    c = config.parse({"data": {"table": "t"}, "test": {"metric": "poisson", "sgd_batch_size": 128, "sgd_cosine_lr_decay": True, "sgd_cosine_eta_min": 1e-5, "gaussian_pretrain_epochs": 7, "gaussian_pretrain_freeze_encoder": True}})
+    p = run.plan_of(c)
+    assert (p.batch, p.cosine, p.least_rate, p.warm, p.freeze) == (128, True, 1e-5, 7, True)
+    for bad in ({"sgd_cosine_lr_decay": True}, {"sgd_batch_size": -1}, {"gaussian_pretrain_epochs": 3}):
+        with pytest.raises(ValueError):
+            config.parse({"data": {"table": "t"}, "test": bad})
+
+
+def test_block_runs_of_types_together_have_a_mesh_each(spark, monkeypatch):
+    from spatialq.operators import nulls
+
+    seen = []
+    real = nulls.block_permutation
+    monkeypatch.setattr(run.N, "block_permutation", lambda *a: seen.append(a[6]) or real(*a))
+    monkeypatch.setattr(run.T, "fit_slots", lambda *a, **k: None)
+    monkeypatch.setattr(run.T, "statistics", lambda *a: spark.createDataFrame([(0, 1.0)], "slot int, stat double"))
+    cells = spark.createDataFrame([(i, float(i), float(i % 3), "ab"[i % 2]) for i in range(12)], "cell_id long, x double, y double, cell_type string")
+    expr = spark.createDataFrame([(i, "g", float(i)) for i in range(12)], "cell_id long, gene string, value double")
+    for kind in ("together", False):
+        c = config.parse({"data": {"table": "t", "cell_type": kind}, "test": {"method": "block_permutation", "block_radius": 1.0, "n_perms": 2}})
+        run.losses(c, cells, expr)
+    assert seen == [("cell_type",), ()]

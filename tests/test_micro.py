@@ -770,3 +770,63 @@ def test_scales_of_other_layouts(spark):
     z = rows.scaled(o, scale_, ["x", "y"])
     assert z.first().x == pytest.approx(2 / math.sqrt(8 / 3)) and z.first().y == 1.0  # no spread: divided by 1
     assert rows.scaled(z, scale_, ["x", "y"], back=True).first().x == pytest.approx(4)
+
+
+def trained_on_one_array(s, a, plan, parts, seed):
+    """Losses by epoch of one model, trained over parts of the cells, visited in a seeded order, in NumPy."""
+    net, n = networks.DepthModel(a.shape[1], plan, 1, 0), len(s)
+    adam = networks.Adam(net.flat()[None], plan.rate)
+    out, z = [], (s - s.mean(0)) / s.std(0)
+
+    def sums(rows_):
+        net.load(adam.params[0])
+        p = net.predict(z[rows_], np.zeros(len(rows_), int), None)
+        each = networks.loss_sums(p, a[rows_], None, "gaussian")
+        grads = net.gradients(networks.loss_slopes(p, a[rows_], None, "gaussian"))
+        return each.sum(), np.concatenate([g.ravel() for g in grads])
+
+    for epoch in range(plan.epochs):
+        for k, part in enumerate(np.random.default_rng([seed, epoch]).permutation(len(parts))):
+            loss, grad = sums(parts[part])
+            if len(parts) == 1:
+                out.append(loss / a.size)
+            rate = plan.rate * (1 + np.cos(np.pi * (epoch * len(parts) + k) / (plan.epochs * len(parts)))) / 2 if plan.cosine else plan.rate
+            adam.step(np.array([0]), grad[None] / (len(parts[part]) * a.shape[1]), rate)
+        if len(parts) > 1:
+            out.append(sums(np.arange(n))[0] / a.size)
+    return out
+
+
+@pytest.mark.parametrize("batch", [0, 14])
+def test_steps_equal_one_array(spark, batch):
+    import dataclasses
+    import hashlib
+
+    rng = np.random.default_rng(14)
+    s, a = rng.uniform(size=(40, 2)), rng.normal(size=(40, 3))
+    c = cells(spark, s)
+    plan = networks.Plan(epochs=4, rate=0.05, hidden=4, seed=2, batch=batch, cosine=True)
+    t = trained.fit_slots(c.select(F.lit(0).alias("slot"), "cell_id", "x", "y"), c, long(spark, a), plan)
+    order = sorted(range(40), key=lambda i: hashlib.md5(f"2:{i}".encode()).hexdigest())
+    parts = [np.array(order[k::3]) for k in range(3)] if batch else [np.arange(40)]
+    assert {tuple(sorted(r[0] for r in p.select("cell_id").collect())) for p in t.parts} == {tuple(sorted(p.tolist())) for p in parts}
+    want = trained_on_one_array(s, a, dataclasses.replace(plan, seed=plan.seed * 1_000_003), parts, plan.seed)
+    got = [r.loss for r in t.trajectory().orderBy("epoch").collect()]
+    assert len(got) == 4 and np.allclose(got, want)
+
+
+def test_warm_up_then_counts_with_a_resting_encoder(spark):
+    rng = np.random.default_rng(15)
+    s = rng.uniform(size=(50, 2))
+    y = rng.poisson(np.exp(1 + 2 * s[:, :1]) * np.ones((1, 4)))
+    c = cells(spark, s)
+    slot = c.select(F.lit(0).alias("slot"), "cell_id", "x", "y")
+    plan = networks.Plan(metric="poisson", epochs=6, rate=0.05, hidden=4, warm=3, freeze=True)
+    t = trained.fit_slots(slot, c, long(spark, y), plan)
+    h = [r.loss for r in t.trajectory().orderBy("epoch").collect()]
+    assert len(h) == 6 and abs(h[3] - h[2]) > 0.1  # another loss from epoch 3 on
+    assert t.losses().first().fit == pytest.approx(min(h[3:]))
+    short = trained.fit_slots(slot, c, long(spark, y), networks.Plan(metric="poisson", epochs=3, rate=0.05, hidden=4, warm=3, freeze=True))
+    inner = sum(p.size for p in t.network(t.models[0]).encoder.params())
+    longer = trained.fit_slots(slot, c, long(spark, y), networks.Plan(metric="poisson", epochs=5, rate=0.05, hidden=4, warm=3, freeze=True))
+    assert longer.best.shape == t.best.shape and np.allclose(longer.best[0, :inner], t.best[0, :inner]) and not np.allclose(short.best[0], t.best[0])
