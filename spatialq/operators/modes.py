@@ -25,7 +25,7 @@ from ..functions.portable import uniform
 from ..functions.surrogates import turned_modes
 from ..sources.scratch import written
 from .halo import arrays, least_distance, matrix, weighted_sums
-from .ranks import rank_match
+from .ranks import bucket_rank, value_bucket
 from .vectors import total
 
 #: Lanczos steps of the null measurements: basis columns are at most this many times the genes.
@@ -208,15 +208,17 @@ def mode_surrogates(
 
     nulls = basis.rows.select("cell_id", "q").mapInArrow(run, SURROGATES)
     truth = rows.select(F.lit(0).alias("slot"), "cell_id", "a")
-    return truth.unionByName(dealt_by_rank(truth, nulls, n) if ranks else nulls)
+    return truth.unionByName(dealt_by_rank(truth, nulls) if ranks else nulls)
 
 
-def dealt_by_rank(truth: DataFrame, nulls: DataFrame, n: int) -> DataFrame:
-    """(slot, cell_id, a): each gene's true values in the order of every null's, over all cells."""
+def dealt_by_rank(truth: DataFrame, nulls: DataFrame) -> DataFrame:
+    """(slot, cell_id, a): each gene's true values in the order of every null's, over all cells. The truth is ranked once."""
 
-    def flat(df: DataFrame) -> DataFrame:
-        return df.select("slot", "cell_id", F.posexplode("a").alias("g", "value"))
+    def ranked(df: DataFrame, keys: list[str]) -> DataFrame:
+        flat = df.select("slot", "cell_id", F.posexplode("a").alias("g", "value"))
+        return bucket_rank(flat, keys, value_bucket(flat, "value", 200_000), ["value", "cell_id"])
 
-    every = flat(truth.withColumn("slot", F.explode(F.sequence(F.lit(1), F.lit(n)))))
-    dealt = rank_match(every, flat(written(nulls, "nulls")), ["slot", "g"])
+    own = ranked(truth, ["g"]).select("g", "_r", "value")
+    places = ranked(written(nulls, "nulls"), ["slot", "g"]).select("slot", "cell_id", "g", "_r")
+    dealt = places.join(own, ["g", "_r"])
     return dealt.groupBy("slot", "cell_id").agg(F.sort_array(F.collect_list(F.struct("g", "value"))).alias("r")).select("slot", "cell_id", F.col("r.value").alias("a"))
