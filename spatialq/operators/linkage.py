@@ -16,32 +16,34 @@ def average_linkage(distances: DataFrame) -> DataFrame:
     else is merged, so a round merges all such pairs at once, and the tree is that of merging one pair
     after another. Among equal distances the pair of least names counts as nearer.
 
-    A round is two partial aggregates over the pairs of clusters that are left; it halves the clusters
-    at best, and always merges the nearest pair of all.
+    A round is three partial aggregates over the pairs of clusters that are left: the nearest of each
+    cluster, the mutual ones, and the sums of distances of what was merged. It halves the clusters at
+    best, and always merges the nearest pair of all. The merges, one row an item at most, are kept on
+    the driver; the pairs are not.
     """
-    pairs = written(distances.select("a", "b", F.col("d").alias("sum"), F.lit(1).cast("bigint").alias("m")), "distances")
-    items = pairs.select("a").union(pairs.select("b")).distinct()
-    sizes = written(items.select(F.col("a").alias("c"), F.lit(1).cast("bigint").alias("n")), "sizes")
-    done = None
+    kind = dict(distances.dtypes)["a"]
+    spark = distances.sparkSession
+    n = distances.count()
+    one = F.lit(1).cast("bigint")
+    pairs = written(distances.select("a", "b", F.col("d").alias("sum"), one.alias("na"), one.alias("nb")), "distances", n)
+    done: list[tuple] = []
     while True:
-        d = F.struct((F.col("sum") / F.col("m")).alias("d"), "a", "b")
-        both = pairs.select(F.col("a").alias("c"), d.alias("p")).union(pairs.select(F.col("b").alias("c"), d.alias("p")))
-        nearest = both.groupBy("c").agg(F.min("p").alias("p"))
-        mutual = nearest.groupBy("p").agg(F.count("*").alias("k")).filter("k = 2").select("p.a", "p.b", F.col("p.d").alias("height"))
-        n = sizes.select(F.col("c").alias("a"), "n")
-        merged = mutual.join(n, "a").join(n.select(F.col("a").alias("b"), F.col("n").alias("nb")), "b").select("a", "b", "height", (F.col("n") + F.col("nb")).alias("size"))
-        merged = written(merged, "merges")
-        if merged.isEmpty():  # one cluster is left
-            return done if done is not None else merged
-        done = merged if done is None else done.unionByName(merged)
-        into = merged.select(F.col("b").alias("c"), F.col("a").alias("to"))
-        grown = sizes.join(into.select("c"), "c", "left_anti").join(merged.select(F.col("a").alias("c"), "size"), "c", "left")
-        sizes = written(grown.select("c", F.coalesce("size", "n").alias("n")), "sizes")
-        moved = pairs
+        p = F.struct((F.col("sum") / (F.col("na") * F.col("nb"))).alias("d"), "a", "b", (F.col("na") + F.col("nb")).alias("size"))
+        nearest = pairs.select(p.alias("p")).withColumn("c", F.explode(F.array("p.a", "p.b"))).groupBy("c").agg(F.min("p").alias("p"))
+        merged = nearest.groupBy("p").agg(F.count("*").alias("k")).filter("k = 2").select("p.a", "p.b", "p.d", "p.size").collect()
+        if not merged:  # one cluster is left
+            return spark.createDataFrame(done, f"a {kind}, b {kind}, height double, size long")
+        done += map(tuple, merged)
+        into = [(c, r["a"], r["size"]) for r in merged for c in (r["a"], r["b"])]
         for end in ("a", "b"):
-            moved = moved.join(into.select(F.col("c").alias(end), F.col("to").alias(f"_{end}")), end, "left").withColumn(end, F.coalesce(f"_{end}", end)).drop(f"_{end}")
-        moved = moved.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "sum", "m")
-        pairs = written(moved.groupBy("a", "b").agg(F.sum("sum").alias("sum"), F.sum("m").alias("m")), "distances")
+            to = spark.createDataFrame(into, f"{end} {kind}, _to {kind}, _n long")
+            size = f"n{end}"
+            # at most one row an item
+            pairs = pairs.join(F.broadcast(to), end, "left").withColumn(end, F.coalesce("_to", end)).withColumn(size, F.coalesce("_n", size)).drop("_to", "_n")
+        low = F.col("a") < F.col("b")
+        ends = [F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.when(low, F.col("na")).otherwise(F.col("nb")).alias("na"), F.when(low, F.col("nb")).otherwise(F.col("na")).alias("nb")]
+        left = pairs.filter("a <> b").select(*ends, "sum").groupBy("a", "b", "na", "nb").agg(F.sum("sum").alias("sum"))
+        pairs = written(left.select("a", "b", "sum", "na", "nb"), "distances", n)
 
 
 def leaf_order(merges: DataFrame, items: DataFrame) -> DataFrame:
