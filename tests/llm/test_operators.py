@@ -126,6 +126,15 @@ def test_warc_round_trip(spark, tmp_path):
     assert warc.round_trip(df.limit(0)).count() == 0
 
 
+def test_warc_keeps_all_rows_of_many_partitions(spark):
+    """Each partition has archives of its own, also where a task holds several."""
+    df = spark.range(0, 9000, 1, 9).selectExpr("id AS page_id", "'u' AS url", "cast(id DIV 2 AS string) AS html")
+    got = warc.round_trip(df).select("page_id", "record_type", "refers_to", "payload").collect()
+    assert sorted(r.page_id for r in got) == list(range(9000))
+    assert all((r.record_type, r.refers_to) == (("revisit", r.page_id - 1) if r.page_id % 2 else ("response", None)) for r in got)
+    assert all(bytes(r.payload) == str(r.page_id // 2).encode() for r in got if r.payload is not None)
+
+
 def test_repeated_rows_have_one_response(spark):
     pages = [(1, "u", "x"), (1, "u", "x"), (1, "a", "x"), (2, "u", "x"), (None, None, "y"), (None, None, "y"), (None, None, None), (7, "long", "z" * 2_000_000), (7, "long", "z" * 2_000_000), (8, "b", "w"), (9, "a", "w")]
     df = spark.createDataFrame(pages, "page_id long, url string, html string").withColumn("record", F.lit(1)).withColumn("HTML ", F.lit(2)).repartition(3)
