@@ -1,30 +1,20 @@
-"""Spatial autocorrelation over an edge table."""
+"""Spatial autocorrelation of pairs within a radius, summed tile by tile."""
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.portable import uniform
 from ..sources.scratch import written
-from .ranks import lower_median
+from .halo import matrix
 from .spatial import radius_pairs
+from .tiles import Group, grouped, median_distances
 from .vectors import packed, total
 
 
-def weights(cells: DataFrame, r: float, keys: tuple[str, ...] = ()) -> DataFrame:
-    """(keys, i, j, w): 1 / distance in both directions; distances have a floor from their median. At most one key."""
-    pairs = written(radius_pairs(cells, r, keys), "pairs")
-    key = keys[0] if keys else "_key"
-    if not keys:
-        pairs = pairs.withColumn(key, F.lit(0))
-    low = lower_median(pairs, key, "d").withColumnRenamed("median", "_m")  # one row a key
-    pairs = pairs.join(low, key)
-    w = 1.0 / F.greatest(F.col("d"), F.greatest(F.col("_m") * 1e-4, F.lit(1e-9)))
-    one = pairs.select(*keys, "i", "j", w.alias("w"))
-    return one.unionByName(one.select(*keys, F.col("j").alias("i"), F.col("i").alias("j"), "w"))
-
-
 def moran_of(n: Column, s0: Column, cross: Column, square: Column) -> Column:
     return F.when(square > 1e-12, n / s0 * cross / F.when(square > 1e-12, square))
 
@@ -42,10 +32,32 @@ def at_both_ends(edges: DataFrame, z: DataFrame) -> DataFrame:
     return left.join(z.select(F.col("cell_id").alias("j"), F.col("z").alias("zj")), "j")
 
 
-def crosses(edges: DataFrame, z: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
-    """(keys, c, s0): sums of w zi zj by gene, and of w, over the edges."""
-    both = at_both_ends(edges, z)
-    return both.groupBy(*keys).agg(total(F.zip_with("zi", "zj", lambda a, b: a * b * F.col("w"))).alias("c"), F.sum("w").alias("s0"))
+def floor_of(median: float | None) -> float:
+    """The least distance that an inverse distance is taken of: a small share of the median."""
+    return max((median or 0.0) * 1e-4, 1e-9)
+
+
+def crosses(cells: DataFrame, z: DataFrame, r: float, key: str | None = None) -> DataFrame:
+    """(key, c, s0): sums of w zi zj by gene, and of w, over pairs within r in both directions; w is 1 / distance."""
+    least = {k: floor_of(m) for k, m in median_distances(cells, r, key).items()}
+    keys = [key] if key else []
+    kind = "".join(f"{k} {dict(cells.dtypes)[k]}, " for k in keys) + "c array<double>, s0 double"
+    if not least:  # no pairs
+        return cells.sparkSession.createDataFrame([] if key else [(None, None)], kind)
+
+    def run(t: pa.Table) -> pa.Table:
+        g, k = Group(t, r), t.column(key)[0].as_py() if key else None
+        v = matrix(g.table.column("z"))
+        c, s0 = np.zeros(v.shape[1]), 0.0
+        for a, b, d, near in g.pairs():
+            w = np.where(near, 1.0 / np.maximum(d, least[k]), 0.0)
+            c, s0 = c + (v[a] * (w @ v[b])).sum(0), s0 + w.sum()
+        some = int(s0 > 0)
+        own = {key: pa.array([k] * some, t.schema.field(key).type)} if key else {}
+        return pa.table(own | {"c": pa.array([(2 * c).tolist()] * some, pa.list_(pa.float64())), "s0": pa.array([2 * s0] * some, pa.float64())})
+
+    rows = cells.select(*keys, "cell_id", "x", "y").join(z, "cell_id")
+    return grouped(rows, r, keys, run, kind).groupBy(*keys).agg(total("c").alias("c"), F.sum("s0").alias("s0"))
 
 
 def squares(expr: DataFrame) -> DataFrame:
@@ -55,8 +67,8 @@ def squares(expr: DataFrame) -> DataFrame:
 
 
 def morans_i(cells: DataFrame, expr: DataFrame, r: float) -> DataFrame:
-    """(gene, moran) on dense measurements. Both ends of an edge take all their values by one join on the cell."""
-    out = squares(expr).crossJoin(F.broadcast(crosses(weights(cells, r), centred(expr))))
+    """(gene, moran) on dense measurements. A cell's values move with its place; pairs are summed where they meet."""
+    out = squares(expr).crossJoin(F.broadcast(crosses(cells, centred(expr), r)))
     pairs = F.arrays_zip(F.col("gene").alias("gene"), F.col("q").alias("q"), F.coalesce("c", F.transform("q", lambda _: F.lit(0.0))).alias("c"))
     rows = out.select("n", "s0", F.explode(pairs).alias("g"))
     return rows.select(F.col("g.gene").alias("gene"), moran_of(F.col("n"), F.col("s0"), F.col("g.c"), F.col("g.q")).alias("moran"))
@@ -64,7 +76,8 @@ def morans_i(cells: DataFrame, expr: DataFrame, r: float) -> DataFrame:
 
 def moran_slots(slots: DataFrame, expr: DataFrame, r: float) -> DataFrame:
     """(slot, moran): mean over genes for each layout slots(slot, cell_id, x, y)."""
-    out = crosses(weights(slots, r, ("slot",)), centred(expr), ("slot",)).crossJoin(F.broadcast(squares(expr)))
+    slots = written(slots.select("slot", "cell_id", "x", "y"), "slots")
+    out = crosses(slots, centred(expr), r, "slot").crossJoin(F.broadcast(squares(expr)))
     rows = out.select("slot", "n", "s0", F.explode(F.arrays_zip("q", "c")).alias("g"))
     each = rows.select("slot", moran_of(F.col("n"), F.col("s0"), F.col("g.c"), F.col("g.q")).alias("moran"))
     return each.groupBy("slot").agg(F.avg("moran").alias("moran"))
@@ -92,14 +105,47 @@ def variogram(cells: DataFrame, expr: DataFrame, r: float, bins: int, kind: str
     keys: columns of cells, such as the slot, each value of which is a layout. share < 1: a
     sample of the pairs, by a hash of both ends.
     """
-    pairs = radius_pairs(cells, r, keys)
-    if share < 1:
-        pairs = pairs.filter(uniform(seed, "i", "j") < share)
+    if share >= 1:
+        return pooled(cells, centred(expr, True), r, bins, kind, list(keys))
+    pairs = radius_pairs(cells, r, keys).filter(uniform(seed, "i", "j") < share)
     both = at_both_ends(pairs.withColumn("bin", bin_of(F.col("d"), r, bins, kind)), centred(expr, True))
     mean = F.aggregate(F.zip_with("zi", "zj", lambda a, b: a * b), F.lit(0.0), lambda t, x: t + x) / F.size("zi")
     return both.groupBy(*keys, "bin").agg(F.count("*").alias("n_pairs"), F.avg("d").alias("distance"), F.avg(mean).alias("covariance")).withColumn("gamma", 1 - F.col("covariance"))
 
 
+def bins_of(d: np.ndarray, r: float, bins: int, kind: str) -> np.ndarray:
+    """As bin_of."""
+    if kind == "log":
+        place = bins + np.log2(np.maximum(d, r / 2**bins) / r)
+    else:
+        place = d / (r / bins) if kind == "linear" else np.sqrt(d / r) * bins
+    return np.minimum(np.floor(place), bins - 1).astype(np.int64)
+
+
+def pooled(cells: DataFrame, z: DataFrame, r: float, bins: int, kind: str, keys: list[str]) -> DataFrame:
+    """The variogram over all pairs: each tile adds up its own by bin."""
+
+    def run(t: pa.Table) -> pa.Table:
+        g = Group(t, r)
+        v = matrix(g.table.column("z"))
+        n, d_sum, c_sum = np.zeros(bins, np.int64), np.zeros(bins), np.zeros(bins)
+        for a, b, d, near in g.pairs():
+            own = d[near]
+            at = bins_of(own, r, bins, kind)
+            n += np.bincount(at, minlength=bins)
+            d_sum += np.bincount(at, own, bins)
+            c_sum += np.bincount(at, (v[a] @ v[b].T)[near], bins) / v.shape[1]
+        some = np.flatnonzero(n)
+        first = {k: pa.array([t.column(k)[0].as_py()] * len(some), t.schema.field(k).type) for k in keys}
+        return pa.table(first | {"bin": some.astype(np.int32), "n": n[some], "d": d_sum[some], "c": c_sum[some]})
+
+    types = dict(cells.dtypes)
+    rows = cells.select(*keys, "cell_id", "x", "y").join(z, "cell_id")
+    each = grouped(rows, r, keys, run, "".join(f"{k} {types[k]}, " for k in keys) + "bin int, n long, d double, c double")
+    out = each.groupBy(*keys, "bin").agg(F.sum("n").alias("n_pairs"), (F.sum("d") / F.sum("n")).alias("distance"), (F.sum("c") / F.sum("n")).alias("covariance"))
+    return out.withColumn("gamma", 1 - F.col("covariance"))
+
+
 def variogram_bands(slots: DataFrame, expr: DataFrame, r: float, bins: int, low: float = 0.05, high: float = 0.95, **how) -> DataFrame:
     """(bin, gamma, low, high): the true layout's variogram and quantiles over the null layouts of slots."""
     each = variogram(slots, expr, r, bins, keys=("slot",), **how)
