@@ -12,6 +12,7 @@ from ..functions.portable import order_key, uniform
 from ..sources.scratch import written
 from .graph import components
 from .ranks import quantiles
+from .tiles import least_near, links, nearest, neighbour_counts
 
 
 def distance(ax, ay, bx, by) -> Column:
@@ -146,11 +147,8 @@ def nearest_match(targets: DataFrame, candidates: DataFrame, tolerance: float, s
 
 def matches(targets: DataFrame, candidates: DataFrame, tolerance: float) -> DataFrame:
     """(cell_id, match_id, d): the nearest candidate within the tolerance, ties by id; null without one."""
-    a = targets.select("cell_id", F.col("x").alias("ax"), F.col("y").alias("ay"), tile("x", tolerance).alias("_tx"), tile("y", tolerance).alias("_ty"))
-    b = near_tiles(candidates.select("cell_id", "x", "y"), tolerance).select(F.col("cell_id").alias("match_id"), F.col("x").alias("bx"), F.col("y").alias("by"), "_tx", "_ty")
-    near = a.join(b, ["_tx", "_ty"]).withColumn("d", distance(F.col("ax"), F.col("ay"), F.col("bx"), F.col("by"))).filter(F.col("d") <= tolerance)
-    best = near.groupBy("cell_id").agg(F.min(F.struct("d", "match_id")).alias("m"))
-    return targets.select("cell_id").join(best, "cell_id", "left").select("cell_id", F.col("m.match_id").alias("match_id"), F.col("m.d").alias("d"))
+    best = nearest(targets, candidates, tolerance)
+    return targets.select("cell_id").join(best, "cell_id", "left").select("cell_id", "match_id", "d")
 
 
 def nearest_center(cells: DataFrame, centers: list[tuple[int, float, float]]) -> DataFrame:
@@ -205,15 +203,18 @@ def dbscan(cells: DataFrame, eps: float, min_samples: int, keys: tuple[str, ...]
 
     A cell is a core if its closed ball holds min_samples cells, itself included.
     Clusters are components of core-core links, numbered by their least core.
+    Pairs are counted, linked and looked over in the tiles where they meet; at most five
+    links a cell are rows.
     """
-    near = written(radius_pairs(cells, eps, keys).select("i", "j"), "near")
-    both = near.select("i", "j").unionByName(near.select(F.col("j").alias("i"), F.col("i").alias("j")))
-    degree = both.groupBy("i").agg((F.count("*") + 1).alias("n"))
-    cores = cells.select(F.col("cell_id").alias("i")).join(degree, "i", "left").filter(F.coalesce("n", F.lit(1)) >= min_samples).select("i")
-    links = both.filter("i < j").join(cores, "i").join(cores.withColumnRenamed("i", "j"), "j").select(F.col("i").alias("a"), F.col("j").alias("b"))
-    comp = components(links)
-    root = cores.join(comp.withColumnRenamed("v", "i"), "i", "left").select("i", F.coalesce("c", "i").alias("root"))
-    border = both.join(root.withColumnRenamed("i", "j"), "j").groupBy("i").agg(F.min("root").alias("side"))
+    places = written(cells.select(*keys, "cell_id", "x", "y"), "places")
+    degree = neighbour_counts(places, eps, keys)
+    core = F.coalesce(F.col("n") + 1, F.lit(1)) >= min_samples
+    marked = written(places.join(degree, "cell_id", "left").withColumn("core", core).drop("n"), "marked")
+    comp = components(links(marked.filter("core"), eps, keys)).withColumnRenamed("v", "cell_id")
+    rooted = marked.join(comp, "cell_id", "left").withColumn("root", F.when(F.col("core"), F.coalesce("c", "cell_id"))).drop("c")
+    rooted = written(rooted, "rooted")
+    root = rooted.filter("core").select(F.col("cell_id").alias("i"), "root")
+    border = least_near(rooted, eps, keys).withColumnRenamed("cell_id", "i")
     ids = root.select("root").distinct().withColumn("cluster", (F.row_number().over(Window.orderBy("root")) - 1).cast("bigint"))
     owner = cells.select(F.col("cell_id").alias("i")).join(root, "i", "left").join(border, "i", "left").select("i", F.coalesce("root", "side").alias("root"))
     return owner.join(ids, "root", "left").select(F.col("i").alias("cell_id"), F.coalesce("cluster", F.lit(-1)).alias("cluster"))
@@ -292,8 +293,7 @@ def relabel_by_size(clusters: DataFrame, least: int) -> DataFrame:
 
 def denoise(cells: DataFrame, radius: float) -> DataFrame:
     """The largest connected piece of each cell type under links within radius; a type without links stays whole."""
-    links = radius_pairs(cells, radius, ("cell_type",))
-    comp = components(links.select(F.col("i").alias("a"), F.col("j").alias("b")))
+    comp = components(links(cells, radius, ("cell_type",)))
     own = cells.join(comp.withColumnRenamed("v", "cell_id"), "cell_id", "left").withColumn("c", F.coalesce("c", "cell_id"))
     size = own.groupBy("cell_type", "c").agg(F.count("*").alias("n"))
     best = size.groupBy("cell_type").agg(F.max(F.struct("n", (-F.col("c")).alias("m"))).alias("b"))

@@ -27,7 +27,7 @@ def grouped(df: DataFrame, r: float, keys: list[str], run: Callable[[pa.Table],
     """
     side = r * (1 + 1e-9)  # so that rounding can't part a pair by two tiles
     spark, steps = df.sparkSession, F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in ((0, 0), *AFTER)))
-    placed = df.filter("x IS NOT NULL AND y IS NOT NULL").withColumn("_o", F.explode(steps))
+    placed = df.filter("x IS NOT NULL AND y IS NOT NULL AND NOT isnan(x) AND NOT isnan(y)").withColumn("_o", F.explode(steps))
     tile = [(F.floor(F.col(c) / side).cast("bigint") - F.col(f"_o.{o}")).alias(t) for c, o, t in (("x", "i", "_tx"), ("y", "j", "_ty"))]
     put = placed.select(*df.columns, *tile, ((F.col("_o.i") == 0) & (F.col("_o.j") == 0)).alias("_own"))
     at = [*keys, "_tx", "_ty"]
@@ -146,6 +146,44 @@ def least_near(rows: DataFrame, r: float, keys: tuple[str, ...] = ()) -> DataFra
     return each.groupBy("cell_id").agg(F.min("side").alias("side"))
 
 
+def nearest(targets: DataFrame, candidates: DataFrame, r: float) -> DataFrame:
+    """(cell_id, match_id, d): the nearest candidate within r of each target, ties by id; targets without one are absent."""
+    kind = dict(candidates.dtypes)["cell_id"]
+    own = targets.select("cell_id", F.lit(None).cast(kind).alias("match_id"), "x", "y", F.lit(True).alias("_target"))
+    other = candidates.select(F.lit(None).cast(dict(targets.dtypes)["cell_id"]).alias("cell_id"), F.col("cell_id").alias("match_id"), "x", "y", F.lit(False).alias("_target"))
+
+    def run(t: pa.Table) -> pa.Table:
+        g = Group(t, r, "_target")
+        target, ids = g.table.column("_target").to_numpy(), g.table.column("match_id")
+        by_id = pc.sort_indices(ids).to_numpy()
+        code = np.empty(g.n, np.int64)  # places in the order of ids
+        code[by_id] = np.arange(g.n)
+        best, match = np.full(g.n, np.inf), np.full(g.n, g.n)
+
+        def take(a: slice, b: slice, d: np.ndarray) -> None:
+            """The nearest of b for the rows of a; d is infinite where there is no pair."""
+            low = d.min(1)
+            who = np.where(d == low[:, None], code[None, b], g.n).min(1)
+            better = (low < best[a]) | ((low == best[a]) & (who < match[a]))
+            better &= low < np.inf
+            best[a], match[a] = np.where(better, low, best[a]), np.where(better, who, match[a])
+
+        def alike(a: slice, b: slice) -> bool:
+            return bool((target[a].all() and target[b].all()) or not (target[a].any() or target[b].any()))
+
+        for a, b, d, near in g.pairs(alike):
+            if target[a].any():
+                take(a, b, np.where(near & target[a, None] & ~target[None, b], d, np.inf))
+            if target[b].any():
+                take(b, a, np.where(near & target[None, b] & ~target[a, None], d, np.inf).T)
+        some = np.flatnonzero(best < np.inf)
+        return pa.table({"cell_id": g.table.column("cell_id").take(pa.array(some)), "match_id": ids.take(pa.array(by_id[match[some]])), "d": best[some]})
+
+    each = grouped(own.unionByName(other), r, [], run, f"cell_id {dict(targets.dtypes)['cell_id']}, match_id {kind}, d double")
+    best = each.groupBy("cell_id").agg(F.min(F.struct("d", "match_id")).alias("m"))
+    return best.select("cell_id", F.col("m.match_id").alias("match_id"), F.col("m.d").alias("d"))
+
+
 def median_distances(cells: DataFrame, r: float, key: str | None = None, exact_rows: int = 100_000, bins: int = 1 << 14) -> dict[object, float]:
     """The lower median of the distances of pairs within r for each value of the key (a few; None without one).
 

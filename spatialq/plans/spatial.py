@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from .. import bindings as B
 from ..operators import moran as MO
 from ..operators import spatial as SP
+from ..operators.tiles import neighbour_counts
 from . import sqltext as S
 from .registry import near, query
 
@@ -146,10 +147,7 @@ CORE = f"""WITH {S.CELLS}, {pairs(R)}, deg AS (SELECT i, count(*) + 1 AS n FROM
 @query(f"{CORE} SELECT cell_id, coalesce(n, 1) >= 4 AS core FROM cells LEFT JOIN deg ON i = cell_id")
 def dbscan_core(spark, d):
     c = B.dense_cells(spark, d)
-    near_ = SP.radius_pairs(c, R)
-    both = near_.select("i").unionByName(near_.select(F.col("j").alias("i")))
-    deg = both.groupBy("i").agg((F.count("*") + 1).alias("n"))
-    return c.join(deg, F.col("i") == F.col("cell_id"), "left").select("cell_id", (F.coalesce("n", F.lit(1)) >= 4).alias("core"))
+    return c.join(neighbour_counts(c, R), "cell_id", "left").select("cell_id", (F.coalesce(F.col("n") + 1, F.lit(1)) >= 4).alias("core"))
 
 
 CLUSTERS = f"""WITH RECURSIVE {S.CELLS}, {pairs(R)}, both_ AS (SELECT i, j FROM pairs UNION ALL SELECT j, i FROM pairs), deg AS (SELECT i, count(*) + 1 AS n FROM both_ GROUP BY 1),

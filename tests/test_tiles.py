@@ -76,3 +76,37 @@ def test_median_of_distances(spark, rows, bins):
         d = np.sort(d[np.triu(d <= 0.7, 1)])
         assert tiles.median_distances(frame(spark, xy), 0.7, "slot", rows, bins) == {0: d[(len(d) - 1) // 2]}
     assert tiles.median_distances(frame(spark, [(0, 0)]), 0.7) == {}
+
+
+def test_dbscan_without_a_pair_table(spark, monkeypatch):
+    """Clusters across tiles, with copies, noise, borders between clusters and cells without a place."""
+    monkeypatch.setattr(spatial, "radius_pairs", no_pairs)
+    xy = np.concatenate([scattered(300, 6), [(50.0 + k, 0.0) for k in range(12)], [(np.nan, 0.0), (0.0, np.nan)]])
+    for r, least in ((0.3, 5), (1.0, 3)):
+        d = apart(xy)
+        d[np.isnan(d)] = np.inf
+        np.fill_diagonal(d, 0)
+        near = d <= r
+        core = near.sum(1) >= least
+        root = np.where(core, np.arange(len(xy)), len(xy))
+        while True:
+            low = np.where(core, np.where(near & core[None], root[None], len(xy)).min(1), len(xy))
+            if (low == root).all():
+                break
+            root = low
+        root = np.where(core, root, np.where(near & core[None], root[None], len(xy)).min(1))
+        names = {v: k for k, v in enumerate(sorted(set(root[core])))}
+        want = {i: names.get(v, -1) for i, v in enumerate(root)}
+        assert {row.cell_id: row.cluster for row in spatial.dbscan(frame(spark, xy), r, least).collect()} == want
+
+
+def test_nearest_match_by_tile(spark, monkeypatch):
+    """Ties go to the lower id; a target on a candidate, and one without any, are answered."""
+    monkeypatch.setattr(spatial, "near_tiles", no_pairs)
+    xy = np.concatenate([scattered(300, 7), [(90.0, 0.0)]])
+    a, b = np.arange(len(xy)) % 3 == 0, np.arange(len(xy)) % 3 != 0
+    d = np.where(b[None], apart(xy), np.inf)
+    c = frame(spark, xy)
+    got = {row.cell_id: (row.match_id, row.d) for row in spatial.nearest_match(c.filter("cell_id % 3 = 0"), c.filter("cell_id % 3 <> 0"), 0.2).collect()}
+    want = {int(i): (int(d[i].argmin()), float(d[i].min())) if d[i].min() <= 0.2 else (None, None) for i in np.flatnonzero(a)}
+    assert got == want
