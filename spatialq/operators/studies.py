@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.portable import order_key
+from ..sources.scratch import written
 
 
 def grid(spark: SparkSession, axes: dict[str, list]) -> DataFrame:
@@ -41,9 +42,21 @@ def weighted_loss(folds: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def best_of_k(losses: DataFrame, ks: list[int], draws: int, seed: int) -> DataFrame:
-    """(k, mean, std, p5, p95) of the least of k of the losses drawn without replacement."""
-    d = losses.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws))))
-    d = d.withColumn("_r", F.row_number().over(Window.partitionBy("draw").orderBy(order_key(seed, "draw", "run_id"), "run_id"))).filter(F.col("_r") <= max(ks))
+    """(k, mean, std, p5, p95) of the least of k of the losses drawn without replacement.
+
+    Only keys below a limit are sorted: it leaves some times the losses that are needed, and is
+    raised if a draw has too few.
+    """
+    n, most = losses.count(), max(ks)
+    keyed = losses.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws)))).withColumn("_h", order_key(seed, "draw", "run_id"))
+    share = 16 * most / n if n else 1.0
+    while True:
+        d = keyed if share >= 0.5 else keyed.filter(F.col("_h") < f"{int(share * 2**32):08x}")
+        d = written(d, "draws")
+        if share >= 0.5 or (d.groupBy("draw").count().filter(F.col("count") >= most).count() == draws):
+            break
+        share *= 8
+    d = d.withColumn("_r", F.row_number().over(Window.partitionBy("draw").orderBy("_h", "run_id"))).filter(F.col("_r") <= most)
     m = d.withColumn("k", F.explode(F.array(*map(F.lit, ks)))).filter("_r <= k").groupBy("k", "draw").agg(F.min("stat").alias("b"))
     return m.groupBy("k").agg(F.avg("b").alias("mean"), F.stddev_pop("b").alias("std"), F.percentile("b", F.lit(0.05)).alias("p5"), F.percentile("b", F.lit(0.95)).alias("p95"))
 
