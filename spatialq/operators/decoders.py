@@ -107,12 +107,14 @@ def poisson_irls(df: DataFrame, degree: int = 1, tol: float = 1e-10) -> DataFram
     """(gene, beta, deviance) from rows (gene, cell_id, value, z, exposure).
 
     The iteration of ``poisson_fit`` with its normal equations summed over the cells: a
-    round is one aggregate by gene, and only its few numbers a gene reach the driver.
+    round is one aggregate by gene, and only its few numbers a gene reach the driver. They
+    are broadcast to the rows, which are never moved.
     """
     spark = df.sparkSession
+    df = written(df.select("gene", "value", "z", "exposure"), "counts")
     scale = df.groupBy("gene").agg(F.avg("z").alias("_m"), F.greatest(F.stddev_pop("z"), F.lit(1e-12)).alias("_s"))
     start = df.groupBy("gene").agg(F.sum("value").alias("y"), F.sum(F.greatest("exposure", F.lit(1e-12))).alias("e")).collect()  # one row a gene
-    rows = df.join(scale, "gene").select("gene", "value", ((F.col("z") - F.col("_m")) / F.col("_s")).alias("z"), F.log(F.greatest("exposure", F.lit(1e-12))).alias("o"))
+    rows = df.join(F.broadcast(scale), "gene").select("gene", "value", ((F.col("z") - F.col("_m")) / F.col("_s")).alias("z"), F.log(F.greatest("exposure", F.lit(1e-12))).alias("o"))
     rows = written(rows, "irls")
     k = degree + 1
     beta = {r["gene"]: np.array([np.log(r["y"] / r["e"]) if r["y"] > 0 else -20.0] + [0.0] * degree) for r in start}
@@ -122,7 +124,7 @@ def poisson_irls(df: DataFrame, degree: int = 1, tol: float = 1e-10) -> DataFram
         now = spark.createDataFrame([(g, beta[g].tolist()) for g in sorted(genes)], "gene string, b array<double>")
         line = sum((F.col("b")[i] * F.pow("z", F.lit(i)) for i in range(1, k)), F.col("b")[0])
         eta = F.greatest(F.lit(-30.0), F.least(F.lit(30.0), line + F.col("o")))
-        return rows.join(now, "gene").withColumn("eta", eta).withColumn("mu", F.exp("eta"))
+        return rows.join(F.broadcast(now), "gene").withColumn("eta", eta).withColumn("mu", F.exp("eta"))
 
     for _ in range(IRLS_ROUNDS):
         if not going:

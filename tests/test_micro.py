@@ -1,5 +1,6 @@
 """Hand-computed micro inputs."""
 
+import hashlib
 import math
 
 import numpy as np
@@ -830,3 +831,20 @@ def test_warm_up_then_counts_with_a_resting_encoder(spark):
     inner = sum(p.size for p in t.network(t.models[0]).encoder.params())
     longer = trained.fit_slots(slot, c, long(spark, y), networks.Plan(metric="poisson", epochs=5, rate=0.05, hidden=4, warm=3, freeze=True))
     assert longer.best.shape == t.best.shape and np.allclose(longer.best[0, :inner], t.best[0, :inner]) and not np.allclose(short.best[0], t.best[0])
+
+
+def test_best_of_k_sorts_few_losses(spark):
+    """Of 5,000 losses a draw sorts those of least key, with the same least values."""
+    losses = spark.range(5000).selectExpr("id AS run_id", "cast((id * 7919) % 5003 AS double) AS stat")
+    out = studies.best_of_k(losses, [1, 10], 4, 2)
+    assert 40 <= spark.read.parquet(*out.inputFiles()).count() < 5000
+    key = {draw: sorted(range(5000), key=lambda i: hashlib.md5(f"2:{draw}:{i}".encode()).hexdigest()) for draw in range(1, 5)}
+    want = {k: sum(min((i * 7919) % 5003 for i in own[:k]) for own in key.values()) / 4 for k in (1, 10)}
+    assert {r.k: r["mean"] for r in out.collect()} == pytest.approx(want)
+    few = studies.best_of_k(losses.filter("run_id < 3"), [1, 10], 4, 2).collect()
+    assert {r.k for r in few} == {1, 10}
+
+
+def test_poisson_rounds_move_no_rows(spark):
+    rows = spark.createDataFrame([("g", i, float(i % 3), float(i), 1.0) for i in range(12)], "gene string, cell_id long, value double, z double, exposure double")
+    assert "strategy=broadcast" in decoders.poisson_irls(rows)._jdf.queryExecution().optimizedPlan().toString()
