@@ -57,7 +57,7 @@ def crosses(cells: DataFrame, z: DataFrame, r: float, key: str | None = None) ->
         return pa.table(own | {"c": pa.array([(2 * c).tolist()] * some, pa.list_(pa.float64())), "s0": pa.array([2 * s0] * some, pa.float64())})
 
     rows = cells.select(*keys, "cell_id", "x", "y").join(z, "cell_id")
-    return grouped(rows, r, keys, run, kind).groupBy(*keys).agg(total("c").alias("c"), F.sum("s0").alias("s0"))
+    return grouped(rows, r, keys, run, kind, cells).groupBy(*keys).agg(total("c").alias("c"), F.sum("s0").alias("s0"))
 
 
 def squares(expr: DataFrame) -> DataFrame:
@@ -141,7 +141,7 @@ def pooled(cells: DataFrame, z: DataFrame, r: float, bins: int, kind: str, keys:
 
     types = dict(cells.dtypes)
     rows = cells.select(*keys, "cell_id", "x", "y").join(z, "cell_id")
-    each = grouped(rows, r, keys, run, "".join(f"{k} {types[k]}, " for k in keys) + "bin int, n long, d double, c double")
+    each = grouped(rows, r, keys, run, "".join(f"{k} {types[k]}, " for k in keys) + "bin int, n long, d double, c double", cells)
     out = each.groupBy(*keys, "bin").agg(F.sum("n").alias("n_pairs"), (F.sum("d") / F.sum("n")).alias("distance"), (F.sum("c") / F.sum("n")).alias("covariance"))
     return out.withColumn("gamma", 1 - F.col("covariance"))
 

@@ -1,11 +1,12 @@
 """Pairs within a radius by tile, block by block: no pair becomes a row, and cells move five times however dense they are.
 
-A tile is about as wide as the radius. Its group holds its own cells and those of the four tiles
+A tile is as wide as the radius, wider where cells are sparse. Its group holds its own cells and those of the four tiles
 after it, so each pair is met once: in the group of the earlier of its two tiles.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -16,19 +17,34 @@ from pyspark.sql import functions as F
 
 #: Cells of a block; distances of two blocks are held at once.
 BLOCK = 512
+#: Tiles are widened until they hold so many cells on average.
+FULL = 64
 #: The tiles after a tile. With those before it and itself these are the nine around it.
 AFTER = ((1, 0), (-1, 1), (0, 1), (1, 1))
 
 
-def grouped(df: DataFrame, r: float, keys: list[str], run: Callable[[pa.Table], pa.Table], schema: str) -> DataFrame:
+def tile_side(places: DataFrame, r: float) -> float:
+    """The side of a tile: the radius, or up to eight of it where that would hold few of the cells."""
+    w, h, n = places.agg(F.max("x") - F.min("x"), F.max("y") - F.min("y"), F.count("*")).first()
+    held = n * r * r / (w * h) if w and h and w * h > 0 else FULL
+    wide = 2 ** max(0, min(3, math.ceil(math.log2(FULL / held) / 2))) if held > 0 else 8
+    return r * wide * (1 + 1e-9)  # so that rounding can't part a pair by two tiles
+
+
+def grouped(df: DataFrame, r: float, keys: list[str], run: Callable[[pa.Table], pa.Table], schema: str, places: DataFrame | None = None) -> DataFrame:
     """run on each tile's group of df(keys, x, y, ...), which has _own besides; cells without a place are left out.
 
-    The partitions are given by number: few bytes mean much work here, so they must not be merged by size.
+    places: the cells' x and y, where they are found with less work than df. The partitions are
+    given by number: few bytes mean much work here, so they must not be merged by size.
     """
-    side = r * (1 + 1e-9)  # so that rounding can't part a pair by two tiles
-    spark, steps = df.sparkSession, F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in ((0, 0), *AFTER)))
-    placed = df.filter("x IS NOT NULL AND y IS NOT NULL AND NOT isnan(x) AND NOT isnan(y)").withColumn("_o", F.explode(steps))
-    tile = [(F.floor(F.col(c) / side).cast("bigint") - F.col(f"_o.{o}")).alias(t) for c, o, t in (("x", "i", "_tx"), ("y", "j", "_ty"))]
+    df = df.filter("x IS NOT NULL AND y IS NOT NULL AND NOT isnan(x) AND NOT isnan(y)")
+    side = tile_side((df if places is None else places).select("x", "y").filter("NOT isnan(x) AND NOT isnan(y)"), r)
+    spark, own = df.sparkSession, {c: F.floor(F.col(c) / side) for c in ("x", "y")}
+    low, high = ({c: f(c) for c in ("x", "y")} for f in (lambda c: F.col(c) - own[c] * side <= r * (1 + 1e-6), lambda c: (own[c] + 1) * side - F.col(c) <= r * (1 + 1e-6)))
+    meets = {(0, 0): F.lit(True), (1, 0): low["x"], (-1, 1): high["x"] & low["y"], (0, 1): low["y"], (1, 1): low["x"] & low["y"]}
+    steps = [F.when(meets[i, j], F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"))) for i, j in ((0, 0), *AFTER)]
+    placed = df.withColumn("_o", F.explode(F.filter(F.array(*steps), lambda v: v.isNotNull())))
+    tile = [(own[c].cast("bigint") - F.col(f"_o.{o}")).alias(t) for c, o, t in (("x", "i", "_tx"), ("y", "j", "_ty"))]
     put = placed.select(*df.columns, *tile, ((F.col("_o.i") == 0) & (F.col("_o.j") == 0)).alias("_own"))
     at = [*keys, "_tx", "_ty"]
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 8 * spark.sparkContext.defaultParallelism)

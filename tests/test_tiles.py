@@ -110,3 +110,12 @@ def test_nearest_match_by_tile(spark, monkeypatch):
     got = {row.cell_id: (row.match_id, row.d) for row in spatial.nearest_match(c.filter("cell_id % 3 = 0"), c.filter("cell_id % 3 <> 0"), 0.2).collect()}
     want = {int(i): (int(d[i].argmin()), float(d[i].min())) if d[i].min() <= 0.2 else (None, None) for i in np.flatnonzero(a)}
     assert got == want
+
+
+def test_sparse_cells_share_wide_tiles(spark):
+    """A tile is widened where a radius holds few cells; no pair across tiles is lost."""
+    xy = np.random.default_rng(8).uniform(0, 40, (900, 2))
+    c = frame(spark, xy)
+    assert tiles.tile_side(c, 0.8) > 3 and tiles.tile_side(c, 20.0) < 20.1
+    n = (apart(xy) <= 0.8).sum(1) - 1
+    assert {row.cell_id: row.n for row in tiles.neighbour_counts(c, 0.8).collect()} == {i: k for i, k in enumerate(n) if k}
