@@ -5,12 +5,17 @@ counts. One step is one pass over that table: each task adds up the gradients of
 models over its cells, the sums are added up by model, and only they, a few thousand
 numbers a model, reach the driver, which moves the parameters. Cells are never gathered,
 so a layout may be of any size; models run in groups of bounded parameter bytes.
+
+Steps of few cells would be one job each, and jobs would grow with the cells. Models do not
+depend on each other, so then a job takes many steps: each task has some of the models and
+moves them over the same stretch of batches, PASS_BYTES of cells at most.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, replace
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +33,7 @@ from .ranks import hash_rank
 
 GROUP_BYTES = 32 << 20
 CHUNK = 2048
+PASS_BYTES = 32 << 20
 
 
 def cell_table(slots: DataFrame, cells: DataFrame, expr: DataFrame, plan: Plan, by_type: bool = False, covariate: DataFrame | None = None, masks: DataFrame | None = None) -> DataFrame:
@@ -91,6 +97,41 @@ def nested(batch: pa.RecordBatch, name: str) -> np.ndarray:
     return flat.reshape(len(col), -1)
 
 
+@dataclass
+class Rows:
+    """Cells of one batch as matrices, a row a cell."""
+
+    kind: np.ndarray
+    lists: dict[str, np.ndarray]
+
+    @staticmethod
+    def of(batch: pa.RecordBatch) -> Rows:
+        kind = batch.column(batch.schema.names.index("kind")).to_numpy(zero_copy_only=False)
+        return Rows(kind, {c: nested(batch, c) for c in ("xs", "ys", "a", "factor", "cov", "fit", "judge")})
+
+    def at(self, rows: np.ndarray) -> Rows:
+        return Rows(self.kind[rows], {c: m[rows] for c, m in self.lists.items()})
+
+
+def summed(net: DepthModel, models: list[Model], params: np.ndarray, cells: Rows, genes: int, nulls: bool, warm: bool) -> np.ndarray:
+    """For each model: summed training loss, judged loss, values that train and judge, and the gradient."""
+    xs, ys, a, factor, cov, fit, judge = cells.lists.values()
+    total = np.empty((len(models), 4 + params.shape[1]))
+    for k, m in enumerate(models):
+        net.load(params[k])
+        at, own = (0, a[:, m.slot * genes : (m.slot + 1) * genes]) if nulls else (m.slot, a)
+        out = net.predict(np.stack([xs[:, at], ys[:, at]], 1), cells.kind, cov if cov.shape[1] else None)
+        metric = "gaussian" if warm else net.plan.metric
+        if warm:
+            own = np.log1p(own * (1e4 / np.maximum(own.sum(1, keepdims=True), 1)))
+        each = loss_sums(out, own, factor, metric)
+        on = fit[:, m.variant].astype(float)
+        slope = loss_slopes(out, own, factor, metric) * on[:, None]
+        judges = judge[:, m.variant].astype(float)
+        total[k] = np.concatenate([[each @ on, each @ judges, on.sum() * genes, judges.sum() * genes], *(g.ravel() for g in net.gradients(slope))])
+    return total
+
+
 class Trainer:
     """Trains models(slot, rerun, variant) on a cell_table, or with nulls on a null_table."""
 
@@ -108,8 +149,11 @@ class Trainer:
         self.best = np.zeros((len(self.models), size))
         self.found = np.full((len(self.models), 2), np.inf)
         self.history: list[tuple[int, int, float]] = []
-        self.parts = self.batches()
-        step = max(1, GROUP_BYTES // (8 * size))
+        self.n_parts, self.dealt = self.batches()
+        width = sum(table.select(*(F.size(c).alias(c) for c in ("xs", "ys", "a", "factor", "cov", "fit", "judge"))).first())
+        #: Steps of a job: those of PASS_BYTES of cells; 1: a step is a job, which all tasks share.
+        self.stretch = max(1, PASS_BYTES // (8 * width * plan.batch)) if self.n_parts > 1 else 1
+        step = max(1, GROUP_BYTES // (8 * size * (3 if self.stretch > 1 else 1)))
         for i in range(0, len(self.models), step):
             self.train(np.arange(i, min(i + step, len(self.models))))
 
@@ -117,21 +161,24 @@ class Trainer:
         genes, kinds, cov = self.shape
         return DepthModel(genes, replace(self.plan, seed=m.seed), kinds, cov)
 
-    def batches(self) -> list[DataFrame]:
-        """The table in parts of about ``batch`` cells, dealt by hash once, for all models and epochs alike.
+    @property
+    def parts(self) -> list[DataFrame]:
+        return [self.dealt.filter(F.col("batch") == i).drop("batch") for i in range(self.n_parts)] if self.n_parts > 1 else [self.table]
+
+    def batches(self) -> tuple[int, DataFrame]:
+        """How many parts of about ``batch`` cells there are, dealt by hash once for all models and epochs alike, and the table with a column batch.
 
         The parts are folders of one written table, so a step reads its own and moves nothing.
         """
         n = self.table.count()
         k = max(1, -(-n // self.plan.batch)) if self.plan.batch else 1
         if k == 1:
-            return [self.table]
+            return 1, self.table
         path = scratch(self.table.sparkSession, "batches")
         bucket = hash_rank(self.table, [], order_key(self.plan.seed, "cell_id"), "cell_id", rows=n)
         dealt = bucket.withColumn("batch", ((F.col("_r") - 1) % k).cast("int")).drop("_r")
         dealt.repartition(k, "batch").write.partitionBy("batch").option("compression", "zstd").parquet(path)
-        whole = self.table.sparkSession.read.schema(dealt.schema).parquet(path)
-        return [whole.filter(F.col("batch") == i).drop("batch") for i in range(k)]
+        return k, self.table.sparkSession.read.schema(dealt.schema).parquet(path)
 
     def train(self, rows: np.ndarray) -> None:
         """Steps over the parts until the epochs or every model's patience run out; the best state of each is kept.
@@ -143,26 +190,29 @@ class Trainer:
         adam = Adam(np.stack([self.network(self.models[i]).flat() for i in rows]), plan.rate)
         left = np.full(len(rows), plan.patience)
         active = np.arange(len(rows))
-        parts = self.parts
+        n_parts = self.n_parts
         inner = sum(p.size for p in self.network(self.models[0]).encoder.params())
         for epoch in range(plan.epochs):
             warm = plan.metric == "poisson" and epoch < plan.warm
             fixed = inner if plan.freeze and plan.metric == "poisson" and 0 < plan.warm <= epoch else 0
             if plan.metric == "poisson" and plan.warm and epoch == plan.warm:  # losses of another kind begin
                 self.found[rows[active]], left[active] = np.inf, plan.patience
-            order = np.random.default_rng([plan.seed, epoch]).permutation(len(parts))
-            for step, part in enumerate(order):
+            order = np.random.default_rng([plan.seed, epoch]).permutation(n_parts)
+            for first in range(0, len(order), self.stretch):
+                numbers = order[first : first + self.stretch]
+                rates = [self.rate((epoch * n_parts + first + i) / (plan.epochs * n_parts)) for i in range(len(numbers))]
                 own = [self.models[i] for i in rows[active]]
-                sums = self.sums(own, adam.params[active], parts[part], warm)
-                seen = self.counts[[m.variant for m in own]] if len(parts) == 1 else np.maximum(sums[:, 2:4], 1)
+                if self.stretch > 1:
+                    self.moved(own, adam, active, numbers, rates, fixed, warm)
+                    continue
+                sums = self.sums(own, adam.params[active], self.table if n_parts == 1 else self.dealt.filter(F.col("batch") == int(numbers[0])), warm)
+                seen = self.counts[[m.variant for m in own]] if n_parts == 1 else np.maximum(sums[:, 2:4], 1)
                 before = active
-                if len(parts) == 1 and not (active := self.judged(rows, active, left, epoch, sums[:, :2] / seen, adam.params)).size:
+                if n_parts == 1 and not (active := self.judged(rows, active, left, epoch, sums[:, :2] / seen, adam.params)).size:
                     return
                 at = np.isin(before, active)
-                progress = (epoch * len(parts) + step) / (plan.epochs * len(parts))
-                rate = plan.least_rate + (plan.rate - plan.least_rate) * (1 + np.cos(np.pi * progress)) / 2 if plan.cosine else plan.rate
-                adam.step(active, (sums[:, 4:] / seen[:, :1])[at], rate, fixed)
-            if len(parts) > 1:
+                adam.step(active, (sums[:, 4:] / seen[:, :1])[at], rates[0], fixed)
+            if n_parts > 1:
                 own = [self.models[i] for i in rows[active]]
                 sums = self.sums(own, adam.params[active], self.table, warm)
                 if not (active := self.judged(rows, active, left, epoch, sums[:, :2] / self.counts[[m.variant for m in own]], adam.params)).size:
@@ -177,6 +227,42 @@ class Trainer:
         left[active] = np.where(better, self.plan.patience, left[active] - 1)
         return active[left[active] > 0]
 
+    def rate(self, progress: float) -> float:
+        plan = self.plan
+        return plan.least_rate + (plan.rate - plan.least_rate) * (1 + np.cos(np.pi * progress)) / 2 if plan.cosine else plan.rate
+
+    def moved(self, models: list[Model], adam: Adam, active: np.ndarray, numbers: np.ndarray, rates: list[float], fixed: int, warm: bool) -> None:
+        """Steps over the numbered batches in turn, as one job: a task has some of the models and reads all these batches."""
+        spark, plan, shape, nulls = self.table.sparkSession, self.plan, self.shape, self.nulls
+        teams = min(len(models), spark.sparkContext.defaultParallelism)
+        shared = spark.sparkContext.broadcast((adam.params[active], adam.m[active], adam.v[active], adam.t))  # at most GROUP_BYTES
+
+        def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held = [b for b in batches if b.num_rows]
+            if not held:
+                return
+            whole = pa.Table.from_batches(held).combine_chunks()
+            at = {name: whole.column(name).to_numpy() for name in ("team", "batch")}
+            cells = Rows.of(whole.drop_columns(["team"]).to_batches()[0])
+            net = DepthModel(shape[0], plan, shape[1], shape[2])
+            for team in np.unique(at["team"]):
+                mine = np.arange(team, len(models), teams)
+                own, state = [models[i] for i in mine], Adam(shared.value[0][mine], plan.rate)
+                state.m, state.v, state.t = shared.value[1][mine], shared.value[2][mine], shared.value[3]
+                for number, rate in zip(numbers, rates, strict=True):
+                    sums = summed(net, own, state.params, cells.at(np.flatnonzero((at["team"] == team) & (at["batch"] == number))), shape[0], nulls, warm)
+                    state.step(np.arange(len(own)), sums[:, 4:] / np.maximum(sums[:, 2:3], 1), rate, fixed)
+                yield pa.RecordBatch.from_arrays([pa.array(mine.astype(np.int32)), pa.array(list(np.concatenate([state.params, state.m, state.v], 1)), pa.list_(pa.float64()))], names=["model", "state"])
+
+        stretch = self.dealt.filter(F.col("batch").isin(numbers.tolist())).coalesce(1)
+        # Spark puts branches of one partition each into one task; a branch of none keeps them apart
+        branches = [self.dealt.filter("batch < 0").withColumn("team", F.lit(-1)), *(stretch.withColumn("team", F.lit(i)) for i in range(teams))]
+        got = reduce(DataFrame.unionByName, branches).drop("cell_id").mapInArrow(run, "model int, state array<double>").toArrow()
+        shared.destroy()
+        at = active[got.column("model").to_numpy()]
+        adam.params[at], adam.m[at], adam.v[at] = np.split(np.stack(got.column("state").to_numpy(zero_copy_only=False)), 3, axis=1)
+        adam.t += len(numbers)
+
     def sums(self, models: list[Model], params: np.ndarray, table: DataFrame, warm: bool = False) -> np.ndarray:
         """For each model over the table's cells: summed training loss, judged loss, values that train and judge, and the gradient."""
         spark, plan, shape, nulls = self.table.sparkSession, self.plan, self.shape, self.nulls
@@ -186,23 +272,8 @@ class Trainer:
             state, total, net = shared.value, None, DepthModel(shape[0], plan, shape[1], shape[2])
             for whole in batches:
                 for lo in range(0, whole.num_rows, CHUNK):
-                    batch = whole.slice(lo, CHUNK)
-                    xs, ys, a, factor, cov, fit, judge = (nested(batch, c) for c in ("xs", "ys", "a", "factor", "cov", "fit", "judge"))
-                    kind = batch.column(batch.schema.names.index("kind")).to_numpy()
-                    if total is None:
-                        total = np.zeros((len(models), 4 + state.shape[1]))
-                    for k, m in enumerate(models):
-                        net.load(state[k])
-                        at, own = (0, a[:, m.slot * shape[0] : (m.slot + 1) * shape[0]]) if nulls else (m.slot, a)
-                        out = net.predict(np.stack([xs[:, at], ys[:, at]], 1), kind, cov if shape[2] else None)
-                        metric = "gaussian" if warm else plan.metric
-                        if warm:
-                            own = np.log1p(own * (1e4 / np.maximum(own.sum(1, keepdims=True), 1)))
-                        each = loss_sums(out, own, factor, metric)
-                        on = fit[:, m.variant].astype(float)
-                        slope = loss_slopes(out, own, factor, metric) * on[:, None]
-                        judges = judge[:, m.variant].astype(float)
-                        total[k] += np.concatenate([[each @ on, each @ judges, on.sum() * shape[0], judges.sum() * shape[0]], *(g.ravel() for g in net.gradients(slope))])
+                    got = summed(net, models, state, Rows.of(whole.slice(lo, CHUNK)), shape[0], nulls, warm)
+                    total = got if total is None else total + got
             if total is not None:
                 yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(models), dtype=np.int32)), pa.array(list(total), pa.list_(pa.float64()))], names=["model", "sums"])
 

@@ -816,6 +816,25 @@ def test_steps_equal_one_array(spark, batch):
     assert len(got) == 4 and np.allclose(got, want)
 
 
+def test_steps_of_a_stretch_are_one_job(spark, monkeypatch):
+    """30 batches make no 30 jobs, and models move as they do with a job a step."""
+    rng = np.random.default_rng(16)
+    s, a = rng.uniform(size=(60, 2)), rng.normal(size=(60, 3))
+    c = cells(spark, s)
+    slots = nulls.coordinate_permutation(c, 2, 5)
+    plan = networks.Plan(epochs=2, rate=0.05, hidden=4, batch=2, cosine=True)
+    table, sc, jobs, found = trained.cell_table(slots, c, long(spark, a), plan), spark.sparkContext, [], []
+    for size in (trained.PASS_BYTES, 0):
+        monkeypatch.setattr(trained, "PASS_BYTES", size)
+        sc.setJobGroup(f"stretch {size}", "")
+        t = trained.Trainer(table, plan, 3, reruns=2)
+        jobs.append(len(sc.statusTracker().getJobIdsForGroup(f"stretch {size}")))
+        found.append([(*r[:-1], round(r.loss, 9)) for r in t.trajectory().orderBy("epoch", "slot", "rerun").collect()])
+    sc.setLocalProperty("spark.jobGroup.id", None)
+    assert jobs[0] < 30 < 60 < jobs[1]
+    assert found[0] == found[1] and len(found[0]) == 12
+
+
 def test_warm_up_then_counts_with_a_resting_encoder(spark):
     rng = np.random.default_rng(15)
     s = rng.uniform(size=(50, 2))
