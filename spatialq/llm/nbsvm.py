@@ -138,17 +138,15 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, cost: float = 1.0, epochs: i
     if len(y) == 0 or abs(y.sum()) == len(y):
         return Model(np.zeros(SIZE, np.float32), np.zeros(SIZE, np.float32), 0.0 if len(y) == 0 else float(y[0]) * 4.6)
     ratio = log_count_ratios(rows, y)
-    xs = []
-    for r in rows:
-        x = ratio[r]
-        xs.append(x / max(np.sqrt(x @ x), 1e-12))
+    length = [max(np.sqrt((x := ratio[r]) @ x), 1e-12) for r in rows]
     w, bias = np.zeros(SIZE), 0.0
     share = {1.0: (y > 0).mean(), -1.0: (y < 0).mean()}
     top = np.array([cost / (2 * share[v]) for v in y])
     alpha, rng = np.zeros(len(y)), np.random.default_rng(seed)
     for _ in range(epochs):
         for i in rng.permutation(len(y)):
-            r, x = rows[i], xs[i]
+            r = rows[i]
+            x = ratio[r] / length[i]  # not kept: all rows together are most of the driver's memory
             gradient = y[i] * (w[r] @ x + bias) - 1.0
             new = min(max(alpha[i] - gradient / 2.0, 0.0), top[i])  # x·x + 1 for the bias = 2
             if new != alpha[i]:
@@ -183,7 +181,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, max_train: int
             )
 
     got = rows.mapInArrow(extract, "doc_id long, y int, f array<int>").toArrow().sort_by([("doc_id", "ascending"), ("y", "ascending")])
-    flat = [np.asarray(x.values, np.int64) for x in got.column("f")]
+    flat = [x.values.to_numpy() for x in got.column("f")]  # views of the collected buffers
     return flat, got.column("y").to_numpy().astype(np.int64)
 
 

@@ -610,3 +610,19 @@ def test_mixing_meets_its_targets(spark):
     assert {r.doc_id: r["count"] for r in out.groupBy("doc_id").count().collect()} == flat
     assert all(r.rate == 1 for r in mixing.mix_table(docs, labels.limit(0), {"vowel": 1}).collect())
     assert mixing.mix_table(docs.limit(0), labels, {"vowel": 1}).count() == 0
+
+
+def test_training_keeps_no_second_copy_of_its_rows():
+    """Fitting allocates less than a double for each indicator of the sample."""
+    import tracemalloc
+
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    rows = [np.unique(rng.integers(0, nbsvm.SIZE, 3000)).astype(np.int32) for _ in range(400)]
+    labels = np.arange(400) % 2
+    tracemalloc.start()
+    model = nbsvm.fit(rows, labels, epochs=1)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 8 * sum(map(len, rows)) / 2 and np.abs(model.weights).max() > 0
