@@ -25,7 +25,7 @@ from ..functions.portable import uniform
 from ..functions.surrogates import turned_modes
 from ..sources.scratch import written
 from .halo import arrays, least_distance, matrix, weighted_sums
-from .ranks import bucket_rank, value_bucket
+from .ranks import bucket_rank
 from .vectors import total
 
 #: Lanczos steps of the null measurements: basis columns are at most this many times the genes.
@@ -211,12 +211,21 @@ def mode_surrogates(
     return truth.unionByName(dealt_by_rank(truth, nulls) if ranks else nulls)
 
 
-def dealt_by_rank(truth: DataFrame, nulls: DataFrame) -> DataFrame:
-    """(slot, cell_id, a): each gene's true values in the order of every null's, over all cells. The truth is ranked once."""
+def dealt_by_rank(truth: DataFrame, nulls: DataFrame, per_task: int = 200_000) -> DataFrame:
+    """(slot, cell_id, a): each gene's true values in the order of every null's, over all cells. The truth is ranked once.
+
+    A gene's cells are cut at its true values' quantiles, so buckets grow in number with the cells alone.
+    """
+    k = -(-truth.count() // per_task)
+    flat = truth.select("slot", "cell_id", F.posexplode("a").alias("g", "value"))
+    bounds = flat.groupBy("g").agg(F.percentile_approx("value", [i / k for i in range(1, k)], 10 * k).alias("bounds")) if k > 1 else None
 
     def ranked(df: DataFrame, keys: list[str]) -> DataFrame:
         flat = df.select("slot", "cell_id", F.posexplode("a").alias("g", "value"))
-        return bucket_rank(flat, keys, value_bucket(flat, "value", 200_000), ["value", "cell_id"])
+        if bounds is None:
+            return bucket_rank(flat, keys, None, ["value", "cell_id"])
+        cut = flat.join(F.broadcast(bounds), "g")  # one row a gene
+        return bucket_rank(cut, keys, F.size(F.filter("bounds", lambda b: b <= F.col("value"))), ["value", "cell_id"]).drop("bounds")
 
     own = ranked(truth, ["g"]).select("g", "_r", "value")
     places = ranked(written(nulls, "nulls"), ["slot", "g"]).select("slot", "cell_id", "g", "_r")

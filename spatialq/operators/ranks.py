@@ -16,7 +16,22 @@ def value_bucket(values: DataFrame, column: str, per_task: int) -> Column | None
         return None
     k = -(-n // per_task)
     bounds = sorted(set(values.select(F.percentile_approx(column, [i / k for i in range(1, k)], 10 * k)).first()[0]))
-    return F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b <= F.col(column)))
+    return bucket_of(bounds, F.col(column))
+
+
+def bucket_of(bounds: list, value: Column) -> Column:
+    """How many of the sorted bounds are not above the value, by about 2 sqrt(len(bounds)) comparisons."""
+    step = max(1, math.isqrt(len(bounds)))
+    runs = [bounds[i : i + step] for i in range(0, len(bounds), step)]
+    if not runs:
+        return F.lit(0)
+
+    def upto(edges: Column) -> Column:
+        return F.size(F.filter(edges, lambda b: b <= value))
+
+    coarse = upto(F.array(*(F.lit(r[0]) for r in runs)))
+    fine = upto(F.get(F.array(*(F.array(*map(F.lit, r)) for r in runs)), F.greatest(coarse - 1, F.lit(0))))
+    return F.greatest(coarse - 1, F.lit(0)) * step + fine
 
 
 def cumulated(counts: DataFrame, value: str, keys: list[str], per_task: int = 200_000) -> DataFrame:

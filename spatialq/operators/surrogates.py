@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -76,9 +78,10 @@ def phase_surrogates(cells: DataFrame, expr: DataFrame, n: int, seed: int) -> Da
 
 
 def standardised(nulls: DataFrame) -> DataFrame:
-    """Every gene of every slot to mean 0 and deviation 1."""
-    flat = nulls.select("slot", "cell_id", F.posexplode("a").alias("g", "v"))
-    stats = flat.groupBy("slot", "g").agg(F.avg("v").alias("m"), F.stddev_pop("v").alias("s"))
-    z = flat.join(stats, ["slot", "g"]).select("slot", "cell_id", "g", ((F.col("v") - F.col("m")) / (F.col("s") + 1e-8)).alias("v"))
-    rows = z.groupBy("slot", "cell_id").agg(F.sort_array(F.collect_list(F.struct("g", "v"))).alias("r"))
-    return rows.select("slot", "cell_id", F.col("r.v").alias("a"))
+    """Every gene of every slot to mean 0 and deviation 1. Sums come by slot, so no cell is moved."""
+    v = array_to_vector("a")
+    stats = nulls.groupBy("slot").agg(F.count("*").alias("n"), *(vector_to_array(f(v)).alias(c) for c, f in (("m", Summarizer.mean), ("s", Summarizer.variance))))
+    share = F.when(F.col("n") > 1, (F.col("n") - 1) / F.col("n")).otherwise(0.0)
+    stats = stats.select("slot", "m", F.transform("s", lambda s: F.sqrt(s * share) + 1e-8).alias("s"))
+    away = F.zip_with("a", "m", lambda v, m: v - m)
+    return nulls.join(F.broadcast(stats), "slot").select("slot", "cell_id", F.zip_with(away, "s", lambda d, s: d / s).alias("a"))  # a row a slot

@@ -867,3 +867,23 @@ def test_best_of_k_sorts_few_losses(spark):
 def test_poisson_rounds_move_no_rows(spark):
     rows = spark.createDataFrame([("g", i, float(i % 3), float(i), 1.0) for i in range(12)], "gene string, cell_id long, value double, z double, exposure double")
     assert "strategy=broadcast" in decoders.poisson_irls(rows)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_ranks_of_genes_are_cut_by_cells_not_by_values(spark):
+    """True values dealt in the nulls' order, with buckets or without; genes of other scales; rows are standardised where they are."""
+    rng = np.random.default_rng(17)
+    a, b = rng.normal(size=(50, 3)) * [1, 100, 0.01], rng.normal(size=(2, 50, 3)) * [1, 100, 0.01]
+    kind = "slot int, cell_id long, a array<double>"
+    truth = spark.createDataFrame([(0, i, v.tolist()) for i, v in enumerate(a)], kind)
+    null = spark.createDataFrame([(k + 1, i, v.tolist()) for k in range(2) for i, v in enumerate(b[k])], kind)
+    want = np.stack([np.take_along_axis(np.sort(a, 0), z.argsort(0).argsort(0), 0) for z in b])
+    for per_task in (200_000, 12):
+        got = modes.dealt_by_rank(truth, null, per_task)
+        assert np.array_equal([r.a for r in got.orderBy("slot", "cell_id").collect()], want.reshape(-1, 3))
+    z = spectral.standardised(null)
+    assert "Generate" not in z._jdf.queryExecution().optimizedPlan().toString()
+    exact = (b - b.mean(1, keepdims=True)) / (b.std(1, keepdims=True) + 1e-8)
+    assert np.allclose([r.a for r in z.orderBy("slot", "cell_id").collect()], exact.reshape(-1, 3))
+    edges = [0.0, 0.5, 1.0, 2.0, 2.5, 4.0, 7.0]
+    at = spark.createDataFrame([(float(v),) for v in np.arange(-1, 9, 0.5)], "v double")
+    assert all(r.b == sum(e <= r.v for e in edges) for r in at.select("v", ranks.bucket_of(edges, F.col("v")).alias("b")).collect())
