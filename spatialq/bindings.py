@@ -23,10 +23,11 @@ def dense_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def dense_expr(spark: SparkSession, sf_dir: str, genes: int = DENSE_GENES) -> DataFrame:
-    """The other elements as measurements g02, g03, ..., unfolded in one pass over the vectors."""
-    raw = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("cell_id"), F.posexplode(F.slice("embedding", 3, genes)).alias("i", "v"))
-    return raw.select("cell_id", F.concat(F.lit("g"), F.lpad((F.col("i") + 2).cast("string"), 2, "0")).alias("gene"), F.col("v").cast("double").alias("value"))
+def dense_expr(spark: SparkSession, sf_dir: str, genes: int = DENSE_GENES, with_x: bool = False) -> DataFrame:
+    """The other elements as measurements g02, g03, ..., unfolded in one pass over the vectors; with_x: beside the cell's x."""
+    x = [F.col("embedding")[0].cast("double").alias("x")] if with_x else []
+    raw = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("cell_id"), *x, F.posexplode(F.slice("embedding", 3, genes)).alias("i", "v"))
+    return raw.select("cell_id", *(["x"] if with_x else []), F.concat(F.lit("g"), F.lpad((F.col("i") + 2).cast("string"), 2, "0")).alias("gene"), F.col("v").cast("double").alias("value"))
 
 
 def count_cells(spark: SparkSession, sf_dir: str) -> DataFrame:

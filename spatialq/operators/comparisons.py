@@ -12,6 +12,7 @@ from . import nulls as N
 from . import trained as T
 from .metrics import permutation_p
 from .ranks import bh_qvalues
+from .vectors import gene_order
 
 
 def perturbed(cells: DataFrame, deltas: list[float], n: int, seed: int) -> DataFrame:
@@ -113,21 +114,31 @@ def recursive_svg(cells: DataFrame, expr: DataFrame, plan: Plan, n_perms: int, s
 
     gradient_p: the p-value of the gradient's own test. A gradient that calls no gene ends
     the search, as does one that leaves none.
+
+    Layouts and measurements are packed by cell once; a later gradient reads that table
+    without the called genes. reruns, by_type, covariate and masks are those of fit_slots.
     """
-    spark = cells.sparkSession
-    found = spark.createDataFrame([], GRADIENT)
+    found = cells.sparkSession.createDataFrame([], GRADIENT)
+    expr = written(expr.select("cell_id", "gene", "value"), "expr")
+    genes = gene_order(expr)
+    reruns = fit.pop("reruns", 1)
+    table = T.cell_table(N.coordinate_permutation(cells, n_perms, seed), cells, expr, plan, **fit)
     for g in range(1, max_gradients + 1):
-        t = T.fit_slots(N.coordinate_permutation(cells, n_perms, seed), cells, expr, plan, **fit)
+        t = T.fit_table(table, plan, reruns)
         p = T.test(t, metric).first()["p_value"]
         if p >= alpha:
             break
-        depth = t.depths().filter("slot = 0").select("cell_id", F.col("depth").alias("z"))
-        tests = bh_qvalues(D.with_f_p(D.quadratic_fit(expr.join(depth, "cell_id"), ["gene"]), 2).select("gene", "p_value"))
-        own = written(tests.filter(F.col("q_value") < alpha).select(F.lit(g).alias("gradient"), "gene", "p_value", "q_value", F.lit(float(p)).alias("gradient_p")), "called", 1)
-        if own.isEmpty():
+        rows = t.with_depth().select("z", F.posexplode("a").alias("i", "value"))
+        fits = D.with_f_p(D.quadratic_fit(rows, ["i"]), 2)
+        tests = written(fits.select(F.get(F.array(*map(F.lit, genes)), "i").alias("gene"), "p_value"), "tests", 1)
+        own = written(bh_qvalues(tests).filter(F.col("q_value") < alpha).select(F.lit(g).alias("gradient"), "gene", "p_value", "q_value", F.lit(float(p)).alias("gradient_p")), "called", 1)
+        called = {r[0] for r in own.select("gene").collect()}  # a dimension
+        if not called:
             break
         found = found.unionByName(own)
-        expr = written(expr.join(own.select("gene"), "gene", "left_anti"), "expr")
-        if expr.isEmpty():
+        kept = [gene not in called for gene in genes]
+        if g == max_gradients or not any(kept):
             break
+        table = T.narrowed(table, kept, plan, fit.get("by_type", False))
+        genes = [gene for gene in genes if gene not in called]
     return found

@@ -41,10 +41,10 @@ def zscore(expr: DataFrame, keys: tuple[str, ...] = ("gene",)) -> DataFrame:
     """(value - mean) / (deviation + 1e-8) within the keys.
 
     Means come from a partial aggregate and a join with one row a gene, not from a
-    window that would sort every gene's cells.
+    window that would sort every gene's cells. These rows are sent to the values, which are not moved.
     """
     stats = gene_stats(expr, keys)
-    return expr.join(stats, list(keys)).withColumn("value", (F.col("value") - F.col("_m")) / (F.col("_s") + EPS)).drop("_m", "_s")
+    return expr.join(F.broadcast(stats), list(keys)).withColumn("value", (F.col("value") - F.col("_m")) / (F.col("_s") + EPS)).drop("_m", "_s")
 
 
 def residuals(expr: DataFrame, cells: DataFrame) -> DataFrame:

@@ -32,14 +32,15 @@ from .metrics import nll_of_mse, permutation_p
 from .ranks import hash_rank
 
 GROUP_BYTES = 32 << 20
-CHUNK = 2048
+#: Cells of one round of matrices: few enough that these stay in the processor's cache.
+CHUNK = 512
 PASS_BYTES = 32 << 20
 
 
 def cell_table(slots: DataFrame, cells: DataFrame, expr: DataFrame, plan: Plan, by_type: bool = False, covariate: DataFrame | None = None, masks: DataFrame | None = None) -> DataFrame:
-    """One row a cell: xs, ys (by slot), a and factor (by gene), kind, cov, fit and judge (by variant).
+    """One row a cell: xs, ys (by slot), a (by gene), factor, kind, cov, fit and judge (by variant).
 
-    Layouts take the true layout's mean and scale. covariate: (cell_id, z), an input of
+    factor: one number a gene for a Poisson loss by type, one for all genes otherwise. Layouts take the true layout's mean and scale. covariate: (cell_id, z), an input of
     the decoder. masks: (variant, cell_id, fit, judge), which cells train and judge each
     variant of a model; cells that a variant does not name are out of it.
     """
@@ -47,13 +48,14 @@ def cell_table(slots: DataFrame, cells: DataFrame, expr: DataFrame, plan: Plan,
     place = [((F.col(c) - F.col(f"_m{c}")) / F.when(F.col(f"_s{c}") > 1e-8, F.col(f"_s{c}")).otherwise(1.0)).alias(c) for c in "xy"]
     lay = slots.crossJoin(F.broadcast(m)).select("cell_id", F.struct("slot", *place).alias("p"))
     lay = lay.groupBy("cell_id").agg(F.sort_array(F.collect_list("p")).alias("p")).select("cell_id", F.col("p.x").alias("xs"), F.col("p.y").alias("ys"))
-    if plan.metric == "poisson" and by_type:
+    by_gene = plan.metric == "poisson" and by_type
+    if by_gene:
         typed = expr.join(cells.select("cell_id", "cell_type"), "cell_id")
         expr = typed.join(type_size_factors(expr, cells), ["cell_type", "gene"]).select("cell_id", "gene", "value", "factor")
     else:
         expr = expr.withColumn("factor", F.lit(1.0))
     rows = expr.groupBy("cell_id").agg(F.sort_array(F.collect_list(F.struct("gene", "value", "factor"))).alias("v"), F.sum("value").alias("total"))
-    factor = F.col("v.factor") if by_type else F.transform("v", lambda _: F.col("total"))
+    factor = F.col("v.factor") if by_gene else F.array("total") if plan.metric == "poisson" else F.array(F.lit(1.0))
     rows = rows.select("cell_id", F.col("v.value").alias("a"), factor.alias("factor"))
     kinds = sorted(str(r[0]) for r in cells.select("cell_type").distinct().collect()) if by_type else []  # a few types
     kind = F.array_position(F.array(*map(F.lit, kinds)), F.col("cell_type").cast("string")).cast("int") - 1 if by_type else F.lit(0)
@@ -73,6 +75,18 @@ def cell_table(slots: DataFrame, cells: DataFrame, expr: DataFrame, plan: Plan,
     return written(own, "cells")
 
 
+def narrowed(table: DataFrame, kept: list[bool], plan: Plan, by_type: bool = False) -> DataFrame:
+    """A cell_table with the kept genes only, given in its order: cells are read once, and nothing is moved."""
+    def pick(c: str):
+        return F.filter(c, lambda _, i: F.get(F.array(*map(F.lit, kept)), i))
+
+    out = table.withColumn("a", pick("a"))
+    if plan.metric == "poisson":
+        total = F.aggregate("a", F.lit(0.0), lambda s, v: s + F.coalesce(v, F.lit(0.0)))
+        out = out.withColumn("factor", pick("factor") if by_type else F.array(total))
+    return written(out, "cells")
+
+
 def null_table(cells: DataFrame, nulls: DataFrame) -> DataFrame:
     """As cell_table, for one layout and nulls(slot, cell_id, a) that change the measurements: a holds those of all slots in turn."""
     m = cells.agg(*(f(c).alias(f"_{n}{c}") for c in "xy" for n, f in (("m", F.avg), ("s", F.stddev_pop))))
@@ -323,6 +337,22 @@ class Trainer:
 
         return self.table.mapInArrow(run, "slot int, variant int, cell_id long, depth double, used boolean")
 
+    def with_depth(self) -> DataFrame:
+        """(z, a): each cell's depth in the true layout beside its measurements, for every variant."""
+        at = [i for i in self.chosen() if self.models[i].slot == 0]
+        shared = self.table.sparkSession.sparkContext.broadcast(self.best[at])
+        plan, shape = self.plan, self.shape
+
+        def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            net = DepthModel(shape[0], plan, shape[1], shape[2])
+            for batch in batches:
+                place = np.stack([nested(batch, c)[:, 0] for c in ("xs", "ys")], 1)
+                for state in shared.value:
+                    z = net.load(state).encoder.forward(place)[:, 0]
+                    yield pa.RecordBatch.from_arrays([pa.array(z), batch.column(batch.schema.names.index("a"))], names=["z", "a"])
+
+        return self.table.select("xs", "ys", "a").mapInArrow(run, "z double, a array<double>")
+
 
 def statistics(trainer: Trainer, metric: str = "mse") -> DataFrame:
     """(slot, variant, n, stat) of each slot's rerun of least training loss.
@@ -335,9 +365,13 @@ def statistics(trainer: Trainer, metric: str = "mse") -> DataFrame:
 
 def fit_slots(slots: DataFrame, cells: DataFrame, expr: DataFrame, plan: Plan, reruns: int = 1, by_type: bool = False, covariate: DataFrame | None = None, masks: DataFrame | None = None) -> Trainer:
     """Models of layouts 0..n; with masks one for each variant of each layout."""
-    n_slots = slots.agg(F.max("slot")).first()[0] + 1
-    variants = 1 if masks is None else masks.agg(F.max("variant")).first()[0] + 1
-    return Trainer(cell_table(slots, cells, expr, plan, by_type, covariate, masks), plan, n_slots, reruns, variants)
+    return fit_table(cell_table(slots, cells, expr, plan, by_type, covariate, masks), plan, reruns)
+
+
+def fit_table(table: DataFrame, plan: Plan, reruns: int = 1) -> Trainer:
+    """Models of the layouts and variants of a cell_table; their numbers are read from it, so layouts are not drawn again."""
+    n_slots, variants = table.agg(F.max(F.size("xs")), F.max(F.size("fit"))).first()
+    return Trainer(table, plan, n_slots or 1, reruns, variants or 1)
 
 
 def fit_nulls(cells: DataFrame, nulls: DataFrame, plan: Plan, reruns: int = 1) -> Trainer:

@@ -136,10 +136,10 @@ def binning_test(spark, d):
 @query()
 def recursive_svg(spark, d):
     """Gradients one after another on measurements with a planted axis: two of the genes follow x."""
-    cells, e = inputs(spark, d)
+    e = E.zscore(B.dense_expr(spark, d, with_x=True))
     strong = F.when(F.col("gene").isin("g02", "g03"), F.col("value") + 40 * F.col("x")).otherwise(F.col("value"))
-    planted = e.join(cells.select("cell_id", "x"), "cell_id").select("cell_id", "gene", strong.alias("value"))
-    return C.recursive_svg(cells, E.zscore(planted), Plan(epochs=25, rate=0.05), 9, 3, alpha=0.2, max_gradients=2)
+    planted = e.select("cell_id", "gene", strong.alias("value"))
+    return C.recursive_svg(B.dense_cells(spark, d), E.zscore(planted), Plan(epochs=25, rate=0.05), 9, 3, alpha=0.2, max_gradients=2)
 
 
 @query()

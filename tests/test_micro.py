@@ -391,6 +391,46 @@ def test_recursive_gradients(spark):
     assert {"g0", "g1"} <= {r.gene for r in got if r.gradient == 1}
 
 
+def test_later_gradients_read_the_first_table(spark, monkeypatch):
+    """Layouts are drawn and cells packed once, and each gradient is the one that its genes alone would give."""
+    c = cells(spark, [(i % 10, i // 10) for i in range(100)])
+    a = np.random.default_rng(7).normal(size=(100, 6))
+    a[:, :3] += 3.0 * (np.arange(100) % 10)[:, None]
+    a[:, 3:5] += 3.0 * (np.arange(100) // 10)[:, None]
+    e, plan = expr.zscore(long(spark, a)), networks.Plan(epochs=60, rate=0.05, hidden=8)
+    calls, whole = [], trained.cell_table
+    monkeypatch.setattr(trained, "cell_table", lambda *x, **k: calls.append(1) or whole(*x, **k))
+    got = comparisons.recursive_svg(c, e, plan, 4, 3, alpha=0.3, max_gradients=2).toPandas()
+    assert len(calls) == 1 and got["gradient"].nunique() > 1
+    left = e
+    for g, own in got.groupby("gradient"):
+        t = trained.fit_slots(nulls.coordinate_permutation(c, 4, 3), c, left, plan)
+        assert own["gradient_p"].iloc[0] == trained.test(t).first()["p_value"]
+        z = t.depths().filter("slot = 0").select("cell_id", F.col("depth").alias("z"))
+        tests = ranks.bh_qvalues(decoders.with_f_p(decoders.quadratic_fit(left.join(z, "cell_id"), ["gene"]), 2))
+        want = {r.gene: r.q_value for r in tests.filter("q_value < 0.3").collect()}
+        assert want.keys() == set(own["gene"])
+        assert np.allclose([want[x] for x in own["gene"]], own["q_value"], atol=1e-6)
+        left = left.filter(~F.col("gene").isin(own["gene"].tolist()))
+
+
+@pytest.mark.parametrize("metric, by_type", [("gaussian", False), ("gaussian", True), ("poisson", False), ("poisson", True)])
+def test_narrowed_tables_are_those_of_the_kept_genes(spark, metric, by_type):
+    c = cells(spark, [(i, i % 3) for i in range(8)]).withColumn("cell_type", F.col("cell_id") % 2)
+    e, plan = long(spark, np.random.default_rng(1).poisson(3.0, size=(8, 4)).astype(float)), networks.Plan(metric=metric)
+    lay = nulls.coordinate_permutation(c, 2, 1)
+    table = trained.cell_table(lay, c, e, plan, by_type)
+    assert table.select(F.max(F.size("factor"))).first()[0] == (4 if metric == "poisson" and by_type else 1)
+    got = trained.narrowed(table, [True, False, False, True], plan, by_type).orderBy("cell_id").collect()
+    assert got == trained.cell_table(lay, c, e.filter("gene IN ('g0', 'g3')"), plan, by_type).select(*table.columns).orderBy("cell_id").collect()
+
+
+def test_scores_do_not_move_the_values(spark):
+    e = long(spark, np.arange(12.0).reshape(6, 2))
+    z = expr.zscore(e.repartition(3))
+    assert "strategy=broadcast" in z._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_mode_mask_turns_long_scales():
     assert surrogates.turned_modes(np.array([4.0, 0.25, -0.25, -4.0]), 1.0, 1.0).tolist() == [False, True, True, False]
     assert surrogates.turned_modes(np.array([4.0]), 0.0, 1.0).all()
