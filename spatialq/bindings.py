@@ -37,17 +37,22 @@ def count_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def count_expr(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Quantities by customer and brand: a sparse matrix of integral counts; zeros are absent."""
-    orders = read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+def count_rows(spark: SparkSession, sf_dir: str, cells: DataFrame | None = None) -> DataFrame:
+    """(cell_id, gene, value), a row a line item, not yet summed; with cells their other columns in place of cell_id.
+
+    Cells meet the orders, which are fewer than the items.
+    """
+    orders = read(spark, sf_dir, "orders").select("o_orderkey", F.col("o_custkey").alias("cell_id"))
+    owners = orders if cells is None else orders.join(cells, "cell_id").drop("cell_id")
     items = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_quantity")
     part = read(spark, sf_dir, "part").select("p_partkey", "p_brand")
-    return (
-        items.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
-        .join(part, F.col("l_partkey") == F.col("p_partkey"))
-        .groupBy(F.col("o_custkey").alias("cell_id"), F.col("p_brand").alias("gene"))
-        .agg(F.sum("l_quantity").alias("value"))
-    )
+    rows = items.join(owners, F.col("l_orderkey") == F.col("o_orderkey")).join(part, F.col("l_partkey") == F.col("p_partkey"))
+    return rows.select(*owners.drop("o_orderkey").columns, F.col("p_brand").alias("gene"), F.col("l_quantity").alias("value"))
+
+
+def count_expr(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quantities by customer and brand: a sparse matrix of integral counts; zeros are absent."""
+    return count_rows(spark, sf_dir).groupBy("cell_id", "gene").agg(F.sum("value").alias("value"))
 
 
 def points(spark: SparkSession, sf_dir: str) -> DataFrame:

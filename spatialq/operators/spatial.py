@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -163,16 +164,18 @@ def with_bin(cells: DataFrame, radius: float, shape: str = "square") -> DataFram
     return cells.withColumn("bin", f(F.col("x"), F.col("y"), radius))
 
 
-def bin_cells(cells: DataFrame, expr: DataFrame, radius: float, shape: str = "square", keys: tuple[str, ...] = ()) -> DataFrame:
+def bin_cells(cells: DataFrame, expr: DataFrame | Callable[[DataFrame], DataFrame], radius: float, shape: str = "square", keys: tuple[str, ...] = ()) -> DataFrame:
     """Pseudo-spots: (keys, bin, x, y, gene, value, n_cells) with bin centres and summed values.
 
-    The origin is the least corner of the cells.
+    The origin is the least corner of the cells. expr: (cell_id, gene, value), or a function from the
+    binned cells (cell_id, keys, bin) to rows (keys, bin, gene, value) that need not be summed by cell.
     """
     lo = cells.agg(F.min("x").alias("_x0"), F.min("y").alias("_y0"))
     moved = cells.crossJoin(F.broadcast(lo)).withColumn("x", F.col("x") - F.col("_x0")).withColumn("y", F.col("y") - F.col("_y0"))
     binned = with_bin(moved, radius, shape).select("cell_id", *keys, "bin")
     counts = binned.groupBy(*keys, "bin").agg(F.count("*").alias("n_cells"))
-    sums = binned.join(expr, "cell_id").groupBy(*keys, "bin", "gene").agg(F.sum("value").alias("value"))
+    rows = expr(binned) if callable(expr) else binned.join(expr, "cell_id")
+    sums = rows.groupBy(*keys, "bin", "gene").agg(F.sum("value").alias("value"))
     center = {"square": scalar.square_center, "hexagon": scalar.hex_center}[shape](F.col("bin"), radius)
     out = sums.join(counts, [*keys, "bin"]).crossJoin(F.broadcast(lo))
     return out.select(*keys, "bin", (center[0] + F.col("_x0")).alias("x"), (center[1] + F.col("_y0")).alias("y"), "gene", "value", "n_cells")

@@ -24,6 +24,7 @@ from ..operators import spatial as SP
 from ..operators import surrogates as SG
 from ..operators import trained as T
 from ..sources import results, synthetic
+from ..sources.scratch import written
 
 
 def load(spark: SparkSession, c: RunConfig) -> tuple[DataFrame, DataFrame]:
@@ -125,7 +126,7 @@ def losses(c: RunConfig, cells: DataFrame, expr: DataFrame) -> tuple[DataFrame,
     unit = t["coordinate_um_per_unit"] or 1.0
     plan, n, seed = plan_of(c), t["n_perms"], t["seed"]
     if method == "binning":
-        b = SP.bin_cells(cells, expr, spot_radius(t["bin_spot_distance_um"] / unit, t["bin_shape"]), t["bin_shape"])
+        b = written(SP.bin_cells(cells, expr, spot_radius(t["bin_spot_distance_um"] / unit, t["bin_shape"]), t["bin_shape"]), "spots")
         expr = b.select(F.col("bin").alias("cell_id"), "gene", "value")
         cells = b.select(F.col("bin").alias("cell_id"), "x", "y").distinct().withColumn("cell_type", F.lit("all"))
     e = targets(c, cells, expr)

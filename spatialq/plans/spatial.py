@@ -64,7 +64,7 @@ BINNED = """b AS (SELECT cell_id, (CAST(floor((x - x0) / 2000) AS BIGINT) + 1000
 @query(near("x y value", f"""WITH {S.COUNTS}, {BINNED}, n AS (SELECT bin, any_value(bx) AS x, any_value(cy) AS y, count(*) AS n_cells FROM b GROUP BY 1)
 SELECT bin, x, y, gene, sum(value) AS value, n_cells FROM b JOIN expr USING (cell_id) JOIN n USING (bin) GROUP BY ALL"""))
 def binning_square(spark, d):
-    return SP.bin_cells(B.count_cells(spark, d), B.count_expr(spark, d), 1000.0)
+    return SP.bin_cells(B.count_cells(spark, d), lambda binned: B.count_rows(spark, d, binned), 1000.0)
 
 
 @query(near("x y value", f"""WITH {S.COUNTS}, o AS (SELECT min(x) AS x0, min(y) AS y0 FROM cells),
@@ -78,7 +78,7 @@ n AS (SELECT cell_type, bin, any_value(bx) AS x, any_value(cy) AS y, count(*) AS
 SELECT cell_type, bin, x, y, gene, sum(value) AS value, n_cells FROM b JOIN expr USING (cell_id) JOIN n USING (cell_type, bin) GROUP BY ALL"""))
 def binning_hex(spark, d):
     """Pseudo-spots by cell type."""
-    return SP.bin_cells(B.count_cells(spark, d), B.count_expr(spark, d), 1000.0, "hexagon", ("cell_type",))
+    return SP.bin_cells(B.count_cells(spark, d), lambda binned: B.count_rows(spark, d, binned), 1000.0, "hexagon", ("cell_type",))
 
 
 @query(near("mean_cells median_cells singleton_share", f"""WITH {S.POINTS}, n AS (SELECT floor(x / 50) AS i, floor(y / 50) AS j, count(*) AS n FROM cells GROUP BY ALL)

@@ -14,6 +14,7 @@ from ..operators import nulls as N
 from ..operators import spatial as SP
 from ..operators import surrogates as SG
 from ..operators import trained as T
+from ..sources.scratch import written
 from .registry import query
 
 PLAN = Plan(epochs=12, rate=0.05)
@@ -127,7 +128,8 @@ def comparison_subsampling_test(spark, d):
 @query()
 def binning_test(spark, d):
     """Counts summed into square pseudo-spots, then the permutation test on log counts."""
-    b = SP.bin_cells(B.count_cells(spark, d), B.count_expr(spark, d), 500.0).select(F.col("bin").alias("cell_id"), "x", "y", "gene", "value")
+    spots = SP.bin_cells(B.count_cells(spark, d), lambda binned: B.count_rows(spark, d, binned), 500.0)
+    b = written(spots.select(F.col("bin").alias("cell_id"), "x", "y", "gene", "value"), "spots")
     cells = b.select("cell_id", "x", "y").distinct().withColumn("cell_type", F.lit("all"))
     e = E.log1p(E.cpm(E.densify(cells, b.select("cell_id", "gene", "value"))))
     return T.test(T.fit_slots(N.coordinate_permutation(cells, 9, 3), cells, E.zscore(e), PLAN))

@@ -39,6 +39,21 @@ def test_binning_by_type(spark):
     assert {(r.cell_type, r.gene, r.value, r.x, r.y) for r in out} == {("a", "g0", 1.0, 6.0, 6.0), ("a", "g1", 0.0, 6.0, 6.0), ("b", "g0", 0.0, 6.0, 6.0), ("b", "g1", 2.0, 6.0, 6.0)}
 
 
+def test_pseudo_spots_read_the_items_once(spark, monkeypatch):
+    """Also their sums are those of the counts by cell."""
+    import __spark_entry__ as entry
+    from spatialq import bindings
+
+    d, read, seen = "/root/testdata/sf0.001", bindings.read, spark.sparkContext.accumulator(0)
+    note = F.udf(lambda _: seen.add(1) or True, "boolean").asNondeterministic()
+    monkeypatch.setattr(bindings, "read", lambda s, d, t: read(s, d, t).filter(note("l_orderkey")) if t == "lineitem" else read(s, d, t))
+    assert entry.queries()["binning_test"](spark, d).count() == 1
+    assert seen.value == read(spark, d, "lineitem").count()
+    by_cell = spatial.bin_cells(bindings.count_cells(spark, d), bindings.count_expr(spark, d), 500.0)
+    by_bin = spatial.bin_cells(bindings.count_cells(spark, d), lambda b: bindings.count_rows(spark, d, b), 500.0)
+    assert sorted(by_cell.collect()) == sorted(by_bin.collect())
+
+
 def test_gene_support(spark):
     e = long(spark, [(1, 0, 3), (0, 0, 1), (1, 1, 0)])
     assert {r.gene for r in genes.min_cells(e, 2).select("gene").distinct().collect()} == {"g0", "g2"}
